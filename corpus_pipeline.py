@@ -6,11 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import line_dedup
+from tidemark.llm import lang_id, line_dedup, mixing, packing, simhash
 from tidemark.llm.shared import shared_dir
 from tidemark.sources.tables import table
 
-STAGES = []
+STAGES = [
+    ("language_id", lang_id.keep_identified),
+    ("line_dedup", line_dedup.drop_lines),
+    ("simhash_near_dedup", simhash.keep_one),
+    ("mixing", mixing.take_mix),
+    ("packing", packing.pack_documents),
+]
 
 #: Language ID, mixing and packing have no SQL form.
 ORACLE_SQL = None

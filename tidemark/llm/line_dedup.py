@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import BLANKS, ascii_lower, materialise
@@ -22,10 +22,12 @@ def dedup_lines(
     text_col: str = "text",
     min_key_chars: int = MIN_KEY_CHARS,
     min_documents: int = MIN_DOCUMENTS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Drop lines that ``min_documents`` or more documents hold, except in the smallest id.
 
-    Returns ``doc_id, n_lines, n_dropped, text`` with one row per input row.
+    Returns ``doc_id, n_lines, n_dropped, text`` with one row per input row,
+    and the input columns in ``keep`` as the fields of a struct ``kept``.
 
     Plan: explode the lines and hash their keys to 128 bits, write (document,
     position, hash) once, count documents per hash with map-side partial
@@ -44,8 +46,10 @@ def dedup_lines(
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("whole"),
+        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
     ).select(
         "doc_id",
+        *(["kept"] if keep else []),
         F.xxhash64("whole").alias("row_hash"),
         F.split("whole", "\n", -1).alias("lines"),
     )
@@ -88,6 +92,7 @@ def dedup_lines(
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         text.alias("text"),
+        *(["kept"] if keep else []),
     )
 
 
@@ -96,6 +101,16 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def drop_lines(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents without the repeated lines; a null text stays null."""
+    columns = docs.columns
+    rest = [c for c in columns if c != "text"]
+    flagged = docs.withColumn("text_was_null", F.col("text").isNull())
+    found = dedup_lines(flagged, keep=(*rest, "text_was_null"))
+    text = F.when(~F.col("kept.text_was_null"), F.col("text"))
+    return found.select(*[(text if c == "text" else F.col(f"kept.`{c}`")).alias(c) for c in columns])
+
+
 ORACLE_SQL = r"""
 WITH base AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
