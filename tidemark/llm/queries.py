@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import lang_id, line_dedup, mixing, packing, simhash
+from tidemark.llm import cover_tree, lang_id, line_dedup, mixing, packing, simhash, tile_search
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tile_search.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -34,6 +42,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op6_mixing": op6_mixing,
@@ -42,5 +52,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_top_k": cover_tree.ORACLE_SQL,
+    "op2_nearest_neighbours": tile_search.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
 }
