@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import cover_tree, lang_id, line_dedup, mixing, packing, simhash, tile_search
+from tidemark.llm import cover_tree, lang_id, license_scan, line_dedup, mixing, packing, secret_scan, simhash, tile_search, toxicity
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.fit_forest(secret_scan.labelled_findings(spark))
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.digest(toxicity.score_toxicity(docs, model))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lang_id.with_held_out(lang_id.identify(docs, lang_id.fit(docs)))
@@ -46,7 +61,10 @@ QUERIES: dict[str, Query] = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
