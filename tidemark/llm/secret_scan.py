@@ -76,16 +76,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     lead, tail = pick("lead", "the and of", "in with by", "le de la", "und die der", "el de la", ""), pick("tail", "the of", "and in", "de la", "", "else return")
     syllables = F.concat(*[pick(f"s{i}", "th", "er", "on", "in", "ti", "an", "en", "re", "at", "or", "hea", "ble", "ing", "ness", "ch", "ou", "eau", "ment", "ion", "keit") for i in range(9)])
     size = (F.pmod(F.xxhash64(F.lit("size"), "id"), F.lit(16)) + 16).cast("int")
-    plain = F.substring(syllables, F.lit(1), size)
-    syllables = F.element_at(F.array(plain, F.initcap(plain), F.upper(plain)), (F.pmod(F.xxhash64(F.lit("case"), "id"), F.lit(3)) + 1).cast("int"))
+    plain = F.col("plain")
+    cased = F.element_at(F.array(plain, F.initcap(plain), F.upper(plain)), (F.pmod(F.xxhash64(F.lit("case"), "id"), F.lit(3)) + 1).cast("int"))
     words = F.concat_ws("_", *[pick(f"w{i}", "your", "token", "here", "example", "insert", "value", "test", "user", "sample", "data", "server", "name") for i in range(5)])
     digest = F.element_at(F.array(hexed("k", 40), hexed("l", 32), hexed("m", 64), F.concat_ws("-", hexed("n", 8), hexed("o", 4), hexed("p", 4), hexed("q", 4), hexed("r", 12))), (F.pmod(F.xxhash64(F.lit("digest"), "id"), F.lit(4)) + 1).cast("int"))
     number = F.lpad(F.abs(F.xxhash64(F.lit("number"), "id")).cast("string"), 16, "4")
-    made = {"name": name, "value": value, "quote": quote, "end": end, "lead": lead, "tail": tail, "syllables": syllables, "words": words, "digest": digest, "number": number}
+    made = {"name": name, "value": value, "quote": quote, "end": end, "lead": lead, "tail": tail, "syllables": cased, "words": F.col("words"), "digest": digest, "number": number}
     made |= {"harmless": pick("harmless", "commit", "sha1", "checksum:", "revision", "md5 =", "digest", "uuid:", "etag =", "build"), "filler": F.repeat(pick("x", "x", "0", "*", "a"), 24)}
     made |= {"k4": F.pmod(F.xxhash64(F.lit("k4"), "id"), F.lit(4)), "k8": F.pmod(F.xxhash64(F.lit("k8"), "id"), F.lit(8))}
-    # One bounded partition; the exchange also keeps the parts out of one huge generated function.
-    rows = spark.range(n).select("id", *[c.alias(k) for k, c in made.items()]).repartition(1)
+    # One bounded partition; each exchange also keeps its parts out of one huge generated function.
+    rows = spark.range(n).select("id", F.substring(syllables, F.lit(1), size).alias("plain"), words.alias("words")).repartition(1)
+    rows = rows.select("id", *[c.alias(k) for k, c in made.items()]).repartition(1)
     name, value, quote, end, lead, tail, syllables, words, digest, number, harmless, filler = (F.col(c) for c in ("name", "value", "quote", "end", "lead", "tail", "syllables", "words", "digest", "number", "harmless", "filler"))
     true = F.struct(
         F.element_at(F.array(F.concat_ws(" ", lead, name, F.lit("=")), F.concat_ws(" ", lead, F.concat(name, F.lit(":"))), F.concat_ws(" ", lead, F.lit("Authorization: Bearer")), lead), (F.col("k4") + 1).cast("int")).alias("before"),
@@ -105,18 +106,19 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         ),
         (F.col("k8") + 1).cast("int"),
     )
-    return rows.select(F.when(F.col("id") % 2 == 0, true).otherwise(false).alias("x"), (1 - F.col("id") % 2).cast("double").alias("label")).select("x.*", "label")
+    return rows.select(F.when(F.col("id") % 2 == 0, true).otherwise(false).alias("x"), (1 - F.col("id") % 2).cast("double").alias("label")).repartition(1).select("x.*", "label")
 
 
 def fit_forest(findings: DataFrame) -> PipelineModel:
     """A random forest on labelled findings (``before, word, after, label``), in one partition for one order of rows."""
     core = F.regexp_extract("word", SHAPE, 0)
-    rows = findings.where(core != "").select("label", *[c.alias(n) for n, c in features(F.col("before"), F.col("word"), core, F.col("after")).items()])
+    rows = findings.withColumn("core", core).where(F.col("core") != "").repartition(1)
+    rows = rows.select("label", *[c.alias(n) for n, c in features(F.col("before"), F.col("word"), F.col("core"), F.col("after")).items()])
     stages = [
         VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED),
     ]
-    return Pipeline(stages=stages).fit(rows.repartition(1).sortWithinPartitions("label", *FEATURES))
+    return Pipeline(stages=stages).fit(rows.sortWithinPartitions("label", *FEATURES))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
