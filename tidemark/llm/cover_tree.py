@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import DATA_ROWS, QUERY_ROWS, best_of, clean_vectors, numbered_blocks, packed, table_of, top_k
+from tidemark.llm.blocks import best_of, clean_vectors, numbered_blocks, packed, table_of, top_k
 from tidemark.llm.shared import arrow_map, materialise
 from tidemark.session import ship_package
 
@@ -22,11 +22,21 @@ BASE = 1.5
 #: A node with more centres than this at the next radius gives the rest to their nearest centre.
 FANOUT = 16
 LEAF = 48
+#: Rows of a block.
+DATA_ROWS = 8_192
 #: Points from which the cells of the top layer are grown, and the cells.
 SAMPLE = 2_048
 CELLS = 64
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest signed type that holds them; they travel so, and are widened for products."""
+    for kind in (np.int8, np.int16, np.int32):
+        if not x.size or np.abs(x).max() <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x
+
+
 class Tree:
     """A cover tree over rows of a matrix; each node covers one range of the reordered rows.
 
@@ -72,7 +82,7 @@ class Tree:
                         add(int(a), int(b), c)
                 kids[at] = (begin, len(centre))
             at += 1
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.points = ids[order], narrow(points[order])
         self.centre = points[centre].reshape(len(centre), points.shape[1])
         self.radius = np.array(radius) * (1 + 1e-9) + 1e-9  # above any rounding of the distances
         self.norm = np.sqrt((self.centre**2).sum(1))
@@ -99,6 +109,7 @@ class Search:
         if not len(data.ids) or not len(self.queries.ids):
             return
         q, stack = self.queries, [(0, np.array([0]))]
+        self.q_points, points = q.points.astype(np.float64), data.points.astype(np.float64)
         while stack:
             node, others = stack.pop()
             lo, hi = q.ranges[node]
@@ -115,16 +126,17 @@ class Search:
                 below = np.concatenate([leaf, *opened]) if opened else leaf
                 stack += [(child, below) for child in range(first, last)]
             else:
-                self._leaf(node, others, ub, data)
+                self._leaf(node, others, ub, data, points)
 
-    def _leaf(self, node: int, others: np.ndarray, ub: np.ndarray, data: Tree) -> None:
-        """One query group against data nodes, the most promising first."""
-        q, (lo, hi) = self.queries, self.queries.ranges[node]
+    def _leaf(self, node: int, others: np.ndarray, ub: np.ndarray, data: Tree, points: np.ndarray) -> None:
+        """One query group against data nodes, the most promising first, in growing portions."""
+        q, (lo, hi), portion = self.queries, self.queries.ranges[node], 4
         while len(others):
             worst = self.worst[lo:hi].min()
             keep = ub >= worst
             others, ub = others[keep], ub[keep]
-            best = np.argsort(-ub, kind="stable")[:8]
+            best = np.argsort(-ub, kind="stable")[:portion]
+            portion *= 4
             if not len(best):
                 return
             taken, rest = others[best], np.setdiff1d(np.arange(len(others)), best)
@@ -138,7 +150,7 @@ class Search:
             leaves = taken[end == begin]
             if len(leaves):
                 rows = np.concatenate([np.arange(a, b) for a, b in data.ranges[leaves]])
-                self._merge(lo, hi, data.ids[rows], q.points[lo:hi] @ data.points[rows].T)
+                self._merge(lo, hi, data.ids[rows], self.q_points[lo:hi] @ points[rows].T)
 
     def _merge(self, lo: int, hi: int, ids: np.ndarray, scores: np.ndarray) -> None:
         for i in range(lo, hi):
