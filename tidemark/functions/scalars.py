@@ -64,15 +64,16 @@ def full(aggregate, column: Column, window: WindowSpec, rows: int) -> Column:
 def pct_rank(column: Column, *partition: Column) -> Column:
     """Percentile rank with average ties in (0, 1]; NULL stays NULL and does not count.
 
-    The ranking partition holds the values and, apart from them, the missing
-    ones, so that a cross-section is ranked where its key puts it.
+    The mean of the least and the greatest rank of a value: missing values sort
+    last in both directions, so that one partitioning serves all windows.
     """
     from pyspark.sql import Window
 
-    whole = Window.partitionBy(*partition, column.isNull())
-    place = F.rank().over(whole.orderBy(column))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, column))
-    return F.when(column.isNotNull(), (place + (ties - 1) / 2) / F.count(F.lit(1)).over(whole))
+    whole = Window.partitionBy(*partition)
+    n = F.count(column).over(whole)
+    up = F.rank().over(whole.orderBy(column.asc_nulls_last()))
+    down = F.rank().over(whole.orderBy(column.desc_nulls_last()))
+    return F.when(column.isNotNull(), (up + n + 1 - down) / 2 / n)
 
 
 def correlation(x: Column, y: Column) -> Column:
