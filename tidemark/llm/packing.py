@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,43 +30,81 @@ CACHE_WORDS = 600_000
 _ODD = re.compile(r"[^\x00-\x1B\x20-\x84\x86-\xB1\xB4-\xB8\xBA\xBB\xBF-įı-ňŊ-ž‐-‧‰-⁞]")
 # The tokenizer file's own split rule, for those texts.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_MARKS = frozenset(".,;:!?)|")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
+#: A slot's sum stands above the bits of its root's number.
+_SLOT = 24
+_ROOT = (1 << _SLOT) - 1
+
 _held: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The worker's tokenizer and the ids of words it has seen, as bytes."""
+    """The worker's tokenizer, one for words that are already split, which ids end a word, and two memories.
+
+    The second tokenizer has the same model behind a plain split at white
+    space: its words are in lower case and normal form before they reach it.
+    The memories hold ids as unsigned numbers of the smallest size that fits.
+    """
     if path not in _held:
         from tokenizers import Tokenizer
 
-        _held[path] = (Tokenizer.from_file(path), {})
+        made = Tokenizer.from_file(path)
+        parts = json.loads(made.to_str())
+        parts["normalizer"] = None
+        parts["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        split = Tokenizer.from_str(json.dumps(parts))
+        split.model._resize_cache(0)  # every word goes through it once
+        vocab = made.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        _held[path] = (made, split, ends, "<u2" if len(ends) <= 1 << 16 else "<u4", {}, {})
     return _held[path]
 
 
-def _raw(ids) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+def _learn(new: list[str], split, ends: np.ndarray, kind: str, parts_known: dict[str, bytes]) -> dict[str, bytes]:
+    """The ids of words without white space in them, from few calls of the tokenizer.
 
-
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers, without special tokens.
-
-    Plain texts are split into words here, and each distinct word goes through
-    the tokenizer once in a worker; any other text goes through it whole.
+    A word is cut by the split rule; the parts that are new go through the
+    tokenizer as one text, in which each ends with one id of ``ends``.
+    """
+    # Most words are letters, or letters and one mark, which need no pattern.
+    cut = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in _MARKS and w[:-1].isalpha() else _SPLIT.findall(w) for w in new]
+    fresh = list(set().union(*cut).difference(parts_known))
+    for lo in range(0, len(fresh), 2_000):
+        some = fresh[lo : lo + 2_000]
+        ids = np.array(split.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
+        stops = (ids.itemsize * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        raw, at = ids.tobytes(), 0
+        for part, stop in zip(some, stops, strict=True):
+            parts_known[part] = raw[at:stop]
+            at = stop
+    get = parts_known.__getitem__
+    return {w: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for w, p in zip(new, cut, strict=True)}
+
+
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each text, without special tokens.
+
+    Plain texts are split at white space here, and each distinct word goes
+    through the tokenizer once in a worker, or again after its memory was full;
+    any other text goes through it whole.
     """
-    tokenizer, known = _tokenizer(path)
-    words: list[list[str] | None] = []
-    for text in texts:
-        plain = not _ODD.search(text) and not ("<|" in text and _SPECIAL.search(text))
-        words.append(_SPLIT.findall(text.lower()) if plain else None)
-    if len(known) > CACHE_WORDS:
+    tokenizer, split, ends, kind, known, parts = _tokenizer(path)
+    plain = [not _ODD.search(t) and not ("<|" in t and _SPECIAL.search(t)) for t in texts]
+    words = [t.lower().split() if p else None for t, p in zip(texts, plain, strict=True)]
+    here = set().union(*[w for w in words if w])
+    known.update(_learn(list(here.difference(known)), split, ends, kind, parts))
+    local = {w: known[w] for w in here}  # small, and so near to the processor
+    if len(known) > CACHE_WORDS:  # what stands here is what is frequent
         known.clear()
-    new = list(set().union(*[w for w in words if w]).difference(known))
-    for word, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        known[word] = _raw(coded.ids)
-    odd = iter(tokenizer.encode_batch([t for t, w in zip(texts, words, strict=True) if w is None], add_special_tokens=False))
-    get = known.__getitem__
-    return [_raw(next(odd).ids) if w is None else b"".join(map(get, w)) for w in words]
+        known.update(local)
+    if len(parts) > CACHE_WORDS:
+        parts.clear()
+    odd = iter(tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+    get = local.__getitem__
+    return [np.array(next(odd).ids, kind) if w is None else np.frombuffer(b"".join(map(get, w)), kind) for w in words]
 
 
 def cuts(n_tokens: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -90,25 +129,25 @@ def difference(lengths: np.ndarray, windows: int) -> np.ndarray:
     pieces in it; merged slots are joined by a parent link.
     """
     parent = np.arange(len(lengths))
-    heap: list[tuple[int, int, list[int], list[int]]] = [(-int(n), i, [int(n)], [i]) for i, n in enumerate(lengths)]
+    heap = [(-int(n), i, [int(n) << _SLOT | i]) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
     count = len(heap)
-    # A partition is kept as its filled slots in falling order; the other slots are empty.
+    # A partition is kept as its filled slots in falling order, each a sum and a root in one number.
     while len(heap) > 1:
-        _, _, a, ra = heapq.heappop(heap)
-        _, _, b, rb = heapq.heappop(heap)
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
         over = len(a) + len(b) - windows
         if over > 0:
             # The fullest of a meet the emptiest of b: slot i of a joins slot windows - 1 - i of b.
             for i in range(windows - len(b), len(a)):
-                j = windows - 1 - i
-                a[i] += b[j]
-                parent[rb[j]] = ra[i]
-            b, rb = b[: len(b) - over], rb[: len(rb) - over]
-        order = sorted(zip(a + b, ra + rb, strict=True), key=lambda x: (-x[0], x[1]))
-        sums, roots = [x for x, _ in order], [r for _, r in order]
-        low = sums[-1] if len(sums) == windows else 0
-        heapq.heappush(heap, (-(sums[0] - low), count, sums, roots))
+                other = b[windows - 1 - i]
+                parent[other & _ROOT] = a[i] & _ROOT
+                a[i] += other - (other & _ROOT)
+            del b[len(b) - over :]
+        a += b
+        a.sort(reverse=True)
+        low = a[-1] >> _SLOT if len(a) == windows else 0
+        heapq.heappush(heap, (low - (a[0] >> _SLOT), count, a))
         count += 1
     while True:
         up = parent[parent]
@@ -132,14 +171,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """``doc_id, start, length, ids_crc32, doc_tokens`` for each piece of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = _raw([END_ID])
         for whole in batches:
-            for lo in range(0, len(whole), 200):
-                batch = whole.slice(lo, 200)
+            for lo in range(0, len(whole), 400):
+                batch = whole.slice(lo, 400)
                 out: list[list] = [[], [], [], [], []]
-                for doc, raw in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()], tokenizer_path), strict=True):
-                    raw += end
-                    n = len(raw) // 4
+                for doc, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()], tokenizer_path), strict=True):
+                    raw = np.append(ids, END_ID).astype("<u4").tobytes()
+                    n = len(ids) + 1
                     for start, length in cuts(n, capacity, piece):
                         for column, value in zip(out, (doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n), strict=True):
                             column.append(value)
