@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,30 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ship_package
+from tidemark.session import shared_dir, ship_package
 
 #: ASCII white space of the word and line rules, x20 and x09 to x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one the session names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in local tests, a folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system it lies."""
     jvm = spark.sparkContext._jvm
