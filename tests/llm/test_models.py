@@ -47,7 +47,7 @@ def vectors():
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(700)]
     rows += [(700 + i, rows[3][1]) for i in range(300)]  # a hot vector
-    rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2020, [float("inf")] + [0.0] * 7), (2040, [0.0] * 8), (2060, [1.0, 2.0]), (2061, [3.0, 1.0]), (None, [1.0] * 8), rows[40], rows[40], (2080, [])]
+    rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2020, [float("inf")] + [0.0] * 7), (2040, [0.0] * 8), (2060, [1.0, 2.0]), (2061, [3.0, 1.0]), (None, [1.0] * 8), rows[40], rows[40], (2080, []), (2081, [])]
     return rows
 
 

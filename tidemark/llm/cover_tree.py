@@ -194,7 +194,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
     # Centres: farthest points of a sample bounded by SAMPLE rows.
     sample = rows.select("vec").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
     by_dim: dict[int, np.ndarray] = {}
-    for dim in {len(r["vec"]) for r in sample}:
+    for dim in {len(r["vec"]) for r in sample} - {0}:
         pts = np.array([r["vec"] for r in sample if len(r["vec"]) == dim]).reshape(-1, dim)
         chosen, near = [0], ((pts - pts[0]) ** 2).sum(1)
         while len(chosen) < min(CELLS, len(pts) // LEAF + 1) and near.max() > 0:
@@ -208,7 +208,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
             size = np.array([len(v) for v in vecs])
             for dim, centres in by_dim.items():
                 mine = np.flatnonzero(size == dim)
-                if len(mine) and dim:
+                if len(mine):
                     x = np.array([vecs[i] for i in mine])
                     out[mine] = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out)], names=["vec_id", "vec", "is_query", "near"])

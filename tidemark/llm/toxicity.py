@@ -114,7 +114,7 @@ class Scorer:
     """
 
     def __init__(self, model: ToxicModel) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.idle = model, {}, {}
         step = np.exp(model.trans) * np.array([1.0, np.exp(model.bias)])[None]
         values, vectors = np.linalg.eig(step)
         order = np.argsort(-np.abs(values))
@@ -140,9 +140,12 @@ class Scorer:
         weight = self.weight
         active = {w for w in set(words) if abs(weight(w)) > 1e-9}
         n = len(words)
+        if not n:
+            return 0.0, 0.0, 0, []
         if not active:
-            return (self.plain if n else 0.0), self.plain * n, n, []
-        at = [i for i, w in enumerate(words) if w in active]
+            return *self._idle(n), n, []
+        # The ends of a text differ from its middle, and so count like weighted tokens.
+        at = sorted({0, n - 1, *(i for i, w in enumerate(words) if w in active)})
         best, total, marked, lo = self.plain, 0.0, [], 0
         covered = 0
         while lo < len(at):
@@ -160,6 +163,15 @@ class Scorer:
             spans = [(p.start(), p.end(), wanted[i]) for i, p in places if i in wanted] if len(low) == len(text) else [(-1, -1, x) for _, x in marked]
         return best, total + self.plain * (n - covered), n, spans
 
+    def _idle(self, n: int) -> tuple[float, float]:
+        """Largest marginal and their sum for ``n`` tokens without weight."""
+        some = min(n, 2 * self.halo + 2)
+        if some not in self.idle:
+            m = self._segment([0.0] * some, True, True)
+            self.idle[some] = max(m), sum(m)
+        best, total = self.idle[some]
+        return best, total + self.plain * (n - some)
+
     def _segment(self, e: list[float], first: bool, last: bool) -> list[float]:
         """Scaled forward-backward over two states in plain numbers."""
         (oo, ot), (to, tt) = np.exp(self.model.trans).tolist()
