@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import change, full, nullable_mean, pct_rank, ratio
 from tidemark.operators.keyed import split_tags
 
-C, V, A = F.col("close"), F.col("volume").cast("double"), F.col("amount")
+def _columns() -> tuple[Column, Column, Column]:
+    """Close, volume and amount."""
+    return F.col("close"), F.col("volume").cast("double"), F.col("amount")
 
 
 def rows_back(n: int):
@@ -22,6 +24,7 @@ def at_last(rows: DataFrame, day: Column) -> DataFrame:
 
 def price_factors(panel: DataFrame) -> DataFrame:
     """Position in the range, distances from highs and means, history; windows must be full."""
+    C, _, A = _columns()
     by = Window.partitionBy("symbol").orderBy("trade_date")
     out = {"history_days": F.row_number().over(by)}
     for n in (20, 60, 250):
@@ -37,6 +40,7 @@ def price_factors(panel: DataFrame) -> DataFrame:
 
 def momentum_factors(panel: DataFrame) -> DataFrame:
     """Returns, returns against the equal-weight market, their rank across symbols, volume trend."""
+    C, V, _ = _columns()
     by = Window.partitionBy("symbol").orderBy("trade_date")
     lagged = panel.select("symbol", "trade_date", "close", change(C, F.lag("close", 1).over(by)).alias("r"), *[change(C, F.lag("close", n).over(by)).alias(f"ret_{n}") for n in (20, 60)], (full(F.avg, V, rows_back(5), 5) / F.nullif(full(F.avg, V, rows_back(20), 20), F.lit(0.0))).alias("volume_trend_20"))
     # The market is one row a day; its window never sees symbols.
@@ -53,6 +57,7 @@ def momentum_factors(panel: DataFrame) -> DataFrame:
 
 def risk_factors(panel: DataFrame) -> DataFrame:
     """Volatility, downside volatility, drawdown and signed amount pressure at each row."""
+    C, _, A = _columns()
     by = Window.partitionBy("symbol").orderBy("trade_date")
     steps = panel.select("symbol", "trade_date", "close", "amount", change(C, F.lag("close").over(by)).alias("r"), F.signum(C - F.lag("close").over(by)).alias("sign"))
     r, w20, w60 = F.col("r"), rows_back(20), rows_back(60)

@@ -10,8 +10,11 @@ from tidemark.functions.scalars import change
 #: The windows of all families, and the guard of their divisions.
 WINDOWS = (5, 10, 20, 30, 60)
 EPS = 1e-12
-O, H, L, C = (F.col(c) for c in ("open", "high", "low", "close"))
-V = F.col("volume").cast("double")
+
+
+def _columns() -> tuple[Column, ...]:
+    """Open, high, low, close and volume."""
+    return *(F.col(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("double")
 
 
 def order():
@@ -24,6 +27,7 @@ def frame(n: int):
 
 def base(panel: DataFrame) -> DataFrame:
     """The panel with the daily steps that the families share."""
+    _, _, _, C, V = _columns()
     before, prior = F.lag("close").over(order()), F.lag("volume").over(order()).cast("double")
     return panel.select(
         "symbol", "trade_date", "n", "open", "high", "low", "close", V.alias("volume"),
@@ -34,6 +38,7 @@ def base(panel: DataFrame) -> DataFrame:
 
 
 def kbar() -> dict[str, Column]:
+    O, H, L, C, _ = _columns()
     top, bottom, span = F.greatest(O, C), F.least(O, C), H - L + EPS
     return {
         "KMID": (C - O) / O, "KLEN": (H - L) / O, "KMID2": (C - O) / span, "KUP": (H - top) / O, "KUP2": (H - top) / span,
@@ -43,24 +48,28 @@ def kbar() -> dict[str, Column]:
 
 
 def stats(n: int) -> dict[str, Column]:
+    _, H, L, C, _ = _columns()
     w = frame(n)
     return {"ROC": F.lag("close", n).over(order()) / C, "MA": F.avg(C).over(w) / C, "STD": F.stddev_samp(C).over(w) / C, "MAX": F.max(H).over(w) / C, "MIN": F.min(L).over(w) / C}
 
 
 def ols(n: int) -> dict[str, Column]:
     """Least squares of the close on its position; the position's origin does not matter."""
+    _, _, _, C, _ = _columns()
     w, x = frame(n), F.col("n").cast("double")
     fit = F.regr_intercept(C, x).over(w) + F.regr_slope(C, x).over(w) * x
     return {"BETA": F.regr_slope(C, x).over(w) / C, "RSQR": F.when(F.regr_syy(C, x).over(w) > EPS, F.regr_r2(C, x).over(w)), "RESI": (C - fit) / C}
 
 
 def quantiles(n: int) -> dict[str, Column]:
+    _, _, _, C, _ = _columns()
     w = frame(n)
     return {"QTLU": F.percentile(C, 0.8).over(w) / C, "QTLD": F.percentile(C, 0.2).over(w) / C}
 
 
 def ranks(n: int) -> dict[str, Column]:
     """Midrank of the current close within its window."""
+    _, _, _, C, _ = _columns()
     seen = F.collect_list("close").over(frame(n))
     less, same = F.size(F.filter(seen, lambda x: x < C)), F.size(F.filter(seen, lambda x: x == C))
     return {"RANK": (less + (same + 1) / 2) / F.size(seen)}
@@ -68,6 +77,7 @@ def ranks(n: int) -> dict[str, Column]:
 
 def extremes(n: int) -> dict[str, Column]:
     """Place in the range, and where in the window its first extremes stand."""
+    _, H, L, C, _ = _columns()
     w = frame(n)
     highs, lows = F.collect_list("high").over(w), F.collect_list("low").over(w)
     top, bottom = F.array_position(highs, F.array_max(highs)) / float(n), F.array_position(lows, F.array_min(lows)) / float(n)

@@ -60,7 +60,7 @@ def gates_finalists(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = (("urgent-high", "1-URGENT", "2-HIGH"), ("medium-low", "3-MEDIUM", "5-LOW"))
 
 
-@query("paired_effects", f"WITH {RESULT_SQL}, p(pair, base, alt) AS (VALUES {', '.join(str(x) for x in PAIRS)}), e AS (SELECT pair, start, a.cost_bps, b.excess - a.excess AS effect FROM p JOIN results a ON a.candidate = base JOIN results b ON b.candidate = alt AND b.start = a.start AND b.cost_bps = a.cost_bps)," + """
+@query("paired_effects", f"WITH {RESULT_SQL}, p(pair, base, alt) AS (VALUES {', '.join(str(x) for x in PAIRS)}), e AS (SELECT pair, a.start, a.cost_bps, b.excess - a.excess AS effect FROM p JOIN results a ON a.candidate = base JOIN results b ON b.candidate = alt AND b.start = a.start AND b.cost_bps = a.cost_bps)," + """
 m AS (SELECT pair, count(*) FILTER (WHERE cost_bps = 10) AS windows, avg(effect) FILTER (WHERE cost_bps = 10) AS mean, quantile_cont(effect, 0.5) FILTER (WHERE cost_bps = 10) AS median, avg((effect > 1e-12)::INT) FILTER (WHERE cost_bps = 10) AS share, avg(effect) FILTER (WHERE cost_bps = 20) AS stress,
   (sum(effect) FILTER (WHERE cost_bps = 10) - max(effect) FILTER (WHERE cost_bps = 10)) / (count(*) FILTER (WHERE cost_bps = 10) - 1) AS drop_best FROM e GROUP BY 1),
 y AS (SELECT pair, min(v) AS worst_year FROM (SELECT pair, year(start) AS yr, avg(effect) AS v FROM e WHERE cost_bps = 10 GROUP BY 1, 2) GROUP BY 1)
@@ -176,16 +176,16 @@ def pool_eligibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("executable_list", with_("panel") + """, ranked AS (SELECT symbol, row_number() OVER (ORDER BY close / pre_close DESC, symbol) AS place FROM panel WHERE trade_date = DATE '1996-09-30'),
-nxt AS (SELECT r.symbol, place, CASE WHEN n.symbol IS NULL OR NOT (n.open > 0 AND n.volume > 0) THEN 'no valid open' WHEN n.open / n.pre_close - 1 >= 0.004 THEN 'limit up' ELSE 'executable' END AS reason FROM ranked r LEFT JOIN (SELECT * FROM panel WHERE trade_date = DATE '1996-10-01') n USING (symbol)),
+nxt AS (SELECT r.symbol, place, CASE WHEN n.symbol IS NULL OR NOT (n.open > 0 AND n.volume > 0) THEN 'no valid open' WHEN n.close / n.pre_close - 1 >= 0.012 THEN 'limit up' ELSE 'executable' END AS reason FROM ranked r LEFT JOIN (SELECT * FROM panel WHERE trade_date = DATE '1996-10-01') n USING (symbol)),
 up AS (SELECT *, count(*) FILTER (WHERE reason = 'executable') OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS good FROM nxt)
 SELECT reason, count(*) AS n, min(place) AS first_place FROM up WHERE good < 25 OR (good = 25 AND reason = 'executable') GROUP BY 1""")
 def executable_list(spark: SparkSession, d: str) -> DataFrame:
-    """Walk the ranking at the next open until 25 names can be bought, and count what stood in the way."""
+    """Walk the ranking on the next day until 25 names can be bought, and count what stood in the way."""
     rows, date = panel(spark, d), lambda x: F.lit(x).cast("date")
     ranked = rows.where(F.col("trade_date") == date("1996-09-30")).select("symbol", F.row_number().over(Window.orderBy(F.desc(F.col("close") / F.col("pre_close")), "symbol")).alias("place"))
-    nxt = rows.where(F.col("trade_date") == date("1996-10-01")).select("symbol", "open", "pre_close", "volume")
+    nxt = rows.where(F.col("trade_date") == date("1996-10-01")).select("symbol", "open", "close", "pre_close", "volume")
     good = (F.col("open") > 0) & (F.col("volume") > 0)
-    reason = F.when(~F.coalesce(good, F.lit(False)), "no valid open").when(F.col("open") / F.col("pre_close") - 1 >= 0.004, "limit up").otherwise("executable")
+    reason = F.when(~F.coalesce(good, F.lit(False)), "no valid open").when(F.col("close") / F.col("pre_close") - 1 >= 0.012, "limit up").otherwise("executable")
     walked = ranked.join(nxt, "symbol", "left").withColumn("reason", reason).withColumn("good", F.count(F.when(F.col("reason") == "executable", 1)).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
     seen = walked.where((F.col("good") < 25) | ((F.col("good") == 25) & (F.col("reason") == "executable")))
     return seen.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"))
@@ -221,7 +221,7 @@ def index(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).groupBy("trade_date").agg(F.avg("close").alias("level"), F.count(F.lit(1)).alias("n")).where("n >= 10").drop("n")
 
 
-@query("regime_labels", INDEX_SQL + ", m AS (SELECT trade_date, level, level / nullif(lag(level, 30) OVER s, 0) - 1 AS move, CASE WHEN count(level) OVER w60 = 60 THEN level > avg(level) OVER w60 END AS above_ma60, CASE WHEN row_number() OVER s > 20 THEN stddev_pop(r) OVER w20 * sqrt(252) END AS vol FROM (SELECT *, level / nullif(lag(level) OVER (ORDER BY trade_date), 0) - 1 AS r FROM idx) WINDOW s AS (ORDER BY trade_date), w60 AS (ORDER BY trade_date ROWS 59 PRECEDING), w20 AS (ORDER BY trade_date ROWS 19 PRECEDING)) SELECT trade_date, CASE WHEN move >= 0.05 THEN 'up' WHEN move <= -0.05 THEN 'down' WHEN move IS NOT NULL THEN 'sideways' END AS regime, above_ma60, round(vol, 6) + 0.0 AS vol, round(least(1, 0.15 / nullif(vol, 0)), 6) + 0.0 AS exposure FROM m", dates="trade_date")
+@query("regime_labels", INDEX_SQL + ", m AS (SELECT trade_date, level, level / nullif(lag(level, 30) OVER s, 0) - 1 AS move, CASE WHEN count(level) OVER w60 = 60 THEN level > avg(level) OVER w60 END AS above_ma60, CASE WHEN row_number() OVER s > 20 THEN stddev_pop(r) OVER w20 * sqrt(252) END AS vol FROM (SELECT *, level / nullif(lag(level) OVER (ORDER BY trade_date), 0) - 1 AS r FROM idx) WINDOW s AS (ORDER BY trade_date), w60 AS (ORDER BY trade_date ROWS 59 PRECEDING), w20 AS (ORDER BY trade_date ROWS 19 PRECEDING)) SELECT trade_date, CASE WHEN move >= 0.05 THEN 'up' WHEN move <= -0.05 THEN 'down' WHEN move IS NOT NULL THEN 'sideways' END AS regime, above_ma60, round(vol, 6) + 0.0 AS vol, round(CASE WHEN vol IS NOT NULL THEN least(1, 0.15 / nullif(vol, 0)) END, 6) + 0.0 AS exposure FROM m", dates="trade_date")
 def regime_labels(spark: SparkSession, d: str) -> DataFrame:
     """Market regime, side of the 60-day mean, and exposure by a volatility target; one row a day."""
     s = Window.orderBy("trade_date")
