@@ -76,8 +76,10 @@ def dedup_lines(
     else:
         by_doc = held.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         common = by_doc.groupBy("h1", "h2").agg(first, F.count("one").alias("n")).where(F.col("n") >= min_documents)
+    # Written, so that the join's sides are plain exchanges, which adaptive execution can split at a hot hash.
+    common = materialise(common.select("h1", "h2", "first_id"), "common-lines")
     dropped = (
-        held.join(common.select("h1", "h2", "first_id"), ["h1", "h2"])
+        held.join(common, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("first_id"))
         .groupBy("doc_id", "row_hash")
         .agg(F.collect_set("pos").alias("gone"))
