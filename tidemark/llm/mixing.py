@@ -14,7 +14,7 @@ from tidemark.session import ship_package
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: Documents that one task rounds at a time, and residuals that one task combines.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 FAN_IN = 500
 #: Rows of a chunk that stay open up to the root, spread over the sizes, to take up what the last residual leaves.
 SPARES = 32
