@@ -103,11 +103,10 @@ def order_cost(notional: Column, p: Protocol) -> Column:
 
 
 def buy_fills(quotes: DataFrame, budget: Column, p: Protocol) -> DataFrame:
-    """Quantity, cost, spending and reason of an order at the open: whole lots whose price and cost fit the budget.
+    """Quantity, cost, spending and reason of an order at the open: the most whole lots whose price and cost fit the budget.
 
-    The quantity is what fits without costs, less the lots that the cost takes:
-    it is found among the three largest candidates, since a lot is always larger
-    than its own cost.
+    A cost is a share of the price or the least cost, so that the most lots are
+    the smaller of two quotients; one lot to either side makes up for rounding.
     """
     c = F.col
     name = F.upper(F.coalesce("name", F.lit("")))
@@ -116,15 +115,11 @@ def buy_fills(quotes: DataFrame, budget: Column, p: Protocol) -> DataFrame:
         .when(~true((c("open") > 0) & (c("pre_close") > 0) & (c("volume") > 0)), "no valid open")
         .when(c("open") / c("pre_close") >= LIMIT_UP, "limit up")
     )
-    lots = F.floor(budget / (c("open") * p.lot_size))
+    lot = c("open") * p.lot_size
     value = lambda n: n * p.lot_size * c("open")
-    fits = F.lit(0).cast("bigint")
-    for less in (2, 1, 0):
-        n = lots - less
-        fits = F.when((n > 0) & (value(n) + order_cost(value(n), p) <= budget), n).otherwise(fits)
-    # Minimum costs can take more than two lots only where a lot is nearly free; then divide exactly.
-    cheap = F.floor((budget - p.minimum_cost_per_order) / (c("open") * p.lot_size))
-    fits = F.when((fits == 0) & (lots > 2), F.greatest(cheap, F.lit(0))).otherwise(fits)
+    n = F.floor(F.least(budget / (lot * (1 + p.cost_bps_per_side / 10_000)), (budget - p.minimum_cost_per_order) / lot))
+    fits = lambda k: (k > 0) & (value(k) + order_cost(value(k), p) <= budget)
+    fits = F.when(fits(n + 1), n + 1).when(fits(n), n).when(fits(n - 1), n - 1).otherwise(0)
     rows = quotes.withColumn("refused", reason).withColumn("quantity", F.when(c("refused").isNull(), fits * p.lot_size).otherwise(0))
     rows = rows.withColumn("refused", F.when(c("refused").isNull() & (c("quantity") == 0), "less than a lot").otherwise(c("refused")))
     cost = order_cost(c("quantity") * c("open"), p)

@@ -15,7 +15,7 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column], keep:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Old rows whose key is not in ``new``, and the new rows; a key twice in ``new`` keeps the first in ``order``."""
     incoming = latest_per_key(new, keys, order)
-    return old.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.select(*old.columns))
+    return old.join(incoming.select(*keys), keys, "left_anti").select(*old.columns).unionByName(incoming.select(*old.columns))
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -26,7 +26,7 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
 
 def replace_days(old: DataFrame, new: DataFrame, day: str = "trade_date") -> DataFrame:
     """Whole days of ``old`` give way to those of ``new``."""
-    return old.join(new.select(day).distinct(), day, "left_anti").unionByName(new.select(*old.columns))
+    return old.join(new.select(day).distinct(), day, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def write_days(rows: DataFrame, path: str, day: str = "trade_date") -> None:

@@ -37,7 +37,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense daily panel: each symbol's bars re-dated to consecutive days, with a tame price path."""
     by = Window.partitionBy("symbol").orderBy("trade_date")
     n = F.col("n")
-    wave = lambda a, m, k: ((n * a) % m - k) / F.lit(1000.0)
+    wave = lambda a, m, k: ((n * a) % m - k) / F.lit(1009.0)
     steps = bars(spark, sf_dir).select(
         "symbol", "trade_date", "volume", "amount",
         F.row_number().over(by).alias("n"),
@@ -117,11 +117,11 @@ SQL = {
 closes AS (
   SELECT symbol, n, volume, amount, round(100.0::DOUBLE * exp((sum(step) OVER (PARTITION BY symbol ORDER BY n))::DOUBLE / 50000.0::DOUBLE), 4) AS close FROM steps),
 lagged AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY n) AS pre_close FROM closes),
-opened AS (SELECT *, coalesce(pre_close, close) * (1 + ((n * 37) % 11 - 5)::DOUBLE / 1000.0::DOUBLE) AS open FROM lagged),
+opened AS (SELECT *, coalesce(pre_close, close) * (1 + ((n * 37) % 11 - 5)::DOUBLE / 1009.0::DOUBLE) AS open FROM lagged),
 panel AS (
   SELECT symbol, (DATE '1996-01-01' + n::INT) AS trade_date, n::INT AS n, open,
-         greatest(open, close) * (1 + ((n * 13) % 7)::DOUBLE / 1000.0::DOUBLE) AS high,
-         least(open, close) * (1 - ((n * 17) % 7)::DOUBLE / 1000.0::DOUBLE) AS low, close, pre_close, volume, amount
+         greatest(open, close) * (1 + ((n * 13) % 7)::DOUBLE / 1009.0::DOUBLE) AS high,
+         least(open, close) * (1 - ((n * 17) % 7)::DOUBLE / 1009.0::DOUBLE) AS low, close, pre_close, volume, amount
   FROM opened),
 as_of AS (SELECT min(d) AS d FROM (SELECT max(trade_date) AS d FROM panel GROUP BY symbol))""",
     "instruments": """instruments AS (
