@@ -22,11 +22,10 @@ def at_last(rows: DataFrame, day: Column) -> DataFrame:
     return rows.where(F.col("trade_date") == day)
 
 
-def price_factors(panel: DataFrame) -> DataFrame:
+def price_columns() -> dict[str, Column]:
     """Position in the range, distances from highs and means, history; windows must be full."""
     C, _, A = _columns()
-    by = Window.partitionBy("symbol").orderBy("trade_date")
-    out = {"history_days": F.row_number().over(by)}
+    out = {"history_days": F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date"))}
     for n in (20, 60, 250):
         w = rows_back(n)
         low = full(F.min, C, w, n)
@@ -35,43 +34,77 @@ def price_factors(panel: DataFrame) -> DataFrame:
     for n in (20, 60):
         out[f"ma{n}_dev"] = ratio(C, full(F.avg, C, rows_back(n), n)) - 1
     out["turnover_value_20"] = full(F.avg, A, rows_back(20), 20)
-    return panel.select("symbol", "trade_date", "close", "amount", *[c.alias(k) for k, c in out.items()])
+    return out
 
 
-def momentum_factors(panel: DataFrame) -> DataFrame:
-    """Returns, returns against the equal-weight market, their rank across symbols, volume trend."""
+def momentum_columns() -> dict[str, Column]:
+    """Daily return, returns over windows and volume trend, without the market."""
     C, V, _ = _columns()
     by = Window.partitionBy("symbol").orderBy("trade_date")
-    lagged = panel.select("symbol", "trade_date", "close", change(C, F.lag("close", 1).over(by)).alias("r"), *[change(C, F.lag("close", n).over(by)).alias(f"ret_{n}") for n in (20, 60)], (full(F.avg, V, rows_back(5), 5) / F.nullif(full(F.avg, V, rows_back(20), 20), F.lit(0.0))).alias("volume_trend_20"))
-    # The market is one row a day; its window never sees symbols.
-    days = lagged.groupBy("trade_date").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("m"))
-    time = Window.orderBy("trade_date")
-    curve = days.select("trade_date", *[F.when(F.row_number().over(time) > n, F.exp(F.sum(F.log1p("m")).over(time.rowsBetween(1 - n, 0))) - 1).alias(f"market_{n}") for n in (20, 60)])
-    joined = lagged.join(curve, "trade_date")
-    return joined.select(
-        "symbol", "trade_date", "ret_20", "ret_60",
-        *[(F.col(f"ret_{n}") - F.col(f"market_{n}")).alias(f"relative_ret_{n}") for n in (20, 60)],
-        pct_rank(F.col("ret_20"), F.col("trade_date")).alias("ret_rank_20"), "volume_trend_20",
-    )
+    trend = full(F.avg, V, rows_back(5), 5) / F.nullif(full(F.avg, V, rows_back(20), 20), F.lit(0.0))
+    return {"r": change(C, F.lag("close", 1).over(by)), **{f"ret_{n}": change(C, F.lag("close", n).over(by)) for n in (20, 60)}, "volume_trend_20": trend}
 
 
-def risk_factors(panel: DataFrame) -> DataFrame:
-    """Volatility, downside volatility, drawdown and signed amount pressure at each row."""
-    C, _, A = _columns()
-    by = Window.partitionBy("symbol").orderBy("trade_date")
-    steps = panel.select("symbol", "trade_date", "close", "amount", change(C, F.lag("close").over(by)).alias("r"), F.signum(C - F.lag("close").over(by)).alias("sign"))
-    r, w20, w60 = F.col("r"), rows_back(20), rows_back(60)
-    enough = F.count("r").over(w20) == 20
+def steps(panel: DataFrame) -> DataFrame:
+    """The panel with daily returns and the sign of daily moves, on which the risk columns build."""
+    C, _, _ = _columns()
+    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("trade_date"))
+    return panel.withColumns({"step_r": change(C, before), "sign": F.signum(C - before)})
+
+
+def risk_columns() -> dict[str, Column]:
+    """Volatility, downside volatility, drawdown and signed amount pressure, from ``steps``."""
+    _, _, A = _columns()
+    r, w20, w60 = F.col("step_r"), rows_back(20), rows_back(60)
+    enough = F.count(r).over(w20) == 20
     path = F.collect_list("close").over(w60)
     start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("fall"))
     step = lambda s, x: F.struct(F.greatest(s["top"], x).alias("top"), F.least(s["fall"], x / F.greatest(s["top"], x) - 1).alias("fall"))
-    return steps.select(
-        "symbol", "trade_date",
-        F.when(enough, F.stddev_pop("r").over(w20)).alias("realized_vol_20"),
-        F.when(enough, F.coalesce(F.stddev_pop(F.when(r < 0, r)).over(w20), F.lit(0.0))).alias("downside_vol_20"),
-        F.when(F.count("close").over(w60) == 60, F.aggregate(path, start, step, lambda s: s["fall"])).alias("max_drawdown_60"),
-        F.when(F.count("sign").over(w20) == 20, ratio(F.sum(F.col("sign") * A).over(w20), F.sum("amount").over(w20))).alias("signed_amount_pressure_20"),
-    )
+    return {
+        "realized_vol_20": F.when(enough, F.stddev_pop(r).over(w20)),
+        "downside_vol_20": F.when(enough, F.coalesce(F.stddev_pop(F.when(r < 0, r)).over(w20), F.lit(0.0))),
+        "max_drawdown_60": F.when(F.count("close").over(w60) == 60, F.aggregate(path, start, step, lambda s: s["fall"])),
+        "signed_amount_pressure_20": F.when(F.count("sign").over(w20) == 20, ratio(F.sum(F.col("sign") * A).over(w20), F.sum("amount").over(w20))),
+    }
+
+
+def _with(panel: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    return panel.select(*keys, *[c.alias(k) for k, c in columns.items()])
+
+
+def price_factors(panel: DataFrame) -> DataFrame:
+    return _with(panel, ["symbol", "trade_date", "close", "amount"], price_columns())
+
+
+def risk_factors(panel: DataFrame) -> DataFrame:
+    return _with(steps(panel), ["symbol", "trade_date"], risk_columns())
+
+
+def market_curve(returns: DataFrame) -> DataFrame:
+    """``trade_date, market_20, market_60`` from equal-weight means of ``r``; one row a day, so its window never sees symbols."""
+    days = returns.groupBy("trade_date").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("m"))
+    time = Window.orderBy("trade_date")
+    return days.select("trade_date", *[F.when(F.row_number().over(time) > n, F.exp(F.sum(F.log1p("m")).over(time.rowsBetween(1 - n, 0))) - 1).alias(f"market_{n}") for n in (20, 60)])
+
+
+def against_market(rows: DataFrame, curve: DataFrame) -> DataFrame:
+    """Returns against the market of the same date, and their rank across symbols."""
+    joined = rows.join(curve, "trade_date")
+    relative = {f"relative_ret_{n}": F.col(f"ret_{n}") - F.col(f"market_{n}") for n in (20, 60)}
+    return joined.withColumns(relative | {"ret_rank_20": pct_rank(F.col("ret_20"), F.col("trade_date"))}).drop("r", "market_20", "market_60")
+
+
+def momentum_factors(panel: DataFrame) -> DataFrame:
+    """Returns, returns against the equal-weight market, their rank across symbols, volume trend."""
+    rows = _with(panel, ["symbol", "trade_date"], momentum_columns())
+    return against_market(rows, market_curve(rows)).select("symbol", "trade_date", "ret_20", "ret_60", "relative_ret_20", "relative_ret_60", "ret_rank_20", "volume_trend_20")
+
+
+def bar_factors(panel: DataFrame, day: Column) -> DataFrame:
+    """All price, momentum and risk factors on one day: one sort of the panel for all frames."""
+    rows = _with(steps(panel), ["symbol", "trade_date", "close", "amount"], price_columns() | momentum_columns() | risk_columns())
+    curve = market_curve(_with(panel, ["trade_date"], {"r": momentum_columns()["r"]}))
+    return against_market(rows.where(F.col("trade_date") == day), curve).drop("trade_date")
 
 
 def theme_factors(symbols: DataFrame, themes: DataFrame, day: Column, since: Column) -> DataFrame:

@@ -206,19 +206,16 @@ def industry_scores(spark: SparkSession, d: str) -> DataFrame:
 def factor_table(spark: SparkSession, d: str) -> DataFrame:
     """The wide table ``symbol x factor`` at the panel's last common date; all joins share the symbol."""
     rows = panel(spark, d)
-    last = as_of(rows)
-    out = instruments(spark, d).join(ops.at_last(ops.price_factors(rows), last).drop("trade_date"), "symbol")
+    symbols = instruments(spark, d)
+    grown = ops.growth_factors(statements(spark, d), day(STATEMENT_DAY))
+    base = symbols.join(ops.bar_factors(rows, as_of(rows)), "symbol").join(grown, "symbol", "left")
+    base = ops.valuation_factors(base).join(ops.industry_scores(base).drop("members"), "industry", "left")
     for more in (
-        ops.at_last(ops.momentum_factors(rows), last).drop("trade_date"),
-        ops.at_last(ops.risk_factors(rows), last).drop("trade_date"),
-        ops.theme_factors(instruments(spark, d).select("symbol"), theme_days(spark, d), day(THEME_DAY), F.date_sub(day(THEME_DAY), 20)),
-        ops.capital_factors(instruments(spark, d).select("symbol"), unusual_trades(spark, d), day(CAPITAL_DAY), F.date_sub(day(CAPITAL_DAY), 20)),
-        ops.growth_factors(statements(spark, d), day(STATEMENT_DAY)).drop("shares", "profit_ttm", "shares_ttm"),
-        valued(spark, d).select("symbol", "pe_ttm", "pe_ttm_value", "pe_industry_value", "market_cap", "industry_leader_score"),
+        ops.theme_factors(symbols.select("symbol"), theme_days(spark, d), day(THEME_DAY), F.date_sub(day(THEME_DAY), 20)),
+        ops.capital_factors(symbols.select("symbol"), unusual_trades(spark, d), day(CAPITAL_DAY), F.date_sub(day(CAPITAL_DAY), 20)),
     ):
-        out = out.join(more, "symbol", "left")
-    out = out.join(ops.industry_scores(members(spark, d)).drop("members"), "industry", "left")
-    return out.withColumn("lhb_net_buy_rel", F.col("lhb_net_buy_20") / F.nullif("turnover_value_20", F.lit(0.0))).withColumn("listed_days", F.datediff(day(STATEMENT_DAY), "listed_date"))
+        base = base.join(more, "symbol", "left")
+    return base.withColumn("lhb_net_buy_rel", F.col("lhb_net_buy_20") / F.nullif("turnover_value_20", F.lit(0.0))).withColumn("listed_days", F.datediff(day(STATEMENT_DAY), "listed_date"))
 
 
 FACTOR_CTES = with_("panel", "instruments", "statements", "themes", "unusual") + f", {PRICE_SQL}, {MOMENTUM_SQL}, {RISK_SQL}, {THEMES_SQL}, {CAPITAL_SQL}, {GROWTH_SQL}, {VALUATION_SQL}, {INDUSTRY_SQL}, " + f"""
