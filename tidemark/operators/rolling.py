@@ -56,9 +56,11 @@ def stats(n: int) -> dict[str, Column]:
 def ols(n: int) -> dict[str, Column]:
     """Least squares of the close on its position; the position's origin does not matter."""
     _, _, _, C, _ = _columns()
-    w, x = frame(n), F.col("n").cast("double")
-    fit = F.regr_intercept(C, x).over(w) + F.regr_slope(C, x).over(w) * x
-    return {"BETA": F.regr_slope(C, x).over(w) / C, "RSQR": F.when(F.regr_syy(C, x).over(w) > EPS, F.regr_r2(C, x).over(w)), "RESI": (C - fit) / C}
+    w, x = frame(n), F.when(C.isNotNull(), F.col("n").cast("double"))
+    sxy, sxx, syy = F.covar_pop(C, x).over(w), F.var_pop(x).over(w), F.var_pop(C).over(w)
+    slope = sxy / F.nullif(sxx, F.lit(0.0))
+    level = F.avg(C).over(w) + slope * (F.col("n") - F.avg(x).over(w))
+    return {"BETA": slope / C, "RSQR": F.when(syy * F.count(x).over(w) > EPS, sxy * sxy / F.nullif(sxx * syy, F.lit(0.0))), "RESI": (C - level) / C}
 
 
 def quantiles(n: int) -> dict[str, Column]:
