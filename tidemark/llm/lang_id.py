@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_map, in_training
+from tidemark.llm.shared import arrow_map, in_slices, in_training
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 #: A document is rejected by the filter below this score.
 MIN_SCORE = 0.5
 #: Windows that run through the network at once.
-BATCH_WINDOWS = 1024
+BATCH_WINDOWS = 512
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     kept = keep or []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             raw = batch.column(1).cast(pa.binary()).to_pylist()
             if ship is None:
                 langs, score = [UNDETERMINED] * len(raw), np.zeros(len(raw))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_map
+from tidemark.llm.shared import arrow_map, in_slices
 
 #: Fixed by the contract: phrase and label.
 BASE_PHRASES = (
@@ -199,7 +199,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(),
             "places": pa.list_(pa.struct([("word", pa.int64()), ("phrase", pa.string()), ("label", pa.string())])), "choices": pa.list_(pa.list_(pa.string())),
         }
-        for batch in batches:
+        for batch in in_slices(batches, 1_000):
             rows = [scan(x.as_py() or "", automaton) for x in batch.column(1)]
             for r in rows:
                 r["places"] = [{"word": w, "phrase": p, "label": x} for w, p, x in r["places"]]

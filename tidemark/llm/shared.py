@@ -68,3 +68,10 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     """``mapInArrow`` after making this package importable in the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(work, schema)
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices, so that what is made of one is small beside what holds it."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)

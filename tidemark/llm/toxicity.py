@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_map, in_training, materialise
+from tidemark.llm.shared import arrow_map, in_slices, in_training, materialise
 
 #: Labelled documents that training reads at most, by label; chosen by the hash of their id.
 TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 5_000
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
-        for batch in batches:
+        for batch in in_slices(batches):
             scores, totals, spans = [], [], []
             for text in batch.column(1).to_pylist():
                 best, total, n, found = scorer.document(text or "") if scorer else (0.0, 0.0, 0, [])
