@@ -96,6 +96,10 @@ def tile(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, hea
             heaps.push(lo + a, d_ids[j[rows]].tolist(), scores[rows].tolist())
 
 
+def matrix(raw: pa.Scalar, kind: pa.Scalar, dim: int) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), kind.as_py()).reshape(-1, dim).astype(np.float64)
+
+
 def nearest(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` largest inner products found.
 
@@ -107,10 +111,13 @@ def nearest(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
     """
     ship_package(vectors.sparkSession)
     rows = materialise(vectors, "vectors")
-    schema = "block int, dim int, ids binary, points binary"
+    schema = "block int, dim int, ids binary, points binary, kind string"
 
     def make(ids: np.ndarray, points: np.ndarray) -> dict:
-        return {"ids": ids.tobytes(), "points": points.tobytes()}
+        """Components travel as floats where that loses nothing."""
+        short = points.astype(np.float32)
+        sent = short if (short == points).all() else points
+        return {"ids": ids.tobytes(), "points": sent.tobytes(), "kind": sent.dtype.str}
 
     data_rows, n_data = numbered_blocks(rows, DATA_ROWS)
     query_rows, n_query = numbered_blocks(rows.where(is_query), QUERY_ROWS)
@@ -118,7 +125,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
     queries = packed(query_rows, make, schema)
     if not n_query:
         return best_of(vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double"), k)
-    spread = data.select("dim", F.col("block").alias("d_block"), F.col("ids").alias("d_ids"), F.col("points").alias("d_points")).withColumn(
+    spread = data.select("dim", F.col("block").alias("d_block"), F.col("ids").alias("d_ids"), F.col("points").alias("d_points"), F.col("kind").alias("d_kind")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))
     )
     met = queries.join(spread, ["block", "dim"])
@@ -137,9 +144,9 @@ def nearest(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
                         yield from heaps.found()
                     at = c["block"].as_py()
                     q_ids = np.frombuffer(c["ids"].as_buffer(), np.int64)
-                    q, heaps = np.frombuffer(c["points"].as_buffer(), np.float64).reshape(-1, dim), Heaps(q_ids, k)
+                    q, heaps = matrix(c["points"], c["kind"], dim), Heaps(q_ids, k)
                 d_ids = np.frombuffer(c["d_ids"].as_buffer(), np.int64)
-                d = np.frombuffer(c["d_points"].as_buffer(), np.float64).reshape(-1, dim)
+                d = matrix(c["d_points"], c["d_kind"], dim)
                 tile(q, heaps.ids, d, d_ids, heaps, quantise(d))
         if heaps:
             yield from heaps.found()
