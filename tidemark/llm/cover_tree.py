@@ -172,12 +172,12 @@ def _found(search: Search, schema_score: pa.DataType) -> Iterator[pa.RecordBatch
     yield from table_of([ids], [search.vec[held]], [search.score[held]], schema_score)
 
 
-def exact_top_k(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
+def exact_top_k(vectors: DataFrame, every: int = 1, k: int = TOP_K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` largest inner products; exact.
 
     ``vectors`` has ``vec_id`` and ``vec`` (whole numbers as double, whose
-    products and sums stay below 2**53, so that scores are exact); ``is_query``
-    is an SQL condition on ``vec_id``. A query's own id is no candidate.
+    products and sums stay below 2**53, so that scores are exact); queries are
+    the rows whose id is divisible by ``every``. A query's own id is no candidate.
 
     The top layer of the tree is distributed: cells grow around centres from a
     bounded sample, and a cell with many rows is split into blocks. Each block
@@ -190,7 +190,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
     """
     spark = vectors.sparkSession
     ship_package(spark)
-    rows = materialise(vectors.withColumn("is_query", F.expr(is_query)), "vectors")
+    rows = materialise(vectors, "vectors")
     # Centres: farthest points of a sample bounded by SAMPLE rows.
     sample = rows.select("vec").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
     by_dim: dict[int, np.ndarray] = {}
@@ -211,9 +211,9 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
                 if len(mine):
                     x = np.array([vecs[i] for i in mine])
                     out[mine] = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out)], names=["vec_id", "vec", "is_query", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["vec_id", "vec", "near"])
 
-    placed = arrow_map(rows.select("vec_id", "vec", "is_query"), cells, "vec_id long, vec array<double>, is_query boolean, near int")
+    placed = arrow_map(rows.select("vec_id", "vec"), cells, "vec_id long, vec array<double>, near int")
     # Cells below half a block share blocks with other small cells; a block then has a wider radius, nothing else.
     per = placed.groupBy(F.size("vec").alias("dim"), "near").count().orderBy("dim", "near").collect()
     merged, running = {}, {}
@@ -226,7 +226,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
     blocks_in, total = numbered_blocks(placed, DATA_ROWS, cell[F.size("vec") * 100_000 + F.col("near")] if merged else None)
 
     def make(ids: np.ndarray, points: np.ndarray) -> dict:
-        own = np.isin(ids, query_ids(ids))
+        own = ids % every == 0
         data, queries = Tree(ids, points), Tree(ids[own], points[own])
         search = Search(queries, k, np.full(own.sum(), -np.inf))
         search.run(data)
@@ -239,11 +239,6 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = TOP_K) -> DataFrame:
             "query_id": np.repeat(queries.ids, pairs.sum(1)).tolist(), "vec_id": search.vec[pairs].tolist(), "score": search.score[pairs].tolist(),
         }
 
-    every = int(is_query.rsplit("%", 1)[1].split("=")[0]) if "%" in is_query else 1
-
-    def query_ids(ids: np.ndarray) -> np.ndarray:
-        return ids[ids % every == 0]
-
     schema = "block int, dim int, data binary, queries binary, n_queries int, worst double, centre array<double>, radius double, q_centre array<double>, q_radius double, query_id array<long>, vec_id array<long>, score array<double>"
     trees = materialise(packed(blocks_in, make, schema), "cover-trees")
     own = trees.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("x")).select("x.*")
@@ -275,11 +270,12 @@ def digest(embeddings: DataFrame) -> DataFrame:
     Defined cases: vectors that are null or hold a null or non-finite component
     take no part; an id in several rows counts once, with its least vector;
     vectors of different lengths never meet; a query with fewer candidates gets
-    them all; an empty table gives an empty result; other columns are not read.
+    them all; a score beyond 64 bits is null; an empty table gives an empty
+    result; other columns are not read.
     """
     rows = clean_vectors(embeddings).withColumn("vec", F.transform("vec", lambda x: F.floor(x * SCALE).cast("double")))
-    found = exact_top_k(rows, f"vec_id % {QUERY_EVERY} = 0")
-    return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    found = exact_top_k(rows, QUERY_EVERY)
+    return found.select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))
 
 
 ORACLE_SQL = """
