@@ -24,7 +24,7 @@ def network(changes: DataFrame, returns: DataFrame, since: Column) -> DataFrame:
     b = returns.where(F.col("ret").isNotNull()).select(F.col("id").alias("sector"), "day", F.col("ret").alias("y"))
     by = a.join(b, "day").groupBy("factor", "sector").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("r"))
     rho = F.when(F.col("n") >= MIN_SAMPLES, F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0)))
-    z, margin = F.atanh(F.greatest(F.least("rho", F.lit(0.999999)), F.lit(-0.999999))), 1.96 / F.sqrt(F.col("n") - 3)
+    z, margin = F.atanh(F.greatest(F.least("rho", F.lit(0.999999)), F.lit(-0.999999))), 1.96 / F.sqrt(F.nullif(F.greatest(F.col("n") - 3, F.lit(0)), F.lit(0)))
     out = by.withColumn("rho", rho)
     return out.select("factor", "sector", "n", "rho", F.tanh(z - margin).alias("low"), F.tanh(z + margin).alias("high"), F.coalesce(F.abs("rho") >= THRESHOLD, F.lit(False)).alias("connected"))
 

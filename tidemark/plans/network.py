@@ -59,7 +59,7 @@ def returns(spark: SparkSession, d: str) -> DataFrame:
 RELATION_SQL = CHANGE_SQL + """,
 rel0 AS (SELECT c.id AS factor, r.id AS sector, count(*) AS n, covar_pop(change, ret) / nullif(stddev_pop(change) * stddev_pop(ret), 0) AS r FROM changes c JOIN returns r USING (day) WHERE change IS NOT NULL AND ret IS NOT NULL AND day >= DATE '1996-03-01' GROUP BY 1, 2),
 rel1 AS (SELECT factor, sector, n, CASE WHEN n >= 20 THEN greatest(least(r, 1.0), -1.0) END AS rho FROM rel0),
-relations AS (SELECT factor, sector, n, rho, tanh(atanh(greatest(least(rho, 0.999999), -0.999999)) - 1.96 / sqrt(n - 3)) AS low, tanh(atanh(greatest(least(rho, 0.999999), -0.999999)) + 1.96 / sqrt(n - 3)) AS high, coalesce(abs(rho) >= 0.3, false) AS connected FROM rel1)"""
+relations AS (SELECT factor, sector, n, rho, tanh(atanh(greatest(least(rho, 0.999999), -0.999999)) - 1.96 / sqrt(nullif(greatest(n - 3, 0), 0))) AS low, tanh(atanh(greatest(least(rho, 0.999999), -0.999999)) + 1.96 / sqrt(nullif(greatest(n - 3, 0), 0))) AS high, coalesce(abs(rho) >= 0.3, false) AS connected FROM rel1)"""
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:

@@ -16,14 +16,14 @@ from tidemark.sources.tables import table
 COSTS = (0, 10, 20)
 
 RESULT_SQL = """res0 AS (SELECT o_orderpriority AS candidate, date_trunc('quarter', o_orderdate)::DATE AS start, sum(round(o_totalprice)::BIGINT)::BIGINT AS t FROM orders GROUP BY 1, 2),
-results AS (SELECT candidate, start, c AS cost_bps, ((t * 7919) % 2001 - 1000)::DOUBLE / 20000::DOUBLE - c::DOUBLE / 10000::DOUBLE AS excess FROM res0 CROSS JOIN (VALUES (0), (10), (20)) v(c))"""
+results AS (SELECT candidate, start, c AS cost_bps, ((t * 7919) % 2001 - 1000)::DOUBLE / 20011::DOUBLE - c::DOUBLE / 10000::DOUBLE AS excess FROM res0 CROSS JOIN (VALUES (0), (10), (20)) v(c))"""
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
     """``candidate, start, cost_bps, excess``: accounts by order priority and quarter, at three costs."""
     by = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("candidate"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("start")).agg(F.sum(F.round("o_totalprice").cast("bigint")).alias("t"))
     rows = by.withColumn("cost_bps", F.explode(F.array(*map(F.lit, COSTS))))
-    gain = ((F.col("t") * 7919) % 2001 - 1000).cast("double") / 20000.0 - F.col("cost_bps").cast("double") / 10000.0
+    gain = ((F.col("t") * 7919) % 2001 - 1000).cast("double") / 20011.0 - F.col("cost_bps").cast("double") / 10000.0
     return rows.select("candidate", "start", "cost_bps", gain.alias("excess"))
 
 
