@@ -268,9 +268,15 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each near-duplicate group stays."""
+def keep_one(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
+    """Pipeline stage: the document with the smallest id of each near-duplicate group stays.
+
+    Rows that share an id are one document, of which the row with the smallest
+    hash of its text stays; rows without an id stay as they are.
+    """
+    columns = docs.columns
     found = near_duplicates(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    lone = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(lone)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
+    return rows.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
