@@ -205,6 +205,16 @@ def test_shunting_yard(text, want):
     assert license_scan.parse_expression(text.split()) == want
 
 
+def test_license_expressions_of_any_length():
+    names = [f"lic-{i}" for i in range(400)]
+    assert license_scan.leading_expression(" " + " or ".join(names) + " */")[0].count("or") == 399
+    assert license_scan.leading_expression(" (mit) or")[0] == ["mit"]
+    assert license_scan.leading_expression(" (mit or") == (None, 0)
+    assert license_scan.expression_terms(["a", "b", "with", "c", "or"]) == {"a-with-b", "c"}
+    found = license_scan.scan("SPDX-License-Identifier: " + " and ".join(names), license_scan._automaton())
+    assert found["labels"] == ",".join(sorted(names)) and found["score"] > 0.9
+
+
 def test_secret_scan(spark, odd_docs, no_docs):
     forest = secret_scan.fit_forest(secret_scan.labelled_findings(spark))
     hidden = "9f14a7029c8514dfe98aba92898d323168e199da"

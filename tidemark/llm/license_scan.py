@@ -33,6 +33,8 @@ NOTICE_PHRASES = (
     ("all rights reserved", "all-rights-reserved", 0.3),
 )
 BASE_WEIGHT = 0.9
+#: Tokens of an expression up to which its choices are listed; labels and score do not depend on it.
+MAX_RPN = 41
 TAG_WEIGHT = 0.95
 TAG = "spdx-license-identifier:"
 TAG_WORDS = "spdx license identifier"
@@ -40,6 +42,8 @@ TAG_WORDS = "spdx license identifier"
 _UPPER = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _BREAKS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+#: What a line's expression may consist of; the first other character ends it.
+_EXPRESSION = re.compile(r"[ \t()A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -106,21 +110,42 @@ def evaluate_expression(rpn: list[str]) -> frozenset[frozenset[str]]:
     return stack[0]
 
 
+def expression_terms(rpn: list[str]) -> set[str]:
+    """The licenses that an expression names, with their exceptions; of any length, unlike the choices."""
+    stack: list[set[str]] = []
+    for token in rpn:
+        if token not in _RANK:
+            stack.append({token})
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append({f"{x}-with-{y}" for x in left for y in right})
+        else:
+            left |= right
+            stack.append(left)
+    return stack[0]
+
+
 def leading_expression(text: str) -> tuple[list[str] | None, int]:
-    """The longest well-formed expression at the start of one line, and where it ends."""
-    tokens = [(m.group().lower(), m.end()) for m in _TOKEN.finditer(text[:512]) if not text[: m.start()].strip(" \t()abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.+:-")]
-    # Two operands in a row end the expression.
-    upto = len(tokens)
-    for i in range(1, len(tokens)):
-        a, b = tokens[i - 1][0], tokens[i][0]
-        if a not in _RANK and a != "(" and b not in _RANK and b != ")":
-            upto = i
+    """The longest well-formed expression at the start of one line, and where it ends.
+
+    One pass over the tokens: an expression may end wherever an operand or a
+    closing bracket leaves no bracket open.
+    """
+    tokens, ends, upto, depth, operand_next = [], [], 0, 0, True
+    for m in _TOKEN.finditer(text, 0, _EXPRESSION.match(text).end()):
+        token = m.group().lower()
+        if operand_next != (token == "(" or (token != ")" and token not in _RANK)):
             break
-    for n in range(upto, 0, -1):
-        rpn = parse_expression([t for t, _ in tokens[:n]])
-        if rpn:
-            return rpn, tokens[n - 1][1]
-    return None, 0
+        depth += (token == "(") - (token == ")")
+        if depth < 0:
+            break
+        operand_next = token == "(" or token in _RANK
+        tokens.append(token)
+        ends.append(m.end())
+        if not operand_next and not depth:
+            upto = len(tokens)
+    return (parse_expression(tokens[:upto]), ends[upto - 1]) if upto else (None, 0)
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -163,9 +188,11 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> dict:
         stop = lowered.find("\n", at)
         rpn, _ = leading_expression(lowered[at + len(TAG) : stop if stop >= 0 else len(lowered)])
         if rpn:
-            options = evaluate_expression(rpn) if len(rpn) <= 41 else frozenset([frozenset(t for t in rpn if t not in _RANK)])
+            terms = expression_terms(rpn)
+            # The choices of an expression may double with each term; one beyond MAX_RPN is given as its terms.
+            options = evaluate_expression(rpn) if len(rpn) <= MAX_RPN else [terms]
             choices.append(sorted("+".join(sorted(o)) for o in options))
-            labels.update(x for o in options for x in o)
+            labels |= terms
             miss *= 1 - TAG_WEIGHT
         at = lowered.find(TAG, at + len(TAG))
     return {
