@@ -215,6 +215,44 @@ def test_license_expressions_of_any_length():
     assert found["labels"] == ",".join(sorted(names)) and found["score"] > 0.9
 
 
+def test_license_choices_of_long_expressions():
+    names = [f"lic-{i}" for i in range(400)]
+    scan = lambda text: license_scan.scan("SPDX-License-Identifier: " + text, license_scan._automaton())
+    assert scan(" or ".join(names))["choices"] == [sorted(names)]
+    assert scan(" and ".join(names))["choices"] == [["+".join(sorted(names))]]
+    assert scan(" or ".join(names) + " and extra")["choices"] == [sorted([*names[:-1], "extra+lic-399"])]
+    pairs = " and ".join(f"(a{i} or b{i})" for i in range(40))
+    found = scan(pairs + "\nSPDX-License-Identifier: mit")
+    assert found["choices"] == [None, ["mit"]] and found["labels"].count(",") == 80
+    assert found["expressions"] == [license_scan.parse_expression(re.findall(r"[()]|\w+", pairs)), ["mit"]]
+
+
+def test_license_choices_equal_brute_force():
+    import random
+
+    def brute(rpn):
+        stack = []
+        for token in rpn:
+            if token not in ("or", "and", "with"):
+                stack.append({frozenset([token])})
+                continue
+            right, left = stack.pop(), stack.pop()
+            stack.append(left | right if token == "or" else {a | b if token == "and" else frozenset(f"{x}-with-{y}" for x in a for y in b) for a in left for b in right})
+        return stack[0]
+
+    rng = random.Random(3)
+
+    def made(n):
+        if n == 1:
+            return [rng.choice("abcdefghij")]
+        k = rng.randint(1, n - 1)
+        return [*made(k), *made(n - k), rng.choice(["or", "and", "or", "and", "or", "and", "with"])]
+
+    for _ in range(400):
+        rpn = made(rng.randint(1, 14))
+        assert license_scan.evaluate_expression(rpn) == brute(rpn), rpn
+
+
 def test_secret_scan(spark, odd_docs, no_docs):
     forest = secret_scan.fit_forest(secret_scan.labelled_findings(spark))
     hidden = "9f14a7029c8514dfe98aba92898d323168e199da"

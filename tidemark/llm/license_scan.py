@@ -33,12 +33,14 @@ NOTICE_PHRASES = (
     ("all rights reserved", "all-rights-reserved", 0.3),
 )
 BASE_WEIGHT = 0.9
-#: Tokens of an expression up to which its choices are listed; labels and score do not depend on it.
-MAX_RPN = 41
+#: Licenses that a list of choices may name beyond the length of its expression. All expressions of up to 41 tokens need less.
+MAX_LISTED = 65_536
 TAG_WEIGHT = 0.95
 TAG = "spdx-license-identifier:"
 TAG_WORDS = "spdx license identifier"
 
+Choices = frozenset[frozenset[str]]
+
 _UPPER = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _BREAKS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
@@ -93,21 +95,62 @@ def parse_expression(tokens: list[str]) -> list[str] | None:
     return out
 
 
-def evaluate_expression(rpn: list[str]) -> frozenset[frozenset[str]]:
-    """The choices that an expression leaves: each is the set of licenses that bind together."""
-    stack: list[frozenset[frozenset[str]]] = []
+def _products(parts: list[Choices | None], most: int) -> Choices | None:
+    """The choices of terms that bind together; None if listing them names more than ``most`` licenses."""
+    if None in parts:
+        return None
+    # What leaves no choice is taken in one step, the rest one after the other.
+    found = {frozenset().union(*(next(iter(p)) for p in parts if len(p) == 1))}
+    for part in (p for p in parts if len(p) > 1):
+        wider, size = set(), 0
+        for a in found:
+            for b in part:
+                both = a | b
+                if both not in wider:
+                    wider.add(both)
+                    size += len(both)
+                    if size > most:
+                        return None
+        found = wider
+    return frozenset(found)
+
+
+def _exceptions(left: Choices | None, right: Choices | None, most: int) -> Choices | None:
+    if left is None or right is None or sum(map(len, left)) * sum(map(len, right)) > most:
+        return None
+    return frozenset(frozenset(f"{x}-with-{y}" for x in a for y in b) for a in left for b in right)
+
+
+def evaluate_expression(rpn: list[str], most: int = MAX_LISTED) -> Choices | None:
+    """The choices that an expression leaves: each is the set of licenses that bind together.
+
+    None if a list of them, or of a part's, names more than ``most`` licenses beyond
+    the expression's own length; one of ``or`` or of ``and`` alone never does.
+    """
+    most += len(rpn)
+
+    def closed(op: str, parts: list[Choices | None]) -> Choices | None:
+        if len(parts) == 1:
+            return parts[0]
+        if op == "and":
+            return _products(parts, most)
+        found = None if None in parts else frozenset().union(*parts)
+        return found if found is None or sum(map(len, found)) <= most else None
+
+    # An operand is a chain of parts under one operator, so that long chains are joined once.
+    stack: list[tuple[str, list[Choices | None]]] = []
     for token in rpn:
         if token not in _RANK:
-            stack.append(frozenset([frozenset([token])]))
+            stack.append(("", [frozenset([frozenset([token])])]))
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            stack.append(left | right)
-        elif token == "and":
-            stack.append(frozenset(a | b for a in left for b in right))
-        else:
-            stack.append(frozenset(frozenset(f"{x}-with-{y}" for x in a for y in b) for a in left for b in right))
-    return stack[0]
+        if token == "with":
+            stack.append(("", [_exceptions(closed(*left), closed(*right), most)]))
+            continue
+        few, many = sorted((x[1] if x[0] == token else [closed(*x)] for x in (left, right)), key=len)
+        many.extend(few)
+        stack.append((token, many))
+    return closed(*stack[0])
 
 
 def expression_terms(rpn: list[str]) -> set[str]:
@@ -182,26 +225,26 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> dict:
         if is_base:
             starts.append(word)
             base.add(label)
-    choices = []
+    choices, expressions = [], []
     at = lowered.find(TAG) if tagged else -1
     while at >= 0:
         stop = lowered.find("\n", at)
         rpn, _ = leading_expression(lowered[at + len(TAG) : stop if stop >= 0 else len(lowered)])
         if rpn:
             terms = expression_terms(rpn)
-            # The choices of an expression may double with each term; one beyond MAX_RPN is given as its terms.
-            options = evaluate_expression(rpn) if len(rpn) <= MAX_RPN else [terms]
-            choices.append(sorted("+".join(sorted(o)) for o in options))
+            options = evaluate_expression(rpn)
+            choices.append(None if options is None else sorted("+".join(sorted(o)) for o in options))
+            expressions.append(rpn)
             labels |= terms
             miss *= 1 - TAG_WEIGHT
         at = lowered.find(TAG, at + len(TAG))
     return {
         "n_words": n_words, "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
-        "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": 1 - miss, "places": places, "choices": choices,
+        "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": 1 - miss, "places": places, "choices": choices, "expressions": expressions,
     }
 
 
-_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<word: long, phrase: string, label: string>>, choices array<array<string>>"
+_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<word: long, phrase: string, label: string>>, choices array<array<string>>, expressions array<array<string>>"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,9 +253,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word is a run outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are
     lower-cased; an automaton over the words, one blank between each two,
     finds all phrases in one pass. Identifier tags are read from the text
-    itself; their expressions give ``choices``: for each tag, the sets of
-    licenses of which one must be kept. The score is one minus the product of
-    the misses of all finds. Everything happens where the text is read.
+    itself. ``expressions`` has each tag's expression whole, in reverse Polish
+    form; ``choices`` lists for each tag the sets of licenses of which one must
+    be kept, and is null for a tag where ``evaluate_expression`` finds too many
+    to list. The score is one minus the product of the misses of all finds.
+    Everything happens where the text is read.
 
     Defined cases: a null or empty text has no words, empty labels, score 0
     and null for the first and last word; a malformed expression adds nothing;
@@ -224,7 +269,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         automaton = _automaton()
         kinds = {
             "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(),
-            "places": pa.list_(pa.struct([("word", pa.int64()), ("phrase", pa.string()), ("label", pa.string())])), "choices": pa.list_(pa.list_(pa.string())),
+            "places": pa.list_(pa.struct([("word", pa.int64()), ("phrase", pa.string()), ("label", pa.string())])), "choices": pa.list_(pa.list_(pa.string())), "expressions": pa.list_(pa.list_(pa.string())),
         }
         for batch in in_slices(batches, 1_000):
             rows = [scan(x.as_py() or "", automaton) for x in batch.column(1)]
