@@ -266,6 +266,20 @@ def test_secret_scan(spark, odd_docs, no_docs):
     assert secret_scan.scan_secrets(odd_docs, forest).count() == 0
 
 
+def test_secret_scan_of_short_and_broken_values(spark):
+    """Values of any characters after a name; one that is just a run is found once, and words after a name are not kept."""
+    forest = secret_scan.fit_forest(secret_scan.all_findings(spark))
+    hidden = "9f14a7029c8514dfe98aba92898d323168e199da"
+    true = [
+        ('password = "Tr0ub4dor&3"', 2, "Tr0ub4dor&3"), ("db:\t API_KEY=Zk3.91xQ!7vB$2, rest", 1, "Zk3.91xQ!7vB$2"), ("token: ab12cd34.ef56gh78.ij90", 1, "ab12cd34.ef56gh78.ij90"),
+        ("one\ntwo pwd=x7Kq9Lm2", 1, "x7Kq9Lm2"), ("secret = 'we ird\t7#kQ!z 99' tail", 2, "we ird\t7#kQ!z 99"), (f'token = "{hidden}"', 2, hidden), ("Authorization: Bearer aB3.dE5-fG7_hI9.jK1", 2, "aB3.dE5-fG7_hI9.jK1"),
+    ]
+    false = ["author: Jonathan wrote it", "the key: something important", 'password: "please enter your password"', "token = get_token()", "key: 2024-01-02", 'keyword = "abc", name = "defghij"', "auth: user@mail.example.com"]
+    rows = [*enumerate(t for t, _, _ in true), *enumerate(false, 100)]
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()
+    assert sorted((r["doc_id"], r["word_no"], r["core"]) for r in found) == [(i, at, core) for i, (_, at, core) in enumerate(true)]
+
+
 def test_toxicity_learns_marks_and_offsets(spark, no_docs):
     import random
 

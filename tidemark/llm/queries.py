@@ -37,7 +37,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.fit_forest(secret_scan.labelled_findings(spark))
+    forest = secret_scan.fit_forest(secret_scan.all_findings(spark))
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest))
 
 

@@ -1,7 +1,12 @@
-"""Secret scans: candidates by shape, false positives removed by a random forest; DataFrame operations only."""
+"""Secret scans: candidates by shape and by name, false positives removed by a random forest; DataFrame operations only."""
 
 from __future__ import annotations
 
+import json
+import random
+import re
+import string
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,10 +26,21 @@ FINDINGS = 4_000
 
 SECRET_WORDS = "key|secret|token|passw|pwd|credential|auth|bearer|private|signature"
 HARMLESS_WORDS = "commit|sha|md5|checksum|hash|revision|digest|uuid|etag|order|card|phone|isbn|tracking|page|mail|version|build"
+#: Values of any characters are candidates as well where a name of a secret is assigned one of at least so many characters.
+LEAST = 6
+#: Group 1 is what comes before the value, with its quote; the value is group 4 in quotes, else group 5 or 6 (a quote without end).
+NAMED = (
+    rf"(?i)((?:{SECRET_WORDS})[A-Za-z0-9_\-]*+[\"'`]?[ \t]*+(?::=|=>|==|[:=])[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?+([\"'`]?))"
+    rf"(?:(?<=([\"'`]))((?:(?!\3)[^\\]|\\.){{{LEAST}}}.*?)(?<!\\)(?=\3)|(?<![\"'`])([^\s\"'`]\S{{{LEAST - 1},}})|(?<=[\"'`])([^\s\"'`]{{{LEAST},}}))"
+)
+#: What ends an unquoted value without being part of it.
+TRAIL = r"[\"'`,.;:!?)\]}>*#]+$"
+BLANKS = r"[ \t\x0b\f\r]+"
+
 DICTIONARY = "about|access|account|address|after|also|example|and|are|because|been|before|between|change|client|code|company|could|data|dummy|file|first|for|from|group|have|here|house|image|index|information|insert|internal|international|into|just|know|like|made|make|model|more|name|number|only|order|other|over|page|part|people|place|point|private|public|report|sample|server|service|should|some|state|system|test|than|that|the|their|there|these|they|thing|this|time|token|update|user|value|very|water|when|which|with|work|world|would|year|your"
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|le|de|la|ng|io|ie|ch|qu|ou"
 
-FEATURES = ("len", "digits", "uppers", "vowels", "switches", "variety", "repeats", "bigrams", "coverage", "hex_only", "path", "mail", "quoted", "assigned", "secret_near", "harmless_near")
+FEATURES = ("len", "digits", "uppers", "vowels", "switches", "variety", "repeats", "bigrams", "coverage", "hex_only", "symbols", "blanks", "path", "mail", "quoted", "assigned", "secret_near", "harmless_near")
 
 
 def features(before: Column, word: Column, core: Column, after: Column) -> dict[str, Column]:
@@ -46,6 +62,8 @@ def features(before: Column, word: Column, core: Column, after: Column) -> dict[
         "bigrams": count(low, BIGRAMS) / n,
         "coverage": (n - F.char_length(F.regexp_replace(low, DICTIONARY, ""))) / n,
         "hex_only": flag(low.rlike("^[0-9a-f]+$")),
+        "symbols": count(core, r"[^A-Za-z0-9_\s]") / n,
+        "blanks": F.least(count(core, r"\s"), F.lit(5.0)),
         "path": F.least(count(word, r"[/\\]|://|\.[a-z]{2,4}\b"), F.lit(5.0)),
         "mail": flag(word.contains("@")),
         "quoted": flag(word.rlike("[\"'`]")),
@@ -109,9 +127,57 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return rows.select(F.when(F.col("id") % 2 == 0, true).otherwise(false).alias("x"), (1 - F.col("id") % 2).cast("double").alias("label")).repartition(1).select("x.*", "label")
 
 
+def labelled_values(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+    """``before, word, core, after, label``: assigned values that are no plain run, made by rule as in ``labelled_findings``.
+
+    Passwords and keys are short, or broken by other characters; look-alikes
+    after the same names are words, phrases, placeholders, code, dates, versions
+    and addresses. The rows are made here and go into the plan as one literal.
+    """
+    rng = random.Random(SEED)
+    sounds = "th er on in ti an ra re bo mo hea ble ing ness ch lu eau ment ka dor".split()
+    spoken = "your password here please enter value the user main point which server name und les para".split()
+    names = "password passwd pwd secret token api_key key client_secret auth PASSWORD db_password credentials private_key".split()
+    word = lambda k: "".join(rng.choice(sounds) for _ in range(k))
+    say = lambda: rng.choice(spoken)
+    sign = lambda: rng.choice("!$@#%&*.?^-_")
+    mixed = lambda a, b: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(a, b)))
+    hexed = lambda a, b: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(a, b)))
+    two, four = lambda: f"{rng.randint(10, 99)}", lambda: f"{rng.randint(1000, 9999)}"
+    true = (
+        lambda: word(3).capitalize().translate(str.maketrans("aeot", "4307")) + sign() + two(), lambda: mixed(3, 8) + sign() + mixed(6, 35), lambda: mixed(3, 8) + sign() + mixed(8, 14) + sign() + two(),
+        lambda: word(4).capitalize() + four() + sign() + two(), lambda: f"{mixed(8, 14)}.{mixed(6, 35)}.{hexed(10, 15)}", lambda: mixed(8, 14) + sign() + four(), lambda: mixed(7, 14) + two()[0], lambda: "7" + hexed(9, 14),
+        lambda: word(3) + sign() + word(4) + sign() + four(), lambda: f"{mixed(3, 7)} {sign()}{mixed(3, 8)} {two()}",
+    )
+    false = (
+        lambda: word(4), lambda: word(3).capitalize(), lambda: " ".join(say() for _ in range(4)), lambda: rng.choice(" .-/").join(say() for _ in range(3)), lambda: f"{word(4).capitalize()}, {word(3)} {say()}",
+        lambda: word(3) + rng.choice([".", "()", "[0].", "->", "::"]) + say() + rng.choice(["()", "", "_id", "[1]", "(x)"]), lambda: rng.choice(["${", "<", "{{", "%("]) + f"{word(3)}_{say()}".upper() + rng.choice(["}", ">", "}}", ")s"]),
+        lambda: f"20{two()}" + rng.choice(["-01-", "/11/", ".7.", ":30:"]) + two(), lambda: word(3) + rng.choice(["@mail.example.com", "@example.org", ".example.com/index.html", ".html", "********"]), lambda: rng.choice("*x.0-") * rng.randint(6, 15),
+    )
+    rows = []
+    for i in range(n):
+        core = rng.choice(false if i % 2 else true)()
+        quote = rng.choice(["\"", "'", "\""] if " " in core else ["\"", "'", "\"", ""])
+        head = rng.choice(["", "the and of ", "in with by ", "le de la ", "und die der "]) + rng.choice(names) + rng.choice([" = ", "=", ": ", ":", " : ", "= "])
+        before, _, lead = head.rpartition(" ")
+        if len(core) >= LEAST and not re.fullmatch(SHAPE, core):
+            rows.append({"before": before, "word": lead + quote + core + quote, "core": core, "after": rng.choice(["the of", "and in", "de la", ""]), "label": 1.0 - i % 2})
+    made = F.from_json(F.lit(json.dumps(rows)), "array<struct<before: string, word: string, core: string, after: string, label: double>>")
+    return spark.range(1).select(F.inline(made))
+
+
+def all_findings(spark: SparkSession) -> DataFrame:
+    return labelled_findings(spark).withColumn("core", F.lit(None).cast("string")).unionByName(labelled_values(spark)).select("before", "word", "core", "after", "label")
+
+
 def fit_forest(findings: DataFrame) -> PipelineModel:
-    """A random forest on labelled findings (``before, word, after, label``), in one partition for one order of rows."""
+    """A random forest on labelled findings (``before, word, after, label``), in one partition for one order of rows.
+
+    The candidate is the first run of a word, or what the column ``core`` has.
+    """
     core = F.regexp_extract("word", SHAPE, 0)
+    if "core" in findings.columns:
+        core = F.coalesce("core", core)
     rows = findings.withColumn("core", core).where(F.col("core") != "").repartition(1)
     rows = rows.select("label", *[c.alias(n) for n, c in features(F.col("before"), F.col("word"), F.col("core"), F.col("after")).items()])
     stages = [
@@ -124,27 +190,48 @@ def fit_forest(findings: DataFrame) -> PipelineModel:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, word_no, before, word, core, after`` for each candidate.
 
-    Documents without a candidate go first, then lines; only the words of the
-    lines that remain are exploded, and nothing is shuffled.
+    Candidates are all runs of ``SHAPE``, and all values of ``NAMED`` that are
+    not just such a run. Documents without a candidate go first, then lines;
+    only the words of the lines that remain are exploded, and nothing is
+    shuffled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(SHAPE))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(SHAPE))
-    words = lines.select("doc_id", "line_no", F.split("line", r"[ \t\x0b\f\r]+", -1).alias("words")).select("doc_id", "line_no", "words", F.posexplode("words").alias("word_no", "word"))
+    either = F.col("text").rlike(SHAPE) | F.col("text").rlike(NAMED)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(either)
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    runs, named = F.col("line").rlike(SHAPE), F.col("line").rlike(NAMED)
+    lines = lines.select("*", runs.alias("runs"), named.alias("named")).where("runs or named")
     near = lambda first, many: F.array_join(F.slice("words", F.greatest(first, F.lit(1)), F.greatest(many, F.lit(0))), " ")
-    at = F.col("word_no")
-    hits = words.where(F.col("word").rlike(SHAPE)).select(
-        "doc_id", "line_no", "word_no", "word",
+    none = F.lit("")
+    every = lambda i: F.regexp_extract_all("line", F.lit(NAMED), F.lit(i))
+    blanks = lambda x: F.regexp_count(x, F.lit(BLANKS))
+    parts = lines.select("doc_id", "line_no", "runs", F.split("line", BLANKS, -1).alias("words"), *[F.when(F.col("named"), x).otherwise(F.array().cast("array<string>")).alias(k) for k, x in {"gaps": F.split("line", NAMED, -1), "whole": every(0), "head": every(1), "quoted": every(4), "open": every(5), "rest": every(6)}.items()])
+    # Blanks up to each assignment: those of all gaps and assignments before it, and of its own gap and head.
+    steps = F.transform("whole", lambda x, i: blanks(F.concat(F.get("gaps", i), F.lit("|"), x)))
+    parts = parts.withColumn("steps", steps)
+    value = lambda i: F.when(F.get("quoted", i) != "", F.get("quoted", i)).otherwise(F.regexp_replace(F.concat(F.get("open", i), F.get("rest", i)), TRAIL, ""))
+    start = lambda i: F.aggregate(F.slice("steps", F.lit(1), i), F.lit(0), lambda a, x: a + x) + blanks(F.concat(F.get("gaps", i), F.lit("|"), F.get("head", i)))
+    assigned = F.transform("whole", lambda x, i: F.struct(start(i).alias("at"), F.regexp_extract(F.get("head", i), r"\S*$", 0).alias("lead"), value(i).alias("core")))
+    assigned = F.filter(assigned, lambda x: (F.char_length(x["core"]) >= LEAST) & ~x["core"].rlike(f"^{SHAPE}$"))
+    plain = F.when(F.col("runs"), F.filter(F.transform("words", lambda x, i: F.struct(i.alias("at"), x.alias("word"), none.alias("core"))), lambda x: x["word"].rlike(SHAPE)))
+    plain = F.coalesce(plain, F.array().cast("array<struct<at:int,word:string,core:string>>"))
+    assigned = F.transform(assigned, lambda x: F.struct(x["at"].alias("at"), F.concat(x["lead"], x["core"], F.regexp_extract(x["lead"], "[\"'`]$", 0)).alias("word"), x["core"].alias("core")))
+    found = parts.select("doc_id", "line_no", "words", F.explode(F.concat(plain, assigned)).alias("hit")).select("doc_id", "line_no", "words", "hit.*")
+    at, inner = F.col("at"), blanks(F.col("core"))
+    return found.select(
+        "doc_id", "line_no", at.alias("word_no"), "word",
         near(at + 1 - BEFORE, F.least(at, F.lit(BEFORE))).alias("before"),
-        near(at + 2, F.lit(AFTER)).alias("after"),
-        F.explode(F.regexp_extract_all("word", F.lit(f"({SHAPE})"), 1)).alias("core"),
+        near(at + 2 + inner, F.lit(AFTER)).alias("after"),
+        F.explode(F.when(F.col("core") == "", F.regexp_extract_all("word", F.lit(f"({SHAPE})"), 1)).otherwise(F.array("core"))).alias("core"),
     )
-    return hits
 
 
 def scan_secrets(docs: DataFrame, forest: PipelineModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_rejected: bool = False) -> DataFrame:
     """``doc_id, line_no, word_no, core, score`` for each finding that the forest keeps.
 
-    Lines and words count from 0; the score is the forest's probability.
+    Lines and words count from 0; the score is the forest's probability. A
+    value in quotes may hold blanks and is at the word where it begins; an
+    unquoted one ends at a blank, without the marks of ``TRAIL``. Runs within a
+    broken value are findings of their own where the forest keeps them.
 
     Defined cases: null, empty and candidate-free texts give no rows; repeated
     rows each give their findings; a null id is kept; a word may give several
