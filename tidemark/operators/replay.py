@@ -134,8 +134,9 @@ def replay_accounts(rows: DataFrame, rules: dict[str, Rules]) -> DataFrame:
 
     ``rows``: account, candidate, window, cost_bps, trade_date, symbol, open,
     high, low, close, pre_close, volume, risk, growth, vol, rank, exposure. An
-    account's rows are its window's days, which bounds the group; accounts are
-    spread over the cluster by their key.
+    account's rows are its window's days with every symbol of ``rows``, so a
+    group grows with the number of symbols; accounts are spread over the cluster
+    by their key.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
