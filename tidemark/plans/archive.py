@@ -91,13 +91,13 @@ def upsert_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("insert_ignore", """
-WITH src AS (SELECT doc_id, source AS exchange, substr(text, 1, 120) AS title, n_chars FROM documents WHERE doc_id IS NOT NULL),
-stored AS (SELECT * FROM src WHERE doc_id % 3 <> 0), incoming AS (SELECT doc_id, exchange, 'new: ' || title AS title, n_chars FROM src WHERE doc_id % 2 = 0)
+WITH src AS (SELECT doc_id, source AS exchange, text AS title, n_chars FROM documents WHERE doc_id IS NOT NULL),
+stored AS (SELECT * FROM src WHERE doc_id % 3 <> 0), incoming AS (SELECT doc_id, exchange, 'new: ' || title AS title, n_chars FROM src)
 SELECT * FROM stored UNION ALL SELECT i.* FROM incoming i ANTI JOIN stored USING (exchange, doc_id)""")
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     """Announcements whose key is new are added; stored ones stay as they are."""
-    rows = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.col("source").alias("exchange"), F.substring("text", 1, 120).alias("title"), "n_chars")
-    new = rows.where("doc_id % 2 = 0").withColumn("title", F.concat(F.lit("new: "), "title"))
+    rows = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.col("source").alias("exchange"), F.col("text").alias("title"), "n_chars")
+    new = rows.withColumn("title", F.concat(F.lit("new: "), "title"))
     return insert_absent(rows.where("doc_id % 3 <> 0"), new, ["exchange", "doc_id"], [F.asc("title")])
 
 

@@ -11,32 +11,33 @@ from tidemark.plans.factors import shown, sql6
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
-LEVEL_SQL = """sec AS (SELECT r_name AS id, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS amount, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate < TIMESTAMP '1996-07-01' GROUP BY 1, 2),
+#: Days of the correlations' window.
+WINDOW_DAYS = 120
+
+LEVEL_SQL = """sec AS (SELECT r_name AS id, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS amount, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
 levels AS (SELECT id, day, amount, 100::DOUBLE + (round(amount)::BIGINT % 997)::DOUBLE / 100::DOUBLE AS level FROM sec),
-fac AS (SELECT o_orderpriority AS id, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS amount FROM orders WHERE o_orderdate < TIMESTAMP '1996-07-01' AND o_orderkey % 3 = 0 GROUP BY 1, 2),
+fac AS (SELECT o_orderpriority AS id, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS amount FROM orders GROUP BY 1, 2),
 observed AS (SELECT id, day, 100::DOUBLE + (round(amount)::BIGINT % 991)::DOUBLE / 100::DOUBLE AS level FROM fac)"""
 
 
 def levels(spark: SparkSession, d: str) -> DataFrame:
     """``id, day, amount, level`` of the sectors."""
-    until = F.lit("1996-07-01").cast("timestamp")
-    rows = table(spark, d, "orders").where(F.col("o_orderdate") < until).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     by = rows.groupBy(F.col("r_name").alias("id"), F.to_date("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("amount"))
     return by.withColumn("level", 100.0 + (F.round("amount").cast("bigint") % 997).cast("double") / 100.0)
 
 
 def observed(spark: SparkSession, d: str) -> DataFrame:
-    """``id, day, level`` of the factors, with gaps."""
-    rows = table(spark, d, "orders").where((F.col("o_orderdate") < F.lit("1996-07-01").cast("timestamp")) & (F.col("o_orderkey") % 3 == 0))
-    by = rows.groupBy(F.col("o_orderpriority").alias("id"), F.to_date("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("amount"))
+    """``id, day, level`` of the factors; a factor has a gap on a day without orders."""
+    by = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("id"), F.to_date("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("amount"))
     return by.select("id", "day", (100.0 + (F.round("amount").cast("bigint") % 991).cast("double") / 100.0).alias("level"))
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    """Each factor on each day of the sectors' calendar, by exploding the factors beside the days."""
-    names = observed(spark, d).agg(F.collect_set("id")).scalar()
-    return levels(spark, d).select("day").distinct().select(F.explode(names).alias("id"), "day")
+    """Each factor on each day of the sectors' calendar; the calendar is one array, which grows with time and not with rows."""
+    calendar = table(spark, d, "orders").agg(F.collect_set(F.to_date("o_orderdate"))).scalar()
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("id")).distinct().select("id", F.explode(calendar).alias("day"))
 
 
 CHANGE_SQL = LEVEL_SQL + """,
@@ -57,13 +58,15 @@ def returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 RELATION_SQL = CHANGE_SQL + """,
-rel0 AS (SELECT c.id AS factor, r.id AS sector, count(*) AS n, covar_pop(change, ret) / nullif(stddev_pop(change) * stddev_pop(ret), 0) AS r FROM changes c JOIN returns r USING (day) WHERE change IS NOT NULL AND ret IS NOT NULL AND day >= DATE '1996-03-01' GROUP BY 1, 2),
+rel0 AS (SELECT c.id AS factor, r.id AS sector, count(*) AS n, covar_pop(change, ret) / nullif(stddev_pop(change) * stddev_pop(ret), 0) AS r FROM changes c JOIN returns r USING (day) WHERE change IS NOT NULL AND ret IS NOT NULL AND day > (SELECT max(day) FROM levels) - 120 GROUP BY 1, 2),
 rel1 AS (SELECT factor, sector, n, CASE WHEN n >= 20 THEN greatest(least(r, 1.0), -1.0) END AS rho FROM rel0),
 relations AS (SELECT factor, sector, n, rho, tanh(atanh(greatest(least(rho, 0.999999), -0.999999)) - 1.96 / sqrt(nullif(greatest(n - 3, 0), 0))) AS low, tanh(atanh(greatest(least(rho, 0.999999), -0.999999)) + 1.96 / sqrt(nullif(greatest(n - 3, 0), 0))) AS high, coalesce(abs(rho) >= 0.3, false) AS connected FROM rel1)"""
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
-    return ops.network(ops.lagged_changes(grid(spark, d), observed(spark, d)), returns(spark, d), F.lit("1996-03-01").cast("date"))
+    """Correlations over the last ``WINDOW_DAYS`` days that the sectors have."""
+    last = table(spark, d, "orders").agg(F.max(F.to_date("o_orderdate"))).scalar()
+    return ops.network(ops.lagged_changes(grid(spark, d), observed(spark, d)), returns(spark, d), F.date_sub(last, WINDOW_DAYS - 1))
 
 
 @query("correlation_network", f"WITH {RELATION_SQL} SELECT factor, sector, n, {sql6('rho', 'low', 'high')}, connected FROM relations")
@@ -99,11 +102,12 @@ def midrank_percentile(spark: SparkSession, d: str) -> DataFrame:
     return shown(levels(spark, d).select("id", "day", ops.midrank_percentile("level", ["id"], "day").alias("pct")))
 
 
-@query("source_summary", f"WITH {LEVEL_SQL}, o AS (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY day) AS previous FROM observed) SELECT id, max(day) AS last_day, round(arg_max(level, day), 6) + 0.0 AS level, round(arg_max(level / previous - 1, day), 6) + 0.0 AS change, (DATE '1996-07-03' - max(day))::INT AS age_days, DATE '1996-07-03' - max(day) > 4 AS stale FROM o GROUP BY 1", dates="last_day")
+@query("source_summary", f"WITH {LEVEL_SQL}, o AS (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY day) AS previous FROM observed) SELECT id, max(day) AS last_day, round(arg_max(level, day), 6) + 0.0 AS level, round(arg_max(level / previous - 1, day), 6) + 0.0 AS change, ((SELECT max(day) FROM observed) + 2 - max(day))::INT AS age_days, (SELECT max(day) FROM observed) + 2 - max(day) > 4 AS stale FROM o GROUP BY 1", dates="last_day")
 def source_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Last level of each source, its change, its age, and whether it is stale."""
+    """Last level of each source, its change, its age two days after the last day of all, and whether it is stale."""
+    today = F.date_add(table(spark, d, "orders").agg(F.max(F.to_date("o_orderdate"))).scalar(), 2)
     rows = observed(spark, d).withColumn("change", change(F.col("level"), F.lag("level").over(Window.partitionBy("id").orderBy("day"))))
-    age = F.datediff(F.lit("1996-07-03").cast("date"), F.max("day"))
+    age = F.datediff(today, F.max("day"))
     return shown(rows.groupBy("id").agg(F.max("day").alias("last_day"), F.max_by("level", "day").alias("level"), F.max_by("change", "day").alias("change"), age.alias("age_days"), (age > 4).alias("stale")))
 
 

@@ -111,7 +111,7 @@ IC_SQL = with_("panel") + """,
 ic0 AS (SELECT symbol, trade_date, close / nullif(lag(close, 20) OVER s, 0) - 1 AS x, lead(open, 6) OVER s / nullif(lead(open, 1) OVER s, 0) - 1 AS y FROM panel WINDOW s AS (PARTITION BY symbol ORDER BY trade_date)),
 ic1 AS (SELECT * FROM ic0 WHERE x IS NOT NULL AND y IS NOT NULL),
 """ + f"ic2 AS (SELECT trade_date, y, {sql_rank('x', 'trade_date')} AS rx, {sql_rank('y', 'trade_date')} AS ry FROM ic1), " + """
-ics AS (SELECT trade_date, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic, avg(y) FILTER (WHERE rx >= 0.9) - avg(y) FILTER (WHERE rx <= 0.1) AS spread FROM ic2 GROUP BY 1)"""
+ics AS (SELECT trade_date, count(*) AS n, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 12) + 0.0 AS ic, avg(y) FILTER (WHERE rx >= 0.9) - avg(y) FILTER (WHERE rx <= 0.1) AS spread FROM ic2 GROUP BY 1)"""
 
 
 def daily_ic(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ def daily_ic(spark: SparkSession, d: str) -> DataFrame:
     pairs = rows.select("trade_date", x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     ranked = pairs.select("trade_date", "y", pct_rank(F.col("x"), F.col("trade_date")).alias("rx"), pct_rank(F.col("y"), F.col("trade_date")).alias("ry"))
     spread = F.avg(F.when(F.col("rx") >= 0.9, F.col("y"))) - F.avg(F.when(F.col("rx") <= 0.1, F.col("y")))
-    return ranked.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("ic"), spread.alias("spread"))
+    return ranked.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), (F.round(correlation(F.col("rx"), F.col("ry")), 12) + 0.0).alias("ic"), spread.alias("spread"))
 
 
 @query("rank_ic", IC_SQL + f" SELECT trade_date, n, {sql6('ic', 'spread')} FROM ics WHERE n > 2", dates="trade_date")
@@ -264,15 +264,17 @@ def fee_ledger(spark: SparkSession, d: str) -> DataFrame:
     return trades.groupBy(F.when(F.col("qty") > 0, "buy").otherwise("sell").alias("side"), F.year("trade_date").alias("year")).agg(F.count(F.lit(1)).alias("orders"), (F.round(F.sum(value), 4) + 0.0).alias("notional"), (F.round(F.sum(value * 0.001), 4) + 0.0).alias("fees"))
 
 
-@query("cycle_closed_form", with_("panel") + ", cyc AS (SELECT a.symbol, (a.n // 20)::INT AS cycle, b.close / a.open AS gross FROM panel a JOIN panel b ON b.symbol = a.symbol AND b.n = a.n + 19 WHERE a.n % 20 = 1 AND a.symbol < '000010'), m AS (SELECT cycle, avg(gross) AS g, count(*) AS n FROM cyc GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM cyc)) SELECT count(*) AS cycles, round(exp(sum(ln(g * (1 - 0.001) * (1 - 0.001)))) - 1, 6) + 0.0 AS net_return FROM m")
+@query("cycle_closed_form", with_("panel") + ", cyc AS (SELECT a.symbol, (a.n // 20)::INT AS cycle, b.close / a.open AS gross FROM panel a JOIN panel b ON b.symbol = a.symbol AND b.n = a.n + 19 WHERE a.n % 20 = 1), m AS (SELECT cycle, avg(gross) AS g, count(*) AS n FROM cyc GROUP BY 1) SELECT count(*) AS cycles, min(n) AS least_symbols, round(exp(sum(ln(g * (1 - 0.001) * (1 - 0.001)))) - 1, 6) + 0.0 AS net_return FROM m")
 def cycle_closed_form(spark: SparkSession, d: str) -> DataFrame:
-    """The product of the cycles' mean returns less fees: what an unblocked account earns."""
-    rows = panel(spark, d).where(F.col("symbol") < "000010")
+    """The product of the cycles' mean returns less fees: what an unblocked account earns.
+
+    A cycle is averaged over the symbols that have all of it; the least number of them is returned.
+    """
+    rows = panel(spark, d)
     entry = rows.where("n % 20 = 1").select("symbol", F.floor(F.col("n") / 20).alias("cycle"), (F.col("n") + 19).alias("n"), F.col("open").alias("a"))
     cycles = entry.join(rows.select("symbol", "n", F.col("close").alias("b")), ["symbol", "n"])
-    whole = cycles.agg(F.count_distinct("symbol")).scalar()
-    by = cycles.groupBy("cycle").agg(F.avg(F.col("b") / F.col("a")).alias("g"), F.count(F.lit(1)).alias("n")).where(F.col("n") == whole)
-    return shown(by.agg(F.count(F.lit(1)).alias("cycles"), (F.exp(F.sum(F.ln(F.col("g") * 0.999 * 0.999))) - 1).alias("net_return")))
+    by = cycles.groupBy("cycle").agg(F.avg(F.col("b") / F.col("a")).alias("g"), F.count(F.lit(1)).alias("n"))
+    return shown(by.agg(F.count(F.lit(1)).alias("cycles"), F.min("n").alias("least_symbols"), (F.exp(F.sum(F.ln(F.col("g") * 0.999 * 0.999))) - 1).alias("net_return")))
 
 
 @query("index_windows", INDEX_SQL + " SELECT w.name, round(arg_max(level, trade_date) / arg_min(level, trade_date) - 1, 6) + 0.0 AS index_return, count(*) AS days FROM idx JOIN (VALUES ('w1', DATE '1996-03-01', DATE '1996-06-30'), ('w2', DATE '1996-07-01', DATE '1996-12-31')) w(name, a, b) ON trade_date BETWEEN a AND b GROUP BY 1")

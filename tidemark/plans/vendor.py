@@ -13,25 +13,25 @@ from tidemark.sources.market import instruments, panel, with_
 from tidemark.sources.tables import table
 
 
-@query("kline_parse", with_("panel") + " SELECT symbol, trade_date, round(open, 6) + 0.0 AS open, round(close, 6) + 0.0 AS close, (volume * 100)::BIGINT AS volume, round(amount * 10000, 2) + 0.0 AS amount, round(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), 6) + 0.0 AS pre_close FROM panel WHERE n <= 60", dates="trade_date")
+@query("kline_parse", with_("panel") + " SELECT symbol, trade_date, round(open, 6) + 0.0 AS open, round(close, 6) + 0.0 AS close, (volume * 100)::BIGINT AS volume, round(amount * 10000, 2) + 0.0 AS amount, round(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), 6) + 0.0 AS pre_close FROM panel", dates="trade_date")
 def kline_parse(spark: SparkSession, d: str) -> DataFrame:
     """Bars packed into one JSON document a symbol, and parsed again with their units."""
     row = F.array(*[F.col(c).cast("string") for c in ("trade_date", "open", "close", "high", "low", "volume", "amount")])
-    packed = panel(spark, d).where("n <= 60").groupBy("symbol").agg(F.to_json(F.struct(F.first("symbol").alias("code"), F.collect_list(row).alias("rows"))).alias("payload"))
+    packed = panel(spark, d).groupBy("symbol").agg(F.to_json(F.struct(F.first("symbol").alias("code"), F.collect_list(row).alias("rows"))).alias("payload"))
     rows = ops.kline_rows(packed)
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("trade_date"))
     return shown(rows.select("symbol", "trade_date", "open", "close", "volume", F.round("amount", 2).alias("amount"), before.alias("pre_close")))
 
 
-@query("quote_lines", """WITH q AS (SELECT o_orderkey, o_orderkey % 23 AS k, o_totalprice, o_orderdate FROM orders WHERE o_orderkey < 5000)
-SELECT lpad(o_orderkey::VARCHAR, 6, '0') AS symbol, CASE WHEN k = 3 THEN 'malformed stamp' WHEN k = 5 THEN 'other day' WHEN k = 7 THEN 'before the close' ELSE 'accepted' END AS status, CASE WHEN k IN (7, 11) THEN CASE k WHEN 11 THEN 0 ELSE 700 END ELSE (k * 100) END::BIGINT AS volume FROM q""")
+@query("quote_lines", """WITH q AS (SELECT o_orderkey, o_orderkey % 23 AS k, o_totalprice, o_orderdate FROM orders)
+SELECT lpad(o_orderkey::VARCHAR, 18, '0') AS symbol, CASE WHEN k = 3 THEN 'malformed stamp' WHEN k = 5 THEN 'other day' WHEN k = 7 THEN 'before the close' ELSE 'accepted' END AS status, CASE WHEN k IN (7, 11) THEN CASE k WHEN 11 THEN 0 ELSE 700 END ELSE (k * 100) END::BIGINT AS volume FROM q""")
 def quote_lines(spark: SparkSession, d: str) -> DataFrame:
     """Quotes as separated text, with bad stamps, other days, early stamps and halts among them."""
     k = F.col("o_orderkey") % 23
     stamp = F.when(k == 3, "2024010").when(k == 5, "20231229150005").when(k.isin(7, 11), "20240102103000").otherwise("20240102150003")
     lot = F.when(k == 11, 0).otherwise(k)
-    line = F.concat_ws("~", F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("name"), F.when(k == 11, "0").otherwise("10.5"), F.lit("10.6"), F.lit("10.4"), lot.cast("string"), stamp)
-    lines = table(spark, d, "orders").where("o_orderkey < 5000").select(line.alias("line"))
+    line = F.concat_ws("~", F.lpad(F.col("o_orderkey").cast("string"), 18, "0"), F.lit("name"), F.when(k == 11, "0").otherwise("10.5"), F.lit("10.6"), F.lit("10.4"), lot.cast("string"), stamp)
+    lines = table(spark, d, "orders").select(line.alias("line"))
     return ops.quote_rows(lines, F.lit("2024-01-02").cast("date")).select("symbol", "status", "volume")
 
 
@@ -52,12 +52,14 @@ def page_rows(spark: SparkSession, d: str) -> DataFrame:
     return ops.table_cells(table(spark, d, "pages"), "page_id", "html")
 
 
-@query("index_merge", with_("panel") + """, old AS (SELECT symbol, trade_date, close, volume FROM panel WHERE n <= 50), new AS (SELECT symbol, trade_date, CASE WHEN n % 5 = 0 THEN NULL ELSE close + 1 END AS close, volume FROM panel WHERE n BETWEEN 40 AND 60)
+@query("index_merge", with_("panel") + """, old AS (SELECT symbol, trade_date, close, volume FROM panel WHERE trade_date <= DATE '1997-03-15'), new AS (SELECT symbol, trade_date, CASE WHEN n % 5 = 0 THEN NULL ELSE close + 1 END AS close, volume FROM panel WHERE trade_date > DATE '1997-02-15')
 SELECT symbol, trade_date, round(coalesce(new.close, old.close), 6) + 0.0 AS close, coalesce(new.volume, old.volume) AS volume FROM old FULL OUTER JOIN new USING (symbol, trade_date)""", dates="trade_date")
 def index_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d).select("symbol", "trade_date", "close", "volume", "n")
-    new = rows.where("n between 40 and 60").withColumn("close", F.when(F.col("n") % 5 != 0, F.col("close") + 1)).drop("n")
-    return shown(ops.merge_by_key(rows.where("n <= 50").drop("n"), new, ["symbol", "trade_date"]))
+    """The stored part of the panel and a newer part that overlaps it by four weeks; together they are the whole panel."""
+    rows, at = panel(spark, d).select("symbol", "trade_date", "close", "volume", "n"), F.col("trade_date")
+    new = rows.where(at > F.lit("1997-02-15").cast("date")).withColumn("close", F.when(F.col("n") % 5 != 0, F.col("close") + 1)).drop("n")
+    old = rows.where(at <= F.lit("1997-03-15").cast("date")).drop("n")
+    return shown(ops.merge_by_key(old, new, ["symbol", "trade_date"]))
 
 
 @query("both_exchanges", """WITH a AS (SELECT ts::DATE AS day, user_id, max(value) AS v FROM events WHERE event_type = 'view' AND day(ts) % 4 <> 0 GROUP BY 1, 2), b AS (SELECT ts::DATE AS day, user_id, max(value) AS v FROM events WHERE event_type = 'click' AND day(ts) % 5 <> 0 GROUP BY 1, 2),
