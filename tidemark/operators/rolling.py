@@ -17,24 +17,101 @@ def _columns() -> tuple[Column, ...]:
     return *(F.col(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("double")
 
 
+#: Rows of a chunk of one symbol's history. A chunk starts with the rows before it that its windows reach.
+CHUNK = 256
+REACH = max(WINDOWS)
+
+
 def order():
+    """A symbol's whole history."""
     return Window.partitionBy("symbol").orderBy("trade_date")
 
 
-def frame(n: int):
-    return order().rowsBetween(1 - n, 0)
+def chunk():
+    """One chunk of a symbol's history; partitioning by symbol serves it too, so it costs no shuffle of its own."""
+    return Window.partitionBy("symbol", "chunk").orderBy("trade_date")
 
 
 def base(panel: DataFrame) -> DataFrame:
-    """The panel with the daily steps that the families share."""
+    """The panel in chunks, with the daily steps that the families share.
+
+    Row ``n`` of a symbol belongs to chunk ``(n - 1) div CHUNK``; the last rows
+    of a chunk are in the next one as well, where they only lead in
+    (``leads``). Sums run from the start of the chunk, so their size, and the
+    loss of digits in their differences, does not grow with the history.
+    """
     _, _, _, C, V = _columns()
     before, prior = F.lag("close").over(order()), F.lag("volume").over(order()).cast("double")
-    return panel.select(
-        "symbol", "trade_date", "n", "open", "high", "low", "close", V.alias("volume"),
-        (C / before).alias("ret"), (V / F.nullif(prior, F.lit(0.0))).alias("vol_ratio"), (C - before).alias("delta"), (V - prior).alias("vdelta"),
+    at = F.floor((F.col("n") - 1) / CHUNK).cast("int")
+    rows = panel.select(
+        "symbol", "trade_date", "n", "open", "high", "low", "close", V.alias("volume"), (C - before).alias("delta"), (V - prior).alias("vdelta"), (C / before).alias("ret"),
         (F.abs(C / before - 1) * V).alias("weighted"), F.ln(V + 1).alias("log_v"), F.ln(V / F.nullif(prior, F.lit(0.0)) + 1).alias("log_ratio"),
-        F.when(C > before, 1.0).otherwise(0.0).alias("up"), F.when(C < before, 1.0).otherwise(0.0).alias("down"),
+        F.when(C > before, 1.0).otherwise(0.0).alias("up"), F.when(C < before, 1.0).otherwise(0.0).alias("down"), at.alias("own"),
     )
+    late = (F.col("n") - 1) % CHUNK >= CHUNK - REACH
+    rows = rows.withColumn("chunk", F.explode(F.when(late, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))))
+    first = F.first("close", ignorenulls=True).over(chunk().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("*", (F.col("chunk") != F.col("own")).alias("leads"), (F.col("n") - F.col("chunk") * CHUNK).cast("double").alias("x"), (C - first).alias("y"))
+
+
+class Sums:
+    """Window sums as differences of running sums: each term is summed once for all windows, in constant time a row."""
+
+    def __init__(self) -> None:
+        self.terms: dict[str, Column] = {}
+        self.wanted: dict[str, tuple[str, int]] = {}
+
+    def __call__(self, name: str, term: Column, n: int) -> Column:
+        """The sum of ``term`` over the last ``n`` rows; NULL terms add nothing."""
+        self.terms[name] = term
+        self.wanted[f"in_{name}_{n}"] = (name, n)
+        return F.col(f"in_{name}_{n}")
+
+    def count(self, name: str, term: Column, n: int) -> Column:
+        return self(f"n_{name}", F.when(term.isNotNull(), 1.0).otherwise(0.0), n)
+
+    def mean(self, name: str, term: Column, n: int) -> Column:
+        return self(name, term, n) / F.nullif(self.count(name, term, n), F.lit(0.0))
+
+    def squares(self, name: str, term: Column, n: int) -> Column:
+        """The sum of squared deviations; what is within rounding of zero is zero."""
+        total, square = self(name, term, n), self(f"{name}_square", term * term, n)
+        found = square - total * total / F.nullif(self.count(name, term, n), F.lit(0.0))
+        return F.when(found > square * 1e-13, found).otherwise(F.when(found.isNotNull(), 0.0))
+
+    def spread(self, name: str, term: Column, n: int) -> Column:
+        """Sample deviation; NULL for fewer than two values."""
+        return F.sqrt(self.squares(name, term, n) / F.when(self.count(name, term, n) > 1, self.count(name, term, n) - 1))
+
+    def add_to(self, rows: DataFrame) -> DataFrame:
+        run = chunk().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumns({f"sum_{k}": F.sum(F.coalesce(t, F.lit(0.0))).over(run) for k, t in self.terms.items()})
+        back = {k: F.lag(f"sum_{name}", n, 0.0).over(chunk()) for k, (name, n) in self.wanted.items()}
+        return rows.withColumns(back).withColumns({k: F.col(f"sum_{name}") - F.col(k) for k, (name, _) in self.wanted.items()})
+
+
+#: How each window's extremes come from a shorter window and the same one further back: window, shorter, rows back.
+STEPS = ((10, 5, 5), (20, 10, 10), (30, 20, 10), (60, 30, 30))
+
+
+def with_extremes(rows: DataFrame) -> DataFrame:
+    """``top_n`` and ``bottom_n``: value and row of the first highest high and the first lowest low of each window."""
+    w = chunk().rowsBetween(1 - WINDOWS[0], 0)
+    high, low = F.struct(F.col("high").alias("v"), (-F.col("n")).alias("at")), F.struct((-F.col("low")).alias("v"), (-F.col("n")).alias("at"))
+    rows = rows.withColumns({"top_5": F.max(F.when(F.col("high").isNotNull(), high)).over(w), "bottom_5": F.max(F.when(F.col("low").isNotNull(), low)).over(w)})
+    for n, m, back in STEPS:
+        rows = rows.withColumns({f"{k}_{n}": F.greatest(f"{k}_{m}", F.lag(f"{k}_{m}", back).over(chunk())) for k in ("top", "bottom")})
+    return rows
+
+
+def with_closes(rows: DataFrame) -> DataFrame:
+    """``seen``: the closes of the longest window, from which the shorter ones are cut."""
+    return rows.withColumn("seen", F.collect_list("close").over(chunk().rowsBetween(1 - REACH, 0)))
+
+
+def _last(n: int) -> Column:
+    size = F.least(F.size("seen"), F.lit(n))
+    return F.slice("seen", F.size("seen") - size + 1, size)
 
 
 def kbar() -> dict[str, Column]:
@@ -47,86 +124,102 @@ def kbar() -> dict[str, Column]:
     }
 
 
-def stats(n: int) -> dict[str, Column]:
-    _, H, L, C, _ = _columns()
-    w = frame(n)
-    return {"ROC": F.lag("close", n).over(order()) / C, "MA": F.avg(C).over(w) / C, "STD": F.stddev_samp(C).over(w) / C, "MAX": F.max(H).over(w) / C, "MIN": F.min(L).over(w) / C}
+def stats(n: int, sums: Sums) -> dict[str, Column]:
+    C, y = F.col("close"), F.col("y")
+    mean = C - y + sums.mean("y", y, n)
+    return {"ROC": F.lag("close", n).over(chunk()) / C, "MA": mean / C, "STD": sums.spread("y", y, n) / C, "MAX": F.col(f"top_{n}.v") / C, "MIN": -F.col(f"bottom_{n}.v") / C}
 
 
-def ols(n: int) -> dict[str, Column]:
-    """Least squares of the close on its position; the position's origin does not matter."""
-    _, _, _, C, _ = _columns()
-    w, x = frame(n), F.when(C.isNotNull(), F.col("n").cast("double"))
-    sxy, sxx, syy = F.covar_pop(C, x).over(w), F.var_pop(x).over(w), F.var_pop(C).over(w)
+def ols(n: int, sums: Sums) -> dict[str, Column]:
+    """Least squares of the close on its position; the origins of both do not matter."""
+    C, y = F.col("close"), F.col("y")
+    x = F.when(y.isNotNull(), F.col("x"))
+    sx, sy, m = sums("x", x, n), sums("y", y, n), F.nullif(sums.count("y", y, n), F.lit(0.0))
+    sxx, syy, sxy = sums.squares("x", x, n), sums.squares("y", y, n), sums("xy", x * y, n) - sx * sy / m
     slope = sxy / F.nullif(sxx, F.lit(0.0))
-    level = F.avg(C).over(w) + slope * (F.col("n") - F.avg(x).over(w))
-    return {"BETA": slope / C, "RSQR": F.when(syy * F.count(x).over(w) > EPS, sxy * sxy / F.nullif(sxx * syy, F.lit(0.0))), "RESI": (C - level) / C}
+    level = sy / m + slope * (F.col("x") - sx / m)
+    return {"BETA": slope / C, "RSQR": F.when(syy > EPS, sxy * sxy / F.nullif(sxx * syy, F.lit(0.0))), "RESI": (y - level) / C}
+
+
+def quantiles(n: int, _sums: Sums) -> dict[str, Column]:
+    """Interpolated quantiles of the sorted window."""
+    ordered = F.array_sort(_last(n))
 
+    def at(share: float) -> Column:
+        place = (F.size(ordered) - 1) * share
+        low = F.floor(place).cast("int")
+        below, above = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+        return below + (above - below) * (place - low)
 
-def quantiles(n: int) -> dict[str, Column]:
-    _, _, _, C, _ = _columns()
-    w = frame(n)
-    return {"QTLU": F.percentile(C, 0.8).over(w) / C, "QTLD": F.percentile(C, 0.2).over(w) / C}
+    return {"QTLU": at(0.8) / F.col("close"), "QTLD": at(0.2) / F.col("close")}
 
 
-def ranks(n: int) -> dict[str, Column]:
+def ranks(n: int, _sums: Sums) -> dict[str, Column]:
     """Midrank of the current close within its window."""
-    _, _, _, C, _ = _columns()
-    seen = F.collect_list("close").over(frame(n))
+    C, seen = F.col("close"), _last(n)
     less, same = F.size(F.filter(seen, lambda x: x < C)), F.size(F.filter(seen, lambda x: x == C))
     return {"RANK": (less + (same + 1) / 2) / F.size(seen)}
 
 
-def extremes(n: int) -> dict[str, Column]:
+def extremes(n: int, _sums: Sums) -> dict[str, Column]:
     """Place in the range, and where in the window its first extremes stand."""
-    _, H, L, C, _ = _columns()
-    w = frame(n)
-    highs, lows = F.collect_list("high").over(w), F.collect_list("low").over(w)
-    top, bottom = F.array_position(highs, F.array_max(highs)) / float(n), F.array_position(lows, F.array_min(lows)) / float(n)
-    return {"RSV": (C - F.min(L).over(w)) / (F.max(H).over(w) - F.min(L).over(w) + EPS), "IMAX": top, "IMIN": bottom, "IMXD": top - bottom}
+    begin = F.greatest(F.col("n") - n, F.lit(0))
+    high, low = F.col(f"top_{n}.v"), -F.col(f"bottom_{n}.v")
+    top, bottom = (-F.col(f"top_{n}.at") - begin) / float(n), (-F.col(f"bottom_{n}.at") - begin) / float(n)
+    return {"RSV": (F.col("close") - low) / (high - low + EPS), "IMAX": top, "IMIN": bottom, "IMXD": top - bottom}
 
 
-def correlations(n: int) -> dict[str, Column]:
-    w = frame(n)
+def correlations(n: int, sums: Sums) -> dict[str, Column]:
+    def corr(name: str, a: Column, b: Column) -> Column:
+        both = a.isNotNull() & b.isNotNull()
+        a, b = F.when(both, a), F.when(both, b)
+        m = F.nullif(sums.count(f"{name}_a", a, n), F.lit(0.0))
+        joint = sums(f"{name}_ab", a * b, n) - sums(f"{name}_a", a, n) * sums(f"{name}_b", b, n) / m
+        scale = F.sqrt(sums.squares(f"{name}_a", a, n) / m) * F.sqrt(sums.squares(f"{name}_b", b, n) / m)
+        return F.round(joint / m, 12) / F.nullif(F.round(scale, 12), F.lit(0.0))
 
-    def corr(x: str, y: str) -> Column:
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-        return F.round(F.covar_pop(a, b).over(w), 12) / F.nullif(F.round(F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w), 12), F.lit(0.0))
+    return {"CORR": corr("c", F.col("y"), F.col("log_v")), "CORD": corr("d", F.col("ret") - 1, F.col("log_ratio"))}
 
-    return {"CORR": corr("close", "log_v"), "CORD": corr("ret", "log_ratio")}
 
+def _shares(step: str, n: int, sums: Sums) -> tuple[Column, Column, Column]:
+    """Shares of the rises, of the falls and of their difference in all movement."""
+    d = F.col(step)
+    total = sums(f"{step}_all", F.abs(d), n)
+    total = F.when(sums.count(step, d, n) > 0, total) + EPS
+    up, down = sums(f"{step}_up", F.greatest(d, F.lit(0.0) * d), n), sums(f"{step}_down", F.greatest(-d, F.lit(0.0) * d), n)
+    return up / total, down / total, (up - down) / total
 
-def counts(n: int) -> dict[str, Column]:
-    w = frame(n)
-    up, down = F.avg("up").over(w), F.avg("down").over(w)
-    total = F.sum(F.abs("delta")).over(w) + EPS
-    gain, loss = F.sum(F.greatest(F.col("delta"), F.lit(0.0) * F.col("delta"))).over(w), F.sum(F.greatest(-F.col("delta"), F.lit(0.0) * F.col("delta"))).over(w)
-    return {"CNTP": up, "CNTN": down, "CNTD": up - down, "SUMP": gain / total, "SUMN": loss / total, "SUMD": (gain - loss) / total}
 
+def counts(n: int, sums: Sums) -> dict[str, Column]:
+    up, down = (sums.mean(k, F.col(k), n) for k in ("up", "down"))
+    gain, loss, net = _shares("delta", n, sums)
+    return {"CNTP": up, "CNTN": down, "CNTD": up - down, "SUMP": gain, "SUMN": loss, "SUMD": net}
 
-def volumes(n: int) -> dict[str, Column]:
-    w = frame(n)
-    total = F.sum(F.abs("vdelta")).over(w) + EPS
-    gain, loss = F.sum(F.greatest(F.col("vdelta"), F.lit(0.0) * F.col("vdelta"))).over(w), F.sum(F.greatest(-F.col("vdelta"), F.lit(0.0) * F.col("vdelta"))).over(w)
+
+def volumes(n: int, sums: Sums) -> dict[str, Column]:
+    V, weighted = F.col("volume"), F.col("weighted")
+    gain, loss, net = _shares("vdelta", n, sums)
     return {
-        "VMA": F.avg("volume").over(w) / (F.col("volume") + EPS), "VSTD": F.stddev_samp("volume").over(w) / (F.col("volume") + EPS),
-        "WVMA": F.stddev_samp("weighted").over(w) / (F.avg("weighted").over(w) + EPS), "VSUMP": gain / total, "VSUMN": loss / total, "VSUMD": (gain - loss) / total,
+        "VMA": sums.mean("volume", V, n) / (V + EPS), "VSTD": sums.spread("volume", V, n) / (V + EPS),
+        "WVMA": sums.spread("weighted", weighted, n) / (sums.mean("weighted", weighted, n) + EPS), "VSUMP": gain, "VSUMN": loss, "VSUMD": net,
     }
 
 
 FAMILIES = (stats, ols, quantiles, ranks, extremes, correlations, counts, volumes)
 
 
-def feature_columns(families=FAMILIES, windows=WINDOWS) -> dict[str, Column]:
-    return {f"{name}{n}": c for family in families for n in windows for name, c in family(n).items()}
-
-
 def features(panel: DataFrame, families=FAMILIES, windows=WINDOWS) -> DataFrame:
-    """``symbol, trade_date`` and the features; all frames share one sort by symbol and date."""
-    bars = {} if families is not FAMILIES else kbar()
-    columns = bars | feature_columns(families, windows)
-    return base(panel).select("symbol", "trade_date", *[c.alias(k) for k, c in columns.items()])
+    """``symbol, trade_date`` and the features; all windows share one sort by symbol, chunk and date."""
+    sums = Sums()
+    columns = dict(kbar()) if families is FAMILIES else {}
+    columns |= {f"{name}{n}": c for family in families for n in windows for name, c in family(n, sums).items()}
+    rows = sums.add_to(base(panel))
+    if {stats, extremes} & set(families):
+        rows = with_extremes(rows)
+    if {quantiles, ranks} & set(families):
+        rows = with_closes(rows)
+    named = rows.select("symbol", "trade_date", "leads", *[c.alias(k) for k, c in columns.items()])
+    return named.where(~F.col("leads")).drop("leads")
 
 
 def forward_labels(panel: DataFrame, ahead: int = 5) -> DataFrame:

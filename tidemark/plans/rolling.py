@@ -10,8 +10,6 @@ from tidemark.plans.factors import shown
 from tidemark.plans.registry import query
 from tidemark.sources.market import panel, with_
 
-UNTIL = "1996-08-31"
-
 BASE_SQL = with_("panel") + f""",
 base AS (SELECT symbol, trade_date, n, open, high, low, close, volume::DOUBLE AS volume, close / lag(close) OVER s AS ret, close - lag(close) OVER s AS delta, volume::DOUBLE - lag(volume) OVER s AS vdelta,
   abs(close / lag(close) OVER s - 1) * volume AS weighted, ln(volume::DOUBLE + 1) AS log_v, ln(volume::DOUBLE / nullif(lag(volume) OVER s, 0) + 1) AS log_ratio,
@@ -42,18 +40,14 @@ FAMILY_SQL = {
 }
 
 
-def family_sql(name: str, windows=ops.WINDOWS) -> str:
+def family_sql(name: str, windows=ops.WINDOWS, digits: int = 6) -> str:
     """Each window as one SELECT over its own frame, joined by key."""
     parts = [
-        f"w{n} AS (SELECT symbol, trade_date, {', '.join(f'round({x.replace("{n}", str(n))}, 6) + 0.0 AS {k}{n}' for k, x in FAMILY_SQL[name].items())} FROM base WINDOW s AS (PARTITION BY symbol ORDER BY trade_date), w AS (PARTITION BY symbol ORDER BY trade_date ROWS {n - 1} PRECEDING))"
+        f"w{n} AS (SELECT symbol, trade_date, {', '.join(f'round({x.replace("{n}", str(n))}, {digits}) + 0.0 AS {k}{n}' for k, x in FAMILY_SQL[name].items())} FROM base WINDOW s AS (PARTITION BY symbol ORDER BY trade_date), w AS (PARTITION BY symbol ORDER BY trade_date ROWS {n - 1} PRECEDING))"
         for n in windows
     ]
     joins = " ".join(f"JOIN w{n} USING (symbol, trade_date)" for n in windows[1:])
-    return f"{BASE_SQL}, {', '.join(parts)} SELECT * FROM w{windows[0]} {joins} WHERE trade_date <= DATE '{UNTIL}'"
-
-
-def early(df: DataFrame) -> DataFrame:
-    return shown(df.where(F.col("trade_date") <= F.lit(UNTIL).cast("date")))
+    return f"{BASE_SQL}, {', '.join(parts)} SELECT * FROM w{windows[0]} {joins}"
 
 
 @query("kbar_shapes", BASE_SQL + f" SELECT symbol, trade_date, {', '.join(f'round({x}, 6) + 0.0 AS {k}' for k, x in KBAR_SQL.items())} FROM base", dates="trade_date")
@@ -62,9 +56,11 @@ def kbar_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _family(name: str, registered: str) -> None:
-    @query(registered, family_sql(name), dates="trade_date")
+    digits = 8 if name in ("quantiles", "stats") else 6  # means of prices over a price end on a five in the seventh place now and then
+
+    @query(registered, family_sql(name, digits=digits), dates="trade_date")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return early(ops.features(panel(spark, d), (getattr(ops, name),)))
+        return shown(ops.features(panel(spark, d), (getattr(ops, name),)), digits)
 
 
 for _name, _registered in (("stats", "rolling_stats"), ("ols", "rolling_ols"), ("quantiles", "rolling_quantiles"), ("ranks", "rolling_rank"), ("extremes", "rolling_rsv_argext"), ("correlations", "rolling_corr"), ("counts", "updown_counts"), ("volumes", "volume_features")):
@@ -80,10 +76,10 @@ def forward_labels(spark: SparkSession, d: str) -> DataFrame:
     return shown(ops.forward_labels(panel(spark, d)))
 
 
-@query("label_zscore", LABEL_SQL + " SELECT symbol, trade_date, round((label - avg(label) OVER d) / nullif(stddev_pop(label) OVER d, 0), 6) + 0.0 AS z FROM labels0 WHERE label IS NOT NULL AND trade_date < DATE '1997-04-01' WINDOW d AS (PARTITION BY trade_date)", dates="trade_date")
+@query("label_zscore", LABEL_SQL + " SELECT symbol, trade_date, round((label - avg(label) OVER d) / nullif(stddev_pop(label) OVER d, 0), 6) + 0.0 AS z FROM labels0 WHERE label IS NOT NULL WINDOW d AS (PARTITION BY trade_date)", dates="trade_date")
 def label_zscore(spark: SparkSession, d: str) -> DataFrame:
     """Labels against the cross-section of their day."""
-    rows = ops.forward_labels(panel(spark, d)).where(F.col("label").isNotNull() & (F.col("trade_date") < F.lit("1997-04-01").cast("date")))
+    rows = ops.forward_labels(panel(spark, d)).where(F.col("label").isNotNull())
     day = Window.partitionBy("trade_date")
     return shown(rows.select("symbol", "trade_date", ((F.col("label") - F.avg("label").over(day)) / F.nullif(F.stddev_pop("label").over(day), F.lit(0.0))).alias("z")))
 
