@@ -22,6 +22,23 @@ def at_last(rows: DataFrame, day: Column) -> DataFrame:
     return rows.where(F.col("trade_date") == day)
 
 
+#: Days before the day of a factor table that its windows may reach, the longest of which has 250 rows.
+LOOKBACK = 300
+
+
+def recent(panel: DataFrame, day: Column, base_day: Column | None = None, days: int = LOOKBACK) -> DataFrame:
+    """The panel's last ``days`` days up to ``day``, and what earlier rows still give: ``earlier`` and ``base_close``.
+
+    Windows then run over a bounded part of each history, and the filter on the
+    date stands below them. The number of earlier rows and the last close up to
+    ``base_day`` are plain aggregates by symbol.
+    """
+    at, cut = F.col("trade_date"), F.date_sub(day, days)
+    last = F.max_by("close", F.when(at <= base_day, at)) if base_day is not None else F.lit(None).cast("double")
+    before = panel.where(at <= F.greatest(cut, base_day) if base_day is not None else at <= cut).groupBy("symbol").agg(F.count_if(at <= cut).alias("earlier"), last.alias("base_close"))
+    return panel.where((at > cut) & (at <= day)).join(before, "symbol", "left")
+
+
 def price_columns() -> dict[str, Column]:
     """Position in the range, distances from highs and means, history; windows must be full."""
     C, _, A = _columns()
@@ -52,18 +69,22 @@ def steps(panel: DataFrame) -> DataFrame:
     return panel.withColumns({"step_r": change(C, before), "sign": F.signum(C - before)})
 
 
+def deepest_fall(path: Column) -> Column:
+    """The deepest fall of a path of closes from the highest one before, as a fraction; zero at best."""
+    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("fall"))
+    step = lambda s, x: F.struct(F.greatest(s["top"], x).alias("top"), F.least(s["fall"], x / F.greatest(s["top"], x) - 1).alias("fall"))
+    return F.aggregate(path, start, step, lambda s: s["fall"])
+
+
 def risk_columns() -> dict[str, Column]:
     """Volatility, downside volatility, drawdown and signed amount pressure, from ``steps``."""
     _, _, A = _columns()
     r, w20, w60 = F.col("step_r"), rows_back(20), rows_back(60)
     enough = F.count(r).over(w20) == 20
-    path = F.collect_list("close").over(w60)
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("fall"))
-    step = lambda s, x: F.struct(F.greatest(s["top"], x).alias("top"), F.least(s["fall"], x / F.greatest(s["top"], x) - 1).alias("fall"))
     return {
         "realized_vol_20": F.when(enough, F.stddev_pop(r).over(w20)),
         "downside_vol_20": F.when(enough, F.coalesce(F.stddev_pop(F.when(r < 0, r)).over(w20), F.lit(0.0))),
-        "max_drawdown_60": F.when(F.count("close").over(w60) == 60, F.aggregate(path, start, step, lambda s: s["fall"])),
+        "max_drawdown_60": F.when(F.count("close").over(w60) == 60, deepest_fall(F.collect_list("close").over(w60))),
         "signed_amount_pressure_20": F.when(F.count("sign").over(w20) == 20, ratio(F.sum(F.col("sign") * A).over(w20), F.sum("amount").over(w20))),
     }
 
@@ -91,7 +112,7 @@ def against_market(rows: DataFrame, curve: DataFrame) -> DataFrame:
     """Returns against the market of the same date, and their rank across symbols."""
     joined = rows.join(curve, "trade_date")
     relative = {f"relative_ret_{n}": F.col(f"ret_{n}") - F.col(f"market_{n}") for n in (20, 60)}
-    return joined.withColumns(relative | {"ret_rank_20": pct_rank(F.col("ret_20"), F.col("trade_date"))}).drop("r", "market_20", "market_60")
+    return joined.withColumns(relative | {"ret_rank_20": pct_rank(F.col("ret_20"), F.col("trade_date"))}).drop("market_20", "market_60")
 
 
 def momentum_factors(panel: DataFrame) -> DataFrame:
@@ -100,11 +121,58 @@ def momentum_factors(panel: DataFrame) -> DataFrame:
     return against_market(rows, market_curve(rows)).select("symbol", "trade_date", "ret_20", "ret_60", "relative_ret_20", "relative_ret_60", "ret_rank_20", "volume_trend_20")
 
 
+def counted_back(panel: DataFrame) -> DataFrame:
+    """The panel with ``k``, the place of a row counted back from its symbol's last one, and the close before it."""
+    back = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+    return panel.withColumns({"k": F.row_number().over(back), "before": F.lead("close").over(back)})
+
+
+def day_factors(rows: DataFrame, day: Column) -> DataFrame:
+    """The price, momentum and risk factors of ``day`` alone, from ``counted_back`` rows that end on it.
+
+    One day needs no sliding frames: every window is a condition on ``k`` inside
+    one aggregate by symbol. Symbols without a row on the day have none.
+    """
+    C, V, A = _columns()
+    k = F.col("k")
+    r, sign = change(C, F.col("before")), F.signum(C - F.col("before"))
+
+    def whole(aggregate, column: Column, n: int) -> Column:
+        return F.when(F.count(F.when(k <= n, column)) == n, aggregate(F.when(k <= n, column)))
+
+    def at(n: int, column: Column) -> Column:
+        return F.max(F.when(k == n, column))
+
+    close = at(1, C)
+    out = {"history_days": (F.count(F.lit(1)) + F.coalesce(F.max("earlier"), F.lit(0))).cast("int"), "close": close, "amount": at(1, A)}
+    for n in (20, 60, 250):
+        out[f"close_position_{n}"] = ratio(close - whole(F.min, C, n), whole(F.max, C, n) - whole(F.min, C, n))
+    out["dist_to_52w_high"] = ratio(close, whole(F.max, C, 250)) - 1
+    out |= {f"ma{n}_dev": ratio(close, whole(F.avg, C, n)) - 1 for n in (20, 60)}
+    out |= {f"ret_{n}": change(close, at(n + 1, C)) for n in (20, 60)}
+    enough = F.count(F.when(k <= 20, r)) == 20
+    path = F.transform(F.sort_array(F.collect_list(F.when((k <= 60) & C.isNotNull(), F.struct((-k).alias("at"), C.alias("close"))))), lambda x: x["close"])
+    out |= {
+        "turnover_value_20": whole(F.avg, A, 20), "volume_trend_20": ratio(whole(F.avg, V, 5), whole(F.avg, V, 20)), "ret_since_base": change(close, F.max("base_close")),
+        "realized_vol_20": F.when(enough, F.stddev_pop(F.when(k <= 20, r))),
+        "downside_vol_20": F.when(enough, F.coalesce(F.stddev_pop(F.when((k <= 20) & (r < 0), r)), F.lit(0.0))),
+        "max_drawdown_60": F.when(F.count(F.when(k <= 60, C)) == 60, deepest_fall(path)),
+        "signed_amount_pressure_20": F.when(F.count(F.when(k <= 20, sign)) == 20, ratio(F.sum(F.when(k <= 20, sign * A)), F.sum(F.when(k <= 20, A)))),
+    }
+    by = rows.groupBy("symbol").agg(F.max("trade_date").alias("trade_date"), *[c.alias(name) for name, c in out.items()])
+    return by.where(F.col("trade_date") == day)
+
+
+def day_against_market(factors: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds returns against the equal-weight market of the day, and their rank; the curve comes from the same rows."""
+    curve = market_curve(rows.select("trade_date", change(F.col("close"), F.col("before")).alias("r")))
+    return against_market(factors, curve)
+
+
 def bar_factors(panel: DataFrame, day: Column) -> DataFrame:
-    """All price, momentum and risk factors on one day: one sort of the panel for all frames."""
-    rows = _with(steps(panel), ["symbol", "trade_date", "close", "amount"], price_columns() | momentum_columns() | risk_columns())
-    curve = market_curve(_with(panel, ["trade_date"], {"r": momentum_columns()["r"]}))
-    return against_market(rows.where(F.col("trade_date") == day), curve).drop("trade_date")
+    """All price, momentum and risk factors on one day from the ``recent`` part of the panel."""
+    rows = counted_back(panel)
+    return day_against_market(day_factors(rows, day), rows).drop("trade_date")
 
 
 def theme_factors(symbols: DataFrame, themes: DataFrame, day: Column, since: Column) -> DataFrame:
@@ -138,24 +206,32 @@ def capital_factors(symbols: DataFrame, unusual: DataFrame, day: Column, since:
         F.max_by("net_buy", F.when(F.col("net_buy").isNotNull(), F.struct("trade_date", "event_id"))).cast("double").alias("last"),
         F.min_by("net_buy", F.when(F.col("net_buy").isNotNull(), F.struct("trade_date", "event_id"))).cast("double").alias("first"),
     )
+    today = window.where(F.col("trade_date") == day).groupBy("symbol").agg(F.sum("net_buy").cast("double").alias("main_net_inflow"))
     any_rows = window.agg(F.count(F.lit(1)) > 0).scalar()
-    return symbols.join(by, "symbol", "left").select(
-        "symbol",
+    return symbols.join(by, "symbol", "left").join(today, "symbol", "left").select(
+        "symbol", "main_net_inflow",
         F.when(any_rows, F.coalesce("days", F.lit(0))).alias("lhb_count_20"),
         F.when(any_rows, F.when(F.col("days").isNull(), 0.0).otherwise(F.col("net"))).alias("lhb_net_buy_20"),
         change(F.col("last"), F.col("first")).alias("net_chg_20"),
     )
 
 
+#: Items of the latest statement; the last one, debt, counts against safety.
+QUALITY_ITEMS = ("roe_avg", "gross_profit_margin", "net_profit_margin", "current_ratio", "quick_ratio", "cash_ratio", "ebit_to_interest", "cfo_to_or", "cfo_to_np", "cfo_to_gr", "liability_to_asset")
+
+
 def growth_factors(statements: DataFrame, day: Column, periods: int = 8) -> DataFrame:
     """Year-on-year changes, their acceleration, and streaks of positive quarters, as published by ``day``."""
-    known = statements.where(F.col("pub_date") <= day)
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("stat_date"), F.desc("pub_date")))
+    items = ["revenue", "net_profit", "shares", "eps", *QUALITY_ITEMS]
+    newest = statements.where(F.col("pub_date") <= day).groupBy("symbol", "stat_date").agg(F.max_by(F.struct(*items), "pub_date").alias("s"))
+    known = newest.select("symbol", "stat_date", "s.*")  # a restated quarter counts once, as last published
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("stat_date")))
     recent = known.withColumn("rn", place).where(F.col("rn") <= periods)
     # The same quarter one year earlier, by date and not by position.
-    before = known.select("symbol", F.last_day(F.add_months("stat_date", 12)).alias("stat_date"), F.col("revenue").alias("revenue_before"), F.col("net_profit").alias("profit_before"))
+    before = known.select("symbol", F.last_day(F.add_months("stat_date", 12)).alias("stat_date"), F.col("revenue").alias("revenue_before"), F.col("net_profit").alias("profit_before"), F.col("eps").alias("eps_before"))
     rows = recent.join(before, ["symbol", "stat_date"], "left")
     rows = rows.withColumn("revenue_yoy", change(F.col("revenue"), F.col("revenue_before"))).withColumn("profit_yoy", ratio(F.col("net_profit") - F.col("profit_before"), F.abs("profit_before")))
+    rows = rows.withColumn("eps_yoy", ratio(F.col("eps") - F.col("eps_before"), F.abs("eps_before")))
 
     def streak(value: str) -> Column:
         stop = F.min(F.when(~F.coalesce(F.col(value) > 0, F.lit(False)), F.col("rn")))
@@ -168,6 +244,11 @@ def growth_factors(statements: DataFrame, day: Column, periods: int = 8) -> Data
         at("revenue_yoy", 1).alias("revenue_yoy"),
         at("profit_yoy", 1).alias("profit_yoy"),
         (at("revenue_yoy", 1) - at("revenue_yoy", 2)).alias("revenue_acceleration"),
+        at("eps_yoy", 1).alias("eps_yoy"),
+        (at("profit_yoy", 1) - at("profit_yoy", 2)).alias("profit_acceleration"),
+        (at("eps_yoy", 1) - at("eps_yoy", 2)).alias("eps_acceleration"),
+        *[at(q, 1).alias(q) for q in QUALITY_ITEMS[:-1]],
+        (-at(QUALITY_ITEMS[-1], 1)).alias("financial_safety_value"),
         streak("net_profit").cast("int").alias("positive_profit_streak"),
         streak("revenue_yoy").cast("int").alias("positive_growth_streak"),
         F.max(F.when(F.col("rn") == 1, F.col("shares"))).alias("shares"),
@@ -195,9 +276,10 @@ def industry_scores(rows: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("ret_20") > 0, 1.0).when(F.col("ret_20").isNotNull(), 0.0)).alias("breadth"),
         F.avg("revenue_yoy").alias("growth"),
         F.avg("profit_yoy").alias("profit_growth"),
+        F.avg("eps_yoy").alias("eps_growth"),
         F.count(F.lit(1)).alias("members"),
     )
-    ranked = by.select("industry", "members", *[pct_rank(F.col(c)).alias(f"{c}_rank") for c in ("momentum", "breadth", "growth", "profit_growth")])
+    ranked = by.select("industry", "members", *[pct_rank(F.col(c)).alias(f"{c}_rank") for c in ("momentum", "breadth", "growth", "profit_growth", "eps_growth")])
     trend = nullable_mean(F.col("momentum_rank"), F.col("breadth_rank"))
-    grown = nullable_mean(F.col("growth_rank"), F.col("profit_growth_rank"))
+    grown = nullable_mean(F.col("growth_rank"), F.col("profit_growth_rank"), F.col("eps_growth_rank"))
     return ranked.select("industry", "members", nullable_mean(trend, grown).alias("industry_score"))

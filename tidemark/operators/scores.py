@@ -14,15 +14,16 @@ POSITION_FACTORS = ("close_position_20", "close_position_60", "close_position_25
 #: The members of each category, all of them directional.
 MEMBERS = {
     "industry": ("industry_score", "industry_leader_score"),
-    "growth": ("profit_yoy", "revenue_yoy", "revenue_acceleration", "positive_profit_streak", "positive_growth_streak"),
+    "growth": ("profit_yoy", "eps_yoy", "revenue_yoy", "profit_acceleration", "eps_acceleration", "positive_profit_streak", "positive_growth_streak"),
+    "quality": ("roe_avg", "gross_profit_margin", "net_profit_margin", "current_ratio", "quick_ratio", "cash_ratio", "ebit_to_interest", "cfo_to_or", "cfo_to_np", "cfo_to_gr", "financial_safety_value"),
     "valuation": ("pe_ttm_value", "pe_industry_value"),
-    "momentum": ("ret_20", "ret_60", "relative_ret_20", "relative_ret_60", "volume_trend_20"),
+    "momentum": ("ret_20", "ret_60", "ret_since_base", "relative_ret_20", "relative_ret_60", "volume_trend_20"),
     "risk": ("volatility_value", "drawdown_value", "downside_volatility_value"),
     "theme": ("theme_heat_max", "theme_days_20"),
-    "capital": ("lhb_net_buy_rel", "net_chg_20"),
+    "capital": ("lhb_net_buy_rel", "main_net_inflow", "net_chg_20"),
     "liquidity": ("turnover_value_20",),
 }
-WEIGHTS = {"industry": 0.20, "growth": 0.33, "valuation": 0.15, "momentum": 0.15, "risk": 0.08, "theme": 0.02, "capital": 0.02, "liquidity": 0.05}
+WEIGHTS = {"industry": 0.20, "growth": 0.18, "quality": 0.15, "valuation": 0.15, "momentum": 0.15, "risk": 0.08, "theme": 0.02, "capital": 0.02, "liquidity": 0.05}
 
 
 class WeightError(ValueError):

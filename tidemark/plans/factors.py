@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import r6
 from tidemark.operators import factors as ops
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.sources.market import as_of, instruments, panel, statements, theme_days, unusual_trades, with_
 
-PRICE_SQL = """price AS (SELECT symbol, trade_date, close, amount, row_number() OVER s AS history_days,
+PRICE_SQL = """price AS MATERIALIZED (SELECT symbol, trade_date, close, amount, row_number() OVER s AS history_days,
   CASE WHEN count(close) OVER w20 = 20 THEN (close - min(close) OVER w20) / nullif(max(close) OVER w20 - min(close) OVER w20, 0) END AS close_position_20,
   CASE WHEN count(close) OVER w60 = 60 THEN (close - min(close) OVER w60) / nullif(max(close) OVER w60 - min(close) OVER w60, 0) END AS close_position_60,
   CASE WHEN count(close) OVER w250 = 250 THEN (close - min(close) OVER w250) / nullif(max(close) OVER w250 - min(close) OVER w250, 0) END AS close_position_250,
@@ -27,7 +27,7 @@ MOMENTUM_SQL = """lagged2 AS (SELECT symbol, trade_date, close, volume, close /
 market AS (SELECT trade_date, coalesce(avg(r), 0) AS m FROM lagged2 GROUP BY 1),
 curve AS (SELECT trade_date, CASE WHEN row_number() OVER (ORDER BY trade_date) > 20 THEN exp(sum(ln(1 + m)) OVER (ORDER BY trade_date ROWS 19 PRECEDING)) - 1 END AS market_20,
   CASE WHEN row_number() OVER (ORDER BY trade_date) > 60 THEN exp(sum(ln(1 + m)) OVER (ORDER BY trade_date ROWS 59 PRECEDING)) - 1 END AS market_60 FROM market),
-momentum AS (SELECT symbol, trade_date, ret_20, ret_60, ret_20 - market_20 AS relative_ret_20, ret_60 - market_60 AS relative_ret_60,
+momentum AS MATERIALIZED (SELECT symbol, trade_date, ret_20, ret_60, ret_20 - market_20 AS relative_ret_20, ret_60 - market_60 AS relative_ret_60,
   CASE WHEN ret_20 IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date, ret_20 IS NULL ORDER BY ret_20) + (count(*) OVER (PARTITION BY trade_date, ret_20) - 1) / 2.0::DOUBLE) / count(ret_20) OVER (PARTITION BY trade_date) END AS ret_rank_20,
   volume_trend_20 FROM lagged2 JOIN curve USING (trade_date))"""
 
@@ -43,41 +43,53 @@ FALL_SQL = "CASE WHEN n60 = 60 THEN list_min(list_transform(range(1, 61), lambda
 AT_SQL = "trade_date = (SELECT d FROM as_of)"
 
 
-def shown(df: DataFrame) -> DataFrame:
-    """Doubles with six decimals."""
-    return df.withColumns({c: r6(F.col(c)) for c, kind in df.dtypes if kind == "double"})
+def shown(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles with ``digits`` decimals, six by default."""
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c, kind in df.dtypes if kind == "double"})
 
 
 def sql6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
+#: From the last close up to this day the long return is counted.
+BASE_DAY = "1996-06-30"
+
+
+def recent_panel(spark: SparkSession, d: str):
+    """The part of the panel that the factors of its last common day need, and that day."""
+    rows = materialise(panel(spark, d), "panel")  # read for the day, for earlier rows and for the windows, with the date in its scan
+    last = as_of(rows)
+    return ops.recent(rows, last, day(BASE_DAY)), last
+
+
 PRICE_NAMES = ("close_position_20", "close_position_60", "close_position_250", "dist_to_52w_high", "ma20_dev", "ma60_dev", "turnover_value_20")
+RISK_NAMES = ("realized_vol_20", "downside_vol_20", "max_drawdown_60", "signed_amount_pressure_20")
 MOMENTUM_NAMES = ("ret_20", "ret_60", "relative_ret_20", "relative_ret_60", "ret_rank_20", "volume_trend_20")
 
 
 @query("price_factors", with_("panel") + f", {PRICE_SQL} SELECT symbol, history_days::INT AS history_days, {sql6(*PRICE_NAMES)} FROM price WHERE {AT_SQL}")
 def price_factors(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
-    return shown(ops.at_last(ops.price_factors(rows), as_of(rows)).select("symbol", "history_days", *PRICE_NAMES))
+    rows, last = recent_panel(spark, d)
+    return shown(ops.day_factors(ops.counted_back(rows), last).select("symbol", "history_days", *PRICE_NAMES))
 
 
 @query("momentum_factors", with_("panel") + f", {MOMENTUM_SQL} SELECT symbol, {sql6(*MOMENTUM_NAMES)} FROM momentum WHERE {AT_SQL}")
 def momentum_factors(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
-    return shown(ops.at_last(ops.momentum_factors(rows), as_of(rows)).drop("trade_date"))
+    rows, last = recent_panel(spark, d)
+    return shown(ops.bar_factors(rows, last).select("symbol", *MOMENTUM_NAMES))
 
 
 @query("risk_factors", with_("panel") + f", {RISK_SQL} SELECT symbol, {sql6('realized_vol_20', 'downside_vol_20')}, round({FALL_SQL}, 6) + 0.0 AS max_drawdown_60, {sql6('signed_amount_pressure_20')} FROM risk WHERE {AT_SQL}")
 def risk_factors(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
-    return shown(ops.at_last(ops.risk_factors(rows), as_of(rows)).drop("trade_date"))
+    rows, last = recent_panel(spark, d)
+    return shown(ops.day_factors(ops.counted_back(rows), last).select("symbol", *RISK_NAMES))
 
 
-@query("rolling_drawdown", with_("panel") + f", {RISK_SQL} SELECT symbol, trade_date, round({FALL_SQL}, 6) + 0.0 AS max_drawdown_60 FROM risk WHERE n60 = 60 AND trade_date < DATE '1996-06-01'", dates="trade_date")
+@query("rolling_drawdown", with_("panel") + f", {RISK_SQL} SELECT symbol, trade_date, round({FALL_SQL}, 6) + 0.0 AS max_drawdown_60 FROM risk WHERE n60 = 60", dates="trade_date")
 def rolling_drawdown(spark: SparkSession, d: str) -> DataFrame:
     """The trailing drawdown at every row, by a fold over the window's closes."""
-    rows = ops.risk_factors(panel(spark, d)).where(F.col("trade_date") < F.lit("1996-06-01").cast("date"))
+    rows = ops.risk_factors(panel(spark, d))
     return shown(rows.where(F.col("max_drawdown_60").isNotNull()).select("symbol", "trade_date", "max_drawdown_60"))
 
 
@@ -126,27 +138,30 @@ CAPITAL_DAY = "2024-01-25"
 CAPITAL_SQL = f"""uwin AS (SELECT * FROM unusual WHERE trade_date > DATE '{CAPITAL_DAY}' - 20 AND trade_date <= DATE '{CAPITAL_DAY}'),
 ucap AS (SELECT symbol, count(DISTINCT trade_date) AS days, sum(net_buy)::DOUBLE AS net, arg_max(net_buy, (trade_date, event_id)) FILTER (WHERE net_buy IS NOT NULL)::DOUBLE AS last, arg_min(net_buy, (trade_date, event_id)) FILTER (WHERE net_buy IS NOT NULL)::DOUBLE AS first FROM uwin GROUP BY 1),
 capital AS (SELECT i.symbol, CASE WHEN (SELECT count(*) FROM uwin) > 0 THEN coalesce(days, 0) END AS lhb_count_20,
-  CASE WHEN (SELECT count(*) FROM uwin) > 0 THEN CASE WHEN days IS NULL THEN 0.0 ELSE net END END AS lhb_net_buy_20, last / nullif(first, 0) - 1 AS net_chg_20 FROM instruments i LEFT JOIN ucap USING (symbol))"""
+  CASE WHEN (SELECT count(*) FROM uwin) > 0 THEN CASE WHEN days IS NULL THEN 0.0 ELSE net END END AS lhb_net_buy_20, (SELECT sum(net_buy)::DOUBLE FROM uwin u WHERE u.symbol = i.symbol AND trade_date = DATE '{CAPITAL_DAY}') AS main_net_inflow, last / nullif(first, 0) - 1 AS net_chg_20 FROM instruments i LEFT JOIN ucap USING (symbol))"""
 
 
-@query("capital_factors", with_("unusual", "instruments") + f", {CAPITAL_SQL} SELECT symbol, lhb_count_20, {sql6('lhb_net_buy_20', 'net_chg_20')} FROM capital")
+@query("capital_factors", with_("unusual", "instruments") + f", {CAPITAL_SQL} SELECT symbol, lhb_count_20, {sql6('lhb_net_buy_20', 'main_net_inflow', 'net_chg_20')} FROM capital")
 def capital_factors(spark: SparkSession, d: str) -> DataFrame:
     return shown(ops.capital_factors(instruments(spark, d).select("symbol"), unusual_trades(spark, d), day(CAPITAL_DAY), F.date_sub(day(CAPITAL_DAY), 20)))
 
 
 STATEMENT_DAY = "2000-12-31"
-GROWTH_SQL = f"""known AS (SELECT * FROM statements WHERE pub_date <= DATE '{STATEMENT_DAY}'),
+GROWTH_NAMES = ("revenue_yoy", "profit_yoy", "eps_yoy", "revenue_acceleration", "profit_acceleration", "eps_acceleration", *ops.QUALITY_ITEMS[:-1], "financial_safety_value")
+GROWTH_SQL = f"""known AS (SELECT * FROM statements WHERE pub_date <= DATE '{STATEMENT_DAY}' QUALIFY row_number() OVER (PARTITION BY symbol, stat_date ORDER BY pub_date DESC) = 1),
 recent AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY stat_date DESC, pub_date DESC)::INT AS rn FROM known QUALIFY rn <= 8),
-yoy AS (SELECT r.*, r.revenue / nullif(b.revenue, 0) - 1 AS revenue_yoy, (r.net_profit - b.net_profit) / nullif(abs(b.net_profit), 0) AS profit_yoy
+yoy AS (SELECT r.*, r.revenue / nullif(b.revenue, 0) - 1 AS revenue_yoy, (r.net_profit - b.net_profit) / nullif(abs(b.net_profit), 0) AS profit_yoy, (r.eps - b.eps) / nullif(abs(b.eps), 0) AS eps_yoy
   FROM recent r LEFT JOIN known b ON b.symbol = r.symbol AND last_day((b.stat_date + INTERVAL 12 MONTH)::DATE) = r.stat_date),
 growth AS (SELECT symbol, max(revenue_yoy) FILTER (WHERE rn = 1) AS revenue_yoy, max(profit_yoy) FILTER (WHERE rn = 1) AS profit_yoy,
   max(revenue_yoy) FILTER (WHERE rn = 1) - max(revenue_yoy) FILTER (WHERE rn = 2) AS revenue_acceleration,
+  max(eps_yoy) FILTER (WHERE rn = 1) AS eps_yoy, max(profit_yoy) FILTER (WHERE rn = 1) - max(profit_yoy) FILTER (WHERE rn = 2) AS profit_acceleration,
+  max(eps_yoy) FILTER (WHERE rn = 1) - max(eps_yoy) FILTER (WHERE rn = 2) AS eps_acceleration, {', '.join(f'max({q}) FILTER (WHERE rn = 1) AS {q}' for q in ops.QUALITY_ITEMS[:-1])}, -max(liability_to_asset) FILTER (WHERE rn = 1) AS financial_safety_value,
   nullif(coalesce(min(CASE WHEN NOT coalesce(net_profit > 0, false) THEN rn END) - 1, count(*)), 0)::INT AS positive_profit_streak,
   nullif(coalesce(min(CASE WHEN NOT coalesce(revenue_yoy > 0, false) THEN rn END) - 1, count(*)), 0)::INT AS positive_growth_streak,
   max(shares) FILTER (WHERE rn = 1) AS shares, sum(net_profit) FILTER (WHERE rn <= 4) AS profit_ttm, sum(shares) FILTER (WHERE rn <= 4) AS shares_ttm FROM yoy GROUP BY 1)"""
 
 
-@query("fundamental_growth", with_("statements") + f", {GROWTH_SQL} SELECT symbol, {sql6('revenue_yoy', 'profit_yoy', 'revenue_acceleration')}, positive_profit_streak, positive_growth_streak FROM growth")
+@query("fundamental_growth", with_("statements") + f", {GROWTH_SQL} SELECT symbol, {sql6(*GROWTH_NAMES)}, positive_profit_streak, positive_growth_streak FROM growth")
 def fundamental_growth(spark: SparkSession, d: str) -> DataFrame:
     return shown(ops.growth_factors(statements(spark, d), day(STATEMENT_DAY)).drop("shares", "profit_ttm", "shares_ttm"))
 
@@ -184,17 +199,17 @@ def sql_mean(*xs: str) -> str:
     return f"(({' + '.join(f'coalesce({x}, 0)' for x in xs)}) / nullif({' + '.join(f'({x} IS NOT NULL)::INT' for x in xs)}, 0))"
 
 
-INDUSTRY_SQL = f"""members AS (SELECT i.symbol, industry, ret_20, ret_60, revenue_yoy, profit_yoy FROM instruments i LEFT JOIN (SELECT * FROM momentum WHERE {AT_SQL}) USING (symbol) LEFT JOIN growth USING (symbol)),
-industries AS (SELECT industry, avg(ret_60) AS momentum, avg(CASE WHEN ret_20 > 0 THEN 1.0 WHEN ret_20 IS NOT NULL THEN 0.0 END) AS breadth, avg(revenue_yoy) AS growth, avg(profit_yoy) AS profit_growth, count(*) AS members FROM members GROUP BY 1),
-iranks AS (SELECT industry, members, {sql_rank('momentum')} AS m, {sql_rank('breadth')} AS b, {sql_rank('growth')} AS g, {sql_rank('profit_growth')} AS p FROM industries),
-istates AS (SELECT industry, members, {sql_mean('m', 'b')} AS trend, {sql_mean('g', 'p')} AS grown FROM iranks),
+INDUSTRY_SQL = f"""members AS (SELECT i.symbol, industry, ret_20, ret_60, revenue_yoy, profit_yoy, eps_yoy FROM instruments i LEFT JOIN (SELECT * FROM momentum WHERE {AT_SQL}) USING (symbol) LEFT JOIN growth USING (symbol)),
+industries AS (SELECT industry, avg(ret_60) AS momentum, avg(CASE WHEN ret_20 > 0 THEN 1.0 WHEN ret_20 IS NOT NULL THEN 0.0 END) AS breadth, avg(revenue_yoy) AS growth, avg(profit_yoy) AS profit_growth, avg(eps_yoy) AS eps_growth, count(*) AS members FROM members GROUP BY 1),
+iranks AS (SELECT industry, members, {sql_rank('momentum')} AS m, {sql_rank('breadth')} AS b, {sql_rank('growth')} AS g, {sql_rank('profit_growth')} AS p, {sql_rank('eps_growth')} AS e FROM industries),
+istates AS (SELECT industry, members, {sql_mean('m', 'b')} AS trend, {sql_mean('g', 'p', 'e')} AS grown FROM iranks),
 industry_scored AS (SELECT industry, members, {sql_mean('trend', 'grown')} AS industry_score FROM istates)"""
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
-    last = ops.at_last(ops.momentum_factors(rows), as_of(rows)).select("symbol", "ret_20", "ret_60")
-    grown = ops.growth_factors(statements(spark, d), day(STATEMENT_DAY)).select("symbol", "revenue_yoy", "profit_yoy")
+    rows, at = recent_panel(spark, d)
+    last = ops.day_factors(ops.counted_back(rows), at).select("symbol", "ret_20", "ret_60")
+    grown = ops.growth_factors(statements(spark, d), day(STATEMENT_DAY)).select("symbol", "revenue_yoy", "profit_yoy", "eps_yoy")
     return instruments(spark, d).select("symbol", "industry").join(last, "symbol", "left").join(grown, "symbol", "left")
 
 
@@ -205,10 +220,11 @@ def industry_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def factor_table(spark: SparkSession, d: str) -> DataFrame:
     """The wide table ``symbol x factor`` at the panel's last common date; all joins share the symbol."""
-    rows = panel(spark, d)
+    rows, last = recent_panel(spark, d)
     symbols = instruments(spark, d)
     grown = ops.growth_factors(statements(spark, d), day(STATEMENT_DAY))
-    base = symbols.join(ops.bar_factors(rows, as_of(rows)), "symbol").join(grown, "symbol", "left")
+    base = symbols.join(ops.bar_factors(rows, last), "symbol").join(grown, "symbol", "left")
+    base = materialise(base, "factor-base")  # one row a symbol, for the table and for its industries
     base = ops.valuation_factors(base).join(ops.industry_scores(base).drop("members"), "industry", "left")
     for more in (
         ops.theme_factors(symbols.select("symbol"), theme_days(spark, d), day(THEME_DAY), F.date_sub(day(THEME_DAY), 20)),
@@ -221,13 +237,14 @@ def factor_table(spark: SparkSession, d: str) -> DataFrame:
 FACTOR_CTES = with_("panel", "instruments", "statements", "themes", "unusual") + f", {PRICE_SQL}, {MOMENTUM_SQL}, {RISK_SQL}, {THEMES_SQL}, {CAPITAL_SQL}, {GROWTH_SQL}, {VALUATION_SQL}, {INDUSTRY_SQL}, " + f"""
 wide AS (SELECT i.symbol, i.name, i.industry, i.market, p.close, p.amount, p.history_days, {', '.join('p.' + n for n in PRICE_NAMES)}, {', '.join('m.' + n for n in MOMENTUM_NAMES)},
   r.realized_vol_20, r.downside_vol_20, {FALL_SQL} AS max_drawdown_60, r.signed_amount_pressure_20, t.theme_tags, t.theme_heat_max, t.theme_heat_sum, t.theme_days_20,
-  c.lhb_count_20, c.lhb_net_buy_20, c.net_chg_20, g.revenue_yoy, g.profit_yoy, g.revenue_acceleration, g.positive_profit_streak, g.positive_growth_streak,
+  c.lhb_count_20, c.lhb_net_buy_20, c.main_net_inflow, c.net_chg_20, {', '.join('g.' + n for n in GROWTH_NAMES)}, p.close / nullif(b.base_close, 0) - 1 AS ret_since_base, g.positive_profit_streak, g.positive_growth_streak,
   v.pe_ttm, v.pe_ttm_value, v.pe_industry_value, v.market_cap, v.industry_leader_score, s.industry_score, c.lhb_net_buy_20 / nullif(p.turnover_value_20, 0) AS lhb_net_buy_rel,
   (DATE '{STATEMENT_DAY}' - i.listed_date)::INT AS listed_days
   FROM instruments i JOIN (SELECT * FROM price WHERE {AT_SQL}) p USING (symbol) LEFT JOIN (SELECT * FROM momentum WHERE {AT_SQL}) m USING (symbol) LEFT JOIN (SELECT * FROM risk WHERE {AT_SQL}) r USING (symbol)
+  LEFT JOIN (SELECT symbol, arg_max(close, trade_date) AS base_close FROM panel WHERE trade_date <= DATE '{BASE_DAY}' GROUP BY 1) b USING (symbol)
   LEFT JOIN theme t USING (symbol) LEFT JOIN capital c USING (symbol) LEFT JOIN growth g USING (symbol) LEFT JOIN valuations v USING (symbol) LEFT JOIN industry_scored s ON s.industry = i.industry)"""
 
-WIDE_NAMES = (*PRICE_NAMES, *MOMENTUM_NAMES, "realized_vol_20", "downside_vol_20", "max_drawdown_60", "signed_amount_pressure_20", "lhb_net_buy_20", "net_chg_20", "revenue_yoy", "profit_yoy", "revenue_acceleration", "pe_ttm", "pe_ttm_value", "pe_industry_value", "market_cap", "industry_leader_score", "industry_score", "lhb_net_buy_rel")
+WIDE_NAMES = (*PRICE_NAMES, *MOMENTUM_NAMES, "realized_vol_20", "downside_vol_20", "max_drawdown_60", "signed_amount_pressure_20", "lhb_net_buy_20", "main_net_inflow", "net_chg_20", *GROWTH_NAMES, "ret_since_base", "pe_ttm", "pe_ttm_value", "pe_industry_value", "market_cap", "industry_leader_score", "industry_score", "lhb_net_buy_rel")
 WIDE_PLAIN = ("symbol", "name", "industry", "market", "history_days", "theme_tags", "theme_heat_max", "theme_heat_sum", "theme_days_20", "lhb_count_20", "positive_profit_streak", "positive_growth_streak", "listed_days")
 
 

@@ -10,6 +10,7 @@ from tidemark.operators.funnel import Spec, funnel, rejection
 from tidemark.operators.keyed import latest_per_key
 from tidemark.plans.factors import FACTOR_CTES, WIDE_NAMES, day, factor_table, shown, sql6, sql_mean, sql_rank
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.sources.tables import table
 
 #: The low-position screen, with thresholds for the synthetic tables.
@@ -106,8 +107,8 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
 def score_rank(spark: SparkSession, d: str) -> DataFrame:
     """Top 25 of the pool by score, ties to the smaller symbol, with the pool's size."""
     rows = shown(ops.pool_scores(pool(spark, d), ops.WEIGHTS).where(F.col("score").isNotNull()).select("symbol", "score", "score_coverage", *[f"score_{c}" for c in ops.WEIGHTS]))
-    sized = rows.withColumn("pool_size", rows.agg(F.count(F.lit(1))).scalar())
-    top = sized.orderBy(F.desc("score"), "symbol").limit(25)
+    rows = materialise(rows, "scores")  # one row a symbol, for the report and for the pool's size
+    top = rows.withColumn("pool_size", F.lit(rows.count())).orderBy(F.desc("score"), "symbol").limit(25)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "symbol")))
 
 
@@ -156,9 +157,9 @@ def _sql_has(phrases) -> str:
     return "(" + " OR ".join(f"contains(title, '{p}')" for p in phrases) + ")"
 
 
-@query("title_classify", "WITH t AS (SELECT doc_id, regexp_replace(coalesce(substr(text, 1, 40), ''), '\\s+', '', 'g') AS title FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN {_sql_has(p)} THEN '{n}'" for n, p in DEMO_RULES) + f" WHEN {_sql_has(DEMO_AMBIGUOUS)} THEN NULL ELSE 'ignore' END AS category, CASE WHEN {' OR '.join(_sql_has(p) for _, p in DEMO_RULES)} THEN 'classified' WHEN {_sql_has(DEMO_AMBIGUOUS)} THEN 'pending' ELSE 'ignored' END AS status FROM t")
+@query("title_classify", "WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS title FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN {_sql_has(p)} THEN '{n}'" for n, p in DEMO_RULES) + f" WHEN {_sql_has(DEMO_AMBIGUOUS)} THEN NULL ELSE 'ignore' END AS category, CASE WHEN {' OR '.join(_sql_has(p) for _, p in DEMO_RULES)} THEN 'classified' WHEN {_sql_has(DEMO_AMBIGUOUS)} THEN 'pending' ELSE 'ignored' END AS status FROM t")
 def title_classify(spark: SparkSession, d: str) -> DataFrame:
-    category, status = ops.classify(F.substring("text", 1, 40), DEMO_RULES, DEMO_AMBIGUOUS)
+    category, status = ops.classify(F.col("text"), DEMO_RULES, DEMO_AMBIGUOUS)
     return table(spark, d, "documents").select("doc_id", category.alias("category"), status.alias("status"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -61,6 +63,36 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(own)
     return own
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    This cuts the lineage and lets several consumers use one computation; a
+    lost executor loses nothing, since the files are in the shared folder.
+    The table is removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+
+    def tidy() -> None:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the session has gone, and its folder with it
+            return
+
+    atexit.register(tidy)
+    return spark.read.schema(df.schema).parquet(path)

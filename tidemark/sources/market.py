@@ -77,13 +77,24 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly statements by symbol; published 45 days after the quarter's end."""
     day = F.to_date("l_shipdate")
     end = F.last_day(F.add_months(F.trunc(day, "quarter"), 2))
+    item = lambda share: F.sum((F.col("l_extendedprice").cast("decimal(18,2)") * F.col(share).cast("decimal(18,2)")).cast("decimal(38,4)")).cast("double")
     revenue = F.sum((F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(18,2)"))).cast("decimal(38,4)"))
     rows = table(spark, sf_dir, "lineitem").groupBy(symbol_of(F.col("l_suppkey")).alias("symbol"), end.alias("stat_date")).agg(
         revenue.cast("double").alias("revenue"),
         (revenue - F.count(F.lit(1)) * 48000).cast("double").alias("net_profit"),
         F.sum(F.round("l_quantity").cast("bigint")).alias("shares"),
+        item("l_discount").alias("cost"), item("l_tax").alias("tax"),
     )
-    return rows.select("symbol", "stat_date", F.date_add("stat_date", 45).alias("pub_date"), "revenue", "net_profit", "shares")
+    return rows.select("symbol", "stat_date", F.date_add("stat_date", 45).alias("pub_date"), "revenue", "net_profit", "shares", *[F.expr(x).alias(k) for k, x in STATEMENT_RATIOS.items()])
+
+
+#: Ratios of a statement from its items; the same text serves both engines.
+STATEMENT_RATIOS = {
+    "eps": "net_profit / nullif(shares, 0)", "roe_avg": "net_profit / nullif(shares * 1000, 0)", "gross_profit_margin": "(revenue - cost) / nullif(revenue, 0)",
+    "net_profit_margin": "net_profit / nullif(revenue, 0)", "current_ratio": "revenue / nullif(tax * 20, 0)", "quick_ratio": "(revenue - cost) / nullif(tax * 20, 0)",
+    "cash_ratio": "cost / nullif(tax, 0)", "ebit_to_interest": "(net_profit + tax) / nullif(cost, 0)", "cfo_to_or": "(revenue - tax) / nullif(revenue, 0)",
+    "cfo_to_np": "(revenue - tax) / nullif(net_profit, 0)", "cfo_to_gr": "(revenue - cost - tax) / nullif(revenue, 0)", "liability_to_asset": "tax / nullif(revenue + tax, 0)",
+}
 
 
 def theme_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +129,7 @@ closes AS (
   SELECT symbol, n, volume, amount, round(100.0::DOUBLE * exp((sum(step) OVER (PARTITION BY symbol ORDER BY n))::DOUBLE / 50000.0::DOUBLE), 4) AS close FROM steps),
 lagged AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY n) AS pre_close FROM closes),
 opened AS (SELECT *, coalesce(pre_close, close) * (1 + ((n * 37) % 11 - 5)::DOUBLE / 1009.0::DOUBLE) AS open FROM lagged),
-panel AS (
+panel AS MATERIALIZED (
   SELECT symbol, (DATE '1996-01-01' + n::INT) AS trade_date, n::INT AS n, open,
          greatest(open, close) * (1 + ((n * 13) % 7)::DOUBLE / 1009.0::DOUBLE) AS high,
          least(open, close) * (1 - ((n * 17) % 7)::DOUBLE / 1009.0::DOUBLE) AS low, close, pre_close, volume, amount
@@ -129,10 +140,12 @@ as_of AS (SELECT min(d) AS d FROM (SELECT max(trade_date) AS d FROM panel GROUP
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   LEFT JOIN (SELECT l_suppkey, min(l_shipdate::DATE) AS listed_date FROM lineitem GROUP BY 1) l ON s_suppkey = l_suppkey)""",
     "statements": """statements AS (
-  SELECT symbol, stat_date, stat_date + 45 AS pub_date, revenue::DOUBLE AS revenue, (revenue - lines * 48000)::DOUBLE AS net_profit, shares
+  SELECT symbol, stat_date, stat_date + 45 AS pub_date, revenue, net_profit, shares, """ + ", ".join(f"{x} AS {k}" for k, x in STATEMENT_RATIOS.items()) + """ FROM (
+  SELECT symbol, stat_date, revenue::DOUBLE AS revenue, (revenue - lines * 48000)::DOUBLE AS net_profit, shares, cost::DOUBLE AS cost, tax::DOUBLE AS tax
   FROM (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, last_day((date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH)::DATE) AS stat_date,
                sum((l_extendedprice::DECIMAL(18,2) * (1 - l_discount::DECIMAL(18,2)))::DECIMAL(38,4)) AS revenue, count(*) AS lines,
-               sum(round(l_quantity)::BIGINT)::BIGINT AS shares FROM lineitem GROUP BY 1, 2))""",
+               sum((l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(18,2))::DECIMAL(38,4)) AS cost, sum((l_extendedprice::DECIMAL(18,2) * l_tax::DECIMAL(18,2))::DECIMAL(38,4)) AS tax,
+               sum(round(l_quantity)::BIGINT)::BIGINT AS shares FROM lineitem GROUP BY 1, 2)))""",
     "themes": """themes AS (
   SELECT trade_date, symbol, string_agg(one, '、' ORDER BY one) AS reason FROM (
     SELECT DISTINCT l_shipdate::DATE AS trade_date, lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, string_split(p_type, ' ')[1] || '+' || p_brand AS one
