@@ -78,9 +78,10 @@ def brute(rows, scale, zero_ok, k=20):
 def test_search_equals_brute_force(spark, search, monkeypatch):
     rows = vectors()
     monkeypatch.setattr(cover_tree, "DATA_ROWS", 150)
+    monkeypatch.setattr(cover_tree, "QUERY_ROWS", 10)
     monkeypatch.setattr(tile_search, "DATA_ROWS", 150)
     monkeypatch.setattr(tile_search, "QUERY_ROWS", 20)
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("embedding", "embedding")
+    table = spark.createDataFrame([(*r, 1, "clash", 2) for r in rows], "vec_id long, embedding array<float>, block int, near string, dim int")
     module, want = (cover_tree, brute(rows, 64, True)) if search == "exact" else (tile_search, brute(rows, None, False))
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in module.digest(table).collect()}
     assert got == want
@@ -95,12 +96,75 @@ def test_bounds_hold():
     yq, ys, yn, ye = tile_search.quantise(y)
     rough = (xq.astype(float) @ yq.astype(float).T) * xs[:, None] * ys[None]
     assert (np.abs(rough - x @ y.T) <= xe[:, None] * yn[None] + (xn + xe)[:, None] * ye[None] + 1e-12).all()
-    ids = np.arange(60)
-    tree = cover_tree.Tree(ids, np.floor(y * 64))
-    for node in range(len(tree.radius)):
-        a, b = tree.ranges[node]
-        top = cover_tree.bound(np.floor(x[0] * 64), 0.0, float(np.linalg.norm(np.floor(x[0] * 64))), tree.centre[[node]], tree.radius[[node]], tree.norm[[node]])[0]
-        assert (tree.points[a:b].astype(float) @ np.floor(x[0] * 64)).max() <= top
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "tight", "copies", "line"])
+def test_cover_tree_keeps_its_invariants(kind):
+    """Covering, separation and nesting at every node, ranges that divide their parent's, and bounds that hold."""
+    rng = np.random.default_rng(3)
+    x = {
+        "random": rng.normal(size=(700, 12)), "clustered": rng.normal(size=(9, 12))[rng.integers(0, 9, 700)] + 0.05 * rng.normal(size=(700, 12)),
+        "tight": 50 + 0.1 * rng.normal(size=(700, 12)), "copies": np.repeat(rng.normal(size=(7, 12)), 100, 0), "line": np.arange(700.0)[:, None] * np.ones(12),
+    }[kind]
+    x = np.floor(x * 64)
+    tree = cover_tree.Tree(np.arange(700), x)
+    points = tree.points.astype(float)
+    assert sorted(tree.ids) == list(range(700)) and (x[tree.ids] == points).all()
+    inner = 0
+    for node, ((lo, hi), (first, last)) in enumerate(zip(tree.ranges, tree.kids, strict=True)):
+        assert np.sqrt(((points[lo:hi] - points[tree.row[node]]) ** 2).sum(1)).max() <= tree.radius[node]
+        if first == last:
+            assert hi - lo <= cover_tree.LEAF or (points[lo:hi] == points[lo]).all()
+            continue
+        inner += 1
+        assert [tree.ranges[first][0], *tree.ranges[first:last, 1]] == [lo, *tree.ranges[first + 1 : last, 0], hi]
+        reach = tree.radius[node] / cover_tree.BASE
+        assert (tree.radius[first:last] <= reach * (1 + 1e-6) + 1e-6).all()
+        centres = points[tree.row[first:last]]
+        away = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[~np.eye(last - first, dtype=bool)]
+        assert away.min() > reach * (1 - 1e-6) - 1e-6 and tree.row[node] == tree.row[first]
+    assert inner > 0
+    queries = cover_tree.Tree(np.arange(40), np.floor(rng.normal(size=(40, 12)) * 64), 4)
+    nodes, others = np.arange(len(queries.radius)), np.arange(len(tree.radius))
+    high, low = cover_tree.bounds(queries, nodes, queries.points.astype(float), tree, others, points)
+    true = queries.points.astype(float) @ points.T
+    for i, (a, b) in enumerate(queries.ranges):
+        for j, (c, d) in enumerate(tree.ranges):
+            assert low[i, j] <= true[a:b, c:d].min() and true[a:b, c:d].max() <= high[i, j]
+
+
+def test_dual_trees_prune_clusters():
+    """Of tight clusters most node pairs go; what is found is exact."""
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * (rng.normal(size=(40, 24))[rng.integers(0, 40, 2000)] + 0.02 * rng.normal(size=(2000, 24))))
+    ids = np.arange(2000)
+    queries, data = cover_tree.Tree(ids[::20], x[::20], cover_tree.QUERY_LEAF), cover_tree.Tree(ids, x)
+    search = cover_tree.Search(queries, 20)
+    search.run(data)
+    assert search.products < 0.1 * 100 * 2000
+    at = {int(v): i for i, v in enumerate(queries.ids)}
+    for q in ids[::20]:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert search.held[at[q]][0].tolist() == np.lexsort((ids, -scores))[:20].tolist()
+
+
+def test_scores_beyond_double_precision_are_exact(spark):
+    """Ranks and scores as by whole numbers of any length: 2**53 is passed, and 2**63 as well."""
+    rng = np.random.default_rng(6)
+    rows = [(20, [1e8 + 1, 1.0]), (1, [1e8 + 3, 1.0]), (2, [1e8 + 3, 2.0]), (3, [-1e9, 7.0]), (40, [2e9, 1.0]), (4, [3e18, 0.0])]
+    rows += [(100 + i, [float(v) for v in rng.integers(-(10**8), 10**8, 2)]) for i in range(120)]
+    whole = {i: [int(c) for c in v] for i, v in rows}
+    found = cover_tree.exact_top_k(spark.createDataFrame(rows, "vec_id long, vec array<double>"), 20).collect()
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], int(r["score"])) for r in found}
+    want = {}
+    for q in (i for i in whole if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        want |= {(q, rank): (i, -score) for rank, (score, i) in enumerate(scored[:20], 1)}
+    assert got == want
+    table = spark.createDataFrame([(i, [c / 64 for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    shown = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in cover_tree.digest(table).collect()}
+    assert shown == {k: (i, s if abs(s) < 2**63 else None) for k, (i, s) in want.items()} and None in {s for _, s in shown.values()}
 
 
 def test_pipeline_by_stages(spark, odd_rows, odd_docs, monkeypatch):

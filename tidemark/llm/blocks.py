@@ -31,7 +31,7 @@ def clean_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def numbered_blocks(rows: DataFrame, block_rows: int, cell: Column | None = None) -> tuple[DataFrame, int]:
-    """``rows`` with a column ``block``; blocks hold one dimension and about ``block_rows`` rows.
+    """``rows`` with columns ``block, cell, part``; blocks hold one dimension and about ``block_rows`` rows.
 
     A block is a part of a cell (by default of a dimension). The number of
     blocks is known from one count for each cell, and rows are dealt to the
@@ -42,11 +42,11 @@ def numbered_blocks(rows: DataFrame, block_rows: int, cell: Column | None = None
     per = per.withColumn("first", F.coalesce(F.sum("parts").over(Window.orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     total = per.agg(F.sum("parts")).first()[0] or 0
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    return rows.join(per, ["dim", "cell"]).withColumn("block", F.col("first") + part).drop("parts", "first", "cell"), total
+    return rows.join(per, ["dim", "cell"]).withColumn("part", part).withColumn("block", F.col("first") + F.col("part")).drop("parts", "first"), total
 
 
 def packed(rows: DataFrame, make: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
-    """One row per block: ``make(ids, matrix)`` gives its columns; ids are sorted.
+    """One row per block: ``make(ids, matrix)`` gives its columns, the others are those of its rows; ids are sorted.
 
     Blocks have a bounded number of rows, so a group is a bounded piece of work.
     """
@@ -55,8 +55,7 @@ def packed(rows: DataFrame, make: Callable[[np.ndarray, np.ndarray], dict], sche
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         made = make(pdf["vec_id"].to_numpy(np.int64), np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1))
-        made |= {"block": int(pdf["block"].iloc[0]), "dim": int(pdf["dim"].iloc[0])}
-        return pd.DataFrame({n: [made[n]] for n in names})
+        return pd.DataFrame({n: [made[n] if n in made else int(pdf[n].iloc[0])] for n in names})
 
     return rows.groupBy("block").applyInPandas(work, schema)
 

@@ -4,29 +4,35 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from decimal import Decimal
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import best_of, clean_vectors, numbered_blocks, packed, table_of, top_k
+from tidemark.llm.blocks import best_of, clean_vectors, numbered_blocks, packed, top_k
 from tidemark.llm.shared import arrow_map, materialise
 from tidemark.session import ship_package
 
 TOP_K = 20
 QUERY_EVERY = 20
 SCALE = 64
-#: A node's children cover its points at the node's radius divided by this.
+#: A node's children cover its points at the node's radius divided by this, and their centres lie further apart.
 BASE = 1.5
-#: A node with more centres than this at the next radius gives the rest to their nearest centre.
-FANOUT = 16
-LEAF = 48
-#: Rows of a block.
-DATA_ROWS = 8_192
-#: Points from which the cells of the top layer are grown, and the cells.
-SAMPLE = 2_048
-CELLS = 64
+#: A node with so many points or fewer is not divided, in trees of data and of queries.
+LEAF, QUERY_LEAF = 16, 4
+#: Rows of a block of data, and of a block of queries.
+DATA_ROWS, QUERY_ROWS = 8_192, 2_048
+#: Data blocks that a task takes for one query block.
+BLOCKS_A_TASK = 8
+#: Points from which the cells of the top layer are grown, and the cells of one dimension.
+SAMPLE, CELLS = 2_048, 64
+#: Points compared at a time while a node is divided, and query nodes bounded at a time.
+CHUNK, GROUP = 512, 64
+#: Scores of more digits than a decimal holds stand at its ends.
+LIMIT = 10**38 - 1
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -37,167 +43,284 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows."""
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T), 0)
+
+
+def greedy_cover(x: np.ndarray, first: int, reach: float) -> np.ndarray:
+    """Rows that are centres: every row lies within ``reach`` of one, and centres lie further apart than that."""
+    centres, limit = [first], reach * reach
+    for lo in range(0, len(x), CHUNK):
+        part = np.arange(lo, min(lo + CHUNK, len(x)))
+        bare = part[(apart(x[part], x[centres]) > limit).all(1)]
+        between, left = apart(x[bare], x[bare]), np.ones(len(bare), bool)
+        for i in range(len(bare)):
+            if left[i]:
+                centres.append(int(bare[i]))
+                left &= between[i] > limit
+    return np.array(centres)
+
+
+def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The angle of each row with its partner; half a turn if either is zero."""
+    size = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
+    cos = np.divide((x * y).sum(1), size, out=np.full(len(x), -1.0), where=size > 0)
+    return np.arccos(np.clip(cos, -1, 1))
+
+
 class Tree:
     """A cover tree over rows of a matrix; each node covers one range of the reordered rows.
 
-    A node has a centre (one of its points), its covering radius (the largest
-    distance of its points from the centre, measured), a range of rows, and its
-    children in one range of nodes.
+    A node has a centre (one of its points), its radius (the largest distance
+    of its points from the centre), a range of rows, and its children in one
+    range of nodes. Covering: a child's points lie within ``reach``, the
+    parent's radius divided by ``BASE``, of the child's centre. Separation:
+    centres of siblings lie further apart than that. Nesting: the parent's
+    centre is the first child's. Levels on which nothing would change are left
+    out, since a radius is measured, not halved. Nodes of at most ``leaf``
+    points, and nodes of equal points, are leaves.
     """
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> None:
         order = np.arange(len(ids))
-        centre, radius, ranges, kids = [], [], [], []
+        centre, radius, reach, ranges, kids = [], [], [], [], []
 
-        def add(lo: int, hi: int, c: int) -> int:
-            d = np.sqrt(((points[order[lo:hi]] - points[c]) ** 2).sum(1))
-            centre.append(c)
-            radius.append(float(d.max()) if hi > lo else 0.0)
-            ranges.append((lo, hi))
-            kids.append((0, 0))
-            return len(centre) - 1
+        def add(cs: list[int], lows: list[int], ends: list[int], radii: list[float], limit: float) -> None:
+            centre.extend(cs)
+            radius.extend(radii)
+            reach.extend([limit] * len(cs))
+            ranges.extend(zip(lows, ends, strict=True))
+            kids.extend([(0, 0)] * len(cs))
 
         if len(ids):
-            add(0, len(ids), 0)
+            top = float(np.sqrt(((points - points[0]) ** 2).sum(1).max()))
+            add([0], [0], [len(ids)], [top], top)
         at = 0
         while at < len(centre):
             lo, hi = ranges[at]
-            if hi - lo > LEAF and radius[at] > 0:
-                rows = order[lo:hi]
-                x = points[rows]
-                near = np.sqrt(((x - points[centre[at]]) ** 2).sum(1))  # nesting: a node's centre leads its first child
-                owner, cs = np.zeros(hi - lo, int), [centre[at]]
-                while len(cs) < FANOUT and near.max() > radius[at] / BASE:
-                    c = int(near.argmax())
-                    cs.append(int(rows[c]))
-                    d = np.sqrt(((x - x[c]) ** 2).sum(1))
-                    closer = d < near
-                    owner[closer], near = len(cs) - 1, np.minimum(near, d)
+            if hi - lo > leaf and radius[at] > 0:
+                rows = order[lo:hi].copy()
+                x = points[rows] - points[centre[at]]  # near the node, so that squares lose nothing
+                cs = greedy_cover(x, int(np.flatnonzero(rows == centre[at])[0]), radius[at] / BASE)
+                owner = np.concatenate([apart(x[a : a + CHUNK], x[cs]).argmin(1) for a in range(0, len(x), CHUNK)]) if len(cs) < len(x) else np.zeros(len(x), int)
+                owner[cs] = np.arange(len(cs))
                 by = np.argsort(owner, kind="stable")
                 order[lo:hi] = rows[by]
-                ends = lo + np.cumsum(np.bincount(owner, minlength=len(cs)))
-                begin = len(centre)
-                for c, a, b in zip(cs, [lo, *ends[:-1]], ends, strict=True):
-                    if b > a:
-                        add(int(a), int(b), c)
-                kids[at] = (begin, len(centre))
+                counts = np.bincount(owner, minlength=len(cs))
+                ends = lo + np.cumsum(counts)
+                far = np.maximum.reduceat(np.sqrt(((x - x[cs[owner]]) ** 2).sum(1))[by], ends - counts - lo)
+                kids[at] = (len(centre), len(centre) + len(cs))
+                add(rows[cs].tolist(), (ends - counts).tolist(), ends.tolist(), far.tolist(), radius[at] / BASE)
             at += 1
         self.ids, self.points = ids[order], narrow(points[order])
-        self.centre = points[centre].reshape(len(centre), points.shape[1])
-        self.radius = np.array(radius) * (1 + 1e-9) + 1e-9  # above any rounding of the distances
-        self.norm = np.sqrt((self.centre**2).sum(1))
+        where = np.empty(len(order), int)
+        where[order] = np.arange(len(order))
+        self.row = where[np.array(centre, int)]
+        self.radius, self.reach = np.array(radius) * (1 + 1e-9) + 1e-9, np.array(reach)  # above any rounding of the distances
         self.ranges, self.kids = np.array(ranges).reshape(-1, 2), np.array(kids).reshape(-1, 2)
+        # Norms and angles of what a node holds, for the bound by angle.
+        x = self.points.astype(np.float64)
+        size, heads = np.sqrt((x * x).sum(1)), x[self.row]
+        self.norm = size[self.row]
+        self.least, self.most, self.turn = np.zeros(len(centre)), np.zeros(len(centre)), np.zeros(len(centre))
+        for i, (a, b) in enumerate(self.ranges):
+            self.least[i], self.most[i] = size[a:b].min(), size[a:b].max()
+            if b - a > 1 and radius[i] > 0:
+                self.turn[i] = angles(x[a:b], np.broadcast_to(heads[i], (b - a, x.shape[1]))).max() + 1e-7
 
+    def __len__(self) -> int:
+        return len(self.ids)
 
-def bound(c1: np.ndarray, r1: float, n1: float, c2: np.ndarray, r2: np.ndarray, n2: np.ndarray) -> np.ndarray:
-    """No inner product between points of a node and points of each other node is larger."""
-    top = c2 @ c1 + r1 * n2 + r2 * n1 + r1 * r2
-    return top + np.abs(top) * 1e-9 + 1e-6
+
+def bounds(q: Tree, q_nodes: np.ndarray, q_points: np.ndarray, d: Tree, d_nodes: np.ndarray, d_points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """No inner product between points of two nodes is above the first matrix or below the second.
+
+    The covering radii give one bound; norms and angles give another, which is
+    closer for nodes of nearly equal norms. The tighter one holds.
+    """
+    with np.errstate(all="ignore"):
+        dot = q_points[q.row[q_nodes]] @ d_points[d.row[d_nodes]].T
+        nq, rq, nd, rd = q.norm[q_nodes][:, None], q.radius[q_nodes][:, None], d.norm[d_nodes][None], d.radius[d_nodes][None]
+        whole = (nq + rq) * (nd + rd)
+        error = whole * 1e-9 + 1e-6
+        room = whole - nq * nd + error
+        high, low = dot + room, dot - room
+        if (q.turn[q_nodes] > 0).any() or (d.turn[d_nodes] > 0).any():
+            theta = np.arccos(np.clip(np.where(nq * nd > 0, dot / (nq * nd), 1.0), -1, 1))
+            spread = q.turn[q_nodes][:, None] + d.turn[d_nodes][None] + 1e-7
+            most, least = q.most[q_nodes][:, None] * d.most[d_nodes][None], q.least[q_nodes][:, None] * d.least[d_nodes][None]
+            near, far = np.cos(np.maximum(theta - spread, 0)), np.cos(np.minimum(theta + spread, np.pi))
+            known = nq * nd > 0
+            high = np.where(known, np.minimum(high, np.where(near >= 0, most, least) * near + error), high)
+            low = np.where(known, np.maximum(low, np.where(far >= 0, least, most) * far - error), low)
+        return np.where(np.isnan(high), np.inf, high), np.where(np.isnan(low), -np.inf, low)
 
 
 class Search:
-    """The best ``k`` of every query of one query tree, over any number of data trees."""
+    """The best ``k`` of every query of one query tree, over any number of data trees.
 
-    def __init__(self, queries: Tree, k: int, worst: np.ndarray) -> None:
-        self.queries, self.k = queries, k
-        self.worst = worst.copy()  # each query's kth score so far, or minus infinity
-        self.vec = np.zeros((len(queries.ids), k), np.int64)
-        self.score = np.full((len(queries.ids), k), -np.inf)
+    Bounds are in double precision with room for its errors. Scores are whole
+    numbers: exact in double precision while they are below 2**53, and numbers
+    of any length where they may be larger (``wide``).
+    """
+
+    def __init__(self, queries: Tree, k: int, worst: np.ndarray | None = None, wide: bool = False) -> None:
+        self.queries, self.k, self.wide = queries, k, wide
+        self.q_points = queries.points.astype(np.float64)
+        #: No kth score of a query can be below this: a kth score so far, or a bound from nodes.
+        self.worst = np.full(len(queries), -np.inf) if worst is None else worst.copy()
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, object if wide else float))] * len(queries)
+        #: Inner products taken, for bounds and for scores.
+        self.products = 0
 
     def run(self, data: Tree) -> None:
         """Descend both trees together."""
-        if not len(data.ids) or not len(self.queries.ids):
+        if not len(data) or not len(self.queries):
             return
-        q, stack = self.queries, [(0, np.array([0]))]
-        self.q_points, points = q.points.astype(np.float64), data.points.astype(np.float64)
+        q, points, stack = self.queries, data.points.astype(np.float64), [(np.array([0]), np.array([0]))]
         while stack:
-            node, others = stack.pop()
-            lo, hi = q.ranges[node]
-            ub = bound(q.centre[node], q.radius[node], q.norm[node], data.centre[others], data.radius[others], data.norm[others])
-            keep = ub >= self.worst[lo:hi].min()
-            others, ub = others[keep], ub[keep]
-            if not len(others):
-                continue
-            first, last = q.kids[node]
-            if last > first:
-                begin, end = data.kids[others].T
-                leaf = others[end == begin]
-                opened = [np.arange(b, e) for b, e in zip(begin, end, strict=True) if e > b]
-                below = np.concatenate([leaf, *opened]) if opened else leaf
-                stack += [(child, below) for child in range(first, last)]
-            else:
-                self._leaf(node, others, ub, data, points)
-
-    def _leaf(self, node: int, others: np.ndarray, ub: np.ndarray, data: Tree, points: np.ndarray) -> None:
+            siblings, others = stack.pop()
+            for lo in range(0, len(siblings), GROUP):
+                nodes = siblings[lo : lo + GROUP]
+                high, low = bounds(q, nodes, self.q_points, data, others, points)
+                self.products += high.size
+                for node, top, least in zip(nodes, high, self._sure(low, data, others), strict=True):
+                    begin, end = q.ranges[node]
+                    np.maximum(self.worst[begin:end], least, out=self.worst[begin:end])
+                    keep = top >= self.worst[begin:end].min()
+                    if not keep.any():
+                        continue
+                    first, last = q.kids[node]
+                    if last > first:
+                        stack.append((np.arange(first, last), self._opened(data, others[keep])))
+                    else:
+                        self._leaf(node, others[keep], top[keep], data, points)
+
+    def _sure(self, low: np.ndarray, data: Tree, others: np.ndarray) -> np.ndarray:
+        """For each query node a score that ``k`` candidates have: nodes are disjoint, so ``k + 1`` points, of which one may be the query's own."""
+        need, size = self.k + 1, np.subtract(*data.ranges[others].T[::-1])
+        if size.sum() < need:
+            return np.full(len(low), -np.inf)
+        some = np.argpartition(low, len(others) - need, 1)[:, -need:] if len(others) > need else np.broadcast_to(np.arange(len(others)), low.shape)
+        scores = np.take_along_axis(low, some, 1)
+        order = np.argsort(-scores, 1)
+        held = np.cumsum(np.take_along_axis(size[some], order, 1), 1) >= need
+        return np.take_along_axis(np.take_along_axis(scores, order, 1), held.argmax(1)[:, None], 1)[:, 0]
+
+    @staticmethod
+    def _opened(data: Tree, nodes: np.ndarray) -> np.ndarray:
+        """The children of the nodes, and the leaves among them as they are."""
+        begin, end = data.kids[nodes].T
+        inner = end > begin
+        if not inner.any():
+            return nodes
+        size = (end - begin)[inner]
+        return np.concatenate([nodes[~inner], np.repeat(begin[inner] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+
+    def _leaf(self, node: int, others: np.ndarray, high: np.ndarray, data: Tree, points: np.ndarray) -> None:
         """One query group against data nodes, the most promising first, in growing portions."""
-        q, (lo, hi), portion = self.queries, self.queries.ranges[node], 4
-        while len(others):
-            worst = self.worst[lo:hi].min()
-            keep = ub >= worst
-            others, ub = others[keep], ub[keep]
-            best = np.argsort(-ub, kind="stable")[:portion]
-            portion *= 4
-            if not len(best):
+        (lo, hi), portion = self.queries.ranges[node], 8
+        while True:
+            keep = high >= self.worst[lo:hi].min()
+            others, high = others[keep], high[keep]
+            if not len(others):
                 return
-            taken, rest = others[best], np.setdiff1d(np.arange(len(others)), best)
-            others, ub = others[rest], ub[rest]
-            begin, end = data.kids[taken].T
-            opened = [np.arange(b, e) for b, e in zip(begin, end, strict=True) if e > b]
-            if opened:
-                new = np.concatenate(opened)
-                others = np.concatenate([others, new])
-                ub = np.concatenate([ub, bound(q.centre[node], q.radius[node], q.norm[node], data.centre[new], data.radius[new], data.norm[new])])
-            leaves = taken[end == begin]
-            if len(leaves):
-                rows = np.concatenate([np.arange(a, b) for a, b in data.ranges[leaves]])
-                self._merge(lo, hi, data.ids[rows], self.q_points[lo:hi] @ points[rows].T)
-
-    def _merge(self, lo: int, hi: int, ids: np.ndarray, scores: np.ndarray) -> None:
+            best = np.argsort(-high, kind="stable")
+            taken, rest = others[best[:portion]], best[portion:]
+            others, high, portion = others[rest], high[rest], portion * 4
+            inner = data.kids[taken, 1] > data.kids[taken, 0]
+            if inner.any():
+                new = self._opened(data, taken[inner])
+                self.products += len(new)
+                others, high = np.concatenate([others, new]), np.concatenate([high, bounds(self.queries, np.array([node]), self.q_points, data, new, points)[0][0]])
+            if not inner.all():
+                begin, end = data.ranges[taken[~inner]].T
+                rows = np.repeat(begin - np.cumsum(end - begin) + end - begin, end - begin) + np.arange((end - begin).sum())
+                self._merge(lo, hi, data.ids[rows], points[rows])
+
+    def _merge(self, lo: int, hi: int, ids: np.ndarray, points: np.ndarray) -> None:
+        self.products += (hi - lo) * len(ids)
+        if self.wide:
+            whole = np.frompyfunc(int, 1, 1)
+            scores = whole(self.q_points[lo:hi]) @ whole(points).T
+        else:
+            scores = self.q_points[lo:hi] @ points.T
         for i in range(lo, hi):
             row = scores[i - lo]
-            some = np.flatnonzero((row >= self.worst[i]) & (ids != self.queries.ids[i]))
-            if not len(some):
+            some = ids != self.queries.ids[i]
+            if not self.wide:
+                some &= row >= self.worst[i]
+            if not some.any():
                 continue
-            held = self.score[i] > -np.inf
-            all_ids, all_scores = np.concatenate([self.vec[i][held], ids[some]]), np.concatenate([self.score[i][held], row[some]])
-            best = top_k(all_ids, all_scores, self.k)
-            self.vec[i][: len(best)], self.score[i][: len(best)] = all_ids[best], all_scores[best]
+            all_ids, all_scores = np.concatenate([self.held[i][0], ids[some]]), np.concatenate([self.held[i][1], row[some]])
+            best = np.array(sorted(range(len(all_ids)), key=lambda j: (-all_scores[j], all_ids[j]))[: self.k]) if self.wide else top_k(all_ids, all_scores, self.k)
+            self.held[i] = (all_ids[best], all_scores[best])
             if len(best) == self.k:
-                self.worst[i] = max(self.worst[i], all_scores[best[-1]])
+                kth = float(all_scores[best[-1]])
+                self.worst[i] = max(self.worst[i], kth - abs(kth) * 1e-12 if self.wide else kth)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, list]:
+        """Query ids, ids and scores of all that is held."""
+        ids = np.repeat(self.queries.ids, [len(v) for v, _ in self.held])
+        vec = np.concatenate([v for v, _ in self.held]) if self.held else np.zeros(0, np.int64)
+        score = np.concatenate([s for _, s in self.held]) if self.held else np.zeros(0)
+        return ids, vec, [Decimal(max(-LIMIT, min(LIMIT, x))) for x in score] if self.wide else score.astype(np.int64).tolist()
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
 
+def _balls(heads: DataFrame) -> DataFrame:
+    """``dim, cell, centre, norm, radius`` around the blocks of each cell, and the least kth score, if any, of its queries."""
+    lead = heads.groupBy("dim", "cell").agg(F.min_by(F.struct("centre", "norm"), "block").alias("lead"))
+    away = F.sqrt(F.aggregate(F.zip_with("centre", "lead.centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    inside = heads.join(lead, ["dim", "cell"]).withColumn("away", away * (1 + 1e-9) + F.col("radius"))
+    return inside.groupBy("dim", "cell").agg(F.any_value("lead.centre").alias("centre"), F.any_value("lead.norm").alias("norm"), F.max("away").alias("radius"), F.min("worst").alias("worst"))
 
-def _found(search: Search, schema_score: pa.DataType) -> Iterator[pa.RecordBatch]:
-    held = search.score > -np.inf
-    ids = np.repeat(search.queries.ids, held.sum(1))
-    yield from table_of([ids], [search.vec[held]], [search.score[held]], schema_score)
+
+def _may_meet(queries: DataFrame, data: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs whose covering radii allow a product that reaches the queries' worst kth score, with the bound ``high``."""
+    d = data.select(*on, *[F.col(c).alias(f"d_{c}") for c in data.columns if c not in on])
+    whole = (F.col("norm") + F.col("radius")) * (F.col("d_norm") + F.col("d_radius"))
+    high = _dot("centre", "d_centre") + whole * (1 + 1e-9) - F.col("norm") * F.col("d_norm") + 1e-6
+    return queries.join(d, on).withColumn("high", high).where(F.isnan("high") | (F.col("high") >= F.col("worst")))
 
 
 def exact_top_k(vectors: DataFrame, every: int = 1, k: int = TOP_K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` largest inner products; exact.
 
-    ``vectors`` has ``vec_id`` and ``vec`` (whole numbers as double, whose
-    products and sums stay below 2**53, so that scores are exact); queries are
-    the rows whose id is divisible by ``every``. A query's own id is no candidate.
-
-    The top layer of the tree is distributed: cells grow around centres from a
-    bounded sample, and a cell with many rows is split into blocks. Each block
-    has a cover tree of its rows and one of its queries. Queries are searched in
-    their own block first, which gives every query group a kth score. A pair of
-    a query block and a data block whose bound is below the worst kth score of
-    the query block is pruned before any vector moves; the others are joined
-    block by block, and each pair is one dual-tree search. Per query and block
-    ``k`` candidates go on at most.
+    ``vectors`` has ``vec_id`` and ``vec`` (whole numbers as double); queries are
+    the rows whose id is divisible by ``every``. A query's own id is no
+    candidate. Scores are exact whole numbers, of type long, or decimal where a
+    product may reach 2**53; one of over 38 digits ranks as the largest (or
+    least) number of 38.
+
+    The top layers of both trees are distributed. Cells grow around centres from
+    a bounded sample; a cell is split into blocks of bounded size, and each
+    block of data and of queries has a cover tree. A query block is first
+    searched in one data block of its own cell, which gives its groups kth
+    scores. Then pairs of cells, of which a dimension has at most ``CELLS``, and
+    pairs of blocks within the cells that are left, are pruned by their covering
+    radii, before any vector moves. What is left goes to tasks by query block,
+    the most promising data blocks first, so that a query's kth score rises from
+    block to block; each pair is one dual-tree search. Per query and task ``k``
+    candidates go on at most.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     rows = materialise(vectors, "vectors")
+    span = rows.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))).alias("most"), F.max(F.size("vec")).alias("dim")).first()
+    wide = bool(span["most"]) and span["most"] ** 2 * span["dim"] >= 2**53
+    kind, number = (pa.decimal128(38), "decimal(38,0)") if wide else (pa.int64(), "long")
     # Centres: farthest points of a sample bounded by SAMPLE rows.
     sample = rows.select("vec").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
     by_dim: dict[int, np.ndarray] = {}
     for dim in {len(r["vec"]) for r in sample} - {0}:
         pts = np.array([r["vec"] for r in sample if len(r["vec"]) == dim]).reshape(-1, dim)
         chosen, near = [0], ((pts - pts[0]) ** 2).sum(1)
-        while len(chosen) < min(CELLS, len(pts) // LEAF + 1) and near.max() > 0:
+        while len(chosen) < min(CELLS, len(pts) // 48 + 1) and near.max() > 0:
             chosen.append(int(near.argmax()))
             near = np.minimum(near, ((pts - pts[chosen[-1]]) ** 2).sum(1))
         by_dim[dim] = pts[chosen]
@@ -213,7 +336,7 @@ def exact_top_k(vectors: DataFrame, every: int = 1, k: int = TOP_K) -> DataFrame
                     out[mine] = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["vec_id", "vec", "near"])
 
-    placed = arrow_map(rows.select("vec_id", "vec"), cells, "vec_id long, vec array<double>, near int")
+    placed = materialise(arrow_map(rows.select("vec_id", "vec"), cells, "vec_id long, vec array<double>, near int"), "placed-vectors")
     # Cells below half a block share blocks with other small cells; a block then has a wider radius, nothing else.
     per = placed.groupBy(F.size("vec").alias("dim"), "near").count().orderBy("dim", "near").collect()
     merged, running = {}, {}
@@ -222,45 +345,62 @@ def exact_top_k(vectors: DataFrame, every: int = 1, k: int = TOP_K) -> DataFrame
         if size + r["count"] > DATA_ROWS:
             start, size = r["near"], 0
         merged[(r["dim"], r["near"])], running[r["dim"]] = start, (start, size + r["count"])
-    cell = F.create_map(*[F.lit(x) for (d, n), c in merged.items() for x in (d * 100_000 + n, c)]) if merged else None
-    blocks_in, total = numbered_blocks(placed, DATA_ROWS, cell[F.size("vec") * 100_000 + F.col("near")] if merged else None)
-
-    def make(ids: np.ndarray, points: np.ndarray) -> dict:
-        own = ids % every == 0
-        data, queries = Tree(ids, points), Tree(ids[own], points[own])
-        search = Search(queries, k, np.full(own.sum(), -np.inf))
-        search.run(data)
-        pairs = search.score > -np.inf
-        return {
-            "data": pickle.dumps(data), "queries": pickle.dumps((queries, search.worst)), "n_queries": int(own.sum()),
-            "worst": float(search.worst.min()) if own.any() else 0.0,
-            "centre": data.centre[0].tolist(), "radius": float(data.radius[0]),
-            "q_centre": queries.centre[0].tolist() if own.any() else [], "q_radius": float(queries.radius[0]) if own.any() else 0.0,
-            "query_id": np.repeat(queries.ids, pairs.sum(1)).tolist(), "vec_id": search.vec[pairs].tolist(), "score": search.score[pairs].tolist(),
-        }
-
-    schema = "block int, dim int, data binary, queries binary, n_queries int, worst double, centre array<double>, radius double, q_centre array<double>, q_radius double, query_id array<long>, vec_id array<long>, score array<double>"
-    trees = materialise(packed(blocks_in, make, schema), "cover-trees")
-    own = trees.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("x")).select("x.*")
-
-    # Node pairs of the top layer, pruned by the same bound; block numbers come from a sequence, in blocks.
-    heads = trees.select(F.col("block").alias("q_block"), "dim", "n_queries", "worst", "q_centre", "q_radius").where("n_queries > 0")
-    tails = trees.select(F.col("block").alias("d_block"), "dim", "centre", "radius").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, total - 1)))))
-    dot = F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    top = dot + F.col("q_radius") * norm("centre") + F.col("radius") * norm("q_centre") + F.col("q_radius") * F.col("radius")
-    pairs = heads.join(tails, ["q_block", "dim"]).where((F.col("q_block") != F.col("d_block")) & (top + F.abs(top) * 1e-9 + 1e-6 >= F.col("worst"))).select("q_block", "d_block")
-    work = pairs.join(trees.select(F.col("block").alias("d_block"), "data"), "d_block").join(trees.select(F.col("block").alias("q_block"), "queries"), "q_block").select("queries", "data")
-
-    def search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cell = F.create_map(*[F.lit(x) for (d, n), c in merged.items() for x in (d * 100_000 + n, c)])[F.size("vec") * 100_000 + F.col("near")] if merged else None
+    data_rows, n_data = numbered_blocks(placed, DATA_ROWS, cell)
+    query_rows, _ = numbered_blocks(placed.where(F.col("vec_id") % every == 0), QUERY_ROWS, cell)
+
+    def make(ids: np.ndarray, points: np.ndarray, leaf: int) -> dict:
+        tree = Tree(ids, points, leaf)
+        return {"tree": pickle.dumps(tree), "centre": tree.points[tree.row[0]].astype(float).tolist(), "radius": float(tree.radius[0]), "norm": float(tree.norm[0])}
+
+    shape = "block int, dim int, cell int, part int, tree binary, centre array<double>, radius double, norm double"
+    data, queries = materialise(packed(data_rows, partial(make, leaf=LEAF), shape), "data-trees"), packed(query_rows, partial(make, leaf=QUERY_LEAF), shape)
+    parts = data.groupBy("dim", "cell").agg((F.max("part") + 1).alias("parts"))
+    seeded = queries.join(parts, ["dim", "cell"]).withColumn("part", F.pmod("part", "parts")).join(data.select("dim", "cell", "part", F.col("tree").alias("d_tree"), F.col("block").alias("d_block")), ["dim", "cell", "part"])
+    passed = ["block", "dim", "cell", "tree", "centre", "radius", "norm", "d_block"]
+
+    def first_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for queries, data in zip(batch.column(0), batch.column(1), strict=True):
-                tree, worst = pickle.loads(queries.as_py())
-                search = Search(tree, k, worst)
-                search.run(pickle.loads(data.as_py()))
-                yield from _found(search, pa.float64())
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                search = Search(pickle.loads(row.column("tree")[0].as_py()), k, None, wide)
+                search.run(pickle.loads(row.column("d_tree")[0].as_py()))
+                ids, vec, score = search.found()
+                more = [pa.array([float(search.worst.min())]), pa.array([search.worst.tobytes()]), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([vec.tolist()], pa.list_(pa.int64())), pa.array([score], pa.list_(kind))]
+                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in passed], *more], names=[*passed, "worst", "floors", "query_id", "vec_id", "score"])
+
+    schema = f"block int, dim int, cell int, tree binary, centre array<double>, radius double, norm double, d_block int, worst double, floors binary, query_id array<long>, vec_id array<long>, score array<{number}>"
+    seeds = materialise(arrow_map(seeded, first_search, schema), "searched-trees")
+    own = seeds.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("x")).select("x.*")
+
+    heads = seeds.select("block", "dim", "cell", "centre", "radius", "norm", "worst", F.col("d_block").alias("seed"))
+    tails = data.select("block", "dim", "cell", "centre", "radius", "norm", F.lit(None).cast("double").alias("worst"))
+    cell_pairs = _may_meet(_balls(heads), _balls(tails), ["dim"]).select("dim", "cell", "d_cell")
+    pairs = _may_meet(heads.join(cell_pairs, ["dim", "cell"]).drop("cell").withColumnRenamed("d_cell", "cell"), tails.drop("worst"), ["dim", "cell"]).where("d_block <> seed").select("block", "d_block", "high")
+    lanes = -(-max(1, n_data) // BLOCKS_A_TASK)
+    work = pairs.join(data.select(F.col("block").alias("d_block"), F.col("tree").alias("d_tree")), "d_block").join(seeds.select("block", "tree", "floors"), "block")
+    work = work.withColumn("lane", F.pmod(F.xxhash64("d_block"), F.lit(lanes))).repartition("block", "lane").sortWithinPartitions("block", "lane", F.desc("high"))
+
+    def search_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, search = None, None
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            if search:
+                ids, vec, score = search.found()
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(vec), pa.array(score, kind)], names=["query_id", "vec_id", "score"])
 
-    others = arrow_map(work, search_pairs, "query_id long, vec_id long, score double")
+        for batch in batches:
+            for i in range(len(batch)):
+                here = (batch.column("block")[i].as_py(), batch.column("lane")[i].as_py())
+                if here != at:
+                    yield from ready()
+                    at, search = here, Search(pickle.loads(batch.column("tree")[i].as_py()), k, np.frombuffer(batch.column("floors")[i].as_py()), wide)
+                high = batch.column("high")[i].as_py()
+                if not high < search.worst.min():
+                    search.run(pickle.loads(batch.column("d_tree")[i].as_py()))
+        yield from ready()
+
+    others = arrow_map(work.select("block", "lane", "high", "tree", "floors", "d_tree"), search_on, f"query_id long, vec_id long, score {number}")
     return best_of(own.unionByName(others), k)
 
 
@@ -268,10 +408,11 @@ def digest(embeddings: DataFrame) -> DataFrame:
     """The contract's search: components become floor(64 * x), scores are whole numbers.
 
     Defined cases: vectors that are null or hold a null or non-finite component
-    take no part; an id in several rows counts once, with its least vector;
-    vectors of different lengths never meet; a query with fewer candidates gets
-    them all; a score beyond 64 bits is null; an empty table gives an empty
-    result; other columns are not read.
+    take no part; an id in several rows counts once, with its least vector, so
+    that "the query's own row" is well defined; vectors of different lengths
+    never meet; a query with fewer candidates gets them all; scores are exact,
+    and one beyond 64 bits is null at the rank it has; an empty table gives an
+    empty result; other columns are not read.
     """
     rows = clean_vectors(embeddings).withColumn("vec", F.transform("vec", lambda x: F.floor(x * SCALE).cast("double")))
     found = exact_top_k(rows, QUERY_EVERY)
@@ -279,11 +420,12 @@ def digest(embeddings: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH one AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), v AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x)::HUGEINT) AS w FROM one
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])), 0)::BIGINT AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.w) = len(q.w) WHERE q.vec_id % 20 = 0
 ), r AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s

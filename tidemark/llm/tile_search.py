@@ -167,9 +167,9 @@ def digest(embeddings: DataFrame) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS w FROM embeddings
+  SELECT vec_id, min(embedding::DOUBLE[]) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.w) = len(q.w) WHERE q.vec_id % 20 = 0
