@@ -71,21 +71,56 @@ def test_simhash(odd_docs, odd_rows, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("group_rows", [50_000, 60])
-def test_trie_join_finds_every_link(spark, group_rows):
-    rng = np.random.default_rng(1)
+def clumped(n=250, seed=1):
+    """Four clumps of fingerprints, each of which has up to three bits turned."""
+    rng = np.random.default_rng(seed)
     fps = set()
     for base in rng.integers(0, 2**63, 4):
-        for _ in range(250):
+        for _ in range(n):
             x = int(base)
             for bit in rng.integers(0, 64, rng.integers(0, 4)):
                 x ^= 1 << int(bit)
             fps.add(x)
-    f = np.array(sorted(fps), np.uint64)
-    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 2
-    want = {tuple(sorted((int(f.view(np.int64)[i]), int(f.view(np.int64)[j])))) for i, j in zip(*np.where(near), strict=True) if i < j}
-    rows = simhash.near_pairs(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), 2, group_rows).collect()
-    assert len(rows) == len(want) and {tuple(sorted(r)) for r in rows} == want
+    return np.array(sorted(fps), np.uint64)
+
+
+def links_of(f, max_bits=2):
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= max_bits
+    return {tuple(sorted((int(f.view(np.int64)[i]), int(f.view(np.int64)[j])))) for i, j in zip(*np.where(near), strict=True) if i < j}
+
+
+@pytest.mark.parametrize(("node_rows", "max_bits"), [(32_768, 2), (60, 2), (2, 2), (60, 0), (60, 3)])
+def test_trie_join_finds_every_link(spark, node_rows, max_bits):
+    f = clumped()
+    table = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    rows = [tuple(sorted(r)) for r in simhash.near_pairs(table, max_bits, node_rows).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == links_of(f, max_bits)
+
+
+def test_frontier_of_node_pairs(spark):
+    """Node pairs of the frontier are within the budget, cover every link once, and are far from all pairs of nodes."""
+    f = np.concatenate([clumped(60), np.random.default_rng(9).integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2)])
+    frontier = simhash.node_pairs(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), 2, 16).collect()
+    whole = lambda x, d: (x & (2**64 - 1)) << (64 - d)
+    for r in frontier:
+        assert r["errors"] == (whole(r["a"], r["depth"]) ^ whole(r["b"], r["depth"])).bit_count() <= 2
+    under = Counter()
+    for r in frontier:
+        under[r["depth"], r["a"], r["b"]] += 1
+    depths = {r["depth"] for r in frontier}
+    assert set(under.values()) == {1} and len(depths) > 1
+    for x, y in links_of(f):
+        at = [tuple(sorted(((v & (2**64 - 1)) >> (64 - d)) for v in (x, y))) for d in depths]
+        assert sum((d, *p) in under for d, p in zip(depths, at, strict=True)) == 1
+    nodes = {(r["depth"], n) for r in frontier for n in (r["a"], r["b"])}
+    assert len(frontier) < len(nodes) ** 2 / 2 / 4
+
+
+def test_traversal_prunes_node_pairs():
+    f = np.sort(np.random.default_rng(2).integers(0, 2**63, 4096).astype(np.uint64))
+    visited: list[int] = []
+    found = [p for p in simhash.trie_self_join(f, np.array([[0, len(f), 0, len(f), 0]]), 63, 2, visited)]
+    assert sum(len(i) for i, _ in found) == len(links_of(f)) and sum(visited) < len(f) ** 2 / 2 / 50
 
 
 def test_components_of_chains_and_stars(spark):

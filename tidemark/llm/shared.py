@@ -15,6 +15,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def free_name(wanted: str, columns: list[str]) -> str:
+    """``wanted``, with underscores before it until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import arrow_map, materialise
+from tidemark.llm.shared import arrow_map, free_name, materialise
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -21,8 +23,12 @@ BITS = 64
 HASH_CHUNK = 65_536
 #: A node pair with this many leaf pairs or fewer is compared directly.
 LEAF_PAIRS = 32
-#: Fingerprints sharing a block beyond which the block's group is dealt out by further bits.
-GROUP_ROWS = 50_000
+#: Node pairs that a task advances at a time.
+PORTION = 200_000
+#: Fingerprints of a node beyond which its pairs are expanded further, and by how many bits.
+NODE_ROWS, STEP = 32_768, 4
+#: Node pairs of a task, each of at most two packed nodes.
+PAIRS_A_TASK = 128
 
 
 def fingerprint(raw: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -80,28 +86,35 @@ def _leaf_pairs(fps: np.ndarray, nodes: np.ndarray, max_bits: int) -> tuple[np.n
     return i[near], j[near]
 
 
-def trie_self_join(fps: np.ndarray, groups: np.ndarray, top_bit: int, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of ``fps`` within ``max_bits``, found by traversing binary tries in pairs.
+def trie_self_join(fps: np.ndarray, nodes: np.ndarray, top_bit: int, max_bits: int = MAX_BITS, visited: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of ``fps`` within ``max_bits``, found by traversing a binary trie in node pairs.
 
-    ``fps`` is sorted within each group; a group is one node, given as rows
-    ``lo1, hi1, lo2, hi2, errors`` of node pairs (a node with itself, or two
+    A node is a range of sorted fingerprints that agree above ``top_bit``; node
+    pairs are rows ``lo1, hi1, lo2, hi2, errors`` (a node with itself, or two
     nodes). All node pairs of one depth advance together: each is split at the
     next bit, pairs of unequal children gain one differing bit, and a pair goes
     when it is empty or its differing bits exceed the budget. Small pairs are
-    compared directly.
+    compared directly. A long frontier is taken in portions, depth first, which
+    bounds memory. ``visited`` collects the sizes of the portions.
     """
-    nodes = groups
-    for bit in range(top_bit, -2, -1):
+    stack = [(top_bit, nodes)]
+    while stack:
+        bit, nodes = stack.pop()
+        if len(nodes) > PORTION:
+            stack += [(bit, nodes[i : i + PORTION]) for i in range(0, len(nodes), PORTION)]
+            continue
+        if visited is not None:
+            visited.append(len(nodes))
         small = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2]) <= LEAF_PAIRS
         if bit < 0:
             small[:] = True
         if small.any():
             leaves = nodes[small]
-            for lo in range(0, len(leaves), 100_000):
-                yield _leaf_pairs(fps, leaves[lo : lo + 100_000], max_bits)
+            for i in range(0, len(leaves), PORTION // 4):
+                yield _leaf_pairs(fps, leaves[i : i + PORTION // 4], max_bits)
             nodes = nodes[~small]
         if not len(nodes):
-            return
+            continue
         lo1, hi1, lo2, hi2, errors = nodes.T
         mid1, mid2 = _split(fps, lo1, hi1, bit), _split(fps, lo2, hi2, bit)
         own = (lo1 == lo2) & (hi1 == hi2)
@@ -111,123 +124,103 @@ def trie_self_join(fps: np.ndarray, groups: np.ndarray, top_bit: int, max_bits:
         cross10 = np.stack([mid1, hi1, lo2, mid2, errors + 1], 1)[~own]
         nodes = np.concatenate([equal0, equal1, cross01, cross10])
         nodes = nodes[(nodes[:, 1] > nodes[:, 0]) & (nodes[:, 3] > nodes[:, 2]) & (nodes[:, 4] <= max_bits)]
+        if len(nodes):
+            stack.append((bit - 1, nodes))
 
 
-def _blocks(max_bits: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of ``max_bits + 1`` blocks that cover the 64 bits."""
-    edges = [round(i * BITS / (max_bits + 1)) for i in range(max_bits + 2)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+def prefix(depth: int, column: str = "fp") -> Column:
+    """The trie node of a fingerprint at a depth: its highest ``depth`` bits."""
+    return F.shiftrightunsigned(column, BITS - depth)
 
 
-def _block_values(fp: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    return [(fp >> np.uint64(lo)) & np.uint64((1 << width) - 1) for lo, width in _blocks(max_bits)]
+def masks(width: int, max_bits: int) -> list[tuple[int, int]]:
+    """All differences of ``width`` bits within the budget, with their number of bits."""
+    return [(sum(1 << i for i in at), k) for k in range(max_bits + 1) for at in combinations(range(width), k)]
 
 
-def _rotate(fp: np.ndarray, low: int, width: int) -> np.ndarray:
-    """The fingerprint with one block on top, so that the block is the root path of its trie."""
-    by = np.uint64((BITS - low - width) % BITS)
-    return fp if not by else (fp << by) | (fp >> (np.uint64(BITS) - by))
+def expanded(pairs: DataFrame, nodes: DataFrame, step: int, max_bits: int) -> DataFrame:
+    """Node pairs ``step`` bits deeper: ``a, b, errors, n_a, n_b``.
 
-
-def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Pairs ``a, b`` of different fingerprints (column ``fp``, distinct) within ``max_bits`` bits.
-
-    Two such fingerprints agree on at least one of ``max_bits + 1`` blocks. For
-    each block a trie is rooted at the block's bits; equal blocks come together
-    by a shuffle of the block's value, which makes it the part of the trie on
-    which no bit may differ, and the traversal below runs inside the tasks. A
-    pair is kept only in the first block on which it agrees. A block value held
-    by more than ``group_rows`` fingerprints is dealt out by its next bits: its
-    node pairs of that depth, within the budget, become groups of their own.
+    Each existing child of ``a`` meets the children of ``b`` that differ from
+    it within what is left of the budget; a semi-join keeps those that exist.
+    Of a node with itself each pair of children comes once.
     """
-    blocks = _blocks(max_bits)
-
-    def value(low: int, width: int):
-        return F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
-
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), value(*b).alias("key")) for k, b in enumerate(blocks)])).alias("at")).select(
-        "fp", "at.block", "at.key"
-    )
-    counts = keyed.groupBy("block", "key").count().where(F.col("count") > 1)
-    hot = counts.where(F.col("count") > group_rows).select("block", "key", F.ceil(F.log2(F.col("count") / group_rows)).cast("int").alias("depth"))
-    met = keyed.join(counts.select("block", "key"), ["block", "key"]).join(hot, ["block", "key"], "left")
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per node pair that a fingerprint takes part in: (node, side)."""
-        for batch in batches:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            fp = cols["fp"].to_numpy(zero_copy_only=False)
-            block, key = cols["block"].to_numpy(zero_copy_only=False), cols["key"].to_numpy(zero_copy_only=False)
-            depth = cols["depth"].fill_null(0).to_numpy(zero_copy_only=False)
-            out = []
-            for k, (low, width) in enumerate(blocks):
-                for d in np.unique(depth[block == k]):
-                    rows = (block == k) & (depth == d)
-                    deep = int(min(d + 3, 16)) if d else 0
-                    turned = _rotate(fp[rows].view(np.uint64), low, width)
-                    node = ((turned << np.uint64(width)) >> np.uint64(BITS - deep)).astype(np.int64) if deep else np.zeros(rows.sum(), np.int64)
-                    masks = [m for m in range(1 << deep) if m.bit_count() <= max_bits]
-                    for m in masks:
-                        other = node ^ m
-                        out.append((fp[rows], np.full(rows.sum(), k), key[rows], np.minimum(node, other), np.full(rows.sum(), m), (node > other).astype(np.int8)))
-            if out:
-                parts = [np.concatenate(x) for x in zip(*out, strict=True)]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int8())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, kinds, strict=True)], names=["fp", "block", "key", "node", "mask", "side"])
-
-    placed = arrow_map(met, dealt, "fp long, block int, key long, node long, mask int, side byte")
-    dealt_out = placed.repartition("block", "key", "node", "mask").sortWithinPartitions("block", "key", "node", "mask")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def ready(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
-            """Split off the whole groups; the last group may go on in the next batch."""
-            if last or not len(table):
-                return table, table.slice(0, 0)
-            keys = [table.column(c).combine_chunks().to_numpy() for c in ("block", "key", "node", "mask")]
-            same = np.logical_and.reduce([k == k[-1] for k in keys])
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            return table.slice(0, cut), table.slice(cut)
-
-        def traverse(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not len(table):
-                return
-            c = {n: table.column(n).combine_chunks().to_numpy() for n in table.schema.names}
-            for k, (low, width) in enumerate(blocks):
-                rows = c["block"] == k
-                if not rows.any():
-                    continue
-                turned = _rotate(c["fp"][rows].view(np.uint64), low, width)
-                key, node, mask, side = (c[n][rows] for n in ("key", "node", "mask", "side"))
-                order = np.lexsort((turned, side, mask, node, key))
-                turned, key, node, mask, side = (x[order] for x in (turned, key, node, mask, side))
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (mask[1:] != mask[:-1])])
-                ends = np.r_[new[1:], len(turned)]
-                mids = ends - np.add.reduceat(side.astype(np.int64), new)
-                own = mask[new] == 0
-                lo2, hi1 = np.where(own, new, mids), np.where(own, ends, mids)
-                pairs = np.stack([new, hi1, lo2, ends, np.zeros_like(new)], 1)
-                pairs = pairs[np.where(own, ends - new > 1, (hi1 > new) & (ends > lo2))]
-                for i, j in trie_self_join(turned, pairs, BITS - 1 - width, max_bits):
-                    back = (lambda x, by=(BITS - low - width) % BITS: x if not by else (x >> np.uint64(by)) | (x << np.uint64(BITS - by)))
-                    a, b = back(turned[i]), back(turned[j])
-                    first = np.ones(len(a), bool)
-                    for x, y in list(zip(_block_values(a, max_bits), _block_values(b, max_bits), strict=True))[:k]:
-                        first &= x != y
-                    a, b = a[first].view(np.int64), b[first].view(np.int64)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+    kids = nodes.select(F.shiftrightunsigned("node", step).alias("a"), F.col("node").alias("kid_a"), F.col("count").alias("n_a"))
+    steps = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(k).alias("bits")) for m, k in masks(step, max_bits)])).alias("d")
+    met = pairs.join(kids, "a").select("a", "b", "errors", "kid_a", "n_a", steps).where(F.col("errors") + F.col("d.bits") <= max_bits)
+    met = met.withColumn("kid_b", F.col("kid_a").bitwiseXOR(F.shiftleft(F.col("a").bitwiseXOR(F.col("b")), step)).bitwiseXOR(F.col("d.mask")))
+    met = met.where((F.col("a") != F.col("b")) | (F.col("kid_a") <= F.col("kid_b")))
+    other = nodes.select(F.col("node").alias("kid_b"), F.col("count").alias("n_b"))
+    found = met.join(other, "kid_b").select(F.col("kid_a").alias("a"), F.col("kid_b").alias("b"), (F.col("errors") + F.col("d.bits")).alias("errors"), "n_a", "n_b")
+    return found.where((F.col("a") != F.col("b")) | (F.col("n_a") > 1))
+
+
+def node_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame | None:
+    """The frontier of the distributed traversal: ``depth, a, b, errors``; None without fingerprints.
+
+    The trie's root is paired with itself, and node pairs are expanded level by
+    level with ``expanded``: every pair of fingerprints within the budget lies
+    under exactly one pair of the result. The first step is as deep as evenly
+    spread fingerprints need; after it only pairs with a node of more than
+    ``node_rows`` fingerprints go deeper, ``STEP`` bits at a time, down to the
+    last bit, at which a node is one fingerprint. Tables of nodes and pairs are
+    written at each level, and fingerprints outside of open nodes drop out.
+    """
+    total = distinct.count()
+    if not total:
+        return None
+    step = min(20, max(1, ceil(log2(max(1, 2 * total / node_rows)))))
+    pairs = distinct.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("errors"))
+    depth, fps, closed = 0, distinct.select("fp"), None
+    while True:
+        depth += step
+        nodes = materialise(fps.groupBy(prefix(depth).alias("node")).count(), "trie-nodes")
+        level = materialise(expanded(pairs, nodes, step, max_bits), "node-pairs")
+        small = (F.col("n_a") <= node_rows) & (F.col("n_b") <= node_rows)
+        done = level.where(small).select(F.lit(depth).alias("depth"), "a", "b", "errors")
+        closed = done if closed is None else closed.unionByName(done)
+        pairs = level.where(~small).select("a", "b", "errors")
+        if pairs.isEmpty():
+            return closed
+        big = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        fps = fps.withColumn("node", prefix(depth)).join(big, "node", "left_semi").select("fp")
+        step = min(STEP, BITS - depth)
+
+
+def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Pairs ``a, b`` of different fingerprints (column ``fp``, distinct) within ``max_bits`` bits, each once.
+
+    A binary trie over the fingerprints is joined with itself: the upper part
+    of the traversal is a frontier of node pairs, expanded by joins
+    (``node_pairs``); below it each node pair is one bounded piece of work. A
+    node's fingerprints, at most ``node_rows``, are packed into one row and go
+    to the pairs that the node is in.
+    """
+    spark = distinct.sparkSession
+    frontier = node_pairs(distinct, max_bits, node_rows)
+    if frontier is None:
+        return spark.createDataFrame([], "a long, b long")
+    used = frontier.select("depth", F.explode(F.array("a", "b")).alias("node")).distinct()
+    depths = sorted(r["depth"] for r in used.select("depth").distinct().collect())  # at most one for each level
+    placed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(d).alias("node")) for d in depths])).alias("at")).select("fp", "at.*") if depths else distinct.selectExpr("fp", "0 AS depth", "fp AS node")
+    packs = materialise(placed.join(used, ["depth", "node"]).groupBy("depth", "node").agg(F.collect_list("fp").alias("fps")), "trie-packs")
+    side = lambda n: packs.select("depth", F.col("node").alias(n), F.col("fps").alias(f"{n}_fps"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(frontier.count() / PAIRS_A_TASK))
+    work = frontier.join(side("a"), ["depth", "a"]).join(side("b"), ["depth", "b"]).repartition(parts, "depth", "a", "b")
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            whole, rest = ready(pa.Table.from_batches(held), False)
-            yield from traverse(whole)
-            held = rest.to_batches()
-        if held:
-            yield from traverse(pa.Table.from_batches(held))
+            depth, a, b, errors = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("depth", "a", "b", "errors"))
+            for i in range(len(batch)):
+                one, two = (np.sort(batch.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in ("a_fps", "b_fps"))
+                own = a[i] == b[i]
+                fps = one if own else np.concatenate([one, two])
+                start = [0, len(one), 0, len(one), errors[i]] if own else [0, len(one), len(one), len(fps), errors[i]]
+                for x, y in trie_self_join(fps, np.array([start]), BITS - 1 - int(depth[i]), max_bits):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)), pa.array(fps[y].view(np.int64))], names=["a", "b"])
 
-    return arrow_map(dealt_out, join, "a long, b long")
+    return arrow_map(work.select("depth", "a", "b", "errors", "a_fps", "b_fps"), traverse, "a long, b long")
 
 
 def near_duplicates(
@@ -272,11 +265,14 @@ def keep_one(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the smallest id of each near-duplicate group stays.
 
     Rows that share an id are one document, of which the row with the smallest
-    hash of its text stays; rows without an id stay as they are.
+    hash of its text stays, and of equal texts any one; rows without an id stay
+    as they are. Only ids that stand in several rows are numbered by a window.
     """
     columns = docs.columns
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
-    return rows.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    once = docs.join(kept.where("times = 1").select("doc_id"), "doc_id", "left_semi")
+    place = free_name("place", columns)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    several = docs.join(kept.where("times > 1").select("doc_id"), "doc_id", "left_semi").withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return once.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in columns])
