@@ -31,6 +31,8 @@ BLOCKS_A_TASK = 8
 SAMPLE, CELLS = 2_048, 64
 #: Points compared at a time while a node is divided, and query nodes bounded at a time.
 CHUNK, GROUP = 512, 64
+#: Query groups are searched together where each wants at least this share of the nodes that any of them wants.
+TOGETHER = 0.9
 #: Scores of more digits than a decimal holds stand at its ends.
 LIMIT = 10**38 - 1
 
@@ -185,17 +187,19 @@ class Search:
                 nodes = siblings[lo : lo + GROUP]
                 high, low = bounds(q, nodes, self.q_points, data, others, points)
                 self.products += high.size
-                for node, top, least in zip(nodes, high, self._sure(low, data, others), strict=True):
-                    begin, end = q.ranges[node]
+                for (begin, end), least in zip(q.ranges[nodes], self._sure(low, data, others), strict=True):
                     np.maximum(self.worst[begin:end], least, out=self.worst[begin:end])
-                    keep = top >= self.worst[begin:end].min()
-                    if not keep.any():
-                        continue
-                    first, last = q.kids[node]
-                    if last > first:
-                        stack.append((np.arange(first, last), self._opened(data, others[keep])))
-                    else:
-                        self._leaf(node, others[keep], top[keep], data, points)
+                kth = np.array([self.worst[begin:end].min() for begin, end in q.ranges[nodes]])
+                keep = high >= kth[:, None]
+                leaf = q.kids[nodes, 1] == q.kids[nodes, 0]
+                for i in np.flatnonzero(~leaf & keep.any(1)):
+                    stack.append((np.arange(*q.kids[nodes[i]]), self._opened(data, others[keep[i]])))
+                ends = np.flatnonzero(leaf & keep.any(1))
+                # Groups that want mostly the same nodes share their products; others go one by one.
+                alike = len(ends) > 1 and keep[ends].mean() >= TOGETHER * keep[ends].any(0).mean()
+                for some in [ends] if alike else ends[:, None]:
+                    wanted = keep[some].any(0)
+                    self._leaf(nodes[some], others[wanted], high[np.ix_(some, wanted)], data, points)
 
     def _sure(self, low: np.ndarray, data: Tree, others: np.ndarray) -> np.ndarray:
         """For each query node a score that ``k`` candidates have: nodes are disjoint, so ``k + 1`` points, of which one may be the query's own."""
@@ -218,40 +222,40 @@ class Search:
         size = (end - begin)[inner]
         return np.concatenate([nodes[~inner], np.repeat(begin[inner] - np.cumsum(size) + size, size) + np.arange(size.sum())])
 
-    def _leaf(self, node: int, others: np.ndarray, high: np.ndarray, data: Tree, points: np.ndarray) -> None:
-        """One query group against data nodes, the most promising first, in growing portions."""
-        (lo, hi), portion = self.queries.ranges[node], 8
+    def _leaf(self, nodes: np.ndarray, others: np.ndarray, high: np.ndarray, data: Tree, points: np.ndarray) -> None:
+        """Query groups against data nodes, the most promising first, in growing portions."""
+        spans, portion = self.queries.ranges[nodes], 8
+        size = spans[:, 1] - spans[:, 0]
+        mine, first = np.concatenate([np.arange(a, b) for a, b in spans]), np.cumsum(size) - size
         while True:
-            keep = high >= self.worst[lo:hi].min()
-            others, high = others[keep], high[keep]
+            keep = (high >= np.minimum.reduceat(self.worst[mine], first)[:, None]).any(0)
+            others, high = others[keep], high[:, keep]
             if not len(others):
                 return
-            best = np.argsort(-high, kind="stable")
+            best = np.argsort(-high.max(0), kind="stable")
             taken, rest = others[best[:portion]], best[portion:]
-            others, high, portion = others[rest], high[rest], portion * 4
+            others, high, portion = others[rest], high[:, rest], portion * 4
             inner = data.kids[taken, 1] > data.kids[taken, 0]
             if inner.any():
                 new = self._opened(data, taken[inner])
-                self.products += len(new)
-                others, high = np.concatenate([others, new]), np.concatenate([high, bounds(self.queries, np.array([node]), self.q_points, data, new, points)[0][0]])
+                self.products += len(nodes) * len(new)
+                others, high = np.concatenate([others, new]), np.concatenate([high, bounds(self.queries, nodes, self.q_points, data, new, points)[0]], 1)
             if not inner.all():
                 begin, end = data.ranges[taken[~inner]].T
                 rows = np.repeat(begin - np.cumsum(end - begin) + end - begin, end - begin) + np.arange((end - begin).sum())
-                self._merge(lo, hi, data.ids[rows], points[rows])
+                self._merge(mine, data.ids[rows], points[rows])
 
-    def _merge(self, lo: int, hi: int, ids: np.ndarray, points: np.ndarray) -> None:
-        self.products += (hi - lo) * len(ids)
+    def _merge(self, mine: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
+        self.products += len(mine) * len(ids)
         if self.wide:
             whole = np.frompyfunc(int, 1, 1)
-            scores = whole(self.q_points[lo:hi]) @ whole(points).T
+            scores = whole(self.q_points[mine]) @ whole(points).T
         else:
-            scores = self.q_points[lo:hi] @ points.T
-        for i in range(lo, hi):
-            row = scores[i - lo]
-            some = ids != self.queries.ids[i]
-            if not self.wide:
-                some &= row >= self.worst[i]
-            if not some.any():
+            scores = self.q_points[mine] @ points.T
+        for i, row in zip(mine.tolist(), scores, strict=True):
+            some = np.arange(len(ids)) if self.wide else np.flatnonzero(row >= self.worst[i])
+            some = some[ids[some] != self.queries.ids[i]]
+            if not len(some):
                 continue
             all_ids, all_scores = np.concatenate([self.held[i][0], ids[some]]), np.concatenate([self.held[i][1], row[some]])
             best = np.array(sorted(range(len(all_ids)), key=lambda j: (-all_scores[j], all_ids[j]))[: self.k]) if self.wide else top_k(all_ids, all_scores, self.k)
