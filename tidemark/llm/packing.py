@@ -18,10 +18,12 @@ from tidemark.llm.shared import arrow_map, materialise
 
 CAPACITY = 2048
 END_ID = 1
-#: Pieces longer than this are cut before they are packed, so that a window holds several.
-PIECE = 512
-#: Pieces that one task packs at a time.
-GROUP_PIECES = 1_000
+#: Padding that is little enough, as a share of the ids. Remainders are cut only where a group needs more windows than that.
+GOAL = 0.02
+#: In how many equal parts a remainder may be cut, and the lengths above which it is, tried one after the other.
+PARTS, LIMITS = (1, 2, 4), (1.0, 0.5, 0.4, 0.333, 0.25)
+#: Remainders that one task packs at a time.
+GROUP_ROWS = 600
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 600_000
 
@@ -107,17 +109,8 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.array(next(odd).ids, kind) if w is None else np.frombuffer(b"".join(map(get, w)), kind) for w in words]
 
 
-def cuts(n_tokens: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
-    """(start, length): whole windows first, then what remains in equal pieces of at most ``piece``."""
-    full = n_tokens // capacity
-    out = [(i * capacity, capacity) for i in range(full)]
-    rest, at = n_tokens - full * capacity, full * capacity
-    parts = -(-rest // piece)
-    for i in range(parts):
-        length = rest // parts + (i < rest % parts)
-        out.append((at, length))
-        at += length
-    return out
+def equal_parts(length: int, parts: int) -> list[int]:
+    return [length // parts + (i < length % parts) for i in range(parts)]
 
 
 def difference(lengths: np.ndarray, windows: int) -> np.ndarray:
@@ -157,18 +150,42 @@ def difference(lengths: np.ndarray, windows: int) -> np.ndarray:
     return np.unique(parent, return_inverse=True)[1]
 
 
-def balanced(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Near-equal windows; their number rises until none is over the capacity."""
-    windows = max(1, -(-int(lengths.sum()) // capacity))
+def balanced(lengths: np.ndarray, capacity: int = CAPACITY, most: int | None = None) -> np.ndarray | None:
+    """Near-equal windows; their number rises until none is over the capacity. With ``most`` only so many are tried."""
+    windows = most or max(1, -(-int(lengths.sum()) // capacity))
     while True:
         found = difference(lengths, windows)
         if np.bincount(found, lengths).max() <= capacity:
             return found
+        if most:
+            return None
         windows += max(1, windows // 400)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` for each piece of each document."""
+def pack_group(lengths: np.ndarray, capacity: int = CAPACITY, goal: float = GOAL) -> tuple[np.ndarray, np.ndarray]:
+    """In how many parts each remainder is cut, and the window of each part.
+
+    First whole remainders are packed; if they need more windows than the goal
+    allows, those over half a window are cut in two, and so on with shorter
+    limits, so that no more is cut than the padding asks for.
+    """
+    allowed = int(lengths.sum() * (1 + goal) // capacity)
+    for limit in LIMITS:
+        parts = np.array(PARTS)[np.searchsorted(capacity * limit * np.array(PARTS[:-1]), lengths)] if limit < 1 else np.ones(len(lengths), int)
+        items = np.concatenate([equal_parts(int(n), int(k)) for n, k in zip(lengths, parts, strict=True)])
+        last = limit == LIMITS[-1] or (parts == 1).all() and lengths.max() <= capacity * LIMITS[-1]
+        found = balanced(items, capacity) if last else balanced(items, capacity, allowed) if allowed else None
+        if found is not None:
+            return parts, found
+    raise AssertionError("the last limit always packs")
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """``doc_id, start, length, doc_tokens, sums``: the whole windows of each document, and what remains of it.
+
+    ``sums`` are checksums of the row's ids: of all, and of each part for every
+    number of parts in which a remainder may be cut.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,47 +195,62 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 for doc, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()], tokenizer_path), strict=True):
                     raw = np.append(ids, END_ID).astype("<u4").tobytes()
                     n = len(ids) + 1
-                    for start, length in cuts(n, capacity, piece):
-                        for column, value in zip(out, (doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n), strict=True):
+                    for start in range(0, n, capacity):
+                        length, sums = min(capacity, n - start), []
+                        for parts in PARTS if length < capacity else (1,):
+                            at = start
+                            for size in equal_parts(length, parts):
+                                sums.append(zlib.crc32(raw[4 * at : 4 * (at + size)]))
+                                at += size
+                        for column, value in zip(out, (doc, start, length, n, sums), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.list_(pa.int64()))], names=["doc_id", "start", "length", "doc_tokens", "sums"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return arrow_map(rows, work, "doc_id long, start long, length long, doc_tokens long, sums array<long>")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece: int = PIECE, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, goal: float = GOAL, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Each piece of each document with its sequence and its offset there.
 
     A document's ids end with ``END_ID``. Whole windows are sequences of their
-    own; the rest of a document is cut into pieces of at most ``piece`` ids,
-    which are packed in groups of about ``group_pieces``. The groups are dealt
-    evenly by the piece's number, whatever the documents are. A sequence is
-    named by the smallest number of its pieces.
+    own; what remains of a document is packed by differencing, in groups of
+    about ``group_rows`` remainders. A remainder stays whole unless its group
+    would need over ``goal`` of padding (``pack_group``). The groups are dealt
+    evenly by the row's number, whatever the documents are. A sequence is named
+    after the smallest number of its pieces.
 
-    Texts never cross the network: tokens are cut, checked and counted where
-    the text is read, and only the pieces' lengths are shuffled.
+    Texts never cross the network: tokens are counted and their checksums taken
+    where the text is read, and only lengths and checksums are shuffled.
 
     Defined cases: a null or empty text is the single end id; repeated rows
     and null ids are packed like any other row; an empty table gives an empty
     result; other columns are not read.
     """
-    cut = pieces(docs, tokenizer_path, id_col, text_col, capacity, piece)
-    cut = materialise(cut.withColumn("piece_no", F.monotonically_increasing_id()), "pieces")
+    cut = materialise(pieces(docs, tokenizer_path, id_col, text_col, capacity).withColumn("row_no", F.monotonically_increasing_id()), "pieces")
     full = F.col("length") == capacity
-    groups = max(1, round(cut.where(~full).count() / group_pieces))
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    alone = cut.where(full).select(*out[:5], F.col("piece_no").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    groups = max(1, round(cut.where(~full).count() / group_rows))
+    named = F.col("row_no") * 8  # a whole window; the parts of a remainder have the numbers after it
+    alone = cut.where(full).select("doc_id", "start", "length", F.get("sums", 0).alias("ids_crc32"), "doc_tokens", named.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+    columns = alone.columns
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("piece_no")
-        pdf["window"] = balanced(pdf["length"].to_numpy(), capacity)
-        by = pdf.groupby("window")
-        pdf["sequence_id"] = by["piece_no"].transform("min")
-        pdf["offset"] = by["length"].cumsum() - pdf["length"]
-        return pdf[out]
-
-    dealt = cut.where(~full).withColumn("group", F.pmod(F.xxhash64("piece_no"), F.lit(groups)))
+        pdf = pdf.sort_values("row_no")
+        parts, window = pack_group(pdf["length"].to_numpy(), capacity, goal)
+        sizes = [equal_parts(int(n), int(k)) for n, k in zip(pdf["length"], parts, strict=True)]
+        first = {k: sum(PARTS[:i]) for i, k in enumerate(PARTS)}
+        out = pdf.loc[pdf.index.repeat(parts), ["doc_id", "start", "doc_tokens", "row_no"]]
+        out["length"] = np.concatenate(sizes)
+        out["start"] += np.concatenate([np.cumsum([0, *x[:-1]]) for x in sizes])
+        out["ids_crc32"] = np.concatenate([list(s)[first[k] : first[k] + k] for s, k in zip(pdf["sums"], parts.tolist(), strict=True)])
+        out["window"], out["piece_no"] = window, out["row_no"] * 8 + 1 + np.concatenate([np.arange(k) for k in parts])
+        by = out.groupby("window")
+        out["offset"] = by["length"].cumsum() - out["length"]
+        out["sequence_id"] = by["piece_no"].transform("min")
+        return out[columns]
+
+    dealt = cut.where(~full).withColumn("group", F.pmod(F.xxhash64("row_no"), F.lit(groups)))
     return alone.unionByName(dealt.groupBy("group").applyInPandas(work, alone.schema))
 
 
