@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of data, and of a block of queries.
+#: Rows of a block of data, and of a block of queries. The data go to each query block once, so these are large.
 DATA_ROWS = 4_096
-QUERY_ROWS = 2_048
+QUERY_ROWS = 16_384
 
 
 def clean_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero_ok: bool = True) -> DataFrame:
