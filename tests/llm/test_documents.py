@@ -176,12 +176,17 @@ def test_packing_round_trip(odd_docs, odd_rows, no_docs):
     tokenizer = Tokenizer.from_file(path)
     ids = {(doc, text): [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1] for doc, text, *_ in odd_rows}
     rows = packing.pack(odd_docs, path).collect()
-    want = Counter()
+    # Each piece has the checksum of its ids, and the pieces of a document follow on each other; rows of one id are told apart by length.
+    by_doc = defaultdict(list)
     for doc, text, *_ in odd_rows:
-        for start, length in packing.cuts(len(ids[doc, text])):
-            piece = np.array(ids[doc, text][start : start + length], "<u4").tobytes()
-            want[doc, start, length, packing.zlib.crc32(piece), len(ids[doc, text])] += 1
-    assert counted(r[:5] for r in rows) == want
+        by_doc[doc].append(ids[doc, text])
+    held = defaultdict(Counter)
+    for r in rows:
+        fits = [x for x in by_doc[r["doc_id"]] if len(x) == r["doc_tokens"] and packing.zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]]
+        assert fits and 1 <= r["length"] <= 2048 and r["start"] + r["length"] <= r["doc_tokens"]
+        held[r["doc_id"], r["doc_tokens"]].update(range(r["start"], r["start"] + r["length"]))
+    assert {k: set(c.values()) for k, c in held.items()} == {(doc, len(x)): {by_doc[doc].count(x)} for doc, xs in by_doc.items() for x in xs}
+    assert all(set(c) == set(range(n)) for (_, n), c in held.items())
     windows = defaultdict(list)
     for r in rows:
         windows[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -202,6 +207,41 @@ def test_word_memory_equals_the_tokenizer(text):
         assert packing.encode([text], path)[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def naive_differencing(lengths, windows):
+    """Sums of the windows by the method's definition: the two partitions of the largest spread merge, fullest with emptiest."""
+    parts = [(sorted([0] * (windows - 1) + [int(n)], reverse=True)) for n in lengths]
+    order = list(range(len(parts)))
+    count = len(parts)
+    held = [(p[-1] - p[0], i, p) for i, p in zip(order, parts, strict=True)]
+    while len(held) > 1:
+        held.sort()
+        (_, _, a), (_, _, b), *held = held
+        merged = sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)
+        held.append((merged[-1] - merged[0], count, merged))
+        count += 1
+    return held[0][2]
+
+
+@pytest.mark.parametrize("windows", [1, 2, 3, 7, 20])
+def test_differencing_equals_its_definition(windows):
+    rng = np.random.default_rng(windows)
+    for n in (1, 5, 40):
+        lengths = rng.integers(1, 2048, n)
+        found = packing.difference(lengths, windows)
+        assert sorted(np.bincount(found, lengths).astype(int).tolist(), reverse=True) == [x for x in naive_differencing(lengths, windows) if x]
+
+
+def test_remainders_are_cut_only_where_padding_asks_for_it():
+    small = np.random.default_rng(4).integers(1, 500, 600)
+    parts, window = packing.pack_group(small)
+    assert (parts == 1).all() and np.bincount(window, small).max() <= 2048
+    large = np.full(99, 1364)
+    parts, window = packing.pack_group(large)
+    assert (parts > 1).any() and (window.max() + 1) * 2048 <= large.sum() * 1.05
+    whole = np.full(100, 1024)
+    assert (packing.pack_group(whole)[0] == 1).all() and packing.pack_group(np.array([2047]))[1].tolist() == [0]
+
+
 def test_differencing_is_a_balanced_partition():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 512, 400)
@@ -229,6 +269,8 @@ def test_license_scan(odd_docs, odd_rows, spark, no_docs):
     by = {r["doc_id"]: r for r in found}
     assert by[901]["choices"] == [["apache-2.0+gpl-2.0-only-with-classpath-exception-2.0", "gpl-2.0-only-with-classpath-exception-2.0+mit"]]
     assert by[903]["labels"] == "mit" and by[902]["labels"] == "" and all(0 <= r["score"] <= 1 for r in found)
+    told = {r["doc_id"]: r for r in license_scan.digest(license_scan.scan_licenses(docs)).collect()}
+    assert told[901]["choices"] == "|".join(by[901]["choices"][0]) and (told[901]["n_tags"], told[902]["n_tags"], told[902]["choices"]) == (1, 0, "")
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
@@ -328,14 +370,19 @@ def test_toxicity_learns_marks_and_offsets(spark, no_docs):
                 words.insert(rng.randrange(60), rng.choice(["Blorfing", "blorfed", "GRUMPTH"]))
         docs.append((i, " ".join(words)))
         labels.append((i, i % 2, int(i % 4 == 0)))
-    docs += [(None, None), (1000, ""), (1001, "stone blorfish river")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    docs += [(None, None), (1000, ""), (1001, "stone blorfish river"), (1002, "\u0130stanbul \u0130 stone Blorfing blorfed river"), (1003, "stone " * 60_000 + "blorfing"), docs[0], docs[0]]
+    frame = spark.createDataFrame([(*d, 1, 0.5, "x") for d in docs], "doc_id long, text string, toxic int, score double, spans string")
     model = toxicity.fit(frame, spark.createDataFrame([*labels, (7, 1, None), (8, None, 1)], "doc_id long, quality int, toxic int"))
     found = {r["doc_id"]: r for r in toxicity.score_toxicity(frame, model).collect()}
     assert all((found[i]["score"] >= 0.3) == (i % 4 == 0) for i in range(400))
     spans = found[0]["spans"]
-    assert {docs[0][1][s["start"] : s["end"]].lower() for s in spans} <= {"blorfing", "blorfed", "grumpth"} and spans
+    assert {w for s in spans for w in docs[0][1][s["start"] : s["end"]].lower().split()} <= {"blorfing", "blorfed", "grumpth"} and spans
     assert 0 <= found[None]["score"] < 0.3 and 0 <= found[1000]["score"] < 0.3
+    assert [docs[403][1][s["start"] : s["end"]] for s in found[1002]["spans"]] == ["Blorfing blorfed"]
+    assert [(s["start"], s["end"]) for s in found[1003]["spans"]] == [(360_000, 360_008)]
+    told = [r for r in toxicity.digest(toxicity.score_toxicity(frame, model)).collect()]
+    assert len(told) == len(docs) and sum(r["doc_id"] == 0 for r in told) == 3 and not any(r["held_out"] for r in told if r["doc_id"] is None)
+    assert {r["spans"] for r in told if r["doc_id"] == 1002} == {"17-33"}
     assert toxicity.score_toxicity(no_docs, model).count() == 0
     assert toxicity.fit(no_docs, spark.createDataFrame([], "doc_id long, toxic int")) is None
 

@@ -170,7 +170,10 @@ def test_scores_beyond_double_precision_are_exact(spark):
 def test_pipeline_by_stages(spark, odd_rows, odd_docs, monkeypatch):
     import corpus_pipeline
 
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    from pyspark.sql import functions as F
+
+    clashes = ("text_was_null", "row_hash", "place", "copies", "nth", "doc", "kept", "score", "k0", "fp", "component_id", "size", "times")
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(clashes)])
     before = docs
     for name, stage in corpus_pipeline.STAGES:
         after = stage(spark, before, "")

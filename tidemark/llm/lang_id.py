@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_map, in_slices, in_training
+from tidemark.llm.shared import arrow_map, held_out, in_slices, in_training
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -175,7 +175,8 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
     Whole texts are read, in windows of fixed length. Defined cases: ``und`` with score 0 for a null text, a text without any
     letter, and every text if the network could not be trained; repeated rows
-    each return a row; a null id is kept; an empty table gives an empty result.
+    each return a row; a null id is kept, is never learned from and is not held
+    out; an empty table gives an empty result; other columns are not read.
     """
     ship = (net, net.tables()) if net else None
     kept = keep or []
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
 
 def with_held_out(result: DataFrame) -> DataFrame:
-    return result.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+    return result.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:

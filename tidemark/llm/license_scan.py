@@ -282,4 +282,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def digest(result: DataFrame) -> DataFrame:
-    return result.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    """The contract's columns, and what the method adds: all places, and for each identifier tag the choices of its expression.
+
+    Choices are joined by ``|``, tags by a line feed; a tag whose choices are too many to list has its expression in reverse Polish form.
+    """
+    told = F.transform(F.arrays_zip("choices", "expressions"), lambda t: F.coalesce(F.array_join(t["choices"], "|"), F.array_join(t["expressions"], " ")))
+    return result.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("places").cast("long").alias("n_places"), F.size("choices").cast("long").alias("n_tags"), F.array_join(told, "\n").alias("choices"))

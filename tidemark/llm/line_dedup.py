@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BLANKS, ascii_lower, materialise
+from tidemark.llm.shared import BLANKS, ascii_lower, free_name, materialise
 
 MIN_KEY_CHARS = 10
 MIN_DOCUMENTS = 2
@@ -107,9 +107,9 @@ def drop_lines(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame
     """Pipeline stage: the documents without the repeated lines; a null text stays null."""
     columns = docs.columns
     rest = [c for c in columns if c != "text"]
-    flagged = docs.withColumn("text_was_null", F.col("text").isNull())
-    found = dedup_lines(flagged, keep=(*rest, "text_was_null"))
-    text = F.when(~F.col("kept.text_was_null"), F.col("text"))
+    flag = free_name("text_was_null", columns)
+    found = dedup_lines(docs.withColumn(flag, F.col("text").isNull()), keep=(*rest, flag))
+    text = F.when(~F.col(f"kept.{flag}"), F.col("text"))
     return found.select(*[(text if c == "text" else F.col(f"kept.`{c}`")).alias(c) for c in columns])
 
 

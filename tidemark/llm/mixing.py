@@ -196,10 +196,21 @@ def digest(result: DataFrame) -> DataFrame:
 def take_mix(spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stands as often as the mix takes it."""
     columns = docs.columns
-    same = Window.partitionBy("doc_id", "row_hash").orderBy("copies")
-    taken = mix(docs).where("copies > 0").select("doc_id", "row_hash", "copies").withColumn("nth", F.row_number().over(same))
+    mixed = materialise(mix(docs).select("doc_id", "row_hash", "copies"), "mix-copies")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"))
-    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy(F.lit(1))))
-    match = keyed["doc_id"].eqNullSafe(taken["doc_id"]) & (keyed["row_hash"] == taken["row_hash"]) & (keyed["nth"] == taken["nth"])
-    repeated = keyed.join(taken, match).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-    return repeated.select("doc.*")
+    same = Window.partitionBy("doc_id", "row_hash")
+    # Rows of one id and text are numbered on both sides, so that each takes its own copies; others just meet.
+    times = mixed.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("times"), F.sum("copies").alias("copies"))
+    once = times.where("times = 1 and copies > 0").select("doc_id", "row_hash", "copies")
+    several = materialise(times.where("times > 1").select("doc_id", "row_hash"), "mix-repeated")
+
+    def on(a: DataFrame, b: DataFrame, *more: str):
+        met = a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_hash"] == b["row_hash"])
+        for name in more:
+            met &= a[name] == b[name]
+        return met
+
+    repeated = keyed.join(several, on(keyed, several), "left_semi").withColumn("nth", F.row_number().over(same.orderBy(F.lit(1))))
+    counted = mixed.join(several, on(mixed, several), "left_semi").withColumn("nth", F.row_number().over(same.orderBy("copies"))).where("copies > 0")
+    taken = keyed.join(once, on(keyed, once)).select("doc", "copies").unionByName(repeated.join(counted, on(repeated, counted, "nth")).select("doc", "copies"))
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("doc.*")

@@ -38,6 +38,11 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows kept for judging; a row without an id is neither learned from nor held out."""
+    return F.coalesce(~in_training(doc_id), F.lit(False))
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` after making this package importable in the workers."""
     ship_package(df.sparkSession)

@@ -170,7 +170,7 @@ def node_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, node_rows: int = N
     if not total:
         return None
     step = min(20, max(1, ceil(log2(max(1, 2 * total / node_rows)))))
-    pairs = distinct.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("errors"))
+    pairs = distinct.sparkSession.createDataFrame([(0, 0, 0)], "a long, b long, errors int")
     depth, fps, closed = 0, distinct.select("fp"), None
     while True:
         depth += step

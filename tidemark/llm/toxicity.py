@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow_map, in_slices, in_training, materialise
+from tidemark.llm.shared import arrow_map, held_out, in_slices, in_training, materialise
 
 #: Labelled documents that training reads at most, by label; chosen by the hash of their id.
 TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 5_000
@@ -132,9 +132,16 @@ class Scorer:
         return found
 
     def document(self, text: str) -> tuple[float, float, int, list[tuple[int, int, float]]]:
-        """Largest marginal, expected toxic tokens, tokens, and the spans of marginals over one half."""
+        """Largest marginal, expected toxic tokens, tokens, and the spans of marginals over one half.
+
+        Neighbouring toxic tokens are one span. Words are lower-cased one by one
+        where lower-casing the whole text would move the offsets.
+        """
         low = text.lower()
         words = _WORD.findall(low)
+        if len(low) != len(text):
+            low = text
+            words = [w.lower() for w in _WORD.findall(text)]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         weight = self.weight
@@ -159,8 +166,14 @@ class Scorer:
             lo = hi + 1
         spans = []
         if marked:
-            wanted, places = dict(marked), enumerate(_WORD.finditer(low))
-            spans = [(p.start(), p.end(), wanted[i]) for i, p in places if i in wanted] if len(low) == len(text) else [(-1, -1, x) for _, x in marked]
+            wanted, last = dict(marked), -2
+            for i, place in enumerate(_WORD.finditer(low)):
+                if i in wanted:
+                    if i == last + 1:
+                        spans[-1] = (spans[-1][0], place.end(), max(spans[-1][2], wanted[i]))
+                    else:
+                        spans.append((place.start(), place.end(), wanted[i]))
+                    last = i
         return best, total + self.plain * (n - covered), n, spans
 
     def _idle(self, n: int) -> tuple[float, float]:
@@ -272,12 +285,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, n_toxic_tokens, spans`` of every whole text.
 
-    ``spans`` are the character offsets and marginals of tokens that are rather
-    toxic than not (-1 where lower-casing changes the text's length).
+    ``spans`` are the character offsets of runs of tokens that are rather toxic
+    than not, with the largest marginal of each; ``n_toxic_tokens`` is the sum
+    of all marginals.
 
     Defined cases: null and empty texts have no tokens and the score of a text
     without any; without a model every score is 0; repeated rows each return a
-    row; a null id is kept; an empty table gives an empty result.
+    row; a null id is kept, is never learned from and is not held out; an empty
+    table gives an empty result; other columns are not read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,4 +312,6 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc
 
 
 def digest(result: DataFrame) -> DataFrame:
-    return result.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """The contract's columns, the expected number of toxic tokens, and the offending spans as ``start-end`` in characters from 0."""
+    told = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return result.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_toxic_tokens", told.alias("spans"))
