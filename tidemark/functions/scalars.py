@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column
@@ -79,3 +81,10 @@ def pct_rank(column: Column, *partition: Column) -> Column:
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation as an aggregate; NULL where a side does not vary."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def iso_date(text: str) -> Column:
+    """A typed date from text that is an ISO date from end to end; anything else is refused before a plan is made of it."""
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
+        raise ValueError(f"not a date: {text!r}")
+    return F.lit(date.fromisoformat(text))

@@ -14,14 +14,14 @@ from tidemark.functions.scalars import change, pct_rank, true
 class Protocol:
     """The frozen rules of the daily model."""
 
-    selection_count: int = 5
+    selection_count: int | None = 5
     holding_sessions: int = 20
     trend: float = 0.4
     stability: float = 0.4
     pullback: float = 0.2
     minimum_price: float = 3.0
     minimum_amount_20: float = 1e8
-    maximum_per_industry: int = 1
+    maximum_per_industry: int | None = 1
     minimum_market_breadth: float = 0.40
     initial_capital: float = 100_000.0
     lot_size: int = 100
@@ -79,7 +79,7 @@ def daily_funnel(rows: DataFrame, day: Column, p: Protocol) -> DataFrame:
 
 
 def daily_picks(rows: DataFrame, day: Column, p: Protocol) -> DataFrame:
-    """Up to ``selection_count`` symbols by score, at most ``maximum_per_industry`` of each industry.
+    """Up to ``selection_count`` symbols by score, at most ``maximum_per_industry`` of each industry; None is no limit.
 
     Nothing is picked on a day whose breadth is under the gate. The order is the
     same for all industries, so a rank within the industry equals taking them
@@ -94,8 +94,10 @@ def daily_picks(rows: DataFrame, day: Column, p: Protocol) -> DataFrame:
     pool = pool.select("*", *[pct_rank(F.col(n)).alias(f"rank_{n}") for n in parts])
     pool = pool.withColumn("score", F.col("rank_trend") * p.trend + F.col("rank_stability") * p.stability + F.col("rank_pullback") * p.pullback)
     within = F.row_number().over(Window.partitionBy("industry").orderBy(F.desc("score"), "symbol"))
-    capped = pool.withColumn("nth", within).where(F.col("nth") <= p.maximum_per_industry)
-    return capped.orderBy(F.desc("score"), "symbol").limit(p.selection_count)
+    capped = pool.withColumn("nth", within)
+    if p.maximum_per_industry is not None:
+        capped = capped.where(F.col("nth") <= p.maximum_per_industry)
+    return capped if p.selection_count is None else capped.orderBy(F.desc("score"), "symbol").limit(p.selection_count)
 
 
 def order_cost(notional: Column, p: Protocol) -> Column:

@@ -29,6 +29,27 @@ def replace_days(old: DataFrame, new: DataFrame, day: str = "trade_date") -> Dat
     return old.join(new.select(day).distinct(), day, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+#: Rows below which an answer for a day is taken for a failure.
+MIN_ROWS = 20
+
+
+def replace_whole_days(old: DataFrame, new: DataFrame, day: str = "trade_date", least: int = MIN_ROWS) -> DataFrame:
+    """``replace_days`` for the days of which ``new`` has at least ``least`` rows; other days stay as they were."""
+    enough = new.groupBy(day).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(day)
+    return replace_days(old, new.join(enough, day, "left_semi"), day)
+
+
+class WrongColumns(ValueError):
+    """Rows for a table lack a column of it, or have one that it does not know."""
+
+
+def checked_upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``upsert`` of rows that have exactly the table's columns."""
+    if set(old.columns) != set(new.columns):
+        raise WrongColumns(f"missing {sorted(set(old.columns) - set(new.columns))}, unknown {sorted(set(new.columns) - set(old.columns))}")
+    return upsert(old, new, keys, order)
+
+
 def write_days(rows: DataFrame, path: str, day: str = "trade_date") -> None:
     """Replace the partitions of the days in ``rows`` and leave all others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(day).parquet(path)

@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 COVERAGE = 0.95
 
 
-class NotUnique(ValueError):
-    """A side of a join that must hold each key once holds one twice."""
-
-
 def unique_on(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows``, after a check that each key stands once."""
-    twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise NotUnique(f"{keys} = {twice[0][:-1]}")
-    return rows
+    """``rows`` with a check in the plan that each key stands once: it fails where the rows are read, and no job runs before."""
+    from pyspark.sql import Window
+
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    message = F.concat(F.lit("NotUnique: "), *[x for k in keys for x in (F.lit(f"{k} = "), F.coalesce(F.col(k).cast("string"), F.lit("null")), F.lit(" "))])
+    checked = rows.withColumn("_once", F.when(n > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return checked.where("_once").drop("_once")
 
 
 def validated_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", one_to_one: bool = False) -> DataFrame:
@@ -28,14 +26,10 @@ def validated_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return (unique_on(left, keys) if one_to_one else left).join(unique_on(right, keys), keys, how)
 
 
-def write_table(rows: DataFrame, path: str, partition: str | None = None) -> None:
+def write_table(rows: DataFrame, path: str, *partition: str) -> None:
+    """A compressed table, in folders by the partition columns if there are any."""
     writer = rows.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-
-
-def write_report(rows: DataFrame, path: str) -> None:
-    """A CSV report with a header; rows are sorted across files by the first column."""
-    rows.orderBy(rows.columns[0]).write.mode("overwrite").option("header", True).csv(path)
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
@@ -45,9 +39,7 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The ledger, or an empty typed table where there is none yet; ids that are missing follow from the row."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    rows = spark.read.schema(schema).json(path) if found else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).json(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
     return rows.withColumn("record_id", F.coalesce("record_id", fingerprint(*[c for c in rows.columns if c != "record_id"])))
 
 
@@ -62,13 +54,38 @@ def spec_hash(spec: dict) -> str:
     return sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:16]
 
 
-def freeze(rows: DataFrame, root: str, name: str) -> str:
-    """Write evidence once, under its name; a second write is an error."""
+class NotFrozen(ValueError):
+    """Evidence that may not be written: outside its window, or under rules that changed without a new version."""
+
+
+def freeze(rows: DataFrame, root: str, name: str, protocol: dict | None = None, as_of: str | None = None, window: tuple[str, str] | None = None) -> str:
+    """Write evidence once, under its name; a second write is an error.
+
+    With a ``protocol`` its version is bound to the hash of its rules by the
+    first write; other rules under the same version are refused. With a
+    ``window`` the date must lie in it.
+    """
+    if window and not window[0] <= as_of <= window[1]:
+        raise NotFrozen(f"{as_of} is outside of {window[0]} to {window[1]}")
+    spark = rows.sparkSession
+    if protocol is not None:
+        bound, digest = f"{root}/protocol={protocol['version']}", spec_hash(protocol)
+        if path_exists(spark, bound):
+            held = spark.read.schema("digest string").json(bound).first()["digest"]
+            if held != digest:
+                raise NotFrozen(f"version {protocol['version']} was {held} and is {digest}")
+        else:
+            spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("errorifexists").json(bound)
     path = f"{root}/{name}"
     rows.write.mode("errorifexists").parquet(path)
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def first_complete(old: DataFrame, new: DataFrame, expected: int) -> DataFrame:
     """The earlier snapshot if it covers enough symbols, else the new one."""
     enough = old.agg(F.count_distinct("symbol") >= COVERAGE * expected).scalar()

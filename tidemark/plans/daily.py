@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import iso_date
 from tidemark.operators import daily as ops
 from tidemark.plans.factors import shown, sql6
 from tidemark.plans.registry import query
@@ -31,11 +32,11 @@ gate AS (SELECT count(*) AS universe, count(*) FILTER (WHERE t1) AS after_1, cou
 
 
 def day():
-    return F.lit(DAY).cast("date")
+    return iso_date(DAY)
 
 
 def listed_day():
-    return F.lit(LISTED).cast("date")
+    return iso_date(LISTED)
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +110,7 @@ SELECT symbol, entry_date, quantity, round(price, 6) + 0.0 AS price, status, CAS
   round(CASE WHEN status = 'closed' THEN (quantity * exit_price - greatest(quantity * exit_price * 0.002::DOUBLE, 5.0)) / (quantity * price + entry_cost) - 1 END, 6) + 0.0 AS net_return FROM st""", dates="entry_date exit_date")
 def cohort_eval(spark: SparkSession, d: str) -> DataFrame:
     """Positions of the whole pool, entered at the next open."""
-    uncapped = ops.Protocol(**{**PROTOCOL.__dict__, "selection_count": 1_000_000, "maximum_per_industry": 1_000_000})
+    uncapped = ops.Protocol(**{**PROTOCOL.__dict__, "selection_count": None, "maximum_per_industry": None})
     bars = panel(spark, d)
     picked = ops.daily_picks(joined(spark, d), listed_day(), uncapped).select("symbol")
     entry = picked.join(bars.where(F.col("trade_date") == F.date_add(day(), 1)), "symbol")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.sources.tables import table
 from tidemark.streaming import events as ops
 
 
@@ -29,3 +30,20 @@ def stream_overlap_dedup(spark: SparkSession, d: str) -> DataFrame:
 def stream_latest_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The latest event of each user and kind, by merging each batch into a table."""
     return ops.latest_by_upsert(ops.events(spark, d).select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query("stream_late_rows", """WITH a AS (SELECT 1 AS part, ts::DATE AS day, event_id FROM events WHERE ts < TIMESTAMP '2024-01-11'), b AS (SELECT 2, ts::DATE, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'),
+c AS (SELECT 3, ts::DATE, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-21' OR ts < TIMESTAMP '2024-01-05')
+SELECT CASE WHEN part = 3 AND day < DATE '2024-01-05' THEN 'late' ELSE 'in time' END AS kind, count(*) AS n, min(day) AS first_day, max(day) AS last_day FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1""", dates="first_day last_day")
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Three files come one by one, the stream is stopped and goes on in between; old rows of the third are late."""
+    root = ops.stream_root(spark, "late")
+    rows, ts = table(spark, d, "events"), F.col("ts").cast("timestamp")
+    cut = lambda x: F.lit(x).cast("timestamp")
+    parts = (ts < cut("2024-01-11"), (ts >= cut("2024-01-11")) & (ts < cut("2024-01-21")), (ts >= cut("2024-01-21")) | (ts < cut("2024-01-05")))
+    for number, part in enumerate(parts):
+        rows.where(part).coalesce(1).write.parquet(f"{root}/in/{number}")
+        stream = spark.readStream.schema(ops.SCHEMA).parquet(f"{root}/in/*").withColumn("ts", F.col("ts").cast("timestamp"))
+        in_time, late = ops.split_late(stream, "ts", 5, root)
+    both = in_time.select(F.lit("in time").alias("kind"), "ts").unionByName(late.select(F.lit("late").alias("kind"), "ts"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))

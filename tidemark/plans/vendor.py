@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import sinks
@@ -19,8 +19,7 @@ def kline_parse(spark: SparkSession, d: str) -> DataFrame:
     row = F.array(*[F.col(c).cast("string") for c in ("trade_date", "open", "close", "high", "low", "volume", "amount")])
     packed = panel(spark, d).groupBy("symbol").agg(F.to_json(F.struct(F.first("symbol").alias("code"), F.collect_list(row).alias("rows"))).alias("payload"))
     rows = ops.kline_rows(packed)
-    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("trade_date"))
-    return shown(rows.select("symbol", "trade_date", "open", "close", "volume", F.round("amount", 2).alias("amount"), before.alias("pre_close")))
+    return shown(rows.select("symbol", "trade_date", "open", "close", "volume", F.round("amount", 2).alias("amount"), "pre_close"))
 
 
 @query("quote_lines", """WITH q AS (SELECT o_orderkey, o_orderkey % 23 AS k, o_totalprice, o_orderdate FROM orders)

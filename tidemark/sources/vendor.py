@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import missing
+from tidemark.operators.asof import state_on  # noqa: F401  a membership is a state
+
 #: Shares in a lot, and yuan in ten thousand yuan.
 LOT, TEN_THOUSAND = 100, 10_000
 #: Header names under which a code or an industry may stand.
@@ -12,18 +15,20 @@ SYMBOL_ALIASES, INDUSTRY_ALIASES = ("symbol", "code", "证券代码", "股票代
 
 
 def kline_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """``symbol, trade_date, open, close, high, low, volume, amount`` from positional JSON arrays.
+    """``symbol, trade_date, open, close, high, low, volume, amount, pre_close`` from positional JSON arrays.
 
-    Volumes come in lots and amounts in ten thousands; a row that does not
+    The close before is that of the row before; volumes come in lots and amounts in ten thousands; a row that does not
     parse has NULL where it fails.
     """
     schema = "struct<code: string, rows: array<array<string>>>"
     rows = payloads.select(F.from_json(column, schema).alias("p")).select(F.lpad("p.code", 6, "0").alias("symbol"), F.posexplode("p.rows").alias("at", "r"))
     number = lambda i: F.get("r", i).try_cast("double")
-    return rows.select(
+    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("trade_date"))
+    typed = rows.select(
         "symbol", F.get("r", 0).try_cast("date").alias("trade_date"), number(1).alias("open"), number(2).alias("close"), number(3).alias("high"), number(4).alias("low"),
         (number(5) * LOT).cast("bigint").alias("volume"), (number(6) * TEN_THOUSAND).alias("amount"),
     )
+    return typed.withColumn("pre_close", before)
 
 
 def quote_rows(lines: DataFrame, as_of: Column, column: str = "line") -> DataFrame:
@@ -47,11 +52,9 @@ def quote_rows(lines: DataFrame, as_of: Column, column: str = "line") -> DataFra
 
 
 def resolve_alias(rows: DataFrame, aliases: tuple[str, ...], name: str) -> Column:
-    """The first of the aliases that the table has; an error if it has none."""
+    """The value under the first of the aliases that has one; NULL, which drops the row, where the table has no such column."""
     found = [a for a in aliases if a in rows.columns]
-    if not found:
-        raise ValueError(f"no column for {name}: {', '.join(rows.columns)}")
-    return F.coalesce(*[F.col(f"`{a}`") for a in found])
+    return F.coalesce(*[F.col(f"`{a}`").cast("string") for a in found]) if found else F.lit(None).cast("string")
 
 
 def industry_rows(rows: DataFrame, order: str) -> DataFrame:
@@ -68,6 +71,85 @@ def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "row_no", F.trim(F.regexp_replace(F.regexp_replace("inner", r"(?s)<[^>]*>", " "), r"\s+", " ")).alias("cells"))
 
 
+def plain_number(column: Column) -> Column:
+    """A number written with thousands separators; marks such as ``--`` and ``nan`` are NULL."""
+    return missing(F.regexp_replace(column, "[,\\s]", "").try_cast("double"))
+
+
+def theme_rows(payloads: DataFrame) -> DataFrame:
+    """``asked, symbol, reason, change_pct, echoed`` from one JSON response a day."""
+    schema = "struct<data: array<struct<code: string, reason: string, change_pct: string, date: string>>>"
+    rows = payloads.select("asked", F.explode(F.from_json("payload", schema)["data"]).alias("r"))
+    return rows.select("asked", F.lpad("r.code", 6, "0").alias("symbol"), F.col("r.reason").alias("reason"), plain_number(F.col("r.change_pct")).alias("change_pct"), F.try_to_date("r.date", "yyyyMMdd").alias("echoed"))
+
+
+def theme_verdicts(payloads: DataFrame) -> DataFrame:
+    """``asked, status, problem, n_rows``: a response counts only if all its rows are of the day and one has a change."""
+    by = theme_rows(payloads).groupBy("asked").agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.every(F.col("echoed") == F.col("asked")), F.lit(False)).alias("own"), (F.count("change_pct") > 0).alias("moved"))
+    problem = F.when(~F.col("own"), "other day").when(~F.col("moved"), "no change in any row")
+    return by.select("asked", F.when(problem.isNull(), "OK").otherwise("REJECTED").alias("status"), problem.alias("problem"), "n_rows")
+
+
+def unusual_rows(lines: DataFrame, day: str) -> DataFrame:
+    """``day, symbol, explanation, net_buy`` from JSON lines under vendor names; rows of another date are refused."""
+    schema = "struct<SECURITY_CODE: string, TRADE_DATE: string, BILLBOARD_NET_AMT: string, EXPLANATION: string>"
+    rows = lines.select(day, F.from_json("line", schema).alias("r"))
+    return rows.where(F.col("r.TRADE_DATE").try_cast("date") == F.col(day)).select(day, F.lpad("r.SECURITY_CODE", 6, "0").alias("symbol"), F.col("r.EXPLANATION").alias("explanation"), plain_number(F.col("r.BILLBOARD_NET_AMT")).alias("net_buy"))
+
+
+def primary_or_fallback(lines: DataFrame, day: str, fallback: DataFrame) -> DataFrame:
+    """Rows of the first source, and of the second for the days on which the first did not answer in its format.
+
+    A day without rows is an answer; only one that does not parse is a failure.
+    """
+    failed = lines.groupBy(day).agg(F.bool_or(F.from_json("line", "struct<SECURITY_CODE: string>")["SECURITY_CODE"].isNull()).alias("bad")).where("bad").select(day)
+    first = unusual_rows(lines, day).join(failed, day, "left_anti").withColumn("source", F.lit("primary"))
+    return first.unionByName(fallback.join(failed, day, "left_semi").withColumn("source", F.lit("fallback")))
+
+
+#: Header names of a page's table.
+PAGE_SYMBOL, PAGE_EXPLANATION = ("代码", "证券代码", "股票代码"), ("解读", "上榜原因", "原因")
+
+
+def page_events(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``key, symbol, explanation, n_rows`` from a page's table: the header row says which cell is which.
+
+    Comments go first; cells are read within rows, whatever attributes and tags
+    they have. A symbol's distinct explanations are joined by ``|``.
+    """
+    clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    cell = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " ")))
+    table = F.transform(F.regexp_extract_all(clean, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cell)
+    place = lambda names: F.array_max(F.array(*[F.array_position("head", n) for n in names])).cast("int")
+    rows = pages.select(key, table.alias("rows")).select(key, F.get("rows", 0).alias("head"), F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row"))
+    read = rows.select(key, F.get("row", place(PAGE_SYMBOL) - 1).alias("symbol"), F.get("row", place(PAGE_EXPLANATION) - 1).alias("explanation"))
+    read = read.where(F.col("symbol").rlike(r"^\d{6}$"))
+    return read.groupBy(key, "symbol").agg(F.array_join(F.array_sort(F.collect_set("explanation")), "|").alias("explanation"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def margin_rows(raw: DataFrame) -> DataFrame:
+    """``id, symbol, balance, volume`` under an exchange's names."""
+    return raw.select("id", F.lpad("标的证券代码", 6, "0").alias("symbol"), plain_number(F.col("融资余额")).alias("balance"), plain_number(F.col("融券余量")).cast("bigint").alias("volume"))
+
+
+def sector_rows(raw: DataFrame) -> DataFrame:
+    """``sector, members, change_pct, leaders``; whole numbers may be missing."""
+    whole = lambda c: plain_number(F.col(c)).cast("bigint")
+    return raw.select(F.col("板块名称").alias("sector"), whole("公司家数").alias("members"), plain_number(F.col("涨跌幅")).alias("change_pct"), whole("上涨家数").alias("leaders"))
+
+
+def valuation_rows(raw: DataFrame) -> DataFrame:
+    """``trade_date, symbol, pe_ttm, market_cap`` of the rows whose own date is the one that was asked for."""
+    same = F.col("date").try_cast("date") == F.col("asked")
+    return raw.where(same).select(F.col("asked").alias("trade_date"), F.lpad("code", 6, "0").alias("symbol"), plain_number(F.col("peTTM")).alias("pe_ttm"), F.col("totalMarketCap").try_cast("bigint").alias("market_cap"))
+
+
+def membership_status(rows: DataFrame, day: str, member: str, least: int) -> DataFrame:
+    """``day, n_rows, n_members, status``: a list must have enough members, and each once."""
+    by = rows.groupBy(day).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(member).alias("n_members"))
+    return by.withColumn("status", F.when(F.col("n_members") < least, "too few").when(F.col("n_rows") > F.col("n_members"), "repeated").otherwise("OK"))
+
+
 def merge_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both tables; where both have a key, each value of the new one wins if it is there."""
     values = [c for c in old.columns if c not in keys]

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from tidemark.operators.keyed import upsert
+from tidemark.operators.sinks import path_exists
 from tidemark.session import shared_dir
 
 SCHEMA = StructType([
@@ -34,44 +35,98 @@ def windowed_counts(stream: DataFrame, at: str, keys: list[str], width: str, del
     return by.select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
-def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over all that is there now, and read what it wrote.
+def stream_root(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a stream that is run once; one that is to resume gets a fixed root from its caller."""
+    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
-    The checkpoint and the sink lie in the shared folder, so that a lost
-    executor or driver goes on from the last finished batch.
-    """
-    spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
-    if each is None:
 
-        def each(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
+def run_batches(stream: DataFrame, root: str, mode: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over all that is there now, from the checkpoint under ``root`` on.
 
+    A second call with the same root goes on after the last finished batch. A
+    batch that failed half way runs again under its number, so ``each`` must
+    write what it writes under that number.
+    """
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(each)
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def latest_by_upsert(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep the latest row of each key in a table that each batch is merged into.
+def written(spark: SparkSession, path: str, schema: StructType, last: bool = False) -> DataFrame:
+    """What the batches wrote under ``path``; with ``last`` only the latest batch, as for complete output."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    if last:
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar())
+    return rows.drop("batch")
+
+
+def drain(stream: DataFrame, mode: str, root: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now, and read all that it has written so far."""
+    spark, root = stream.sparkSession, root or stream_root(stream.sparkSession, "stream")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    run_batches(stream, root, mode, each)
+    return written(spark, f"{root}/out", stream.schema, mode == "complete")
+
+
+def split_late(stream: DataFrame, at: str, delay_days: int, root: str) -> tuple[DataFrame, DataFrame]:
+    """Rows in time and rows that came too late: the late ones go to a table of their own, none is lost.
 
-    A version is written beside the last one and then used; a batch that runs
-    again writes the same version.
+    A row is late if it is older than the latest row of the batches before its
+    own by more than the delay. That mark is written with each batch, so that a
+    batch that runs again is judged like the first time.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/tidemark/table-{uuid.uuid4().hex}"
-    done: list[str] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        marks = written(batch.sparkSession, f"{root}/marks", StructType([StructField("mark", TimestampType())]))
+        if path_exists(batch.sparkSession, f"{root}/marks"):
+            marks = batch.sparkSession.read.parquet(f"{root}/marks").where(F.col("batch") < number)
+        mark = marks.agg(F.max("mark")).first()[0]
+        late = F.lit(False) if mark is None else F.coalesce(F.col(at) < F.lit(mark) - F.expr(f"INTERVAL {delay_days} DAYS"), F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.where(late).write.mode("overwrite").parquet(f"{root}/late/batch={number}")
+        batch.agg(F.max(at).cast("timestamp").alias("mark")).write.mode("overwrite").parquet(f"{root}/marks/batch={number}")
+
+    run_batches(stream, root, "append", each)
+    return written(spark, f"{root}/out", stream.schema), written(spark, f"{root}/late", stream.schema)
+
+
+#: Parts of an upserted table; a batch rewrites those that its keys fall into.
+BUCKETS = 16
+
+
+def latest_by_upsert(stream: DataFrame, keys: list[str], order: str, root: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Keep the latest row of each key in a table that each batch is merged into.
+
+    The table lies in buckets by a hash of the key. A batch writes new versions
+    of the buckets that it touches, under its number, and leaves the others; a
+    bucket's latest version holds. A batch that runs again starts from the
+    versions before it and writes the same ones. What the last batch was is
+    seen from the folders, not remembered, so a new driver goes on.
+    """
+    spark, root = stream.sparkSession, root or stream_root(stream.sparkSession, "table")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType()), StructField("bucket", LongType())])
+
+    def current(session: SparkSession, before: int | None) -> DataFrame:
+        """The table as the batches before number ``before`` left it, or as it is."""
+        if not path_exists(session, f"{root}/table"):
+            return session.createDataFrame([], schema)
+        rows = session.read.schema(schema).parquet(f"{root}/table")
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))  # from the folders' names, a few rows
+        return rows.join(newest, ["bucket", "batch"], "left_semi")
 
     def merge(batch: DataFrame, number: int) -> None:
-        path = f"{root}/v{number}"
-        if done and done[-1] != path:
-            old = batch.sparkSession.read.schema(stream.schema).parquet(done[-1])
-            both = old.unionByName(batch)
-            batch = upsert(old, both, keys, [F.desc(order)])
-        else:
-            batch = upsert(batch.limit(0), batch, keys, [F.desc(order)])
-        batch.write.mode("overwrite").parquet(path)
-        done.append(path)
-
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(merge).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(done[-1]) if done else spark.createDataFrame([], stream.schema)
+        session = batch.sparkSession
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+        touched = new.select("bucket").distinct()
+        old = current(session, number).join(touched, "bucket", "left_semi").select(*new.columns)
+        both = old.unionByName(new)
+        upsert(old, both, keys, [F.desc(order)]).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/table/batch={number}")
+
+    run_batches(stream, root, "append", merge)
+    return current(spark, None).select(*stream.columns)
