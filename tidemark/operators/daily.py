@@ -55,11 +55,15 @@ def daily_features(panel: DataFrame, day: Column, p: Protocol) -> DataFrame:
     return by.where((F.col("history_days") == p.bars) & (F.col("n_valid") == p.bars) & (F.col("last_date") == day)).drop("n_valid", "last_date")
 
 
+def daily_name(name: Column) -> Column:
+    """A name without a mark of risk in any case; a missing name fails."""
+    return name.isNotNull() & ~F.coalesce(name.rlike("(?i)ST|退"), F.lit(False))
+
+
 def tests(day: Column, p: Protocol) -> list[tuple[str, Column]]:
     """The conjunctive tests in order; the first is also the base of the market's breadth."""
     c = F.col
-    named = c("name").isNotNull() & ~F.coalesce(c("name").rlike("(?i)ST|退"), F.lit(False))
-    base = named & (F.datediff(day, c("listed_date")) >= 365) & c("active") & c("valid_ohlc")
+    base = daily_name(c("name")) & (F.datediff(day, c("listed_date")) >= 365) & c("active") & c("valid_ohlc")
     return [
         ("base", true(base)),
         ("price and liquidity", true((c("close") >= p.minimum_price) & (c("amount_20") >= p.minimum_amount_20))),

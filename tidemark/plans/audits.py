@@ -56,11 +56,11 @@ def announcement_ids(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("doc_id", F.substring(F.sha2(F.concat_ws("|", "source", "lang", title).cast("binary"), 256), 1, 24).alias("record_id"))
 
 
-@query("xml_rates", "SELECT n_name AS name, date_trunc('month', o_orderdate)::DATE AS day, round(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 1000, 2) + 0.0 AS rate, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2", dates="day")
+@query("xml_rates", "SELECT n_name AS name, date_trunc('month', o_orderdate)::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS rate, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2", dates="day")
 def xml_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates in XML entries, one document a nation, parsed with a typed schema."""
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    by = rows.groupBy("n_name", F.trunc("o_orderdate", "month").alias("day")).agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / 1000, 2).alias("rate"), F.count(F.lit(1)).alias("n"))
+    by = rows.groupBy("n_name", F.trunc("o_orderdate", "month").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("rate"), F.count(F.lit(1)).alias("n"))
     entry = F.concat(F.lit("<entry><day>"), F.col("day").cast("string"), F.lit("T00:00:00</day><rate>"), F.col("rate").cast("string"), F.lit("</rate><n>"), F.col("n").cast("string"), F.lit("</n></entry>"))
     feed = by.groupBy("n_name").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("xml"))
     parsed = feed.select(F.col("n_name").alias("name"), F.explode(F.from_xml("xml", "entry array<struct<day: string, rate: double, n: bigint>>")["entry"]).alias("e"))

@@ -110,7 +110,7 @@ def membership_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("membership_asof", with_("panel") + """, m AS (SELECT symbol, trade_date AS valid_from, n % 3 = 1 AS member FROM panel WHERE n % 60 = 1)
-SELECT p.trade_date, count(*) AS n, round(avg(p.close), 6) + 0.0 AS mean_close FROM panel p ASOF JOIN m ON p.symbol = m.symbol AND p.trade_date >= m.valid_from WHERE m.member GROUP BY 1""", dates="trade_date")
+SELECT p.trade_date, count(*) AS n, round(sum(round(p.close * 10000)::BIGINT) / count(*), 3) + 0.0 AS mean_close FROM panel p ASOF JOIN m ON p.symbol = m.symbol AND p.trade_date >= m.valid_from WHERE m.member GROUP BY 1""", dates="trade_date")
 def membership_asof(spark: SparkSession, d: str) -> DataFrame:
     """Bars joined with the membership that held on their day: the last state on or before it."""
     from tidemark.sources.market import panel
@@ -118,4 +118,4 @@ def membership_asof(spark: SparkSession, d: str) -> DataFrame:
     rows = panel(spark, d)
     states = rows.where("n % 60 = 1").select("symbol", F.col("trade_date").alias("valid_from"), (F.col("n") % 3 == 1).alias("member"))
     held = ops.state_on(rows.select("symbol", "trade_date", "close"), states, "symbol", "trade_date", "valid_from", "member")
-    return shown(held.where("member").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean_close")))
+    return shown(held.where("member").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("close") * 10000).cast("bigint")) / F.count(F.lit(1)), 3).alias("mean_close")))

@@ -41,9 +41,10 @@ FAMILY_SQL = {
 
 
 def family_sql(name: str, windows=ops.WINDOWS, digits: int = 6) -> str:
-    """Each window as one SELECT over its own frame, joined by key."""
+    """Each window as one SELECT over its own frame, joined by key; with more digits than six, halves of the last one go up."""
+    nudge = " + 1e-12" if digits > 6 else ""
     parts = [
-        f"w{n} AS (SELECT symbol, trade_date, {', '.join(f'round({x.replace("{n}", str(n))}, {digits}) + 0.0 AS {k}{n}' for k, x in FAMILY_SQL[name].items())} FROM base WINDOW s AS (PARTITION BY symbol ORDER BY trade_date), w AS (PARTITION BY symbol ORDER BY trade_date ROWS {n - 1} PRECEDING))"
+        f"w{n} AS (SELECT symbol, trade_date, {', '.join(f'round({x.replace("{n}", str(n))}{nudge}, {digits}) + 0.0 AS {k}{n}' for k, x in FAMILY_SQL[name].items())} FROM base WINDOW s AS (PARTITION BY symbol ORDER BY trade_date), w AS (PARTITION BY symbol ORDER BY trade_date ROWS {n - 1} PRECEDING))"
         for n in windows
     ]
     joins = " ".join(f"JOIN w{n} USING (symbol, trade_date)" for n in windows[1:])
@@ -56,11 +57,14 @@ def kbar_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _family(name: str, registered: str) -> None:
-    digits = 8 if name in ("quantiles", "stats") else 6  # means of prices over a price end on a five in the seventh place now and then
+    digits = 8 if name in ("quantiles", "stats") else 6  # ratios of prices end on a five just behind the last place now and then
 
     @query(registered, family_sql(name, digits=digits), dates="trade_date")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return shown(ops.features(panel(spark, d), (getattr(ops, name),)), digits)
+        rows = ops.features(panel(spark, d), (getattr(ops, name),))
+        if digits > 6:
+            rows = rows.withColumns({c: F.col(c) + 1e-12 for c, kind in rows.dtypes if kind == "double"})
+        return shown(rows, digits)
 
 
 for _name, _registered in (("stats", "rolling_stats"), ("ols", "rolling_ols"), ("quantiles", "rolling_quantiles"), ("ranks", "rolling_rank"), ("extremes", "rolling_rsv_argext"), ("correlations", "rolling_corr"), ("counts", "updown_counts"), ("volumes", "volume_features")):

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import scores as ops
-from tidemark.operators.funnel import Spec, funnel, rejection
+from tidemark.operators.daily import daily_name
+from tidemark.operators.funnel import Spec, funnel, rejection, risk_name
 from tidemark.operators.keyed import latest_per_key
 from tidemark.plans.factors import FACTOR_CTES, WIDE_NAMES, day, factor_table, shown, sql6, sql_mean, sql_rank
 from tidemark.plans.registry import query
@@ -73,13 +74,16 @@ def theme_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(rejection(Spec(themes_any=("ECONOMY", "PROMO"), themes_none=("Brand#13",), exclude_risk_names=False), rows.columns).isNull()).select("symbol", "theme_tags")
 
 
-@query("name_filter", "SELECT c_custkey, c_name, NOT (contains(c_name, '1') OR contains(c_name, '退')) AS passes_screen, name2 IS NOT NULL AND NOT regexp_matches(name2, '(?i)st|退') AS passes_daily FROM (SELECT c_custkey, replace(c_name, '#', 'ST') AS c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS name2 FROM customer) WHERE c_custkey < 100000000")
+NAMES_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN replace(c_name, '#', ' ST') WHEN c_custkey % 11 = 0 THEN c_name || '退' WHEN c_custkey % 13 = 0 THEN replace(c_name, '#', ' *st') WHEN c_custkey % 17 <> 0 THEN c_name END AS name FROM customer"
+
+
+@query("name_filter", f"SELECT c_custkey, name, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS passes_screen, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 17 <> 0 AND NOT (name IS NULL OR regexp_matches(name, '(?i)st')) AS passes_daily FROM (SELECT c_custkey, replace(name, 'Customer', 'Cu.') AS name FROM ({NAMES_SQL}))")
 def name_filter(spark: SparkSession, d: str) -> DataFrame:
     """The two name rules: literal with missing names passing, and case-blind with missing names failing."""
-    rows = table(spark, d, "customer").select("c_custkey", F.replace("c_name", F.lit("#"), F.lit("ST")).alias("c_name"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("name2"))
-    literal = ~(F.coalesce("c_name", F.lit("")).contains("1") | F.coalesce("c_name", F.lit("")).contains("退"))
-    blind = F.col("name2").isNotNull() & ~F.coalesce(F.col("name2").rlike("(?i)st|退"), F.lit(False))
-    return rows.select("c_custkey", "c_name", literal.alias("passes_screen"), blind.alias("passes_daily"))
+    key, c_name = F.col("c_custkey"), F.col("c_name")
+    name = F.when(key % 7 == 0, F.replace(c_name, F.lit("#"), F.lit(" ST"))).when(key % 11 == 0, F.concat(c_name, F.lit("退"))).when(key % 13 == 0, F.replace(c_name, F.lit("#"), F.lit(" *st"))).when(key % 17 != 0, c_name)
+    rows = table(spark, d, "customer").select("c_custkey", F.replace(name, F.lit("Customer"), F.lit("Cu.")).alias("name"))
+    return rows.select("c_custkey", "name", (~risk_name(F.col("name"))).alias("passes_screen"), daily_name(F.col("name")).alias("passes_daily"))
 
 
 def with_risk_values(rows: DataFrame) -> DataFrame:
@@ -163,6 +167,24 @@ def title_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", category.alias("category"), status.alias("status"))
 
 
+#: Titles, and by hand what the fixed rules make of them.
+TITLES = (
+    ("关于股东减持股份计划的公告", "shareholder_reduction", "classified"), ("控股股东增 持 公司股份", "shareholder_increase", "classified"), ("首次公开发行限售股上市流通提示", "unlock", "classified"),
+    ("关于收到行政处罚决定书的公告", "regulatory", "classified"), ("2025年第三季度报告", "earnings", "classified"), ("2025年度业绩预告", "earnings", "classified"), ("年度利润分配方案", "dividend", "classified"),
+    ("关于回购股份的进展", "repurchase", "classified"), ("部分股份解除质押", "pledge", "classified"), ("入选指数样本的提示", "index_change", "classified"), ("重大合同中标公示", "major_contract", "classified"),
+    ("重大资产重组停牌", "major_event", "classified"), ("减持期间回购股份", "shareholder_reduction", "classified"), ("股票交易异常波动公告", None, "pending"), ("关于累计诉讼的公告", None, "pending"),
+    ("关联交易及诉讼进展中的分红", "dividend", "classified"), ("董事会会议决议", "ignore", "ignored"), ("", "ignore", "ignored"), (None, "ignore", "ignored"),
+)
+
+
+@query("title_rules", "WITH t(i, category, status) AS (VALUES " + ", ".join(f"({i}, {'NULL' if c is None else repr(c)}, '{s}')" for i, (_, c, s) in enumerate(TITLES)) + f") SELECT doc_id, category, status FROM documents JOIN t ON i = doc_id % {len(TITLES)}")
+def title_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed title rules on titles of announcements, against verdicts written by hand."""
+    titles = F.array(*[F.lit(t) for t, _, _ in TITLES])
+    category, status = ops.classify(F.get(titles, (F.col("doc_id") % len(TITLES)).cast("int")))
+    return table(spark, d, "documents").where("doc_id is not null").select("doc_id", category.alias("category"), status.alias("status"))
+
+
 @query("pending_update", """WITH a AS (SELECT doc_id, source AS exchange, CASE WHEN doc_id % 4 = 0 THEN 'pending' ELSE 'classified' END AS status FROM documents),
 r AS (SELECT doc_id, CASE quality WHEN 1 THEN 'earnings' ELSE 'pledge' END AS category, (doc_id % 10) / 10.0::DOUBLE AS confidence FROM labels)
 SELECT a.doc_id, exchange, CASE WHEN status = 'pending' AND r.doc_id IS NOT NULL THEN 'classified' ELSE status END AS status,
