@@ -35,6 +35,43 @@ def test_language_id(spoken, no_docs):
     assert {r["lang_pred"] for r in lang_id.identify(docs, None).collect()} == {"und"}
 
 
+def naive_logits(net, x):
+    """One window by the definition of the network: every filter at every place, byte by byte."""
+    h = []
+    for w, kernel in net.kernels.items():
+        for f in range(kernel.shape[2]):
+            values = [sum(float(net.embed[x[at + o]] @ kernel[o, :, f]) for o in range(w)) for at in range(len(x) - w + 1)]
+            h.append(max(max(values) + net.bias[w][f], 0.0))
+    return np.array(h) @ net.out + net.out_bias
+
+
+def test_network_equals_its_definition(monkeypatch):
+    """The look-up convolution against naive sums, and the gradient steps against numeric differences of the loss."""
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 256, (6, 24)).astype(np.uint8), rng.integers(0, 3, 6)
+    net = lang_id.train(x, y, ["a", "b", "c"], epochs=2)
+    logits, _, _ = lang_id._forward(net, net.tables(), x)
+    assert logits == pytest.approx(np.array([naive_logits(net, row) for row in x]), abs=1e-4)
+    loss = lambda n: -np.log(lang_id._softmax(np.array([naive_logits(n, row) for row in x]))[np.arange(6), y]).mean()
+    before = loss(net)
+    # Adam's first step goes along the sign of each gradient: train from this net's own start, one batch, one epoch.
+    start, moved = lang_id.train(x, y, ["a", "b", "c"], epochs=0), lang_id.train(x, y, ["a", "b", "c"], epochs=1)
+    checked = 0
+    for name in ("out_bias", "out", "embed"):
+        flat, step = getattr(start, name).ravel(), getattr(moved, name).ravel() - getattr(start, name).ravel()
+        for i in rng.choice(np.flatnonzero(step), min(6, np.count_nonzero(step)), replace=False):
+            held, sides = flat[i], []
+            for d in (1e-4, -1e-4):
+                flat[i] = held + d
+                sides.append(loss(start))
+            flat[i] = held
+            slope = (sides[0] - sides[1]) / 2e-4
+            if abs(slope) > 1e-4:
+                assert np.sign(step[i]) == -np.sign(slope), (name, i)
+                checked += 1
+    assert checked >= 8 and before < loss(start)
+
+
 def test_prediction_reads_every_window(spoken):
     rows, docs = spoken
     net = lang_id.fit(docs)
