@@ -213,7 +213,7 @@ def valuation_asof(spark: SparkSession, d: str) -> DataFrame:
 def financial_asof(spark: SparkSession, d: str) -> DataFrame:
     """What was published by a date: the cut is on publication, and so is the order."""
     known = statements(spark, d).where(F.col("pub_date") <= F.lit("2000-03-31").cast("date"))
-    return latest_per_key(known, ["symbol"], [F.desc("pub_date"), F.desc("stat_date")]).drop("shares")
+    return latest_per_key(known, ["symbol"], [F.desc("pub_date"), F.desc("stat_date")]).select("symbol", "stat_date", "pub_date", "revenue", "net_profit")
 
 
 @query("financial_history", with_("statements") + " SELECT symbol, stat_date, pub_date, revenue, net_profit, row_number() OVER (PARTITION BY symbol ORDER BY stat_date DESC, pub_date DESC)::INT AS place FROM statements WHERE pub_date <= DATE '2000-03-31' QUALIFY place <= 5", dates="stat_date pub_date")
@@ -221,7 +221,7 @@ def financial_history(spark: SparkSession, d: str) -> DataFrame:
     """The last five disclosed periods, ordered by period."""
     known = statements(spark, d).where(F.col("pub_date") <= F.lit("2000-03-31").cast("date"))
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("stat_date"), F.desc("pub_date")))
-    return known.withColumn("place", place).where("place <= 5").drop("shares")
+    return known.withColumn("place", place).where("place <= 5").select("symbol", "stat_date", "pub_date", "revenue", "net_profit", "place")
 
 
 @query("instrument_master", with_("instruments") + " SELECT symbol, name, industry, market, listed_date, CASE WHEN DATE '2000-12-31' - listed_date >= 0 THEN (DATE '2000-12-31' - listed_date)::INT END AS listed_days FROM instruments", dates="listed_date")

@@ -145,11 +145,12 @@ plans AS (SELECT symbol, expectation_state, operation_signal, support AS buy_low
   close * (1 + least(greatest(buffer * 0.5, 0.01), 0.03)) AS no_chase_price, support * (1 - greatest(buffer, 0.025)) AS invalidation_price, valuation_anchor, target_1, CASE WHEN target_2a <= target_1 THEN target_1 * 1.05 ELSE target_2a END AS target_2 FROM targets)"""
 
 
-@query("operation_plan", PLAN_CTES + f" SELECT symbol, expectation_state, operation_signal, {sql6(*PLAN_NAMES)} FROM plans")
+@query("operation_plan", PLAN_CTES + f" SELECT symbol, expectation_state, operation_signal, {', '.join(f'round({n} + 1e-9, 6) + 0.0 AS {n}' for n in PLAN_NAMES)} FROM plans")
 def operation_plan(spark: SparkSession, d: str) -> DataFrame:
     kept = pool(spark, d)
     rows = kept.join(ops.pool_scores(kept, ops.WEIGHTS), "symbol").withColumn("eps_ttm", F.col("close") / F.nullif("pe_ttm", F.lit(0.0)))
-    return shown(ops.price_plan(rows).select("symbol", "expectation_state", "operation_signal", *PLAN_NAMES))
+    # Parts of a mean over 60 closes end on a five in the seventh place now and then; those halves go up.
+    return shown(ops.price_plan(rows).select("symbol", "expectation_state", "operation_signal", *[(F.col(n) + 1e-9).alias(n) for n in PLAN_NAMES]))
 
 
 #: Phrases for the synthetic titles, in the same shape as the fixed rules.
