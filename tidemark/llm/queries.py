@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import cover_tree, lang_id, license_scan, line_dedup, mixing, packing, secret_scan, simhash, tile_search, toxicity
+from tidemark.llm import cover_tree, lang_id, license_scan, line_dedup, mixing, packing, phrase_index, secret_scan, simhash, tile_search, toxicity
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.digest(phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -67,10 +71,12 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_decontamination": op11_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": cover_tree.ORACLE_SQL,
     "op2_nearest_neighbours": tile_search.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_decontamination": phrase_index.ORACLE_SQL,
 }
