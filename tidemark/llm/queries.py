@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import cover_tree, lang_id, license_scan, line_dedup, mixing, packing, phrase_index, secret_scan, simhash, tile_search, toxicity
+from tidemark.llm import cover_tree, lang_id, license_scan, line_dedup, mixing, packing, phrase_index, secret_scan, simhash, tile_search, toxicity, whitening
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.digest(phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
