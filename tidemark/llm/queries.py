@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import cover_tree, lang_id, license_scan, line_dedup, mixing, packing, phrase_index, secret_scan, simhash, tile_search, toxicity, whitening
+from tidemark.llm import cover_tree, hard_negatives, lang_id, license_scan, line_dedup, mixing, packing, phrase_index, secret_scan, simhash, tile_search, toxicity, whitening
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_decontamination": op11_decontamination,
     "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op2_nearest_neighbours": tile_search.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op11_decontamination": phrase_index.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
