@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import change, full, nullable_mean, pct_rank, ratio
 from tidemark.operators.keyed import split_tags
 
+
 def _columns() -> tuple[Column, Column, Column]:
     """Close, volume and amount."""
     return F.col("close"), F.col("volume").cast("double"), F.col("amount")
@@ -22,23 +23,6 @@ def at_last(rows: DataFrame, day: Column) -> DataFrame:
     return rows.where(F.col("trade_date") == day)
 
 
-#: Days before the day of a factor table that its windows may reach, the longest of which has 250 rows.
-LOOKBACK = 300
-
-
-def recent(panel: DataFrame, day: Column, base_day: Column | None = None, days: int = LOOKBACK) -> DataFrame:
-    """The panel's last ``days`` days up to ``day``, and what earlier rows still give: ``earlier`` and ``base_close``.
-
-    Windows then run over a bounded part of each history, and the filter on the
-    date stands below them. The number of earlier rows and the last close up to
-    ``base_day`` are plain aggregates by symbol.
-    """
-    at, cut = F.col("trade_date"), F.date_sub(day, days)
-    last = F.max_by("close", F.when(at <= base_day, at)) if base_day is not None else F.lit(None).cast("double")
-    before = panel.where(at <= F.greatest(cut, base_day) if base_day is not None else at <= cut).groupBy("symbol").agg(F.count_if(at <= cut).alias("earlier"), last.alias("base_close"))
-    return panel.where((at > cut) & (at <= day)).join(before, "symbol", "left")
-
-
 def price_columns() -> dict[str, Column]:
     """Position in the range, distances from highs and means, history; windows must be full."""
     C, _, A = _columns()
@@ -170,17 +154,17 @@ def day_against_market(factors: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def bar_factors(panel: DataFrame, day: Column) -> DataFrame:
-    """All price, momentum and risk factors on one day from the ``recent`` part of the panel."""
+    """All price, momentum and risk factors on one day from the ``sessions.recent`` part of the panel."""
     rows = counted_back(panel)
     return day_against_market(day_factors(rows, day), rows).drop("trade_date")
 
 
 def theme_factors(symbols: DataFrame, themes: DataFrame, day: Column, since: Column) -> DataFrame:
-    """Tags of the day and their heat, and listed days in the window since ``since``.
+    """Tags of the day and their heat, and listed days in the window that begins on ``since``.
 
     On a day with rows an unlisted symbol has 0; without any row it has NULL.
     """
-    window = themes.where((F.col("trade_date") > since) & (F.col("trade_date") <= day))
+    window = themes.where((F.col("trade_date") >= since) & (F.col("trade_date") <= day))
     today = window.where(F.col("trade_date") == day).select("symbol", split_tags(F.col("reason")).alias("tags"))
     tags = today.select("symbol", F.explode("tags").alias("tag"))
     counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("heat"))
@@ -198,8 +182,8 @@ def theme_factors(symbols: DataFrame, themes: DataFrame, day: Column, since: Col
 
 
 def capital_factors(symbols: DataFrame, unusual: DataFrame, day: Column, since: Column) -> DataFrame:
-    """Days on the unusual-trading list and net buying in the window; sums of nothing stay NULL."""
-    window = unusual.where((F.col("trade_date") > since) & (F.col("trade_date") <= day))
+    """Days on the unusual-trading list and net buying in the window from ``since``; sums of nothing stay NULL."""
+    window = unusual.where((F.col("trade_date") >= since) & (F.col("trade_date") <= day))
     by = window.groupBy("symbol").agg(
         F.count_distinct("trade_date").alias("days"),
         F.sum("net_buy").cast("double").alias("net"),

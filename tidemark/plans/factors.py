@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import factors as ops
+from tidemark.operators.sessions import recent, session_back
 from tidemark.plans.registry import query
 from tidemark.session import materialise
 from tidemark.sources.market import as_of, instruments, panel, statements, theme_days, unusual_trades, with_
@@ -60,7 +61,7 @@ def recent_panel(spark: SparkSession, d: str):
     """The part of the panel that the factors of its last common day need, and that day."""
     rows = materialise(panel(spark, d), "panel")  # read for the day, for earlier rows and for the windows, with the date in its scan
     last = as_of(rows)
-    return ops.recent(rows, last, day(BASE_DAY)), last
+    return recent(rows, last, day(BASE_DAY)), last
 
 
 PRICE_NAMES = ("close_position_20", "close_position_60", "close_position_250", "dist_to_52w_high", "ma20_dev", "ma60_dev", "turnover_value_20")
@@ -94,7 +95,8 @@ def rolling_drawdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 THEME_DAY = "1999-06-01"
-THEMES_SQL = f"""win AS (SELECT * FROM themes WHERE trade_date > DATE '{THEME_DAY}' - 20 AND trade_date <= DATE '{THEME_DAY}'),
+THEMES_SQL = f"""win AS (SELECT * FROM themes WHERE trade_date <= DATE '{THEME_DAY}'
+  AND trade_date >= (SELECT min(s) FROM (SELECT DISTINCT trade_date AS s FROM themes WHERE trade_date <= DATE '{THEME_DAY}' ORDER BY 1 DESC LIMIT 20))),
 today AS (SELECT symbol, list_distinct(list_filter(list_transform(string_split_regex(reason, '[+、,，/|]'), lambda x: trim(x)), lambda x: x <> '')) AS tags0, string_split_regex(reason, '[+、,，/|]') AS raw FROM win WHERE trade_date = DATE '{THEME_DAY}'),
 today2 AS (SELECT symbol, list_filter(raw, lambda x, i: x <> '' AND list_position(raw, x) = i) AS tags FROM today),
 tagged AS (SELECT symbol, unnest(tags) AS tag FROM today2), heats AS (SELECT tag, count(*) AS heat FROM tagged GROUP BY 1),
@@ -109,9 +111,18 @@ def day(text: str):
     return F.lit(text).cast("date")
 
 
+#: Sessions of the windows of listed days.
+LISTED_SESSIONS = 20
+
+
+def theme_window(spark: SparkSession, d: str, symbols: DataFrame) -> DataFrame:
+    rows = theme_days(spark, d)
+    return ops.theme_factors(symbols, rows, day(THEME_DAY), session_back(rows, day(THEME_DAY), LISTED_SESSIONS))
+
+
 @query("theme_factors", with_("themes", "instruments") + f", {THEMES_SQL} SELECT * FROM theme")
 def theme_factors(spark: SparkSession, d: str) -> DataFrame:
-    return ops.theme_factors(instruments(spark, d).select("symbol"), theme_days(spark, d), day(THEME_DAY), F.date_sub(day(THEME_DAY), 20))
+    return theme_window(spark, d, instruments(spark, d).select("symbol"))
 
 
 @query("tag_heat", with_("themes") + """, tags AS (SELECT DISTINCT trade_date, symbol, tag FROM (SELECT trade_date, symbol, unnest(string_split_regex(reason, '[+、,，/|]')) AS tag FROM themes) WHERE tag <> ''),
@@ -135,15 +146,21 @@ def top_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 CAPITAL_DAY = "2024-01-25"
-CAPITAL_SQL = f"""uwin AS (SELECT * FROM unusual WHERE trade_date > DATE '{CAPITAL_DAY}' - 20 AND trade_date <= DATE '{CAPITAL_DAY}'),
+CAPITAL_SQL = f"""uwin AS (SELECT * FROM unusual WHERE trade_date <= DATE '{CAPITAL_DAY}'
+  AND trade_date >= (SELECT min(s) FROM (SELECT DISTINCT trade_date AS s FROM unusual WHERE trade_date <= DATE '{CAPITAL_DAY}' ORDER BY 1 DESC LIMIT 20))),
 ucap AS (SELECT symbol, count(DISTINCT trade_date) AS days, sum(net_buy)::DOUBLE AS net, arg_max(net_buy, (trade_date, event_id)) FILTER (WHERE net_buy IS NOT NULL)::DOUBLE AS last, arg_min(net_buy, (trade_date, event_id)) FILTER (WHERE net_buy IS NOT NULL)::DOUBLE AS first FROM uwin GROUP BY 1),
 capital AS (SELECT i.symbol, CASE WHEN (SELECT count(*) FROM uwin) > 0 THEN coalesce(days, 0) END AS lhb_count_20,
   CASE WHEN (SELECT count(*) FROM uwin) > 0 THEN CASE WHEN days IS NULL THEN 0.0 ELSE net END END AS lhb_net_buy_20, (SELECT sum(net_buy)::DOUBLE FROM uwin u WHERE u.symbol = i.symbol AND trade_date = DATE '{CAPITAL_DAY}') AS main_net_inflow, last / nullif(first, 0) - 1 AS net_chg_20 FROM instruments i LEFT JOIN ucap USING (symbol))"""
 
 
+def capital_window(spark: SparkSession, d: str, symbols: DataFrame) -> DataFrame:
+    rows = unusual_trades(spark, d)
+    return ops.capital_factors(symbols, rows, day(CAPITAL_DAY), session_back(rows, day(CAPITAL_DAY), LISTED_SESSIONS))
+
+
 @query("capital_factors", with_("unusual", "instruments") + f", {CAPITAL_SQL} SELECT symbol, lhb_count_20, {sql6('lhb_net_buy_20', 'main_net_inflow', 'net_chg_20')} FROM capital")
 def capital_factors(spark: SparkSession, d: str) -> DataFrame:
-    return shown(ops.capital_factors(instruments(spark, d).select("symbol"), unusual_trades(spark, d), day(CAPITAL_DAY), F.date_sub(day(CAPITAL_DAY), 20)))
+    return shown(capital_window(spark, d, instruments(spark, d).select("symbol")))
 
 
 STATEMENT_DAY = "2000-12-31"
@@ -177,7 +194,7 @@ valuations AS (SELECT symbol, industry, pe_ttm, CASE WHEN pe_ttm > 0 THEN -ln(gr
 
 
 def valued(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
+    rows = materialise(panel(spark, d), "panel")  # read for the day and, with the date in its scan, for its closes
     last = ops.at_last(rows, as_of(rows)).select("symbol", "close")
     grown = ops.growth_factors(statements(spark, d), day(STATEMENT_DAY))
     return ops.valuation_factors(grown.join(instruments(spark, d).select("symbol", "industry"), "symbol").join(last, "symbol"))
@@ -226,11 +243,8 @@ def factor_table(spark: SparkSession, d: str) -> DataFrame:
     base = symbols.join(ops.bar_factors(rows, last), "symbol").join(grown, "symbol", "left")
     base = materialise(base, "factor-base")  # one row a symbol, for the table and for its industries
     base = ops.valuation_factors(base).join(ops.industry_scores(base).drop("members"), "industry", "left")
-    for more in (
-        ops.theme_factors(symbols.select("symbol"), theme_days(spark, d), day(THEME_DAY), F.date_sub(day(THEME_DAY), 20)),
-        ops.capital_factors(symbols.select("symbol"), unusual_trades(spark, d), day(CAPITAL_DAY), F.date_sub(day(CAPITAL_DAY), 20)),
-    ):
-        base = base.join(more, "symbol", "left")
+    for window in (theme_window, capital_window):
+        base = base.join(window(spark, d, symbols.select("symbol")), "symbol", "left")
     return base.withColumn("lhb_net_buy_rel", F.col("lhb_net_buy_20") / F.nullif("turnover_value_20", F.lit(0.0))).withColumn("listed_days", F.datediff(day(STATEMENT_DAY), "listed_date"))
 
 
