@@ -11,7 +11,8 @@ from tidemark.llm.shared import materialise
 def _stars(edges: DataFrame) -> DataFrame:
     """``u, v, m``: each directed edge with the least node among u and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    return edges.join(least, "u")
+    # Written, so that the join's sides are plain exchanges, which adaptive execution can split at a hot centre.
+    return edges.join(materialise(least, "least-nodes"), "u")
 
 
 def _large(edges: DataFrame) -> DataFrame:

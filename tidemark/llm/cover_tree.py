@@ -415,10 +415,13 @@ def digest(embeddings: DataFrame) -> DataFrame:
     take no part; an id in several rows counts once, with its least vector, so
     that "the query's own row" is well defined; vectors of different lengths
     never meet; a query with fewer candidates gets them all; scores are exact,
-    and one beyond 64 bits is null at the rank it has; an empty table gives an
-    empty result; other columns are not read.
+    and one beyond 64 bits is null at the rank it has; a vector that leaves the
+    range of a double once scaled takes no part; an empty table gives an empty
+    result; other columns are not read.
     """
-    rows = clean_vectors(embeddings).withColumn("vec", F.transform("vec", lambda x: F.floor(x * SCALE).cast("double")))
+    # From 2**52 on every double is whole; floor() would turn those beyond 64 bits into its greatest number.
+    whole = F.transform("vec", lambda x: F.when(F.abs(x * SCALE) < 2.0**52, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
+    rows = clean_vectors(embeddings).withColumn("vec", whole).where(F.forall("vec", lambda x: F.abs(x) < F.lit(float("inf"))))
     found = exact_top_k(rows, QUERY_EVERY)
     return found.select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))
 

@@ -29,8 +29,10 @@ HARMLESS_WORDS = "commit|sha|md5|checksum|hash|revision|digest|uuid|etag|order|c
 #: Values of any characters are candidates as well where a name of a secret is assigned one of at least so many characters.
 LEAST = 6
 #: Group 1 is what comes before the value, with its quote; the value is group 4 in quotes, else group 5 or 6 (a quote without end).
+#: A name is searched from its beginning, once, for its first secret word: what stands before that is not looked at again,
+#: so that the search takes time in proportion to the text, however long a name is.
 NAMED = (
-    rf"(?i)((?:{SECRET_WORDS})[A-Za-z0-9_\-]*+[\"'`]?[ \t]*+(?::=|=>|==|[:=])[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?+([\"'`]?))"
+    rf"(?i)(?<![A-Za-z0-9_\-])(?>[A-Za-z0-9_\-]*?(?={SECRET_WORDS}))((?:{SECRET_WORDS})[A-Za-z0-9_\-]*+[\"'`]?[ \t]*+(?::=|=>|==|[:=])[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?+([\"'`]?))"
     rf"(?:(?<=([\"'`]))((?:(?!\3)[^\\]|\\.){{{LEAST}}}.*?)(?<!\\)(?=\3)|(?<![\"'`])([^\s\"'`]\S{{{LEAST - 1},}})|(?<=[\"'`])([^\s\"'`]{{{LEAST},}}))"
 )
 #: What ends an unquoted value without being part of it.
@@ -235,7 +237,9 @@ def scan_secrets(docs: DataFrame, forest: PipelineModel, id_col: str = "doc_id",
 
     Defined cases: null, empty and candidate-free texts give no rows; repeated
     rows each give their findings; a null id is kept; a word may give several
-    findings; an empty table gives an empty result; other columns are not read.
+    findings; a text of any length is searched whole, in time in proportion to
+    its length (and to the square of the assignments in one line); an empty
+    table gives an empty result; other columns are not read.
     """
     rows = candidates(docs, id_col, text_col)
     made = features(F.col("before"), F.col("word"), F.col("core"), F.col("after"))

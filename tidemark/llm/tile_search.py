@@ -17,6 +17,8 @@ from tidemark.session import ship_package
 TOP_K = 20
 QUERY_EVERY = 20
 LEVELS = 127
+#: Products of norms from which a sum of products may leave the range of a double.
+MOST = 1e300
 #: Queries of one product tile at a time.
 TILE_ROWS = 256
 
@@ -24,26 +26,27 @@ TILE_ROWS = 256
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, their scales, and upper bounds of the norms of the rounded rows and of the errors."""
     scale = np.maximum(np.abs(x).max(1), np.finfo(float).tiny) / LEVELS
-    q = np.clip(np.rint(x / scale[:, None]), -LEVELS, LEVELS).astype(np.int8)
-    back = q * scale[:, None]
-    up = 1 + 1e-9
-    return q, scale, np.sqrt((back**2).sum(1)) * up, np.sqrt(((x - back) ** 2).sum(1)) * up
+    units = x / scale[:, None]  # norms are taken of these, so that no square leaves the range of a double
+    q = np.clip(np.rint(units), -LEVELS, LEVELS).astype(np.int8)
+    up = scale * (1 + 1e-9)
+    return q, scale, np.sqrt((q.astype(np.float64) ** 2).sum(1)) * up, np.sqrt(((units - q) ** 2).sum(1) + 1e-24) * up
 
 
 def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products row by row, added from the first component to the last in double precision."""
     total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += x[:, d] * y[:, d]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(x.shape[1]):
+            total += x[:, d] * y[:, d]
     return total
 
 
 class Heaps:
-    """For each query a heap of its ``k`` best; ties go to the smaller id."""
+    """For each query a heap of its ``k`` best; ties go to the smaller id, and a score that is no number is above all."""
 
     def __init__(self, ids: np.ndarray, k: int) -> None:
         self.ids, self.k = ids, k
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.heaps: list[list[tuple[float, bool, int]]] = [[] for _ in ids]
 
     def least(self) -> np.ndarray:
         return np.array([h[0][0] if len(h) == self.k else -np.inf for h in self.heaps])
@@ -51,13 +54,14 @@ class Heaps:
     def push(self, query: int, vec_ids: list[int], scores: list[float]) -> None:
         heap = self.heaps[query]
         for vec, score in zip(vec_ids, scores, strict=True):
+            entry = (score, False, -vec) if score == score else (np.inf, True, -vec)
             if len(heap) < self.k:
-                heapq.heappush(heap, (score, -vec))
-            elif (score, -vec) > heap[0]:
-                heapq.heapreplace(heap, (score, -vec))
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
 
     def found(self) -> Iterator[pa.RecordBatch]:
-        rows = [(int(q), -v, s) for q, h in zip(self.ids, self.heaps, strict=True) for s, v in h]
+        rows = [(int(q), -v, np.nan if no else s) for q, h in zip(self.ids, self.heaps, strict=True) for s, no, v in h]
         if rows:
             q, v, s = zip(*rows, strict=True)
             yield from table_of([np.array(q, np.int64)], [np.array(v, np.int64)], [np.array(s)], pa.float64())
@@ -69,7 +73,8 @@ def tile(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, hea
     The int8 product, scaled, differs from the true one by at most
     ``|eq| |y'| + |x'| |ed| + |eq| |ed|``, where primes are the rounded rows and
     e the errors. Only pairs whose upper end reaches the query's kth lower end
-    (of this tile, or kth score so far) are recomputed.
+    (of this tile, or kth score so far) are recomputed. Where a score may leave
+    the range of a double its bound says nothing, and it is recomputed as well.
     """
     k = heaps.k
     dq, ds, dn, de = d_quantised
@@ -78,17 +83,18 @@ def tile(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, hea
     for lo in range(0, len(q), TILE_ROWS):
         part = slice(lo, lo + TILE_ROWS)
         qq, qs, qn, qe = quantise(q[part])
-        rough = (qq.astype(wide) @ dq).astype(np.float64) * qs[:, None] * ds[None, :]
-        slack = qe[:, None] * dn[None, :] + (qn + qe)[:, None] * de[None, :]
-        slack = slack * (1 + 1e-9) + np.abs(rough) * 1e-12 + 1e-300
-        rough[q_ids[part][:, None] == d_ids[None, :]] = -np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = (qq.astype(wide) @ dq).astype(np.float64) * qs[:, None] * ds[None, :]
+            slack = qe[:, None] * dn[None, :] + (qn + qe)[:, None] * de[None, :]
+            slack = slack * (1 + 1e-9) + np.abs(rough) * 1e-12 + 1e-300
+            sure = (qn + qe)[:, None] * (dn + de)[None, :] < MOST
+            lower, upper = np.where(sure, rough - slack, -np.inf), np.where(sure, rough + slack, np.inf)
+        own = q_ids[part][:, None] == d_ids[None, :]
+        lower[own] = -np.inf
         floor = heaps.least()[part]
         if rough.shape[1] > k:
-            lower = rough - slack
             floor = np.maximum(floor, np.partition(lower, rough.shape[1] - k, 1)[:, -k])
-        i, j = np.nonzero(rough + slack >= floor[:, None])
-        real = np.isfinite(rough[i, j])
-        i, j = i[real], j[real]
+        i, j = np.nonzero((upper >= floor[:, None]) & ~own)
         scores = exact_scores(q[part][i], d[j])
         cut = np.searchsorted(i, np.arange(len(qq) + 1))
         for a in range(len(qq)):
@@ -160,7 +166,9 @@ def digest(embeddings: DataFrame) -> DataFrame:
     Defined cases: vectors that are null, zero or hold a null or non-finite
     component take no part; an id in several rows counts once, with its least
     vector; vectors of different lengths never meet; a query with fewer
-    candidates gets them all; an empty table gives an empty result.
+    candidates gets them all; a score beyond the range of a double is infinite,
+    or no number where infinities of both signs meet, and then comes first; an
+    empty table gives an empty result.
     """
     return nearest(clean_vectors(embeddings, zero_ok=False), f"vec_id % {QUERY_EVERY} = 0")
 
