@@ -71,18 +71,36 @@ def test_planes_and_intervals():
     assert sum(w * planes.bits(j) for j, w in planes.weights()).astype(int).tolist() == x.tolist()
     exact, seen = a @ x.T, []
 
-    def watch(low, high, apart):
-        there = low > -np.inf
-        assert (low[there] <= exact[there]).all() and (exact[there] <= high[there]).all()
-        seen.append(int(there.sum()))
-        return hn.best_matches(5)(low, high, apart)
-
-    i, c, scores = hn.intervals(a, planes, watch, np.ones(exact.shape, bool))
-    assert (exact[i, c] == scores).all() and seen[-1] < exact.size / 4 and seen == sorted(seen, reverse=True)
+    class Watched(hn.BestMatches):
+        def all_pairs(self, low, high, alive):
+            assert (low <= exact).all() and (exact <= high).all()
+            return super().all_pairs(low, high, alive)
+
+        def of_list(self, i, low, high, anchors):
+            seen.append(len(i))
+            stays = super().of_list(i, low, high, anchors)
+            assert stays.sum() >= 5 * anchors
+            return stays
+
+    i, c, scores = hn.intervals(a, planes, Watched(5), np.ones(exact.shape, bool))
+    assert (exact[i, c] == scores).all() and len(seen) > 2 and seen == sorted(seen, reverse=True) and seen[-1] < exact.size / 4
     for row in range(len(a)):
         assert set(np.argsort(-exact[row])[:5]) <= set(c[i == row])
 
 
+def test_ranges_keep_their_best():
+    rng = np.random.default_rng(8)
+    x, a = rng.integers(-90, 90, (500, 16)), rng.integers(-90, 90, (7, 16))
+    exact, least = a @ x.T, rng.integers(0, 40_000, (7, 3)).astype(float)
+    most = least * 1.9
+    i, c, scores = hn.intervals(a, hn.Planes(x), hn.Within(least, most, 3), np.ones(exact.shape, bool))
+    assert (exact[i, c] == scores).all() and len(i) < exact.size / 5
+    for row in range(7):
+        for p in range(3):
+            inside = [col for col in np.argsort(-exact[row], kind="stable") if least[row, p] <= exact[row, col] <= most[row, p]]
+            assert set(inside[:3]) <= set(c[i == row])
+
+
 def test_labels_of_any_kind(spark):
     rows = vectors(200, 6, 9)
     text = frame(spark, rows).withColumn("label", hn.F.concat(hn.F.lit("class "), "label"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ ANCHOR_ROWS = 16_384
 TILE_ROWS = 128
 #: Share of a tile's pairs under which the rest of the planes is worked off pair by pair.
 SPARSE = 0.02
+#: Intervals count as narrow once an anchor's scores spread over so many of their widths.
+CLEAR = 4
 #: Inner products of whole numbers below this are exact in doubles.
 EXACT = 2.0**53
 
@@ -41,6 +43,7 @@ class Planes:
 
     def __init__(self, x: np.ndarray) -> None:
         self.x, self.top = x, int(np.abs(x).max(initial=0)).bit_length()
+        self.made: dict[tuple, np.ndarray] = {}
 
     def weights(self) -> Iterator[tuple[int, int]]:
         """(shift of the plane, its weight)"""
@@ -48,49 +51,11 @@ class Planes:
         for j in range(self.top - 1, -1, -1):
             yield j, 1 << j
 
-    def bits(self, j: int, rows: np.ndarray | None = None) -> np.ndarray:
-        x = self.x if rows is None else self.x[rows]
-        return ((x >> j) & 1).astype(np.float64)
-
-
-Decide = Callable[[np.ndarray, np.ndarray, bool], np.ndarray]
-
-
-def intervals(anchors: np.ndarray, planes: Planes, decide: Decide, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and column numbers, and exact scores, of the pairs that ``decide`` never drops.
-
-    ``decide(low, high, apart)`` sees the intervals of all pairs and says which
-    may still count; ``apart`` says whether an interval can lie wholly above
-    another one of its row. A plane's product with the anchors is added to
-    what is known of the scores; the unknown rest of a score lies between
-    (2**j - 1) times the sum of the anchor's negative and of its positive
-    components. Once few pairs are left, their remaining planes are worked off
-    pair by pair, with the same intervals.
-    """
-    a = anchors.astype(np.float64)
-    down, up = np.minimum(a, 0).sum(1), np.maximum(a, 0).sum(1)
-    kind = np.float32 if np.abs(a).sum(1).max(initial=0) < 2**24 else np.float64  # a plane's products stay exact
-    left, known, steps = a.astype(kind), np.zeros(alive.shape), list(planes.weights())
-    while steps:
-        j, weight = steps.pop(0)
-        known += weight * (left @ planes.bits(j).astype(kind).T)
-        rest = float((1 << j) - 1)
-        apart = bool((np.ptp(known, 1) > rest * (up - down)).any()) if known.size else False
-        alive = alive & decide(np.where(alive, known + rest * down[:, None], -np.inf), np.where(alive, known + rest * up[:, None], -np.inf), apart)
-        if steps and alive.sum() <= SPARSE * alive.size:
-            break
-    i, c = np.nonzero(alive)
-    scores = known[i, c]
-    for j, weight in steps:
-        if not len(i):
-            break
-        scores = scores + weight * np.einsum("pd,pd->p", a[i], planes.bits(j, c))
-        rest = float((1 << j) - 1)
-        low, high = np.full(alive.shape, -np.inf), np.full(alive.shape, -np.inf)
-        low[i, c], high[i, c] = scores + rest * down[i], scores + rest * up[i]
-        stays = decide(low, high, True)[i, c]
-        i, c, scores = i[stays], c[stays], scores[stays]
-    return i, c, scores
+    def bits(self, j: int, kind: type = np.float64) -> np.ndarray:
+        """One plane as numbers, made once for all the tiles that meet the block."""
+        if (j, kind) not in self.made:
+            self.made[(j, kind)] = ((self.x >> j) & 1).astype(kind)
+        return self.made[(j, kind)]
 
 
 def kth_largest(values: np.ndarray, k: int) -> np.ndarray:
@@ -100,36 +65,84 @@ def kth_largest(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, values.shape[1] - k, 1)[:, -k]
 
 
-def best_matches(k: int) -> Decide:
+def kth_of_groups(group: np.ndarray, values: np.ndarray, k: int, groups: int) -> np.ndarray:
+    """The ``k``-th largest value of each group of a list; minus infinity where there are fewer."""
+    order = np.lexsort((-values, group))
+    last = _first(order, group, k)
+    count = np.bincount(group[last], minlength=groups)
+    out = np.full(groups, np.inf)
+    np.minimum.at(out, group[last], values[last])
+    return np.where(count == k, out, -np.inf)
+
+
+class BestMatches:
     """A pair stays while its upper end reaches its anchor's ``k``-th largest lower end."""
 
-    def decide(low: np.ndarray, high: np.ndarray, apart: bool) -> np.ndarray:
-        stays = high > -np.inf
-        return stays & (high >= kth_largest(low, k)[:, None]) if apart else stays
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def all_pairs(self, low: np.ndarray, high: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        return high >= kth_largest(np.where(alive, low, -np.inf), self.k)[:, None]
 
-    return decide
+    def of_list(self, i: np.ndarray, low: np.ndarray, high: np.ndarray, anchors: int) -> np.ndarray:
+        return high >= kth_of_groups(i, low, self.k, anchors)[i]
 
 
-def within(least: np.ndarray, most: np.ndarray, k: int) -> Decide:
+class Within:
     """A pair stays while, for one of its anchor's ranges, its interval meets the range and is not beaten there.
 
     It is beaten where ``k`` other pairs lie wholly in the range with lower
-    ends above its upper end.
+    ends above its upper end. Over all pairs only the hull of the ranges counts.
     """
 
-    def decide(low: np.ndarray, high: np.ndarray, apart: bool) -> np.ndarray:
-        stays = np.zeros(low.shape, bool)
-        for p in range(least.shape[1]):
-            floor, ceiling = least[:, p : p + 1], most[:, p : p + 1]
-            meets = (high >= floor) & (low <= ceiling) & (high > -np.inf)
-            if apart:
-                inside = meets & (low >= floor) & (high <= ceiling)
-                if (inside.sum(1) >= k).any():
-                    meets &= high >= kth_largest(np.where(inside, low, -np.inf), k)[:, None]
+    def __init__(self, least: np.ndarray, most: np.ndarray, k: int) -> None:
+        self.least, self.most, self.k = least, most, k
+
+    def all_pairs(self, low: np.ndarray, high: np.ndarray, alive: np.ndarray) -> np.ndarray:  # noqa: ARG002
+        return (high >= self.least.min(1)[:, None]) & (low <= self.most.max(1)[:, None])
+
+    def of_list(self, i: np.ndarray, low: np.ndarray, high: np.ndarray, anchors: int) -> np.ndarray:
+        stays = np.zeros(len(i), bool)
+        for p in range(self.least.shape[1]):
+            floor, ceiling = self.least[i, p], self.most[i, p]
+            meets = (high >= floor) & (low <= ceiling)
+            inside = np.flatnonzero(meets & (low >= floor) & (high <= ceiling))
+            if len(inside) >= self.k:
+                meets &= high >= kth_of_groups(i[inside], low[inside], self.k, anchors)[i]
             stays |= meets
         return stays
 
-    return decide
+
+def intervals(anchors: np.ndarray, planes: Planes, rule: BestMatches | Within, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column numbers, and exact scores, of the pairs that ``rule`` never drops.
+
+    A plane's product with the anchors is added to what is known of the
+    scores; the unknown rest of a score lies between (2**j - 1) times the sum
+    of the anchor's negative and of its positive components. While the
+    intervals are wide beside the spread of the scores, none can lie clear of
+    another; from the first plane on where they may, pairs are dropped after
+    every plane: first among all, then among those left, as a list. Once few
+    are left, the remaining planes are worked off pair by pair.
+    """
+    a = anchors.astype(np.float64)
+    down, up = np.minimum(a, 0).sum(1), np.maximum(a, 0).sum(1)
+    kind = np.float32 if np.abs(a).sum(1).max(initial=0) < 2**24 else np.float64  # a plane's products stay exact
+    left, known, i, c, scores = a.astype(kind), np.zeros(alive.shape), None, None, None
+    for j, weight in planes.weights():
+        rest = float((1 << j) - 1)
+        if i is not None and len(i) <= SPARSE * alive.size:
+            scores = scores + weight * np.einsum("pd,pd->p", a[i], planes.bits(j)[c])
+        else:
+            known += weight * (left @ planes.bits(j, kind).T)
+            scores = known[i, c] if i is not None else None
+        if i is None:
+            if j and not (known.size and (np.ptp(known, 1) > CLEAR * rest * (up - down)).any()):
+                continue
+            i, c = np.nonzero(alive & rule.all_pairs(known + rest * down[:, None], known + rest * up[:, None], alive))
+            scores = known[i, c]
+        stays = rule.of_list(i, scores + rest * down[i], scores + rest * up[i], len(a))
+        i, c, scores = i[stays], c[stays], scores[stays]
+    return i, c, scores
 
 
 def _first(order: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
@@ -145,14 +158,14 @@ Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def positives_of(anchors: np.ndarray, planes: Planes, row_ids: np.ndarray, may: np.ndarray, k: int) -> Found:
     """(anchor, slot, row id, score) of each anchor's ``k`` best rows among those it ``may`` take; the slot is 0."""
-    i, c, scores = intervals(anchors, planes, best_matches(k), may)
+    i, c, scores = intervals(anchors, planes, BestMatches(k), may)
     best = _first(np.lexsort((row_ids[c], -scores, i)), i, k)
     return i[best], np.zeros(len(best), np.int64), row_ids[c[best]], scores[best]
 
 
 def negatives_of(anchors: np.ndarray, planes: Planes, row_ids: np.ndarray, may: np.ndarray, k: int, least: np.ndarray, most: np.ndarray) -> Found:
     """(anchor, slot, row id, score): for each of an anchor's ranges the ``k`` best rows inside it."""
-    i, c, scores = intervals(anchors, planes, within(least, most, k), may)
+    i, c, scores = intervals(anchors, planes, Within(least, most, k), may)
     found = []
     for p in range(least.shape[1]):
         inside = np.flatnonzero((scores >= least[i, p]) & (scores <= most[i, p]))
@@ -227,7 +240,7 @@ def meet(anchors: DataFrame, n_anchors: int, data: DataFrame, n_data: int, k: in
     pairs = narrow(data, "d").join(narrow(anchors, "a"), "dim")
     pairs = pairs.where("a_cell = d_cell") if percents is None else pairs.where("a_norm * d_norm >= a_floor")
     lanes = max(1, min(n_data, 64))
-    tasks = min(lanes * n_anchors, 4_096)
+    tasks = min(4 * lanes * n_anchors, 4_096)  # more than pairs of lanes and blocks, so that few of these share a task
     pairs = pairs.select("a_block", F.col("d_block").alias("block"), F.pmod(F.xxhash64("d_block"), F.lit(lanes)).alias("lane"))
     sent = data.join(pairs, "block").select("a_block", "lane", *[F.col(c).alias(f"d_{c}") for c in ("ids", "codes", "points", "kind")])
     here = anchors.withColumnRenamed("block", "a_block").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
