@@ -13,7 +13,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ("archive", "factors", "screen", "daily", "network", "forward", "rolling", "research", "replays", "streams", "vendor", "payloads", "audits", "models")
+MODULES = ("archive", "factors", "screen", "daily", "network", "forward", "rolling", "formulas", "research", "replays", "streams", "vendor", "payloads", "audits", "models")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
