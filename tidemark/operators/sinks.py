@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.publish import create_if_absent, publish, read_text
+
 COVERAGE = 0.95
 
 
@@ -32,14 +35,20 @@ def write_table(rows: DataFrame, path: str, *partition: str) -> None:
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append JSON lines to a ledger."""
-    rows.write.mode("append").json(path)
+def append_ledger(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append JSON lines to a ledger; False where the batch is in it already.
+
+    A batch becomes a folder of the ledger in one step, under its name: readers
+    see all of it or nothing, and one that is written again adds nothing. A
+    batch without a name is always new.
+    """
+    return publish(rows, f"{path.rstrip('/')}/append-{batch or uuid.uuid4().hex}", "json")
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The ledger, or an empty typed table where there is none yet; ids that are missing follow from the row."""
-    rows = spark.read.schema(schema).json(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    there = path_exists(spark, path)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path) if there else spark.createDataFrame([], schema)
     return rows.withColumn("record_id", F.coalesce("record_id", fingerprint(*[c for c in rows.columns if c != "record_id"])))
 
 
@@ -63,21 +72,22 @@ def freeze(rows: DataFrame, root: str, name: str, protocol: dict | None = None,
 
     With a ``protocol`` its version is bound to the hash of its rules by the
     first write; other rules under the same version are refused. With a
-    ``window`` the date must lie in it.
+    ``window`` the date must lie in it. Both the binding and the evidence get
+    their names in one step of the file system, so that of two writers at the
+    same time one wins and the other is refused.
     """
     if window and not window[0] <= as_of <= window[1]:
         raise NotFrozen(f"{as_of} is outside of {window[0]} to {window[1]}")
     spark = rows.sparkSession
     if protocol is not None:
-        bound, digest = f"{root}/protocol={protocol['version']}", spec_hash(protocol)
-        if path_exists(spark, bound):
-            held = spark.read.schema("digest string").json(bound).first()["digest"]
+        bound, digest = f"{root}/protocol-{protocol['version']}.json", spec_hash(protocol)
+        if not create_if_absent(spark, bound, json.dumps({"digest": digest})):
+            held = json.loads(read_text(spark, bound))["digest"]
             if held != digest:
                 raise NotFrozen(f"version {protocol['version']} was {held} and is {digest}")
-        else:
-            spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("errorifexists").json(bound)
     path = f"{root}/{name}"
-    rows.write.mode("errorifexists").parquet(path)
+    if not publish(rows, path):
+        raise NotFrozen(f"{name} exists")
     return path
 
 

@@ -77,16 +77,9 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage and lets several consumers use one computation; a
-    lost executor loses nothing, since the files are in the shared folder.
-    The table is removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, which goes when the driver's Python ends."""
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
 
     def tidy() -> None:
         try:
@@ -95,4 +88,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
             return
 
     atexit.register(tidy)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    This cuts the lineage and lets several consumers use one computation; a
+    lost executor loses nothing, since the files are in the shared folder.
+    The table is removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
-from tidemark.operators.keyed import upsert
 from tidemark.operators.sinks import path_exists
-from tidemark.session import shared_dir
+from tidemark.operators.versioned import BUCKETS, VersionedTable
+from tidemark.session import scratch_path
 
 SCHEMA = StructType([
     StructField("event_id", LongType()), StructField("ts", TimestampNTZType()), StructField("user_id", LongType()),
@@ -37,7 +36,7 @@ def windowed_counts(stream: DataFrame, at: str, keys: list[str], width: str, del
 
 def stream_root(spark: SparkSession, name: str) -> str:
     """A folder of its own for a stream that is run once; one that is to resume gets a fixed root from its caller."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def run_batches(stream: DataFrame, root: str, mode: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -95,38 +94,15 @@ def split_late(stream: DataFrame, at: str, delay_days: int, root: str) -> tuple[
     return written(spark, f"{root}/out", stream.schema), written(spark, f"{root}/late", stream.schema)
 
 
-#: Parts of an upserted table; a batch rewrites those that its keys fall into.
-BUCKETS = 16
-
-
 def latest_by_upsert(stream: DataFrame, keys: list[str], order: str, root: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Keep the latest row of each key in a table that each batch is merged into.
+    """Keep the latest row of each key in a versioned table that each batch is merged into."""
+    table = VersionedTable(stream.sparkSession, root or stream_root(stream.sparkSession, "table"), stream.schema, tuple(keys), buckets)
+    run_batches(stream, table.root, "append", lambda batch, number: table.write(batch, number, [F.desc(order)]))
+    return table.read().select(*stream.columns)
 
-    The table lies in buckets by a hash of the key. A batch writes new versions
-    of the buckets that it touches, under its number, and leaves the others; a
-    bucket's latest version holds. A batch that runs again starts from the
-    versions before it and writes the same ones. What the last batch was is
-    seen from the folders, not remembered, so a new driver goes on.
-    """
-    spark, root = stream.sparkSession, root or stream_root(stream.sparkSession, "table")
-    schema = StructType([*stream.schema.fields, StructField("batch", LongType()), StructField("bucket", LongType())])
-
-    def current(session: SparkSession, before: int | None) -> DataFrame:
-        """The table as the batches before number ``before`` left it, or as it is."""
-        if not path_exists(session, f"{root}/table"):
-            return session.createDataFrame([], schema)
-        rows = session.read.schema(schema).parquet(f"{root}/table")
-        rows = rows if before is None else rows.where(F.col("batch") < before)
-        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))  # from the folders' names, a few rows
-        return rows.join(newest, ["bucket", "batch"], "left_semi")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-        touched = new.select("bucket").distinct()
-        old = current(session, number).join(touched, "bucket", "left_semi").select(*new.columns)
-        both = old.unionByName(new)
-        upsert(old, both, keys, [F.desc(order)]).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/table/batch={number}")
-
-    run_batches(stream, root, "append", merge)
-    return current(spark, None).select(*stream.columns)
+
+def insert_ignored(stream: DataFrame, keys: list[str], order: str, root: str, buckets: int = BUCKETS) -> DataFrame:
+    """Keep the row of each key that came first, whatever is read again; within a batch the least by ``order``."""
+    table = VersionedTable(stream.sparkSession, root, stream.schema, tuple(keys), buckets)
+    run_batches(stream, root, "append", lambda batch, number: table.write(batch, number, [F.asc(order)], ignore=True))
+    return table.read().select(*stream.columns)
