@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import rolling as ops
+from tidemark.operators.ranges import percentile_ranks, quantiles
 from tidemark.plans.factors import shown
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.sources.market import panel, with_
 
 BASE_SQL = with_("panel") + f""",
@@ -93,11 +95,28 @@ SCALED = ("KMID", "KLEN", "KUP", "KLOW", "KSFT")
 
 @query("mad_scaler", BASE_SQL + ", k AS (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, {KBAR_SQL[k]} AS x FROM base" for k in SCALED) + "), m AS (SELECT feature, quantile_cont(x, 0.5) AS center FROM k GROUP BY 1) SELECT feature, round(any_value(center), 6) + 0.0 AS center, round(quantile_cont(abs(x - center), 0.5) * 1.4826, 6) + 0.0 AS scale FROM k JOIN m USING (feature) GROUP BY 1")
 def mad_scaler(spark: SparkSession, d: str) -> DataFrame:
-    """Median and scaled median deviation of each feature, over the long form."""
+    """Median and scaled median deviation of each feature, over the long form; exact, and no task sees a whole feature."""
     columns = ops.kbar()
     long = panel(spark, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), columns[k].alias("x")) for k in SCALED])).alias("f")).select("f.*")
-    middle = long.groupBy("feature").agg(F.percentile("x", 0.5).alias("center"))
-    return shown(long.join(F.broadcast(middle), "feature").groupBy("feature").agg(F.any_value("center").alias("center"), (F.percentile(F.abs(F.col("x") - F.col("center")), 0.5) * 1.4826).alias("scale")))
+    long = materialise(long, "scaled-features")
+    middle = materialise(quantiles(long, ["feature"], "x", {"center": 0.5}), "centers")  # one row a feature
+    away = long.join(middle, "feature").select("feature", F.abs(F.col("x") - F.col("center")).alias("away"))
+    return shown(middle.join(quantiles(away, ["feature"], "away", {"scale": 0.5}), "feature").select("feature", "center", (F.col("scale") * 1.4826).alias("scale")))
+
+
+@query("panel_ranks", with_("panel") + ", r AS (SELECT symbol, trade_date, (rank() OVER (ORDER BY close) + (count(*) OVER (PARTITION BY close) - 1) / 2.0::DOUBLE) / count(*) OVER () AS p FROM panel) SELECT symbol, trade_date, round(p, 9) + 0.0 AS close_rank FROM r", dates="trade_date")
+def panel_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The rank of every close among all of the panel: one group, cut into ranges."""
+    ranked = percentile_ranks(panel(spark, d).select("symbol", "trade_date", "close"), [], "close", "close_rank")
+    return shown(ranked.drop("close"), 9)
+
+
+@query("market_quantiles", with_("panel") + ", x AS (SELECT close / nullif(pre_close, 0) - 1 AS r FROM panel) SELECT count(r) AS n, round(quantile_cont(r, 0.01), 9) + 0.0 AS q01, round(quantile_cont(r, 0.25), 9) + 0.0 AS q25, round(quantile_cont(r, 0.5), 9) + 0.0 AS q50, round(quantile_cont(r, 0.99), 9) + 0.0 AS q99 FROM x")
+def market_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of all daily returns of the panel, as one group."""
+    r = materialise(panel(spark, d).select((F.col("close") / F.nullif("pre_close", F.lit(0.0)) - 1).alias("r")), "returns")
+    found = quantiles(r, [], "r", {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q99": 0.99})
+    return shown(found.withColumn("n", r.agg(F.count("r")).scalar()), 9)
 
 
 FOLDS = (("train", "1996-03-01", "1996-08-01"), ("valid", "1996-08-01", "1996-11-01"), ("test", "1996-11-01", "1997-02-01"))
