@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 BOM = "\ufeff"
 
 
+#: The columns that a report of screened symbols shows first, in order: what it is, where it stands, how it moved, themes, capital, statements.
+PREFERRED = (
+    "symbol", "name", "industry", "close", "score", "score_coverage", "ret_since_base", "close_position_250", "dist_to_52w_high", "close_position_20", "history_days", "listed_days",
+    "ret_20", "ret_60", "relative_ret_20", "relative_ret_60", "realized_vol_20", "downside_vol_20", "max_drawdown_60", "signed_amount_pressure_20", "volume_trend_20", "turnover_value_20",
+    "theme_tags", "theme_heat_max", "theme_days_20", "lhb_count_20", "lhb_net_buy_rel", "main_net_inflow", "pe_ttm", "pe_industry_value", "revenue_yoy", "positive_growth_streak",
+    "roe_avg", "gross_profit_margin", "cfo_to_np",
+)
+
+
+def in_preferred_order(rows: DataFrame, preferred: tuple[str, ...] = PREFERRED) -> DataFrame:
+    """The columns of a report, the preferred ones that are there first; none is dropped."""
+    return rows.select(*ordered(rows.columns, list(preferred)))
+
+
 def ordered(columns: list[str], preferred: list[str]) -> list[str]:
     """The preferred columns that are there, in their order, and the others after them in theirs."""
     first = [c for c in preferred if c in columns]

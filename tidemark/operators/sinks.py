@@ -102,6 +102,17 @@ def first_complete(old: DataFrame, new: DataFrame, expected: int) -> DataFrame:
     return old.where(enough).unionByName(new.where(~enough))
 
 
+def stale_snapshots(rows: DataFrame, day: str, value: str, source_day: str) -> DataFrame:
+    """``day, n_rows, n_values, source_day`` of the days whose snapshot was not taken on them.
+
+    A real day has a value in some row, and the source names the day itself
+    (as ISO text) in every row; an answer that fell back to another day does not.
+    """
+    by = rows.groupBy(day).agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_values"), F.min(source_day).alias(source_day))
+    named = F.coalesce(F.col(source_day) == F.date_format(day, "yyyy-MM-dd"), F.lit(False))
+    return by.where((F.col("n_values") == 0) | ~named)
+
+
 def verified(documents: DataFrame, body: str, digest: str) -> DataFrame:
     """Documents whose body has the recorded hash."""
     return documents.where(F.sha2(F.col(body).cast("binary"), 256) == F.col(digest))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import r6
+from tidemark.operators import gates
 from tidemark.operators.keyed import insert_absent, latest_per_key, replace_days, split_tags, upsert
+from tidemark.operators.sinks import stale_snapshots
 from tidemark.plans.registry import query
 from tidemark.sources.market import bars, instruments, panel, statements, theme_days, unusual_trades, with_
 from tidemark.sources.tables import table
@@ -45,11 +47,11 @@ def trade_calendar(spark: SparkSession, d: str) -> DataFrame:
 @query("latest_complete_date", with_("bars") + """
 SELECT max(trade_date) AS latest, max(trade_date) FILTER (WHERE trade_date < (SELECT max(trade_date) FROM bars)) AS latest_complete, count(*) AS n_rows FROM bars""", dates="latest latest_complete")
 def latest_complete_date(spark: SparkSession, d: str) -> DataFrame:
-    """The last date, and the last one before it: what counts while the last session is open."""
-    rows = bars(spark, d)
-    days = rows.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
-    two = days.withColumn("place", F.row_number().over(Window.orderBy(F.desc("trade_date"))))
-    return two.agg(F.max("trade_date").alias("latest"), F.max(F.when(F.col("place") == 2, F.col("trade_date"))).alias("latest_complete"), F.sum("n").alias("n_rows"))
+    """The last date, and the last one that is over while its session still runs, by the gate of the close."""
+    days = bars(spark, d).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    whole = days.agg(F.max("trade_date").alias("latest"), F.array_sort(F.collect_list("trade_date")).alias("days"), F.sum("n").alias("n_rows"))  # the calendar, a day each
+    running = F.to_timestamp(F.concat(F.date_format("latest", "yyyy-MM-dd"), F.lit(" 14:00:00")))
+    return whole.select("latest", gates.latest_complete(F.col("days"), running).alias("latest_complete"), "n_rows")
 
 
 @query("symbol_tail_bars", with_("bars") + " SELECT * FROM bars WHERE symbol = '000003' AND trade_date <= DATE '2001-01-31' QUALIFY row_number() OVER (ORDER BY trade_date DESC) <= 40", dates="trade_date")
@@ -142,14 +144,17 @@ def known_symbols(spark: SparkSession, d: str) -> DataFrame:
     return bars(spark, d).select("symbol").union(unusual_trades(spark, d).select("symbol")).distinct()
 
 
-@query("snapshot_quality", with_("unusual") + """
-SELECT trade_date, count(*) AS n_rows, count(net_buy) AS n_values, round(count(net_buy) / count(*), 6) + 0.0 AS share, min(event_id) AS first_event FROM unusual
-GROUP BY 1 HAVING count(net_buy) < 0.92 * count(*) OR strftime(trade_date, '%d') = '01'""", dates="trade_date")
+@query("snapshot_quality", with_("unusual") + """, snap AS (SELECT trade_date, CASE WHEN day(trade_date) % 11 <> 0 THEN net_buy END AS change, CASE WHEN day(trade_date) % 7 = 0 THEN NULL
+  WHEN day(trade_date) % 5 = 0 AND event_id % 3 = 0 THEN strftime(trade_date - 1, '%Y-%m-%d') ELSE strftime(trade_date, '%Y-%m-%d') END AS source_date FROM unusual)
+SELECT trade_date, count(*) AS n_rows, count(change) AS n_values, min(source_date) AS source_date FROM snap
+GROUP BY 1 HAVING count(change) = 0 OR min(source_date) IS NULL OR min(source_date) <> strftime(trade_date, '%Y-%m-%d')""", dates="trade_date")
 def snapshot_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Days whose values are too sparse, or which open a month."""
-    by = unusual_trades(spark, d).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"), F.count("net_buy").alias("n_values"), F.min("event_id").alias("first_event"))
-    poor = (F.col("n_values") < 0.92 * F.col("n_rows")) | (F.date_format("trade_date", "dd") == "01")
-    return by.where(poor).withColumn("share", r6(F.col("n_values") / F.col("n_rows")))
+    """Days whose snapshot is another day's: none of its rows has a value, or the source names no day or another one."""
+    at = F.dayofmonth("trade_date")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    told = F.when(at % 7 == 0, None).when((at % 5 == 0) & (F.col("event_id") % 3 == 0), iso(F.date_sub("trade_date", 1))).otherwise(iso("trade_date"))
+    rows = unusual_trades(spark, d).select("trade_date", F.when(at % 11 != 0, F.col("net_buy")).alias("change"), told.alias("source_date"))
+    return stale_snapshots(rows, "trade_date", "change", "source_date")
 
 
 RUNS = """runs AS (SELECT event_id AS run_id, 'task' || user_id % 7 AS task, ts::DATE AS target, ts AS started_at,

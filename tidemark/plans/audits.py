@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import reports, sinks
+from tidemark.operators import gates, reports, sinks
 from tidemark.operators.keyed import insert_absent, replace_whole_days
 from tidemark.operators.windows import choose_windows
 from tidemark.plans import daily, forward
@@ -106,13 +106,34 @@ def validation_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "anchor string, first_day string, last_day string, signal_day string")
 
 
-@query("window_disjointness", "SELECT 'old and new' AS pair, 4::BIGINT AS shared UNION ALL SELECT 'new and unused', 0::BIGINT")
+@query("window_disjointness", f"""WITH w AS (SELECT anchor, strptime(first_day, '%Y-%m-%d')::DATE AS a, strptime(last_day, '%Y-%m-%d')::DATE AS b FROM ({ORACLES['validation_windows']})),
+""" + with_("panel").removeprefix("WITH ") + f""", held AS (SELECT DISTINCT anchor, trade_date FROM w JOIN panel ON trade_date BETWEEN a AND b), used AS (SELECT DISTINCT trade_date FROM panel WHERE trade_date BETWEEN DATE '{TAKEN[0]}' AND DATE '{TAKEN[1]}')
+SELECT anchor, count(*) AS n_days, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM held o WHERE o.trade_date = h.trade_date AND o.anchor <> h.anchor)) AS shared, count(*) FILTER (WHERE trade_date IN (SELECT trade_date FROM used)) AS seen_before FROM held h GROUP BY 1""")
 def window_disjointness(spark: SparkSession, d: str) -> DataFrame:
-    """Days that two sets of windows share; a validation set must share none."""
-    span = lambda a, b: spark.range(1).select(F.explode(F.sequence(date_of(a), date_of(b))).alias("day"))
-    old, new, unused = span("1996-01-01", "1996-02-10"), span("1996-02-07", "1996-03-20"), span("1997-01-01", "1997-02-01")
-    shared = lambda name, a, b: a.intersect(b).agg(F.count(F.lit(1)).alias("shared")).select(F.lit(name).alias("pair"), "shared")
-    return shared("old and new", old, new).unionByName(shared("new and unused", new, unused))
+    """The sessions of each validation window, and how many of them another window or the days seen before have: none may."""
+    windows = validation_windows(spark, d)
+    days = panel(spark, d).select("trade_date").distinct()
+    inside = F.col("trade_date").between(F.col("first_day").cast("date"), F.col("last_day").cast("date"))
+    held = windows.join(days, inside).select("anchor", "trade_date")  # a few windows against the calendar
+    taken = F.col("trade_date").between(date_of(TAKEN[0]), date_of(TAKEN[1]))
+    shared = held.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    return held.join(shared, "trade_date").groupBy("anchor").agg(F.count(F.lit(1)).alias("n_days"), F.count_if(F.col("n") > 1).alias("shared"), F.count_if(taken).alias("seen_before"))
+
+
+#: Minutes after an event at which the gates are asked about its day.
+LATER = (0, 360, 1020, 4320)
+
+
+@query("session_gates", "WITH n AS (SELECT ts::DATE AS day, m AS minutes, ts + to_minutes(m) AS now FROM events, (VALUES " + ", ".join(f"({m})" for m in LATER) + """) v(m)), g AS (SELECT minutes, isodow(day) AS dow, day = now::DATE AND now::TIME >= TIME '15:30:00' AS current, day < now::DATE OR (day = now::DATE AND now::TIME >= TIME '15:30:00') AS closed,
+  day + INTERVAL '15 hours 30 minutes' <= now AND now < day + (CASE isodow(day) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::INT + INTERVAL '9 hours 30 minutes' AS forward, isodow(now::DATE) < 6 AND now::TIME >= TIME '09:30:00' AND now::TIME < TIME '15:30:00' AS blocked FROM n)
+SELECT minutes, dow::INT AS dow, count(*) AS n, count(*) FILTER (WHERE current) AS current_ready, count(*) FILTER (WHERE closed) AS closed_ready, count(*) FILTER (WHERE forward) AS forward_ready, count(*) FILTER (WHERE blocked) AS fetch_blocked FROM g GROUP BY 1, 2""")
+def session_gates(spark: SparkSession, d: str) -> DataFrame:
+    """All four gates for the day of each event, at four instants after it, counted by week-day."""
+    rows = table(spark, d, "events").select("ts", F.to_date("ts").alias("day"), F.explode(F.array(*map(F.lit, LATER))).alias("minutes"))
+    rows = rows.select("day", "minutes", (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=F.col("minutes"))).alias("now"))
+    day, now = F.col("day"), F.col("now")
+    found = {"current_ready": gates.current_ready(day, now), "closed_ready": gates.closed_ready(day, now), "forward_ready": gates.forward_ready(day, now), "fetch_blocked": gates.fetch_blocked(now)}
+    return rows.groupBy("minutes", (F.weekday("day") + 1).alias("dow")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in found.items()])
 
 
 # Evaluation -----------------------------------------------------------------------------------------

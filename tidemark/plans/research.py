@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import change, correlation, pct_rank
 from tidemark.operators import factors, rolling
 from tidemark.operators.keyed import latest_per_key
-from tidemark.plans.factors import MOMENTUM_SQL, PRICE_SQL, RISK_SQL, shown, sql6, sql_rank
+from tidemark.plans.factors import MOMENTUM_SQL, PRICE_SQL, RISK_SQL, recent_panel, shown, sql6, sql_rank
 from tidemark.plans.registry import query
 from tidemark.sources.market import bars, instruments, panel, with_
 from tidemark.sources.tables import table
@@ -84,12 +84,29 @@ def paired_effects(spark: SparkSession, d: str) -> DataFrame:
     return shown(by.join(years, "pair").withColumn("status", F.when(good, "consistent_positive").otherwise("mixed")))
 
 
-@query("index_comparison", f"WITH {RESULT_SQL}, r AS (SELECT candidate, cost_bps, CASE WHEN month(start) <= 6 THEN 'first' ELSE 'second' END AS half, excess FROM results) SELECT candidate, cost_bps, coalesce(half, 'all') AS half, count(*) AS windows, round(avg(excess), 6) + 0.0 AS mean, round(min(excess), 6) + 0.0 AS low, count(*) FILTER (WHERE excess > 0) AS wins FROM r GROUP BY GROUPING SETS ((candidate, cost_bps, half), (candidate, cost_bps))")
+#: Indices and bases that accounts are compared with: code, name, basis, and what it gained in a window.
+INDICES = (("000300", "large", "price", 0.004), ("000300", "large", "total", 0.009), ("000905", "middle", "price", -0.003), ("000905", "middle", "total", 0.001))
+INDEX_KEYS = ("pool", "execution", "cost_bps", "profile", "index_code", "index_name", "basis")
+
+
+@query("index_comparison", f"""WITH {RESULT_SQL}, i(index_code, index_name, basis, gain) AS (VALUES {', '.join(f"('{c}', '{n}', '{b}', {g}::DOUBLE)" for c, n, b, g in INDICES)}),
+a AS (SELECT CASE WHEN candidate < '3' THEN 'front' ELSE 'back' END AS pool, CASE WHEN quarter(start) % 2 = 1 THEN 'open' ELSE 'close' END AS execution, cost_bps, candidate AS profile, index_code, index_name, basis, CASE WHEN year(start) < 1998 THEN 'development' ELSE 'historical' END AS cohort, excess, gain, excess - gain AS over FROM results, i)
+SELECT {', '.join(INDEX_KEYS)}, coalesce(cohort, 'all') AS cohort, count(*) AS windows, {', '.join(f'round({x}, 6) + 0.0 AS {k}' for k, x in {'mean_return': 'avg(excess)', 'mean_index': 'avg(gain)', 'mean_over': 'avg(over)', 'median_over': 'quantile_cont(over, 0.5)', 'worst_over': 'min(over)', 'worst_return': 'min(excess)'}.items())}, count(*) FILTER (WHERE over > 1e-10) AS positive
+FROM a GROUP BY GROUPING SETS (({', '.join(INDEX_KEYS)}, cohort), ({', '.join(INDEX_KEYS)}))""")
 def index_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Cohorts and all of them together in one pass by a rollup."""
-    rows = results(spark, d).withColumn("half", F.when(F.month("start") <= 6, "first").otherwise("second"))
-    by = rows.groupingSets([[F.col("candidate"), F.col("cost_bps"), F.col("half")], [F.col("candidate"), F.col("cost_bps")]], "candidate", "cost_bps", "half")
-    return shown(by.agg(F.count(F.lit(1)).alias("windows"), F.avg("excess").alias("mean"), F.min("excess").alias("low"), F.count_if(F.col("excess") > 0).alias("wins")).withColumn("half", F.coalesce("half", F.lit("all"))))
+    """Accounts against indices by seven keys, for two cohorts and all of them together, in one pass by grouping sets."""
+    indices = F.explode(F.array(*[F.struct(F.lit(c).alias("index_code"), F.lit(n).alias("index_name"), F.lit(b).alias("basis"), F.lit(g).alias("gain")) for c, n, b, g in INDICES]))
+    c = F.col
+    rows = results(spark, d).select("*", indices.alias("i")).select(
+        F.when(c("candidate") < "3", "front").otherwise("back").alias("pool"), F.when(F.quarter("start") % 2 == 1, "open").otherwise("close").alias("execution"), "cost_bps", c("candidate").alias("profile"), "i.*",
+        F.when(F.year("start") < 1998, "development").otherwise("historical").alias("cohort"), "excess", (c("excess") - c("i.gain")).alias("over"),
+    )
+    keys = [c(k) for k in INDEX_KEYS]
+    by = rows.groupingSets([[*keys, c("cohort")], keys], *INDEX_KEYS, "cohort").agg(
+        F.count(F.lit(1)).alias("windows"), F.avg("excess").alias("mean_return"), F.avg("gain").alias("mean_index"), F.avg("over").alias("mean_over"), F.percentile("over", 0.5).alias("median_over"),
+        F.min("over").alias("worst_over"), F.min("excess").alias("worst_return"), F.count_if(c("over") > 1e-10).alias("positive"),
+    )
+    return shown(by.withColumn("cohort", F.coalesce("cohort", F.lit("all"))))
 
 
 @query("pivot_costs", f"WITH {RESULT_SQL} SELECT candidate, round(avg(excess) FILTER (WHERE cost_bps = 0), 6) + 0.0 AS cost_0, round(avg(excess) FILTER (WHERE cost_bps = 10), 6) + 0.0 AS cost_10, round(avg(excess) FILTER (WHERE cost_bps = 20), 6) + 0.0 AS cost_20 FROM results GROUP BY 1")
@@ -164,11 +181,9 @@ def direction_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pool_eligibility", with_("panel", "instruments") + f", {PRICE_SQL}, {MOMENTUM_SQL}, el AS (SELECT p.symbol, history_days >= 250 AND turnover_value_20 >= 20000 AND NOT contains(name, 'ST') AS eligible, ret_60 IS NOT NULL AND volume_trend_20 IS NOT NULL AND volume_trend_20 < 1.15 AND close_position_250 IS NOT NULL AS complete FROM price p JOIN momentum m USING (symbol, trade_date) JOIN instruments i ON i.symbol = p.symbol WHERE trade_date = (SELECT d FROM as_of)) SELECT count(*) AS universe, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE eligible AND NOT complete) AS incomplete, count(*) FILTER (WHERE eligible AND complete) AS pool FROM el")
 def pool_eligibility(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of the eligible rows, of those without complete factors, and of the pool."""
-    rows = panel(spark, d)
-    last = rows.groupBy("symbol").agg(F.max("trade_date").alias("x")).agg(F.min("x")).scalar()
-    at = lambda df: df.where(F.col("trade_date") == last)
-    wide = at(factors.price_factors(rows)).join(at(factors.momentum_factors(rows)), ["symbol", "trade_date"]).join(instruments(spark, d).select("symbol", "name"), "symbol")
+    """Counts of the eligible rows, of those without complete factors, and of the pool; one aggregate by symbol over the rows it needs."""
+    rows, last = recent_panel(spark, d)
+    wide = factors.day_factors(factors.counted_back(rows), last).join(instruments(spark, d).select("symbol", "name"), "symbol")
     c = F.col
     ok = (c("history_days") >= 250) & (c("turnover_value_20") >= 20000) & ~c("name").contains("ST")
     full = c("ret_60").isNotNull() & c("volume_trend_20").isNotNull() & F.coalesce(c("volume_trend_20") < 1.15, F.lit(False)) & c("close_position_250").isNotNull()

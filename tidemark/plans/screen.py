@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import reports
 from tidemark.operators import scores as ops
 from tidemark.operators.daily import daily_name
 from tidemark.operators.funnel import Spec, funnel, rejection, risk_name
@@ -12,6 +13,7 @@ from tidemark.operators.keyed import latest_per_key
 from tidemark.plans.factors import FACTOR_CTES, WIDE_NAMES, day, factor_table, shown, sql6, sql_mean, sql_rank
 from tidemark.plans.registry import query
 from tidemark.session import materialise
+from tidemark.sources.market import bars, instruments, with_
 from tidemark.sources.tables import table
 
 #: The low-position screen, with thresholds for the synthetic tables.
@@ -24,7 +26,7 @@ PRESETS = {
     "low-position-trend": LOW_POSITION | {"ma20_dev": [0, None], "ma60_dev": [0, None]},
     "theme-watch": {"theme_days_20": [1, None], "volume_trend_20": [0.9, None], "history_days": [60, None], "limit": 25},
     "recent-ipo": {"listed_days": [None, 2188], "history_days": [60, None], "volume_trend_20": [1.0, None], "limit": 25},
-    "behind-market": {"relative_ret_60": [None, 0.0], "history_days": [250, None], "limit": 25},
+    "behind-base-day": {"ret_since_base": [None, 0.30], "history_days": [250, None], "turnover_value_20": [10_000, None], "limit": 25},
 }
 FIELDS = {*WIDE_NAMES, "history_days", "listed_days", "theme_days_20", "theme_heat_max", "lhb_count_20", "positive_profit_streak", "positive_growth_streak"}
 
@@ -233,3 +235,12 @@ def display_table(spark: SparkSession, d: str) -> DataFrame:
     rows = factor_table(spark, d)
     return rows.select("symbol", F.coalesce(F.concat((F.round(F.col("ret_20") * 100, 1) + 0.0).cast("string"), F.lit("%")), F.lit("")).alias("ret_shown"), F.coalesce(F.format_string("%.4f", "close"), F.lit("")).alias("close_shown"))
 
+
+
+@query("ordered_report", with_("bars", "instruments") + """ SELECT 'symbol|name|industry|history_days|market|last_volume' AS header, concat_ws('|', i.symbol, name, industry, count(*)::VARCHAR, market, arg_max(volume, trade_date)::VARCHAR) AS line
+FROM instruments i JOIN bars b ON b.symbol = i.symbol GROUP BY i.symbol, name, industry, market""")
+def ordered_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report's lines and header with the preferred columns first and the others after them."""
+    by = bars(spark, d).groupBy("symbol").agg(F.max_by("volume", "trade_date").alias("last_volume"), F.count(F.lit(1)).alias("history_days"))
+    rows = reports.in_preferred_order(instruments(spark, d).select("market", "symbol", "industry", "name").join(by, "symbol").select("market", "last_volume", "history_days", "industry", "symbol", "name"))
+    return rows.select(F.lit("|".join(rows.columns)).alias("header"), F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns]).alias("line"))

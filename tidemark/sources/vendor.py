@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import missing
@@ -65,6 +65,20 @@ def industry_rows(rows: DataFrame, order: str) -> DataFrame:
     return clean.groupBy("symbol").agg(F.max_by("industry", "nth").alias("industry"))
 
 
+def industry_file(spark: SparkSession, path: str) -> DataFrame:
+    """``symbol, industry`` from a CSV file with a header; empty where there is no file, or none that can be read as such."""
+    from tidemark.operators.sinks import path_exists
+
+    empty = spark.createDataFrame([], "symbol string, industry string")
+    if not path_exists(spark, path):
+        return empty
+    rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").csv(path)
+    rows = rows.toDF(*[c.removeprefix("\ufeff").strip() for c in rows.columns]) if rows.columns else rows
+    if not set(SYMBOL_ALIASES) & set(rows.columns):
+        return empty
+    return industry_rows(rows.withColumn("_nth", F.monotonically_increasing_id()), "_nth")
+
+
 def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``key, row_no, cells``: the cells of each table row or list item of a page, tags stripped."""
     rows = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:p|li|h[1-6]|tr)\b[^>]*>(.*?)</(?:p|li|h[1-6]|tr)>"), 1)).alias("row_no", "inner"))
@@ -112,16 +126,20 @@ PAGE_SYMBOL, PAGE_EXPLANATION = ("代码", "证券代码", "股票代码"), ("
 
 
 def page_events(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """``key, symbol, explanation, n_rows`` from a page's table: the header row says which cell is which.
+    """``key, symbol, explanation, n_rows`` from a page's tables: a header row says which cell is which.
 
-    Comments go first; cells are read within rows, whatever attributes and tags
-    they have. A symbol's distinct explanations are joined by ``|``.
+    Comments, scripts and styles go first. Tables that hold no other are read,
+    so a table for layout around them does no harm; a table whose header names
+    no code is passed over. Cells are read within rows, whatever attributes and
+    tags they have. A symbol's distinct explanations are joined by ``|``.
     """
-    clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    cell = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " ")))
-    table = F.transform(F.regexp_extract_all(clean, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cell)
+    clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", "")
+    inner = F.regexp_extract_all(clean, F.lit(r"(?is)<table\b[^>]*>((?:(?!</?table\b).)*+)</table>"), F.lit(1))
+    cell = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>|&nbsp;", " "), r"\s+", " ")))
+    table = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cell)
     place = lambda names: F.array_max(F.array(*[F.array_position("head", n) for n in names])).cast("int")
-    rows = pages.select(key, table.alias("rows")).select(key, F.get("rows", 0).alias("head"), F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row"))
+    tables = pages.select(key, F.explode(inner).alias("inner")).select(key, table(F.col("inner")).alias("rows"))
+    rows = tables.select(key, F.get("rows", 0).alias("head"), F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row")).where(place(PAGE_SYMBOL) > 0)
     read = rows.select(key, F.get("row", place(PAGE_SYMBOL) - 1).alias("symbol"), F.get("row", place(PAGE_EXPLANATION) - 1).alias("explanation"))
     read = read.where(F.col("symbol").rlike(r"^\d{6}$"))
     return read.groupBy(key, "symbol").agg(F.array_join(F.array_sort(F.collect_set("explanation")), "|").alias("explanation"), F.count(F.lit(1)).alias("n_rows"))
