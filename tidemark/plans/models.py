@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import correlation, pct_rank
 from tidemark.operators import rolling
+from tidemark.operators.fits import Fold, fit_grid, lasso
 from tidemark.plans.factors import shown
 from tidemark.plans.registry import query
-from tidemark.session import materialise
-from tidemark.sources.market import panel
+from tidemark.plans.rolling import LABEL_SQL
+from tidemark.session import materialise, scratch_path
+from tidemark.sources.market import SQL, instruments, panel
 
 #: First day of each fold's test and of the one after it; training ends before the first.
 FOLDS = (("1996-09-01", "1996-12-01"), ("1996-12-01", "1997-03-01"))
@@ -43,3 +46,36 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
             row = ic.agg(F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"))
             out = row if out is None else out.unionByName(row)
     return shown(out)
+
+
+POOLS = ("ASIA", "EUROPE", "AMERICA")
+GRID_FOLDS = (Fold("a", "1996-03-01", "1996-07-01", "1996-08-15", "1996-10-01"), Fold("b", "1996-05-01", "1996-09-01", "1996-10-15", "1996-12-01"))
+STRENGTH = 0.002
+_PARTS = "\n UNION ALL ".join(
+    f"""SELECT market AS pool, '{f.name}' AS fold, x, y, CASE WHEN trade_date >= DATE '{f.train}' AND trade_date < DATE '{f.valid}' AND label_end < DATE '{f.valid}' THEN 'train'
+  WHEN trade_date >= DATE '{f.valid}' AND trade_date < DATE '{f.test}' AND label_end < DATE '{f.test}' THEN 'valid' WHEN trade_date >= DATE '{f.test}' AND trade_date < DATE '{f.end}' THEN 'test' END AS part FROM g"""
+    for f in GRID_FOLDS
+)
+
+
+@query("lasso_grid", LABEL_SQL + ",\n" + SQL["instruments"] + f""",
+g AS (SELECT market, p.trade_date, label_end, (close - open) / open * 100 AS x, label * 100 AS y FROM panel p JOIN labels0 l USING (symbol, trade_date) JOIN instruments i ON i.symbol = p.symbol WHERE eligible AND label IS NOT NULL AND market IN {POOLS}),
+parts AS ({_PARTS}), f AS (SELECT pool, fold, count(*) FILTER (WHERE part = 'train') AS n_train, count(*) FILTER (WHERE part = 'valid') AS n_valid, count(*) FILTER (WHERE part = 'test') AS n_test, avg(x * y) FILTER (WHERE part = 'train') AS xy, avg(x * x) FILTER (WHERE part = 'train') AS xx FROM parts WHERE part IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT *, sign(xy) * greatest(abs(xy) - {STRENGTH}, 0) / xx AS slope FROM f)
+SELECT pool, fold, n_train, n_valid, n_test, round(slope, 4) + 0.0 AS slope, round(slope * (SELECT sum(x) FROM parts WHERE parts.pool = b.pool AND parts.fold = b.fold AND part = 'test') / n_test, 3) + 0.0 AS mean_prediction FROM b""")
+def lasso_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A lasso of the next days' return on the day's own, by pool and fold; with one feature it has a closed form.
+
+    The grid is run twice over one folder, as after a restart: the second run
+    finds all receipts, fits nothing and reads what the first has published.
+    """
+    rows, c = panel(spark, d), F.col
+    labels = rolling.forward_labels(rows).where(c("eligible") & c("label").isNotNull())
+    data = rows.select("symbol", "trade_date", ((c("close") - c("open")) / c("open") * 100).alias("x")).join(labels, ["symbol", "trade_date"]).join(instruments(spark, d).select("symbol", c("market").alias("pool")), "symbol")
+    data = data.where(c("pool").isin(*POOLS)).select("pool", "symbol", "trade_date", "label_end", (c("label") * 100).alias("label"), array_to_vector(F.array("x")).alias("features"))
+    data, root = materialise(data, "grid-rows"), scratch_path(spark, "grid")
+    for _ in range(2):
+        predictions, receipts, _made = fit_grid(data, list(POOLS), list(GRID_FOLDS), {"lasso": lasso(STRENGTH)}, root, {"features": ["x"], "strength": STRENGTH}, (100, 20))
+    known = spark.createDataFrame([(r["pool"], r["fold"], r["rows"]["train"], r["rows"]["valid"], r["rows"]["test"], r["notes"]["lasso"]["coefficients"][0]) for r in receipts], "pool string, fold string, n_train long, n_valid long, n_test long, slope double")
+    means = predictions.groupBy("pool", "fold").agg(F.avg("prediction").alias("mean_prediction"))
+    return shown(known.withColumn("slope", F.round("slope", 4) + 0.0), 4).join(shown(means, 3), ["pool", "fold"])
