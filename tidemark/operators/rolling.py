@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import change
+from tidemark.operators.ordered import with_order
 
 #: The windows of all families, and the guard of their divisions.
 WINDOWS = (5, 10, 20, 30, 60)
@@ -104,16 +105,6 @@ def with_extremes(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def with_closes(rows: DataFrame) -> DataFrame:
-    """``seen``: the closes of the longest window, from which the shorter ones are cut."""
-    return rows.withColumn("seen", F.collect_list("close").over(chunk().rowsBetween(1 - REACH, 0)))
-
-
-def _last(n: int) -> Column:
-    size = F.least(F.size("seen"), F.lit(n))
-    return F.slice("seen", F.size("seen") - size + 1, size)
-
-
 def kbar() -> dict[str, Column]:
     O, H, L, C, _ = _columns()
     top, bottom, span = F.greatest(O, C), F.least(O, C), H - L + EPS
@@ -141,24 +132,18 @@ def ols(n: int, sums: Sums) -> dict[str, Column]:
     return {"BETA": slope / C, "RSQR": F.when(syy > EPS, sxy * sxy / F.nullif(sxx * syy, F.lit(0.0))), "RESI": (y - level) / C}
 
 
-def quantiles(n: int, _sums: Sums) -> dict[str, Column]:
-    """Interpolated quantiles of the sorted window."""
-    ordered = F.array_sort(_last(n))
+#: Shares of the quantiles.
+UPPER, LOWER = 0.8, 0.2
 
-    def at(share: float) -> Column:
-        place = (F.size(ordered) - 1) * share
-        low = F.floor(place).cast("int")
-        below, above = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
-        return below + (above - below) * (place - low)
 
-    return {"QTLU": at(0.8) / F.col("close"), "QTLD": at(0.2) / F.col("close")}
+def quantiles(n: int, _sums: Sums) -> dict[str, Column]:
+    """Interpolated quantiles of the window."""
+    return {"QTLU": F.col(f"share_0_{n}") / F.col("close"), "QTLD": F.col(f"share_1_{n}") / F.col("close")}
 
 
 def ranks(n: int, _sums: Sums) -> dict[str, Column]:
     """Midrank of the current close within its window."""
-    C, seen = F.col("close"), _last(n)
-    less, same = F.size(F.filter(seen, lambda x: x < C)), F.size(F.filter(seen, lambda x: x == C))
-    return {"RANK": (less + (same + 1) / 2) / F.size(seen)}
+    return {"RANK": F.col(f"rank_{n}")}
 
 
 def extremes(n: int, _sums: Sums) -> dict[str, Column]:
@@ -213,11 +198,14 @@ def features(panel: DataFrame, families=FAMILIES, windows=WINDOWS) -> DataFrame:
     sums = Sums()
     columns = dict(kbar()) if families is FAMILIES else {}
     columns |= {f"{name}{n}": c for family in families for n in windows for name, c in family(n, sums).items()}
-    rows = sums.add_to(base(panel))
+    rows = base(panel)
+    if {quantiles, ranks} & set(families):
+        if set(families) <= {quantiles, ranks}:
+            rows = rows.select("symbol", "trade_date", "n", "chunk", "leads", "close")  # nothing else goes through Python
+        rows = with_order(rows, "close", tuple(windows), (UPPER, LOWER))
+    rows = sums.add_to(rows) if sums.wanted else rows
     if {stats, extremes} & set(families):
         rows = with_extremes(rows)
-    if {quantiles, ranks} & set(families):
-        rows = with_closes(rows)
     named = rows.select("symbol", "trade_date", "leads", *[c.alias(k) for k, c in columns.items()])
     return named.where(~F.col("leads")).drop("leads")
 
