@@ -226,7 +226,7 @@ def edges(positive: int, least: int, most: int) -> tuple[int, int]:
     return -(-least * positive // 100), most * positive // 100
 
 
-def meet(anchors: DataFrame, n_anchors: int, data: DataFrame, n_data: int, k: int, percents: tuple[int, int] | None) -> DataFrame:
+def meet(anchors: DataFrame, n_anchors: int, data: DataFrame, served: int, k: int, percents: tuple[int, int] | None) -> DataFrame:
     """``anchor_id, slot, vec_id, score``: what each pair of blocks gives for its anchors; scores are texts of whole numbers.
 
     Without ``percents`` anchors meet blocks of their cell, and their best rows
@@ -234,13 +234,14 @@ def meet(anchors: DataFrame, n_anchors: int, data: DataFrame, n_data: int, k: in
     least wanted score lets in by its greatest norm, and rows of other labels
     are wanted inside each range. Pairs of blocks are found from narrow
     columns. A block of data then goes to each block of anchors that it
-    serves, into one of several lanes; a block of anchors goes to each lane once.
+    serves, into one of several lanes; a block of anchors goes to each lane
+    once. A block of anchors meets about ``served`` blocks.
     """
     narrow = lambda df, s: df.select("dim", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c in ("block", "cell", "norm", "floor")])
     pairs = narrow(data, "d").join(narrow(anchors, "a"), "dim")
     pairs = pairs.where("a_cell = d_cell") if percents is None else pairs.where("a_norm * d_norm >= a_floor")
-    lanes = max(1, min(n_data, 64))
-    tasks = min(4 * lanes * n_anchors, 4_096)  # more than pairs of lanes and blocks, so that few of these share a task
+    lanes = max(1, min(served, 64))
+    tasks = min(2 * lanes * n_anchors, 4_096)  # more than pairs of lanes and blocks, so that few of these share a task
     pairs = pairs.select("a_block", F.col("d_block").alias("block"), F.pmod(F.xxhash64("d_block"), F.lit(lanes)).alias("lane"))
     sent = data.join(pairs, "block").select("a_block", "lane", *[F.col(c).alias(f"d_{c}") for c in ("ids", "codes", "points", "kind")])
     here = anchors.withColumnRenamed("block", "a_block").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
@@ -337,7 +338,7 @@ def mine(
     if not n_anchors:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score string, negative_score string")
     data = materialise(packed_blocks(data_rows), "data-blocks")
-    best = ranked(meet(packed_blocks(anchor_rows), n_anchors, data, n_data, positives, None), ["anchor_id"], positives)
+    best = ranked(meet(packed_blocks(anchor_rows), n_anchors, data, -(-n_data // cells), positives, None), ["anchor_id"], positives)
     best = materialise(best.select("anchor_id", F.col("vec_id").alias("positive_id"), "score", (F.col("rank") - 1).alias("slot")), "positives")
 
     above = best.where(~F.col("score").startswith("-"))
