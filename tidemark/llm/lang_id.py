@@ -180,6 +180,8 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     """
     ship = (net, net.tables()) if net else None
     kept = keep or []
+    sent = [i for i, c in enumerate(kept) if c != text_col]  # the text goes to Python once, whether it is kept or not
+    place = {i: 1 if c == text_col else 2 + sent.index(i) for i, c in enumerate(kept)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -188,11 +190,11 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
                 langs, score = [UNDETERMINED] * len(raw), np.zeros(len(raw))
             else:
                 langs, score = predict(*ship, raw)
-            rest = [batch.column(i + 2) for i in range(len(kept))]
+            rest = [batch.column(place[i]) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*rest, batch.column(0), pa.array(langs, pa.string()), pa.array(score)], names=[*(f"k{i}" for i in range(len(kept))), "doc_id", "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept))]
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{kept[i]}`").alias(f"k{i}") for i in sent)]
     schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(kept)), "doc_id long, lang_pred string, score double"])
     return arrow_map(docs.select(*cols), work, schema)
 
