@@ -37,8 +37,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.fit_forest(secret_scan.all_findings(spark))
-    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest))
+    docs = table(spark, sf_dir, "documents")
+    language = secret_scan.learn_language(docs)
+    forest = secret_scan.fit_forest(secret_scan.all_findings(spark), language)
+    return secret_scan.digest(secret_scan.scan_secrets(docs, forest, language=language))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

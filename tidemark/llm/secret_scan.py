@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 import string
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,6 +17,8 @@ from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 #: A candidate is a run of these characters, at least so long.
 SHAPE = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
 #: Words before and after a candidate that the forest sees.
@@ -42,8 +46,84 @@ BLANKS = r"[ \t\x0b\f\r]+"
 DICTIONARY = "about|access|account|address|after|also|example|and|are|because|been|before|between|change|client|code|company|could|data|dummy|file|first|for|from|group|have|here|house|image|index|information|insert|internal|international|into|just|know|like|made|make|model|more|name|number|only|order|other|over|page|part|people|place|point|private|public|report|sample|server|service|should|some|state|system|test|than|that|the|their|there|these|they|thing|this|time|token|update|user|value|very|water|when|which|with|work|world|would|year|your"
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|le|de|la|ng|io|ie|ch|qu|ou"
 
+#: A word of a corpus is known where at least so many documents hold it, and at least such a share of them.
+KNOWN_DOCUMENTS, KNOWN_SHARE = 3, 1e-5
+LETTERS = 26
+
 FEATURES = ("len", "digits", "uppers", "vowels", "switches", "variety", "repeats", "bigrams", "coverage", "hex_only", "symbols", "blanks", "path", "mail", "quoted", "assigned", "secret_near", "harmless_near")
 
+#: What a corpus adds to these: the share of the candidate in known words, the mean log probability of its letter pairs.
+LEARNED = ("known", "transition")
+
+
+@dataclass(frozen=True)
+class Language:
+    """What a corpus says of its words: ``word, n_docs`` of all known ones, and a log probability for each pair of letters."""
+
+    words: DataFrame
+    pairs: list[float]
+
+
+def learn_language(docs: DataFrame, text_col: str = "text") -> Language:
+    """Known words and letter transitions of all documents and whole texts.
+
+    A word is a run of 3 to 20 letters a-z, lower-cased, between characters
+    that are no letters or digits. A document counts once for each of its
+    words, so that a long or repetitive one weighs no more than others; counts
+    are added up where they are before they are shuffled. Transitions come
+    from the different words, each weighing as its documents. They are 26 x 26
+    numbers at any size, and all that goes to the driver; the words stay a
+    table. Null and empty texts have no words; without words no word is known
+    and all transitions are equally likely.
+    """
+    held = F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"))
+    rows = docs.select(F.explode(held).alias("word")).where(F.col("word").rlike("^[a-z]{3,20}$"))
+    counted = materialise(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")), "words")
+    least = max(KNOWN_DOCUMENTS, KNOWN_SHARE * docs.count())
+    words = counted.where(F.col("n_docs") >= least)
+    code = F.ascii(F.substring("word", F.col("i"), F.lit(1))) - ord("a")
+    after = F.ascii(F.substring("word", F.col("i") + 1, F.lit(1))) - ord("a")
+    places = words.select("word", "n_docs", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
+    seen = {(r["a"], r["b"]): r["n"] for r in places.groupBy(code.alias("a"), after.alias("b")).agg(F.sum("n_docs").alias("n")).collect()}
+    pairs = []
+    for a in range(LETTERS):
+        row = [seen.get((a, b), 0) + 1 for b in range(LETTERS)]
+        pairs += [math.log(n / sum(row)) for n in row]
+    return Language(words, pairs)
+
+
+def learned_features(cores: DataFrame, language: Language) -> DataFrame:
+    """``core, known, transition`` for each different ``core``.
+
+    Words within a candidate end at other characters and where a capital
+    follows a small letter. A candidate without two letters in a row has the
+    transition of evenly likely letters.
+    """
+    cores = cores.select("core").distinct()
+    parts = F.split(F.lower(F.regexp_replace("core", "(?<=[a-z])(?=[A-Z])", " ")), "[^a-z]+")
+    each = cores.select("core", F.explode(F.filter(parts, lambda x: F.length(x).between(3, 20))).alias("word"))
+    covered = each.join(language.words.select("word"), "word").groupBy("core").agg(F.sum(F.length("word")).alias("covered"))
+    codes = F.transform(F.split(F.lower("core"), ""), lambda c: F.when(c.between("a", "z") & (F.length(c) == 1), F.ascii(c) - ord("a")))
+    table = F.lit(language.pairs)
+    two = F.zip_with("codes", F.slice("codes", F.lit(2), F.greatest(F.size("codes") - 1, F.lit(0))), lambda a, b: F.get(table, a * LETTERS + b))
+    scored = cores.select("core", codes.alias("codes")).select("core", F.filter(two, lambda x: x.isNotNull()).alias("scores"))
+    mean = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores")
+    scored = scored.select("core", F.when(F.size("scores") > 0, mean).otherwise(-math.log(LETTERS)).alias("transition"))
+    known = F.coalesce(F.col("covered"), F.lit(0)) / F.greatest(F.char_length("core"), F.lit(1))
+    return scored.join(covered, "core", "left").select("core", known.alias("known"), "transition")
+
+
+def with_learned(rows: DataFrame, language: Language | None) -> DataFrame:
+    """``rows`` with the learned features of their ``core``; as they are without a language.
+
+    They are found once for each different candidate and joined back; a
+    candidate that many rows share meets one row, so such a join can be split.
+    """
+    if language is None:
+        return rows
+    rows = materialise(rows, "secret-candidates")
+    return rows.join(learned_features(rows, language), "core")
+
 
 def features(before: Column, word: Column, core: Column, after: Column) -> dict[str, Column]:
     """What the forest sees of one candidate: its length, character transitions, dictionary coverage, path and neighbours."""
@@ -172,21 +252,25 @@ def all_findings(spark: SparkSession) -> DataFrame:
     return labelled_findings(spark).withColumn("core", F.lit(None).cast("string")).unionByName(labelled_values(spark)).select("before", "word", "core", "after", "label")
 
 
-def fit_forest(findings: DataFrame) -> PipelineModel:
+def fit_forest(findings: DataFrame, language: Language | None = None) -> PipelineModel:
     """A random forest on labelled findings (``before, word, after, label``), in one partition for one order of rows.
 
     The candidate is the first run of a word, or what the column ``core`` has.
+    A forest that learned with a ``language`` needs one when it scans.
     """
     core = F.regexp_extract("word", SHAPE, 0)
     if "core" in findings.columns:
         core = F.coalesce("core", core)
     rows = findings.withColumn("core", core).where(F.col("core") != "").repartition(1)
-    rows = rows.select("label", *[c.alias(n) for n, c in features(F.col("before"), F.col("word"), F.col("core"), F.col("after")).items()])
+    rows = rows.select("label", "core", *[c.alias(n) for n, c in features(F.col("before"), F.col("word"), F.col("core"), F.col("after")).items()])
+    rows = with_learned(rows, language)
+    inputs = [*FEATURES, *(LEARNED if language else ())]
+    rows = rows.select("label", *inputs).repartition(1)
     stages = [
-        VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep"),
+        VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED),
     ]
-    return Pipeline(stages=stages).fit(rows.sortWithinPartitions("label", *FEATURES))
+    return Pipeline(stages=stages).fit(rows.sortWithinPartitions("label", *inputs))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,9 +311,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def scan_secrets(docs: DataFrame, forest: PipelineModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_rejected: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: PipelineModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_rejected: bool = False, language: Language | None = None) -> DataFrame:
     """``doc_id, line_no, word_no, core, score`` for each finding that the forest keeps.
 
+    With a ``language``, the one that the forest has learned with, candidates
+    are written once and judged by the corpus's own words and transitions too.
+
     Lines and words count from 0; the score is the forest's probability. A
     value in quotes may hold blanks and is at the word where it begins; an
     unquoted one ends at a blank, without the marks of ``TRAIL``. Runs within a
@@ -243,7 +330,8 @@ def scan_secrets(docs: DataFrame, forest: PipelineModel, id_col: str = "doc_id",
     """
     rows = candidates(docs, id_col, text_col)
     made = features(F.col("before"), F.col("word"), F.col("core"), F.col("after"))
-    scored = forest.transform(rows.select("doc_id", "line_no", "word_no", "core", *[c.alias(n) for n, c in made.items()]))
+    judged = with_learned(rows.select("doc_id", "line_no", "word_no", "core", *[c.alias(n) for n, c in made.items()]), language)
+    scored = forest.transform(judged)
     scored = scored.select("doc_id", "line_no", "word_no", "core", F.get(vector_to_array("probability"), 1).alias("score"))
     return scored if keep_rejected else scored.where(F.col("score") >= threshold)
 
