@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import r6
 from tidemark.operators import gates
 from tidemark.operators.keyed import insert_absent, latest_per_key, replace_days, split_tags, upsert
+from tidemark.operators.ranges import last_states
 from tidemark.operators.sinks import stale_snapshots
 from tidemark.plans.registry import query
 from tidemark.sources.market import bars, instruments, panel, statements, theme_days, unusual_trades, with_
@@ -60,6 +61,30 @@ def symbol_tail_bars(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("trade_date")).limit(40).orderBy("trade_date")
 
 
+@query("market_asof_states", """WITH p AS (SELECT ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT epoch_us(e.ts) AS at_us, epoch_us(p.ts) AS seen_us, p.value FROM (SELECT ts FROM events WHERE event_type = 'error') e ASOF LEFT JOIN p ON e.ts > p.ts""")
+def market_asof_states(spark: SparkSession, d: str) -> DataFrame:
+    """For each error the last purchase before it, whoever made it: one history of all rows, cut into ranges of time.
+
+    Of purchases at one time the largest counts.
+    """
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bought = events.where("event_type = 'purchase'").groupBy("ts").agg(F.max("value").alias("value"))
+    found = last_states(events.where("event_type = 'error'"), bought, [], "ts", ["value"])
+    return found.select(F.unix_micros("ts").alias("at_us"), F.unix_micros("seen_at").alias("seen_us"), "value")
+
+
+@query("key_asof_states", """WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT e.user_id, epoch_us(e.ts) AS at_us, CASE WHEN e.ts::DATE - p.ts::DATE <= 7 THEN epoch_us(p.ts) END AS seen_us, CASE WHEN e.ts::DATE - p.ts::DATE <= 7 THEN p.value END AS value
+FROM (SELECT user_id, ts FROM events WHERE event_type IN ('view', 'purchase')) e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def key_asof_states(spark: SparkSession, d: str) -> DataFrame:
+    """For each view or purchase the user's last purchase up to it, none if over seven days old; a user may have any share of the rows."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    found = last_states(events.where("event_type IN ('view', 'purchase')"), bought, ["user_id"], "ts", ["value"], strict=False, max_age=F.lit(7))
+    return found.select("user_id", F.unix_micros("ts").alias("at_us"), F.unix_micros("seen_at").alias("seen_us"), "value")
+
+
 @query("closes_on_date", with_("panel") + " SELECT symbol, close FROM panel WHERE trade_date = DATE '1996-06-03'")
 def closes_on_date(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).where(F.col("trade_date") == F.lit("1996-06-03").cast("date")).select("symbol", "close")

@@ -88,15 +88,15 @@ def pool_control(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("buy_fills", with_("panel", "instruments") + f""", q AS (SELECT symbol, CASE WHEN n % 9 = 0 THEN name || ' ST' ELSE name END AS name, CASE WHEN n % 7 = 0 THEN open * 1.12 ELSE open END AS open, pre_close, CASE WHEN n % 11 = 0 THEN 0 ELSE volume END AS volume, trade_date
-  FROM panel LEFT JOIN instruments USING (symbol) WHERE trade_date BETWEEN DATE '1996-06-01' AND DATE '1996-06-20'),
+  FROM panel LEFT JOIN instruments USING (symbol)),
 r AS (SELECT *, CASE WHEN contains(upper(coalesce(name, '')), 'ST') OR contains(coalesce(name, ''), '退') THEN 'risk name' WHEN NOT coalesce(open > 0 AND pre_close > 0 AND volume > 0, false) THEN 'no valid open' WHEN open / pre_close >= 1.095 THEN 'limit up' END AS refused, floor(4000 / (open * 10))::BIGINT AS lots FROM q),
 f AS (SELECT *, CASE WHEN refused IS NULL THEN coalesce(list_max(list_filter(range(0, lots + 1), lambda n: n = 0 OR n * 10 * open + greatest(n * 10 * open * 0.002::DOUBLE, 5.0) <= 4000)), 0) * 10 ELSE 0 END AS quantity FROM r)
 SELECT symbol, trade_date, quantity, round(CASE WHEN quantity > 0 THEN greatest(quantity * open * 0.002::DOUBLE, 5.0) ELSE 0 END, 6) + 0.0 AS cost, round(quantity * open + CASE WHEN quantity > 0 THEN greatest(quantity * open * 0.002::DOUBLE, 5.0) ELSE 0 END, 6) + 0.0 AS spent,
   coalesce(refused, CASE WHEN quantity = 0 THEN 'less than a lot' END, 'filled') AS reason FROM f""", dates="trade_date")
 def buy_fills(spark: SparkSession, d: str) -> DataFrame:
-    """Orders at the open with refusals for names, halts and limit-up opens."""
+    """An order at every open of the panel, with refusals for names, halts and limit-up opens."""
     n = F.col("n")
-    rows = panel(spark, d).where(F.col("trade_date").between(F.lit("1996-06-01").cast("date"), F.lit("1996-06-20").cast("date"))).join(instruments(spark, d).select("symbol", "name"), "symbol", "left")
+    rows = panel(spark, d).join(instruments(spark, d).select("symbol", "name"), "symbol", "left")
     quotes = rows.select("symbol", "trade_date", F.when(n % 9 == 0, F.concat("name", F.lit(" ST"))).otherwise(F.col("name")).alias("name"), F.when(n % 7 == 0, F.col("open") * 1.12).otherwise(F.col("open")).alias("open"), "pre_close", F.when(n % 11 == 0, 0).otherwise(F.col("volume")).alias("volume"))
     return shown(ops.buy_fills(quotes, F.lit(4000.0), PROTOCOL).select("symbol", "trade_date", "quantity", "cost", "spent", "reason"))
 

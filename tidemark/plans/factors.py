@@ -235,17 +235,48 @@ def industry_scores(spark: SparkSession, d: str) -> DataFrame:
     return shown(ops.industry_scores(members(spark, d)))
 
 
-def factor_table(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table ``symbol x factor`` at the panel's last common date; all joins share the symbol."""
+VALUATION_NAMES = ("pe_ttm", "pe_ttm_value", "pe_industry_value", "market_cap", "industry_leader_score")
+STATEMENT_NAMES = {*GROWTH_NAMES, "positive_profit_streak", "positive_growth_streak", "shares", "profit_ttm", "shares_ttm"}
+#: Columns of the windows of listed days, and of the tables that are derived from others of the row.
+LISTED_NAMES = {theme_window: {"theme_tags", "theme_heat_max", "theme_heat_sum", "theme_days_20"}, capital_window: {"lhb_count_20", "lhb_net_buy_20", "main_net_inflow", "net_chg_20"}}
+NEEDS = {"lhb_net_buy_rel": ("lhb_net_buy_20", "turnover_value_20"), "listed_days": ("listed_date",), "industry_score": ("industry", "ret_20", "ret_60", "revenue_yoy", "profit_yoy", "eps_yoy")} | {
+    n: ("industry", "close", "shares", "profit_ttm", "shares_ttm") for n in VALUATION_NAMES
+}
+
+
+def factor_table(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """The wide table ``symbol x factor`` at the panel's last common date; all joins share the symbol.
+
+    With ``names`` it has the symbol and those columns only. Sources that none
+    of them needs are not read, and what is written between has no others.
+    """
     rows, last = recent_panel(spark, d)
     symbols = instruments(spark, d)
-    grown = ops.growth_factors(statements(spark, d), day(STATEMENT_DAY))
-    base = symbols.join(ops.bar_factors(rows, last), "symbol").join(grown, "symbol", "left")
-    base = materialise(base, "factor-base")  # one row a symbol, for the table and for its industries
-    base = ops.valuation_factors(base).join(ops.industry_scores(base).drop("members"), "industry", "left")
-    for window in (theme_window, capital_window):
-        base = base.join(window(spark, d, symbols.select("symbol")), "symbol", "left")
-    return base.withColumn("lhb_net_buy_rel", F.col("lhb_net_buy_20") / F.nullif("turnover_value_20", F.lit(0.0))).withColumn("listed_days", F.datediff(day(STATEMENT_DAY), "listed_date"))
+    bars_only = ops.bar_factors(rows, last)
+    asked = {"symbol", *names}
+    held = asked | {n for name in names for n in NEEDS.get(name, ())}
+    wanted = lambda *columns: not names or bool(held & set(columns))
+    base = symbols.join(bars_only, "symbol")
+    if wanted(*STATEMENT_NAMES):
+        base = base.join(ops.growth_factors(statements(spark, d), day(STATEMENT_DAY)), "symbol", "left")
+    if names:
+        base = base.select(*[c for c in base.columns if c in held])
+    valued_too, scored_too = wanted(*VALUATION_NAMES), wanted("industry_score")
+    if scored_too:
+        base = materialise(base, "factor-base")  # one row a symbol, for the table and for its industries
+    scores = ops.industry_scores(base).drop("members") if scored_too else None
+    if valued_too:
+        base = ops.valuation_factors(base)
+    if scored_too:
+        base = base.join(scores, "industry", "left")
+    for window, columns in LISTED_NAMES.items():
+        if wanted(*columns):
+            base = base.join(window(spark, d, symbols.select("symbol")), "symbol", "left")
+    if wanted("lhb_net_buy_rel"):
+        base = base.withColumn("lhb_net_buy_rel", F.col("lhb_net_buy_20") / F.nullif("turnover_value_20", F.lit(0.0)))
+    if wanted("listed_days"):
+        base = base.withColumn("listed_days", F.datediff(day(STATEMENT_DAY), "listed_date"))
+    return base.select("symbol", *dict.fromkeys(n for n in names if n != "symbol")) if names else base
 
 
 FACTOR_CTES = with_("panel", "instruments", "statements", "themes", "unusual") + f", {PRICE_SQL}, {MOMENTUM_SQL}, {RISK_SQL}, {THEMES_SQL}, {CAPITAL_SQL}, {GROWTH_SQL}, {VALUATION_SQL}, {INDUSTRY_SQL}, " + f"""

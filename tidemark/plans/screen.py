@@ -52,7 +52,8 @@ RISK_FIRST = "WHEN contains(coalesce(name, ''), 'ST') OR contains(coalesce(name,
 @query("screen_funnel", FACTOR_CTES + f" SELECT coalesce({sql_reason(spec('low-position').filters, RISK_FIRST)}, 'kept') AS reason, count(*) AS n FROM wide GROUP BY 1")
 def screen_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Rows by their first failing reason; with ``kept`` they add up to the universe."""
-    return funnel(factor_table(spark, d), spec("low-position"))
+    wanted = spec("low-position")
+    return funnel(factor_table(spark, d, "name", *wanted.filters), wanted)
 
 
 def sql_preset(name: str) -> str:
@@ -62,8 +63,8 @@ def sql_preset(name: str) -> str:
 
 @query("preset_sizes", FACTOR_CTES + " " + " UNION ALL ".join(map(sql_preset, PRESETS)))
 def preset_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Universe, pool and kept rows of every preset, in one pass over the factor table."""
-    rows = factor_table(spark, d)
+    """Universe, pool and kept rows of every preset, in one pass over the columns that they filter by."""
+    rows = factor_table(spark, d, "name", *[c for n in PRESETS for c in spec(n).filters])
     tests = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), rejection(spec(n), rows.columns).isNull().alias("ok")) for n in PRESETS])).alias("x")).select("x.*")
     by = tests.groupBy("preset").agg(F.count(F.lit(1)).alias("universe"), F.count_if("ok").alias("pool"))
     return by.withColumn("kept", F.least("pool", F.lit(25)))
@@ -72,7 +73,7 @@ def preset_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query("theme_filter", FACTOR_CTES + " SELECT symbol, theme_tags FROM wide WHERE len(list_intersect(string_split(theme_tags, '|'), ['ECONOMY', 'PROMO'])) > 0 AND NOT coalesce(len(list_intersect(string_split(theme_tags, '|'), ['Brand#13'])) > 0, false)")
 def theme_filter(spark: SparkSession, d: str) -> DataFrame:
     """Whole tags, never parts of tags: any of the wanted, none of the unwanted."""
-    rows = factor_table(spark, d)
+    rows = factor_table(spark, d, "theme_tags")
     return rows.where(rejection(Spec(themes_any=("ECONOMY", "PROMO"), themes_none=("Brand#13",), exclude_risk_names=False), rows.columns).isNull()).select("symbol", "theme_tags")
 
 
@@ -232,7 +233,7 @@ def note_of(column: str):
 @query("display_table", FACTOR_CTES + " SELECT symbol, coalesce((round(ret_20 * 100, 1) + 0.0)::VARCHAR || '%', '') AS ret_shown, coalesce(printf('%.4f', close), '') AS close_shown FROM wide")
 def display_table(spark: SparkSession, d: str) -> DataFrame:
     """Printed values; a missing one is an empty text."""
-    rows = factor_table(spark, d)
+    rows = factor_table(spark, d, "ret_20", "close")
     return rows.select("symbol", F.coalesce(F.concat((F.round(F.col("ret_20") * 100, 1) + 0.0).cast("string"), F.lit("%")), F.lit("")).alias("ret_shown"), F.coalesce(F.format_string("%.4f", "close"), F.lit("")).alias("close_shown"))
 
 
