@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,57 +77,105 @@ REALISED, REALISING, AHEAD, WEAK, UNKNOWN = "短期兑现较充分", "正在兑
 HOLD, CONFIRM, WAIT, BUY = "暂缓", "暂缓，先确认", "等回落再买", "今天可分批"
 
 
-def expectation_state() -> Column:
+@dataclass(frozen=True)
+class PlanRules:
+    """The thresholds of the price plan and of the expectation state."""
+
+    # What counts as high, and how many such signs make a move realised.
+    high_return: float = 0.12
+    high_position: float = 0.85
+    near_high: float = -0.05
+    high_volume: float = 1.5
+    many_theme_days: int = 4
+    signs: int = 2
+    steady_volume: float = 1.0
+    falling_return: float = -0.08
+    # The buffer around the close, from the volatility.
+    default_volatility: float = 0.02
+    volatility_factor: float = 1.8
+    least_buffer: float = 0.02
+    most_buffer: float = 0.08
+    # Too far above the means, too weak, too little known.
+    over_mean: float = 0.06
+    over_return: float = 0.08
+    weak_return: float = -0.12
+    weak_mean: float = -0.06
+    least_coverage: float = 0.6
+    # Anchors and targets, as shares and multiples of the close.
+    anchor_share: float = 0.9
+    most_discount: float = 3.0
+    anchor_reach: float = 2.0
+    high_reach: float = 3.0
+    far: float = 1.02
+    first_step: float = 0.04
+    second_step: float = 0.08
+    first_buffers: float = 2.0
+    second_buffers: float = 4.0
+    most_target: float = 2.0
+    target_gap: float = 1.05
+    # Orders: how far above the support to buy, where not to chase, where the plan ends.
+    wait_buffers: float = 0.75
+    least_wait: float = 0.01
+    chase_buffers: float = 0.5
+    least_chase: float = 0.01
+    most_chase: float = 0.03
+    least_stop: float = 0.025
+
+
+RULES = PlanRules()
+
+
+def expectation_state(rules: PlanRules = RULES) -> Column:
     """Ordered rules over what is present; a missing value meets none of them."""
-    c = F.col
-    high = count_true(c("ret_20") >= 0.12, c("close_position_20") >= 0.85, c("dist_to_52w_high") >= -0.05, c("volume_trend_20") >= 1.5, c("theme_days_20") >= 4)
-    rising = true(c("ret_20") > 0) & true(c("relative_ret_20") > 0) & F.coalesce(c("volume_trend_20") >= 1, F.lit(True))
+    c, r = F.col, rules
+    high = count_true(c("ret_20") >= r.high_return, c("close_position_20") >= r.high_position, c("dist_to_52w_high") >= r.near_high, c("volume_trend_20") >= r.high_volume, c("theme_days_20") >= r.many_theme_days)
+    rising = true(c("ret_20") > 0) & true(c("relative_ret_20") > 0) & F.coalesce(c("volume_trend_20") >= r.steady_volume, F.lit(True))
     growing = (true(c("profit_yoy") > 0) | true(c("revenue_yoy") > 0)) & true(c("ret_20") <= 0) & F.coalesce(c("pe_industry_value") >= 0, F.lit(True))
-    falling = true(c("ret_20") <= -0.08) | true(c("relative_ret_20") <= -0.08)
-    return F.when(high >= 2, REALISED).when(rising, REALISING).when(growing, AHEAD).when(falling, WEAK).otherwise(UNKNOWN)
+    falling = true(c("ret_20") <= r.falling_return) | true(c("relative_ret_20") <= r.falling_return)
+    return F.when(high >= r.signs, REALISED).when(rising, REALISING).when(growing, AHEAD).when(falling, WEAK).otherwise(UNKNOWN)
 
 
-def price_plan(rows: DataFrame) -> DataFrame:
+def price_plan(rows: DataFrame, rules: PlanRules = RULES) -> DataFrame:
     """Reference prices of the day for each row with a positive close; others are put on hold."""
-    c, one = F.col, F.lit(1.0)
-    rows = rows.withColumn("expectation_state", expectation_state())
-    rows = rows.withColumn("buffer", clamp(F.coalesce(c("realized_vol_20"), F.lit(0.02)) * 1.8, 0.02, 0.08))
+    c, r, one = F.col, rules, F.lit(1.0)
+    rows = rows.withColumn("expectation_state", expectation_state(r))
+    rows = rows.withColumn("buffer", clamp(F.coalesce(c("realized_vol_20"), F.lit(r.default_volatility)) * r.volatility_factor, r.least_buffer, r.most_buffer))
 
     def mean(n: int) -> Column:
         level = F.when(c(f"ma{n}_dev") > -1, c("close") / (one + c(f"ma{n}_dev")))
         return F.when((level > 0) & (level <= c("close")), level)
 
     rows = rows.withColumn("support", F.greatest(c("close") * (one - c("buffer")), mean(20), mean(60)))
-    over = true(c("ma20_dev") >= 0.06) | (true(c("close_position_20") >= 0.85) & true(c("ret_20") >= 0.08))
-    weak = true(c("ret_20") <= -0.12) & true(c("ma60_dev") <= -0.06)
+    over = true(c("ma20_dev") >= r.over_mean) | (true(c("close_position_20") >= r.high_position) & true(c("ret_20") >= r.over_return))
+    weak = true(c("ret_20") <= r.weak_return) & true(c("ma60_dev") <= r.weak_mean)
     state = c("expectation_state")
     signal = (
         F.when(~true(c("close") > 0), HOLD)
-        .when(true(c("score_coverage") < 0.6), HOLD)
+        .when(true(c("score_coverage") < r.least_coverage), HOLD)
         .when(weak | (state == WEAK), CONFIRM)
         .when(over | (state == REALISED), WAIT)
         .otherwise(BUY)
     )
     priced = true(c("close") > 0)
     eps = F.col("eps_ttm")
-    anchor = F.when((eps > 0) & (c("pe_ttm") > 0) & c("pe_industry_value").isNotNull(), eps * c("pe_ttm") * F.exp(clamp(c("pe_industry_value"), -3.0, 3.0)) * 0.9)
-    anchor = F.when((anchor > c("close")) & (anchor <= c("close") * 2), anchor)
+    anchor = F.when((eps > 0) & (c("pe_ttm") > 0) & c("pe_industry_value").isNotNull(), eps * c("pe_ttm") * F.exp(clamp(c("pe_industry_value"), -r.most_discount, r.most_discount)) * r.anchor_share)
+    anchor = F.when((anchor > c("close")) & (anchor <= c("close") * r.anchor_reach), anchor)
     top = F.when((c("dist_to_52w_high") < 0) & (c("dist_to_52w_high") > -1), c("close") / (one + c("dist_to_52w_high")))
-    top = F.when((top > c("close")) & (top <= c("close") * 3), top)
+    top = F.when((top > c("close")) & (top <= c("close") * r.high_reach), top)
     rows = rows.withColumns({"operation_signal": signal, "valuation_anchor": F.when(priced, anchor), "high_anchor": F.when(priced, top)})
-    far = lambda x: F.when(x >= c("close") * 1.02, x)
-    near_1, near_2 = c("close") * (one + F.greatest(F.lit(0.04), c("buffer") * 2)), c("close") * (one + F.greatest(F.lit(0.08), c("buffer") * 4))
+    far = lambda x: F.when(x >= c("close") * r.far, x)
+    near_1, near_2 = (c("close") * (one + F.greatest(F.lit(step), c("buffer") * n)) for step, n in ((r.first_step, r.first_buffers), (r.second_step, r.second_buffers)))
     rows = rows.withColumns({
         "target_1": F.when(priced, F.least(near_1, far(c("valuation_anchor")), far(c("high_anchor")))),
-        "target_2": F.when(priced, F.least(F.greatest(near_2, far(c("valuation_anchor")), far(c("high_anchor"))), c("close") * 2)),
+        "target_2": F.when(priced, F.least(F.greatest(near_2, far(c("valuation_anchor")), far(c("high_anchor"))), c("close") * r.most_target)),
     })
-    wait_high = F.least(c("close"), c("support") * (one + F.greatest(c("buffer") * 0.75, F.lit(0.01))))
+    wait_high = F.least(c("close"), c("support") * (one + F.greatest(c("buffer") * r.wait_buffers, F.lit(r.least_wait))))
     return rows.withColumns({
-        "target_2": F.when(c("target_2") <= c("target_1"), c("target_1") * 1.05).otherwise(c("target_2")),
+        "target_2": F.when(c("target_2") <= c("target_1"), c("target_1") * r.target_gap).otherwise(c("target_2")),
         "buy_low": F.when(priced, c("support")),
         "buy_high": F.when(priced, F.greatest(c("support"), F.when(c("operation_signal") == WAIT, wait_high).otherwise(c("close")))),
-        "no_chase_price": F.when(priced, c("close") * (one + F.least(F.greatest(c("buffer") * 0.5, F.lit(0.01)), F.lit(0.03)))),
-        "invalidation_price": F.when(priced, c("support") * (one - F.greatest(c("buffer"), F.lit(0.025)))),
+        "no_chase_price": F.when(priced, c("close") * (one + F.least(F.greatest(c("buffer") * r.chase_buffers, F.lit(r.least_chase)), F.lit(r.most_chase)))),
+        "invalidation_price": F.when(priced, c("support") * (one - F.greatest(c("buffer"), F.lit(r.least_stop)))),
     })
 
 
