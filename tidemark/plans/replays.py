@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import factors
-from tidemark.operators.replay import Rules, replay_accounts
+from tidemark.operators.replay import Rules, replay_accounts, tradable
 from tidemark.plans.factors import shown
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.sources.market import panel, with_
 
 #: Rules by candidate, and windows as first and last day.
@@ -33,11 +34,17 @@ def ranked_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def accounts(spark: SparkSession, d: str, candidates: tuple[str, ...]) -> DataFrame:
-    """Each account's rows: a day belongs to its window, and is repeated for each rule and cost of the plan."""
+    """Each account's rows: a day belongs to its window, and is repeated for each rule and cost of the plan.
+
+    The windows' rows are written once and cut to the symbols that can be held
+    before they are repeated, so an account's group does not grow with the
+    number of symbols.
+    """
     at, window = F.col("trade_date"), F.lit(None).cast("string")
     for name, a, b in WINDOWS:
         window = F.when((at >= F.lit(a).cast("date")) & (at <= F.lit(b).cast("date")), name).otherwise(window)
     rows = ranked_panel(spark, d).withColumn("window", window).where(F.col("window").isNotNull())
+    rows = tradable(materialise(rows, "replay-rows"), max(CANDIDATES[c].positions for c in candidates))
     plan = F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(k).alias("cost_bps")) for c in candidates for k in COSTS])
     rows = rows.select("*", F.explode(plan).alias("plan")).select("*", "plan.candidate", "plan.cost_bps").drop("plan")
     return rows.withColumns({"account": F.concat_ws("/", "candidate", "window", F.col("cost_bps").cast("string")), "exposure": F.lit(1.0)})
