@@ -11,7 +11,7 @@ from tidemark.operators.keyed import latest_per_key
 from tidemark.plans.factors import MOMENTUM_SQL, PRICE_SQL, RISK_SQL, recent_panel, shown, sql6, sql_rank
 from tidemark.plans.registry import query
 from tidemark.sources.market import bars, instruments, panel, with_
-from tidemark.sources.tables import table
+from tidemark.sources.tables import dealt_by, table
 
 COSTS = (0, 10, 20)
 
@@ -137,6 +137,7 @@ def daily_ic(spark: SparkSession, d: str) -> DataFrame:
     by = rolling.order()
     x, y = change(F.col("close"), F.lag("close", 20).over(by)), change(F.lead("open", 6).over(by), F.lead("open", 1).over(by))
     pairs = rows.select("trade_date", x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pairs = dealt_by(pairs, "trade_date", like=table(spark, d, "lineitem"))
     ranked = pairs.select("trade_date", "y", pct_rank(F.col("x"), F.col("trade_date")).alias("rx"), pct_rank(F.col("y"), F.col("trade_date")).alias("ry"))
     spread = F.avg(F.when(F.col("rx") >= 0.9, F.col("y"))) - F.avg(F.when(F.col("rx") <= 0.1, F.col("y")))
     return ranked.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), (F.round(correlation(F.col("rx"), F.col("ry")), 12) + 0.0).alias("ic"), spread.alias("spread"))
