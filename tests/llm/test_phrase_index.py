@@ -136,3 +136,17 @@ def test_near_windows_against_brute_force(spark):
 def test_plan_has_no_python(spark, tables):
     plan = pi.digest(pi.decontaminate(*tables))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_sides_are_judged_by_rows_not_by_packed_files(spark, monkeypatch):
+    """Windows in few kilobytes of files that are some 150,000 places; what joins them is not sent whole."""
+    text = " ".join(f"w{i % 50}" for i in range(15_000))
+    windows = pi.materialise(pi.item_windows(spark.createDataFrame([(1, text)], "item_id long, text string"), 10), "windows")
+    index = pi.build_index(spark.createDataFrame([(1, text[:3_000])], "doc_id long, text string"))
+    plan = lambda: pi.rarest_first(windows, index)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan()
+    docs, items = made()
+    monkeypatch.setattr(pi, "BROADCAST_ROWS", -1)
+    got = pi.digest(pi.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert Counter(map(tuple, got.collect())) == brute(docs, items)

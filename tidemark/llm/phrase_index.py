@@ -16,6 +16,18 @@ SLOP = 1
 LENGTH = ""
 #: Words of 64 bits in the bitmap that keeps other documents' postings from the last shuffle: 512 kB at any size.
 BITMAP_WORDS = 65_536
+#: Rows of a join's side, of some 100 bytes each, up to which it may be sent whole to driver and tasks.
+BROADCAST_ROWS = 100_000
+
+
+def by_rows(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of a join, kept from being sent whole where ``rows``, the number of its rows, is large.
+
+    The planner goes by the size of the files that a side is read from. Those
+    of windows and occurrences are packed many times, and one row of them
+    becomes many, so it would take sides for small that fill the driver.
+    """
+    return side.hint("merge") if rows > BROADCAST_ROWS else side
 
 
 def words(text: Column) -> Column:
@@ -39,7 +51,8 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "
     postings = rows.select("doc_id", "row_hash", F.posexplode("terms").alias("pos", "term"))
     if terms is not None:
         wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit(LENGTH).alias("term"))).distinct()
-        postings = postings.join(materialise(wanted, "test-terms"), "term", "left_semi")
+        wanted = materialise(wanted, "test-terms")
+        postings = postings.join(by_rows(wanted, wanted.count()), "term", "left_semi")
     return materialise(postings.select("term", "doc_id", "row_hash", "pos").sortWithinPartitions("term"), "postings")
 
 
@@ -64,10 +77,11 @@ def rarest_first(windows: DataFrame, index: DataFrame) -> DataFrame:
     """
     counts = index.where(F.col("term") != LENGTH).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     spread = windows.select("item", "start", "length", F.explode("places").alias("place")).select("item", "start", "length", "place.at", "place.term")
-    known = spread.join(counts, "term").groupBy("item", "start", "length").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("by_count"))
+    n_places = windows.select(F.sum(F.size("places"))).first()[0] or 0
+    known = by_rows(spread, n_places).join(counts, "term").groupBy("item", "start", "length").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("by_count"))
     known = known.where(F.size("by_count") == F.col("length"))
     named = known.select("item", "start", F.col("by_count")[0].alias("first"), F.coalesce(F.get("by_count", F.lit(1)), F.col("by_count")[0]).alias("second"))
-    return windows.join(named, ["item", "start"])
+    return by_rows(windows, n_places).join(named, ["item", "start"])
 
 
 def only_rows_of(postings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,20 +120,21 @@ def find_windows(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
     near = lambda at: F.explode(F.sequence(at - slop, at + slop))
 
     pairs = ranked.select("item", F.col("first.term").alias("term"), F.col("first.at").alias("a"), F.col("second.at").alias("b"), F.col("second.term").alias("other")).distinct()
-    begun = postings.join(materialise(pairs, "rarest-pairs"), "term").select("doc", "row_hash", "item", "a", "b", F.col("other").alias("term"), (F.col("pos") - F.col("a")).alias("shift"))
+    pairs = materialise(pairs, "rarest-pairs")
+    begun = postings.join(by_rows(pairs, pairs.count()), "term").select("doc", "row_hash", "item", "a", "b", F.col("other").alias("term"), (F.col("pos") - F.col("a")).alias("shift"))
     begun = begun.withColumn("pos", near(F.col("shift") + F.col("b")))
     seconds = materialise(pairs.select(F.col("other").alias("term")).distinct(), "second-terms")
-    met = begun.join(postings.join(seconds, "term", "left_semi"), ["term", "doc", "row_hash", "pos"]).select("doc", "row_hash", "item", "shift", "a", "b").distinct()
+    met = begun.join(postings.join(by_rows(seconds, seconds.count()), "term", "left_semi"), ["term", "doc", "row_hash", "pos"]).select("doc", "row_hash", "item", "shift", "a", "b").distinct()
 
     of_pair = ranked.select("item", F.col("first.at").alias("a"), F.col("second.at").alias("b"), "start", "length", "places")
-    left = materialise(met.join(of_pair, ["item", "a", "b"]).select("doc", "row_hash", "item", "shift", "start", "length", "places"), "met-windows")
+    left = materialise(met.join(by_rows(of_pair, ranked.select(F.sum(F.size("places"))).first()[0] or 0), ["item", "a", "b"]).select("doc", "row_hash", "item", "shift", "start", "length", "places"), "met-windows")
     wanted = left.withColumn("place", F.explode("places")).select("doc", "row_hash", "item", "shift", "start", "length", "place.at", "place.term")
-    wanted = wanted.withColumn("pos", near(F.col("shift") + F.col("at")))
+    wanted = by_rows(wanted.withColumn("pos", near(F.col("shift") + F.col("at"))), (2 * slop + 1) * (left.select(F.sum("length")).first()[0] or 0))
     rest = only_rows_of(postings, left.select("row_hash").distinct())
     matched = wanted.join(rest, ["term", "doc", "row_hash", "pos"]).groupBy("doc", "row_hash", "item", "shift", "start", "length", "at").agg(F.min(F.abs(F.col("pos") - F.col("shift") - F.col("at"))).alias("off"))
     whole = matched.groupBy("doc", "row_hash", "item", "shift", "start", "length").agg(F.count(F.lit(1)).alias("held"), F.max("off").alias("off")).where("held = length")
     names = windows.select("item", "item_id").distinct()
-    return whole.join(names, "item").select("doc", "row_hash", "item_id", "start", "length", (F.col("shift") + F.col("start")).alias("doc_start"), "off")
+    return whole.join(by_rows(names, windows.count()), "item").select("doc", "row_hash", "item_id", "start", "length", (F.col("shift") + F.col("start")).alias("doc_start"), "off")
 
 
 def find_phrase(index: DataFrame, phrase: str, slop: int = 0) -> DataFrame:
@@ -173,7 +188,8 @@ def decontaminate(
 
     lengths = index.where(F.col("term") == LENGTH).select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc"), "row_hash", F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return lengths.join(hits, key, "left").join(listed, key, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    n_found = found.count()
+    return lengths.join(by_rows(hits, n_found), key, "left").join(by_rows(listed, n_found), key, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
 
 
 def digest(result: DataFrame) -> DataFrame:
