@@ -34,6 +34,7 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     names = [c for c in features.columns if c not in ("symbol", "trade_date")]
     # A feature without a value, as where a window does not vary, is zero: no signal.
     vector = VectorAssembler(inputCols=names, outputCol="features").transform(features.join(labels, ["symbol", "trade_date"]).na.fill(0.0, names))
+    vector = vector.where(F.col("trade_date") < F.lit(max(b for _, b in FOLDS)).cast("date"))  # no fold trains or is tested later
     data = materialise(vector.select("trade_date", "label_end", "label", "features"), "model-rows")
     learners = {"lasso": LinearRegression(elasticNetParam=1.0, regParam=0.0005, fitIntercept=False), "trees": GBTRegressor(maxIter=5, maxDepth=3, stepSize=0.2, seed=7)}
     out = None
