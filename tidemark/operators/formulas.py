@@ -15,7 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators.rolling import CHUNK, EPS, WINDOWS, Sums, chunk, order
+from tidemark.session import small_methods
 
 #: Fields of a bar that formulas may name.
 FIELDS = ("open", "high", "low", "close", "volume", "amount")
@@ -268,7 +270,7 @@ def _corr(sums: Sums, name: str, a: Column, b: Column, n: int) -> Column:
     m = F.nullif(sums.count(f"{name}_a", a, n), F.lit(0.0))
     joint = sums(f"{name}_ab", a * b, n) - sums(f"{name}_a", a, n) * sums(f"{name}_b", b, n) / m
     scale = F.sqrt(sums.squares(f"{name}_a", a, n) / m) * F.sqrt(sums.squares(f"{name}_b", b, n) / m)
-    return F.round(joint / m, 12) / F.nullif(F.round(scale, 12), F.lit(0.0))
+    return rounded(joint / m, 12) / F.nullif(rounded(scale, 12), F.lit(0.0))
 
 
 def _line(kind: str, sums: Sums, name: str, y: Column, n: int) -> Column:
@@ -308,6 +310,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] =
     used = list(dict.fromkeys([*(p[1] for p in _all(list(parts.values())) if p[0] == "field"), *keep]))
     if not compiler.windowed:
         return panel.select("symbol", "trade_date", *keep, *[compiler.column(p).alias(name) for name, p in parts.items()])
+    small_methods(panel.sparkSession)
     rows = in_chunks(panel, used, max(map(reach, parts.values())))
     for level in range(1, max(map(depth, parts.values())) + 1):
         rows = compiler.add_level(rows, level)

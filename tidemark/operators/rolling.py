@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import change
+from tidemark.functions.scalars import change, rounded
 from tidemark.operators.ordered import with_order
+from tidemark.session import small_methods
 
 #: The windows of all families, and the guard of their divisions.
 WINDOWS = (5, 10, 20, 30, 60)
@@ -161,7 +162,7 @@ def correlations(n: int, sums: Sums) -> dict[str, Column]:
         m = F.nullif(sums.count(f"{name}_a", a, n), F.lit(0.0))
         joint = sums(f"{name}_ab", a * b, n) - sums(f"{name}_a", a, n) * sums(f"{name}_b", b, n) / m
         scale = F.sqrt(sums.squares(f"{name}_a", a, n) / m) * F.sqrt(sums.squares(f"{name}_b", b, n) / m)
-        return F.round(joint / m, 12) / F.nullif(F.round(scale, 12), F.lit(0.0))
+        return rounded(joint / m, 12) / F.nullif(rounded(scale, 12), F.lit(0.0))
 
     return {"CORR": corr("c", F.col("y"), F.col("log_v")), "CORD": corr("d", F.col("ret") - 1, F.col("log_ratio"))}
 
@@ -195,6 +196,7 @@ FAMILIES = (stats, ols, quantiles, ranks, extremes, correlations, counts, volume
 
 def features(panel: DataFrame, families=FAMILIES, windows=WINDOWS) -> DataFrame:
     """``symbol, trade_date`` and the features; all windows share one sort by symbol, chunk and date."""
+    small_methods(panel.sparkSession)
     sums = Sums()
     columns = dict(kbar()) if families is FAMILIES else {}
     columns |= {f"{name}{n}": c for family in families for n in windows for name, c in family(n, sums).items()}

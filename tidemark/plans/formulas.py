@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators import formulas as ops
 from tidemark.plans.factors import shown
 from tidemark.plans.registry import query
@@ -33,7 +34,7 @@ SELECT symbol, trade_date, round("cross", 6) + 0.0 AS "cross", round(smooth_move
 
 @query("formula_features", FORMULA_SQL, dates="trade_date")
 def formula_features(spark: SparkSession, d: str) -> DataFrame:
-    return shown(ops.evaluate(panel(spark, d), OWN_FORMULAS))
+    return shown(ops.evaluate(panel(spark, d), OWN_FORMULAS), by=rounded)
 
 
 #: Rows over their mean of 20 rows by a twentieth, on more volume than ten rows before.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators import rolling as ops
 from tidemark.operators.ranges import percentile_ranks, quantiles
 from tidemark.plans.factors import shown
@@ -66,7 +67,7 @@ def _family(name: str, registered: str) -> None:
         rows = ops.features(panel(spark, d), (getattr(ops, name),))
         if digits > 6:
             rows = rows.withColumns({c: F.col(c) + 1e-12 for c, kind in rows.dtypes if kind == "double"})
-        return shown(rows, digits)
+        return shown(rows, digits, rounded)
 
 
 for _name, _registered in (("stats", "rolling_stats"), ("ols", "rolling_ols"), ("quantiles", "rolling_quantiles"), ("ranks", "rolling_rank"), ("extremes", "rolling_rsv_argext"), ("correlations", "rolling_corr"), ("counts", "updown_counts"), ("volumes", "volume_features")):
