@@ -83,3 +83,18 @@ def test_last_states_equal_the_join_by_key(histories):
     a = ranges.last_states(known[1], known[0], ["k"], "at", ["v"], True, F.lit(30)).collect()
     b = strict_asof(known[1], known[0], ["k"], "at", ["v"], 30).collect()
     assert sorted(map(str, a)) == sorted(map(str, b)) and any(r["v"] is None for r in a) and any(r["v"] is not None for r in a)
+
+
+@pytest.mark.parametrize("few", [10, 10_000])
+def test_quantiles_by_brackets_order_few_rows(spark, values, monkeypatch, few):
+    rows = values.select(F.col("x").alias("a"), (F.col("x") * 1e300).alias("b"), F.when(F.col("i") == 7, 1e12).otherwise(F.col("i") * 7919 % 3001).cast("double").alias("c"), F.lit(None).cast("double").alias("d"), F.lit(2.5).alias("e"))
+    ordered, whole = [], ranges.ordered_counts
+    monkeypatch.setattr(ranges, "ordered_counts", lambda held, *rest: (ordered.append(held.where("column = 'c' and x is not null").count()), whole(held, *rest))[1])
+    monkeypatch.setattr(ranges, "FEW", few)
+    monkeypatch.setattr(ranges, "CELLS", 64)
+    clean = rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in rows.columns])
+    for share in (0.0, 0.37, 0.5, 0.9, 1.0):
+        want = clean.agg(*[F.percentile(c, share).alias(c) for c in rows.columns]).first().asDict()
+        got = ranges.column_quantile(rows, rows.columns, share)
+        assert set(got) == set(want) and all((got[c] is None) == (want[c] is None) and (want[c] is None or got[c] == pytest.approx(want[c], rel=1e-12)) for c in want)
+    assert all(n < 100 for n in ordered) == (few == 10)

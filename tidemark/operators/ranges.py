@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,62 @@ def quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, f
     return counts.groupBy(*group).agg(*out)
 
 
+#: Cells that a bracket is cut into, rows that may be left in it before they are ordered, and rounds of cutting.
+CELLS, FEW, ROUNDS = 4096, 100_000, 3
+
+
+def _inside(x: Column, low: float, high: float) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (x >= F.lit(low)) & (x <= F.lit(high))
+
+
+def column_quantile(rows: DataFrame, columns: list[str], share: float) -> dict[str, float | None]:
+    """The exact interpolated quantile of each column, without ordering the rows; NULL and NaN do not count.
+
+    The values between the least and the largest are counted by cells of equal
+    width. The cells that hold the quantile's place are the next bracket, until
+    few rows lie in it; only these are put in order, by ranges. Equal values
+    may leave many rows there, which are one row each after counting. Brackets
+    are one row a column on the driver; ``rows`` should be a table as read.
+    """
+    x = {c: F.col(c).cast("double") for c in columns}
+    seen = {c: F.when(~F.isnan(v), v) for c, v in x.items()}
+    first = rows.agg(*[f(v).alias(f"{k}_{i}") for i, v in enumerate(seen.values()) for k, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+    place = {c: (first[f"n_{i}"] - 1) * share for i, c in enumerate(columns) if first[f"n_{i}"]}
+    brackets = {c: (0, first[f"n_{i}"], first[f"low_{i}"], first[f"high_{i}"]) for i, c in enumerate(columns) if c in place}
+    for _ in range(ROUNDS):
+        wide = {c: b for c, b in brackets.items() if b[1] > FEW and b[2] < b[3] and math.isfinite(b[3] - b[2])}
+        if not wide:
+            break
+        brackets |= _cut(rows, x, wide, place)
+    kept = F.array(*[F.struct(F.lit(c).alias("column"), F.when(_inside(x[c], low, high), x[c]).alias("x")) for c, (_, _, low, high) in brackets.items()])
+    found = dict.fromkeys(columns)
+    if not brackets:
+        return found
+    counts = ordered_counts(rows.select(F.explode(kept).alias("f")).select("f.*"), ["column"], "x")
+    first_at, last_at = F.col("before"), F.col("before") + F.col("n") - 1
+    at = lambda p: (first_at <= p) & (last_at >= p)
+    low_of, high_of = (reduce(lambda w, c: w.when(F.col("column") == c, F.lit(f(place[c]) - brackets[c][0])), place, F.when(F.lit(False), F.lit(0))) for f in (math.floor, math.ceil))
+    for r in counts.groupBy("column").agg(F.max(F.when(at(low_of), F.col("x"))).alias("below"), F.max(F.when(at(high_of), F.col("x"))).alias("above")).collect():
+        found[r["column"]] = r["below"] + (r["above"] - r["below"]) * (place[r["column"]] - math.floor(place[r["column"]]))
+    return found
+
+
+def _cut(rows: DataFrame, x: dict[str, Column], brackets: dict[str, tuple], place: dict[str, float]) -> dict[str, tuple]:
+    """For each column the part of its bracket that holds the place: rows below it, rows in it, its least and largest value."""
+    parts = []
+    for c, (_, _, low, high) in brackets.items():
+        cell = F.least(F.floor((x[c] - F.lit(low)) / F.lit(high - low) * CELLS), F.lit(CELLS - 1)).cast("int")
+        parts.append(F.struct(F.lit(c).alias("column"), F.when(_inside(x[c], low, high), cell).alias("cell"), x[c].alias("x")))
+    cells = rows.select(F.explode(F.array(*parts)).alias("f")).select("f.*").where("cell is not null")
+    cells = cells.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    cells = cells.withColumn("end", F.sum("n").over(Window.partitionBy("column").orderBy("cell")))  # CELLS rows a column at most
+    begin, out = F.col("end") - F.col("n"), {}
+    for c, (before, *_rest) in brackets.items():
+        out[c] = (F.col("column") == c) & (begin <= math.ceil(place[c]) - before) & (F.col("end") > math.floor(place[c]) - before)
+    held = cells.where(reduce(lambda a, b: a | b, out.values())).groupBy("column").agg(F.min(begin).alias("begin"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return {r["column"]: (brackets[r["column"]][0] + r["begin"], r["n"], r["low"], r["high"]) for r in held.collect()}
+
+
 def percentile_ranks(rows: DataFrame, group: list[str], value: str, name: str = "pct") -> DataFrame:
     """``rows`` with the percentile rank of a value in its group, ties at their mean, in (0, 1]; NULL and NaN stay without one.
 

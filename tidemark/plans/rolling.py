@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rounded
 from tidemark.operators import rolling as ops
-from tidemark.operators.ranges import percentile_ranks, quantiles
+from tidemark.operators.ranges import column_quantile, percentile_ranks, quantiles
 from tidemark.plans.factors import shown
 from tidemark.plans.registry import query
 from tidemark.session import materialise
@@ -96,13 +96,15 @@ SCALED = ("KMID", "KLEN", "KUP", "KLOW", "KSFT")
 
 @query("mad_scaler", BASE_SQL + ", k AS (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, {KBAR_SQL[k]} AS x FROM base" for k in SCALED) + "), m AS (SELECT feature, quantile_cont(x, 0.5) AS center FROM k GROUP BY 1) SELECT feature, round(any_value(center), 6) + 0.0 AS center, round(quantile_cont(abs(x - center), 0.5) * 1.4826, 6) + 0.0 AS scale FROM k JOIN m USING (feature) GROUP BY 1")
 def mad_scaler(spark: SparkSession, d: str) -> DataFrame:
-    """Median and scaled median deviation of each feature, over the long form; exact, and no task sees a whole feature."""
+    """Median and scaled median deviation of each feature; exact, by brackets around the medians, and no task sees a whole feature."""
     columns = ops.kbar()
-    long = panel(spark, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), columns[k].alias("x")) for k in SCALED])).alias("f")).select("f.*")
-    long = materialise(long, "scaled-features")
-    middle = materialise(quantiles(long, ["feature"], "x", {"center": 0.5}), "centers")  # one row a feature
-    away = long.join(middle, "feature").select("feature", F.abs(F.col("x") - F.col("center")).alias("away"))
-    return shown(middle.join(quantiles(away, ["feature"], "away", {"scale": 0.5}), "feature").select("feature", "center", (F.col("scale") * 1.4826).alias("scale")))
+    wide = materialise(panel(spark, d).select(*[columns[k].alias(k) for k in SCALED]), "scaled-features")
+    center = column_quantile(wide, list(SCALED), 0.5)
+    away = wide.select(*[F.abs(F.col(k) - F.lit(c).cast("double")).alias(k) for k, c in center.items()])
+    scale = column_quantile(away, list(SCALED), 0.5)
+    row = lambda k: F.struct(F.lit(k).alias("feature"), F.lit(center[k]).cast("double").alias("center"), F.lit(scale[k]).cast("double").alias("middle"))
+    found = wide.limit(1).select(F.explode(F.array(*map(row, SCALED))).alias("f")).select("f.*").where("center is not null")
+    return shown(found.select("feature", "center", (F.col("middle") * 1.4826).alias("scale")))
 
 
 @query("panel_ranks", with_("panel") + ", r AS (SELECT symbol, trade_date, (rank() OVER (ORDER BY close) + (count(*) OVER (PARTITION BY close) - 1) / 2.0::DOUBLE) / count(*) OVER () AS p FROM panel) SELECT symbol, trade_date, round(p, 9) + 0.0 AS close_rank FROM r", dates="trade_date")
