@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import change, pct_rank, true
+from tidemark.session import materialise
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,7 @@ def daily_picks(rows: DataFrame, day: Column, p: Protocol) -> DataFrame:
     same for all industries, so a rank within the industry equals taking them
     greedily.
     """
+    rows = materialise(rows, "daily-rows")  # one row a symbol, read for the breadth and for the pool
     passed = F.lit(True)
     for _, test in tests(day, p):
         passed = passed & test

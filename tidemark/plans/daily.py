@@ -9,6 +9,7 @@ from tidemark.functions.scalars import iso_date
 from tidemark.operators import daily as ops
 from tidemark.plans.factors import shown, sql6
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.sources.market import instruments, panel, with_
 
 #: The frozen rules with liquidity and breadth for the synthetic tables.
@@ -111,8 +112,9 @@ SELECT symbol, entry_date, quantity, round(price, 6) + 0.0 AS price, status, CAS
 def cohort_eval(spark: SparkSession, d: str) -> DataFrame:
     """Positions of the whole pool, entered at the next open."""
     uncapped = ops.Protocol(**{**PROTOCOL.__dict__, "selection_count": None, "maximum_per_industry": None})
-    bars = panel(spark, d)
     picked = ops.daily_picks(joined(spark, d), listed_day(), uncapped).select("symbol")
-    entry = picked.join(bars.where(F.col("trade_date") == F.date_add(day(), 1)), "symbol")
+    later = panel(spark, d).where(F.col("trade_date") > day()).select("symbol", "trade_date", "open", "close", "pre_close", "volume")
+    later = materialise(later, "later-panel")  # read for the entries and for all days after them
+    entry = picked.join(later.where(F.col("trade_date") == F.date_add(day(), 1)), "symbol")
     fills = entry.select("symbol", F.col("trade_date").alias("entry_date"), F.col("open").alias("price"), F.lit(100).alias("quantity")).withColumn("cost", ops.order_cost(F.col("quantity") * F.col("price"), PROTOCOL))
-    return shown(ops.evaluate_positions(fills, bars, PROTOCOL))
+    return shown(ops.evaluate_positions(fills, later, PROTOCOL))
