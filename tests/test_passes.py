@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import daily
+from tidemark.plans import daily, screen
 
 
 def scans(rows, name):
@@ -12,3 +12,7 @@ def scans(rows, name):
 
 def test_positions_are_evaluated_from_what_was_written(spark, sf_dir):
     assert scans(daily.cohort_eval(spark, sf_dir), "l_suppkey") == 0
+
+
+def test_a_price_plan_reads_the_pool_once(spark, sf_dir):
+    assert scans(screen.operation_plan(spark, sf_dir), "l_suppkey") == 0
