@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.keyed import insert_absent, upsert
+from tidemark.operators.keyed import insert_absent, latest_per_key
 from tidemark.operators.sinks import path_exists
 from tidemark.session import remove
+from tidemark.sources.tables import dealt_by
 
 #: Parts of a table; a batch rewrites those that its keys fall into.
 BUCKETS = 16
@@ -70,15 +71,22 @@ class VersionedTable:
         last = gone.groupBy(F.col(column).alias("gone_value")).agg(F.max("batch").alias("gone_batch"))
         return rows.join(last, rows[column].eqNullSafe(F.col("gone_value")) & (rows["batch"] <= F.col("gone_batch")), "left_anti")
 
-    def write(self, batch: DataFrame, number: int, order: list[Column], ignore: bool = False) -> None:
-        """Merge a batch: of rows with one key, stored ones too, the first in ``order`` stays; with ``ignore`` a stored one does."""
+    def write(self, batch: DataFrame, number: int, order: list[Column], ignore: bool = False, like: DataFrame | None = None) -> None:
+        """Merge a batch: of rows with one key, stored ones too, the first in ``order`` stays; with ``ignore`` a stored one does.
+
+        With ``like``, rows about as many as the table's, the merge is dealt
+        out by key to tasks in proportion to them.
+        """
         session = batch.sparkSession
         self.compact(number)
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
         new = batch.select(*self.schema.names).withColumn("bucket", bucket)
-        old = self.read(number, session).join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
-        merge = insert_absent if ignore else upsert
-        merged = merge(old, new if ignore else old.unionByName(new), list(self.keys), order)
+        dealt = lambda rows: rows if like is None else dealt_by(rows, *self.keys, like=like)
+        if not self._newest(number):
+            merged = latest_per_key(dealt(new), list(self.keys), order)
+        else:
+            old = self.read(number, session).join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
+            merged = insert_absent(dealt(old), dealt(new), list(self.keys), order) if ignore else latest_per_key(dealt(old.unionByName(new)), list(self.keys), order)
         merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/table/batch={number}")
 
     def purge(self, values: DataFrame, number: int) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.versioned import VersionedTable, cascade
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import materialise, scratch_path
 from tidemark.sources import paged
 from tidemark.sources.market import theme_days, with_
 from tidemark.sources.tables import table
@@ -105,13 +105,13 @@ tags AS (SELECT DISTINCT trade_date, symbol, split_part(reason, '、', 1) AS tag
 SELECT year, n, n_tags FROM (SELECT year(trade_date)::INT AS year, count(*) AS n FROM stored GROUP BY 1) JOIN (SELECT year(trade_date)::INT AS year, count(*) AS n_tags FROM tags GROUP BY 1) USING (year)""")
 def purge_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Days are purged from a table and from the tags that hang on it; a later batch brings some of the rows back."""
-    rows, day = theme_days(spark, d), F.col("trade_date")
+    rows, day = materialise(theme_days(spark, d), "theme-days"), F.col("trade_date")  # read by every batch
     tag = F.substring_index("reason", "、", 1)
     bad = (F.month("trade_date") == 6) & (F.dayofmonth("trade_date") < 8)
     tables = [VersionedTable(spark, scratch_path(spark, "themes"), rows.schema, ("trade_date", "symbol")), VersionedTable(spark, scratch_path(spark, "tags"), rows.select(day, "symbol", tag.alias("tag")).schema, ("trade_date", "symbol", "tag"))]
-    tables[0].write(rows, 0, [F.asc("reason")])
-    tables[1].write(rows.select(day, "symbol", tag.alias("tag")), 0, [F.asc("tag")])
+    tables[0].write(rows, 0, [F.asc("reason")], like=rows)
+    tables[1].write(rows.select(day, "symbol", tag.alias("tag")), 0, [F.asc("tag")], like=rows)
     cascade(tables, rows.where(bad).select("trade_date"), 1)
-    tables[0].write(rows.where(bad & (F.col("symbol") < "000003")), 2, [F.asc("reason")])
+    tables[0].write(rows.where(bad & (F.col("symbol") < "000003")), 2, [F.asc("reason")], like=rows)
     years = [t.read().groupBy(F.year("trade_date").alias("year")).agg(F.count(F.lit(1)).alias(name)) for t, name in zip(tables, ("n", "n_tags"), strict=True)]
     return years[0].join(years[1], "year")
