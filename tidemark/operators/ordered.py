@@ -42,20 +42,20 @@ def slide(values: np.ndarray, n: int, shares: tuple[float, ...]) -> tuple[np.nda
 def with_order(rows: DataFrame, value: str, windows: tuple[int, ...], shares: tuple[float, ...]) -> DataFrame:
     """``rows``, in chunks by ``symbol, chunk`` and numbered by ``n``, with ``rank_<window>`` and ``share_<k>_<window>`` columns.
 
-    A group is one chunk of one symbol's history, of a few hundred rows, and
-    comes in the order of its rows; a chunk's first rows lead in, so windows
-    are whole.
+    A group is one chunk of one symbol's history, of a few hundred rows; a
+    chunk's first rows lead in, so windows are whole.
     """
     ship_package(rows.sparkSession)
     names = [f"{k}_{n}" for n in windows for k in ("rank", *(f"share_{i}" for i in range(len(shares))))]
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("n")
-        x = table.column(value).to_numpy(zero_copy_only=False).astype(np.float64)
+        order = np.argsort(table.column("n").to_numpy())
+        back = np.argsort(order)
+        x = table.column(value).to_numpy(zero_copy_only=False).astype(np.float64)[order]
         made = []
         for n in windows:
             ranks, found = slide(x, n, shares)
-            made += [ranks, *found]
+            made += [ranks[back], *found[:, back]]
         for name, column in zip(names, made, strict=True):
             table = table.append_column(name, pa.array(column, from_pandas=True))
         return table

@@ -34,8 +34,8 @@ def chunk():
     return Window.partitionBy("symbol", "chunk").orderBy("trade_date")
 
 
-def base(panel: DataFrame) -> DataFrame:
-    """The panel in chunks, with the daily steps that the families share.
+def base(panel: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The panel in chunks, with the daily steps that the families share and the columns to ``keep``.
 
     Row ``n`` of a symbol belongs to chunk ``(n - 1) div CHUNK``; the last rows
     of a chunk are in the next one as well, where they only lead in
@@ -48,7 +48,7 @@ def base(panel: DataFrame) -> DataFrame:
     rows = panel.select(
         "symbol", "trade_date", "n", "open", "high", "low", "close", V.alias("volume"), (C - before).alias("delta"), (V - prior).alias("vdelta"), (C / before).alias("ret"),
         (F.abs(C / before - 1) * V).alias("weighted"), F.ln(V + 1).alias("log_v"), F.ln(V / F.nullif(prior, F.lit(0.0)) + 1).alias("log_ratio"),
-        F.when(C > before, 1.0).otherwise(0.0).alias("up"), F.when(C < before, 1.0).otherwise(0.0).alias("down"), at.alias("own"),
+        F.when(C > before, 1.0).otherwise(0.0).alias("up"), F.when(C < before, 1.0).otherwise(0.0).alias("down"), at.alias("own"), *keep,
     )
     late = (F.col("n") - 1) % CHUNK >= CHUNK - REACH
     rows = rows.withColumn("chunk", F.explode(F.when(late, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))))
@@ -192,31 +192,46 @@ def volumes(n: int, sums: Sums) -> dict[str, Column]:
 
 
 FAMILIES = (stats, ols, quantiles, ranks, extremes, correlations, counts, volumes)
+#: Those that need the order of a window's values.
+ORDERED = (quantiles, ranks)
 
 
-def features(panel: DataFrame, families=FAMILIES, windows=WINDOWS) -> DataFrame:
-    """``symbol, trade_date`` and the features; all windows share one sort by symbol, chunk and date."""
+def features(panel: DataFrame, families=FAMILIES, windows=WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``symbol, trade_date``, the columns of the panel to ``keep`` and the features; all windows share one sort by symbol, chunk and date.
+
+    Ranks and quantiles, which go through Python, come last: rows that have
+    been there must be dealt out again for a window. The other features pass
+    as one array.
+    """
     small_methods(panel.sparkSession)
     sums = Sums()
     columns = dict(kbar()) if families is FAMILIES else {}
     columns |= {f"{name}{n}": c for family in families for n in windows for name, c in family(n, sums).items()}
-    rows = base(panel)
-    if {quantiles, ranks} & set(families):
-        if set(families) <= {quantiles, ranks}:
-            rows = rows.select("symbol", "trade_date", "n", "chunk", "leads", "close")  # nothing else goes through Python
-        rows = with_order(rows, "close", tuple(windows), (UPPER, LOWER))
-    rows = sums.add_to(rows) if sums.wanted else rows
+    late = {f"{name}{n}" for family in families if family in ORDERED for n in windows for name in family(n, sums)}
+    rows = base(panel, keep)
     if {stats, extremes} & set(families):
         rows = with_extremes(rows)
-    named = rows.select("symbol", "trade_date", "leads", *[c.alias(k) for k, c in columns.items()])
+    rows = sums.add_to(rows) if sums.wanted else rows
+    if late:
+        early = [k for k in columns if k not in late]
+        made = [F.when(~F.col("leads"), F.array(*[columns[k] for k in early])).alias("made")] if early else []
+        rows = rows.select("symbol", "trade_date", "n", "chunk", "leads", "close", *keep, *made)  # nothing else goes through Python
+        rows = with_order(rows, "close", tuple(windows), (UPPER, LOWER))
+        columns |= {k: F.col("made")[i] for i, k in enumerate(early)}
+    named = rows.select("symbol", "trade_date", "leads", *keep, *[c.alias(k) for k, c in columns.items()])
     return named.where(~F.col("leads")).drop("leads")
 
 
-def forward_labels(panel: DataFrame, ahead: int = 5) -> DataFrame:
+def label_columns(ahead: int = 5) -> dict[str, Column]:
     """Return from the next open to the open ``ahead`` days later, its last date, and eligibility by recent bars."""
     by = order()
     later = F.lead("open", ahead + 1).over(by)
-    return panel.select(
-        "symbol", "trade_date", change(later, F.lead("open", 1).over(by)).alias("label"), F.lead("trade_date", ahead + 1).over(by).alias("label_end"),
-        (F.count("close").over(by.rowsBetween(-64, 0)) >= 60).alias("eligible"),
-    )
+    return {
+        "label": change(later, F.lead("open", 1).over(by)), "label_end": F.lead("trade_date", ahead + 1).over(by),
+        "eligible": F.count("close").over(by.rowsBetween(-64, 0)) >= 60,
+    }
+
+
+def forward_labels(panel: DataFrame, ahead: int = 5) -> DataFrame:
+    """``symbol, trade_date`` and the label's columns."""
+    return panel.select("symbol", "trade_date", *[c.alias(k) for k, c in label_columns(ahead).items()])

@@ -28,13 +28,13 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     All rolling features are inputs. Features and labels are written once; the
     learners, which pass over their rows many times, read the written table.
     """
-    rows = panel(spark, d)
-    labels = rolling.forward_labels(rows).where(F.col("eligible") & F.col("label").isNotNull())
-    features = rolling.features(rows)
-    names = [c for c in features.columns if c not in ("symbol", "trade_date")]
+    known = panel(spark, d).withColumns(rolling.label_columns())
+    # No fold trains or is tested on later days, and features only look back.
+    known = known.where(F.col("trade_date") < F.lit(max(b for _, b in FOLDS)).cast("date"))
+    rows = rolling.features(known, keep=("label_end", "label", "eligible")).where(F.col("eligible") & F.col("label").isNotNull())
+    names = [c for c in rows.columns if c not in ("symbol", "trade_date", "label_end", "label", "eligible")]
     # A feature without a value, as where a window does not vary, is zero: no signal.
-    vector = VectorAssembler(inputCols=names, outputCol="features").transform(features.join(labels, ["symbol", "trade_date"]).na.fill(0.0, names))
-    vector = vector.where(F.col("trade_date") < F.lit(max(b for _, b in FOLDS)).cast("date"))  # no fold trains or is tested later
+    vector = VectorAssembler(inputCols=names, outputCol="features").transform(rows.na.fill(0.0, names))
     data = materialise(vector.select("trade_date", "label_end", "label", "features"), "model-rows")
     learners = {"lasso": LinearRegression(elasticNetParam=1.0, regParam=0.0005, fitIntercept=False), "trees": GBTRegressor(maxIter=5, maxDepth=3, stepSize=0.2, seed=7)}
     out = None
