@@ -214,7 +214,7 @@ def features(panel: DataFrame, families=FAMILIES, windows=WINDOWS, keep: tuple[s
     rows = sums.add_to(rows) if sums.wanted else rows
     if late:
         early = [k for k in columns if k not in late]
-        made = [F.when(~F.col("leads"), F.array(*[columns[k] for k in early])).alias("made")] if early else []
+        made = [F.array(*[columns[k] for k in early]).alias("made")] if early else []
         rows = rows.select("symbol", "trade_date", "n", "chunk", "leads", "close", *keep, *made)  # nothing else goes through Python
         rows = with_order(rows, "close", tuple(windows), (UPPER, LOWER))
         columns |= {k: F.col("made")[i] for i, k in enumerate(early)}

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import correlation, pct_rank
-from tidemark.operators import rolling
+from tidemark.operators import compact, rolling
 from tidemark.operators.fits import Fold, fit_grid, lasso
 from tidemark.plans.factors import shown
 from tidemark.plans.registry import query
 from tidemark.plans.rolling import LABEL_SQL
 from tidemark.session import materialise, scratch_path
 from tidemark.sources.market import SQL, instruments, panel
+from tidemark.sources.tables import table
 
 #: First day of each fold's test and of the one after it; training ends before the first.
 FOLDS = (("1996-09-01", "1996-12-01"), ("1996-12-01", "1997-03-01"))
@@ -25,24 +25,31 @@ FOLDS = (("1996-09-01", "1996-12-01"), ("1996-12-01", "1997-03-01"))
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Mean daily rank correlation, by fold, of a lasso and of boosted trees on days after their training, labels purged.
 
-    All rolling features are inputs. Features and labels are written once; the
-    learners, which pass over their rows many times, read the written table.
+    All rolling features are inputs. They are made twice and never written: once
+    for the sums that a lasso needs and the thresholds of the trees, once for the
+    lasso's predictions and the bins between the thresholds. What is written
+    is a tenth of them; the trees pass over it many times.
     """
     known = panel(spark, d).withColumns(rolling.label_columns())
     # No fold trains or is tested on later days, and features only look back.
     known = known.where(F.col("trade_date") < F.lit(max(b for _, b in FOLDS)).cast("date"))
+    own = ("trade_date", "label_end", "label")
     rows = rolling.features(known, keep=("label_end", "label", "eligible")).where(F.col("eligible") & F.col("label").isNotNull())
-    names = [c for c in rows.columns if c not in ("symbol", "trade_date", "label_end", "label", "eligible")]
-    # A feature without a value, as where a window does not vary, is zero: no signal.
-    vector = VectorAssembler(inputCols=names, outputCol="features").transform(rows.na.fill(0.0, names))
-    data = materialise(vector.select("trade_date", "label_end", "label", "features"), "model-rows")
-    learners = {"lasso": LinearRegression(elasticNetParam=1.0, regParam=0.0005, fitIntercept=False), "trees": GBTRegressor(maxIter=5, maxDepth=3, stepSize=0.2, seed=7)}
+    names = [c for c in rows.columns if c not in ("symbol", "eligible", *own)]
+    rows = rows.select(*own, (F.xxhash64("symbol", "trade_date").bitwiseAND(F.lit(2**31 - 1))).alias("key"), F.array(*names).alias("features"))
+    sums, cuts = compact.summed(rows, {str(k): a for k, (a, _) in enumerate(FOLDS, 1)}, table(spark, d, "lineitem").count())
+    lasso_of = LinearRegression(elasticNetParam=1.0, regParam=0.0005, fitIntercept=False, weightCol="weight")
+    linear = {k: lasso_of.fit(compact.points(spark, s)).coefficients.toArray() for k, s in sums.items()}
+    data = materialise(compact.narrowed(rows.drop("key"), linear, cuts), "model-rows")
     out = None
     for fold, (a, b) in enumerate(FOLDS, 1):
         first, after = F.lit(a).cast("date"), F.lit(b).cast("date")
         train, test = data.where(F.col("label_end") < first), data.where((F.col("trade_date") >= first) & (F.col("trade_date") < after))
-        for name, learner in learners.items():
-            scored = learner.fit(train).transform(test).select("trade_date", pct_rank(F.col("prediction"), F.col("trade_date")).alias("p"), pct_rank(F.col("label"), F.col("trade_date")).alias("y"))
+        trees_of = GBTRegressor(maxIter=5, maxDepth=3, stepSize=0.2, seed=7)
+        binned = lambda part, fold=fold: part.select("trade_date", "label", compact.bins(str(fold), len(names)).alias("features"))
+        scores = {"lasso": test.withColumn("prediction", F.col(f"linear_{fold}")), "trees": trees_of.fit(binned(train)).transform(binned(test))}
+        for name, score in scores.items():
+            scored = score.select("trade_date", pct_rank(F.col("prediction"), F.col("trade_date")).alias("p"), pct_rank(F.col("label"), F.col("trade_date")).alias("y"))
             ic = scored.groupBy("trade_date").agg(correlation(F.col("p"), F.col("y")).alias("ic"))
             row = ic.agg(F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"))
             out = row if out is None else out.unionByName(row)
